@@ -1,0 +1,7 @@
+"""All queries outside the optional subpackage, by name, with their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+FLAGSHIP = "governance_summary"
