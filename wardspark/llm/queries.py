@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, sharding
+from . import chat, jaccard_join, sharding, token_ids
 from .common import table
 
 
@@ -60,7 +60,25 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256
 FROM chats"""
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the installed vocabulary file lies; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_ids.write_token_ids(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+    return token_ids.read_token_digest(spark, path)
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), threshold=0.8, shingle=5)
+
+
 QUERIES = {
+    "op3_token_ids": op3_token_ids,
+    "op5_jaccard_join": op5_jaccard_join,
     "op4_chat_formatting": op4_chat_formatting,
     "op9_sharding": op9_sharding,
 }
