@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, sharding, token_ids
+from . import chat, decontaminate, jaccard_join, kneser_ney, sharding, token_ids
 from .common import table
 
 
@@ -76,12 +76,45 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), threshold=0.8, shingle=5)
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the labelled table calls good and not toxic."""
+    return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8, shingle=5)
+
+
+_WORDS_SQL = r"list_filter(string_split_regex(lower(text), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+'), lambda w: w <> '')"
+
+OP7_SQL = f"""
+WITH item_words AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+item_grams AS (
+  SELECT DISTINCT item_id, least(5, len(w)) AS size, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2),
+         lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' '))) AS g FROM item_words WHERE len(w) > 0),
+items AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS q FROM item_grams),
+doc_words AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+sizes AS (SELECT DISTINCT size FROM items),
+doc_grams AS (
+  SELECT DISTINCT doc_id, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS g
+  FROM doc_words CROSS JOIN sizes WHERE len(w) >= size)
+SELECT doc_id, item_id, count(*) AS shared, max(q) AS item_shingles, count(*) / max(q) AS containment
+FROM doc_grams JOIN items USING (size, g) GROUP BY doc_id, item_id HAVING count(*) / max(q) >= 0.8"""
+
+
 QUERIES = {
+    "op7_decontamination": op7_decontamination,
+    "op6_quality_classifier": op6_quality_classifier,
     "op3_token_ids": op3_token_ids,
     "op5_jaccard_join": op5_jaccard_join,
     "op4_chat_formatting": op4_chat_formatting,
     "op9_sharding": op9_sharding,
 }
 ORACLES = {
+    "op7_decontamination": OP7_SQL,
     "op4_chat_formatting": _op4_sql(),
 }
