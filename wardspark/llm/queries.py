@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, kneser_ney, line_dedup, sharding, token_ids
+from . import chat, decontaminate, embedding_dedup, jaccard_join, kneser_ney, line_dedup, sharding, token_ids
 from .common import table
 
 
@@ -144,7 +144,27 @@ SELECT doc_id,
 FROM norm LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id"""
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.cosine_components(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+# Expression of the components: the smallest id over paths of links.
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.9),
+reach(vec_id, low) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.vec_id WHERE r.low < l.b),
+lows AS (SELECT vec_id, min(low) AS component_id FROM reach GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM lows LEFT JOIN counts USING (vec_id)"""
+
+
 QUERIES = {
+    "op10_embedding_dedup": op10_embedding_dedup,
     "op1_line_dedup": op1_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op6_quality_classifier": op6_quality_classifier,
@@ -154,6 +174,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
 }
 ORACLES = {
+    "op10_embedding_dedup": OP10_SQL,
     "op1_line_dedup": OP1_SQL,
     "op7_decontamination": OP7_SQL,
     "op4_chat_formatting": _op4_sql(),
