@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embedding_dedup, jaccard_join, kneser_ney, line_dedup, sharding, token_ids
+from . import chat, decontaminate, embedding_dedup, jaccard_join, kneser_ney, line_dedup, mixing, sharding, token_ids
 from .common import table
 
 
@@ -163,7 +163,21 @@ counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM lows LEFT JOIN counts USING (vec_id)"""
 
 
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains of the labelled table: toxic, or else good or junk."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("junk")
+    return table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
+TARGET_WEIGHTS = {"good": 0.92, "toxic": 0.06, "junk": 0.02}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), TARGET_WEIGHTS)
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op1_line_dedup": op1_line_dedup,
     "op7_decontamination": op7_decontamination,
