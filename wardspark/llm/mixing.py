@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from .common import sized, stored
 
 #: Word and word-ending features are hashed into so many buckets each; this bounds the model.
-BUCKETS = 1 << 14
-SHARPNESS = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
+BUCKETS = 1 << 18
+#: Only buckets whose count in some domain is so many deviations from its expectation have weights.
+SIGNIFICANT = 5.0
+SHARPNESS = (0.02, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0)
 MAX_STEPS, TOLERANCE = 40, 1e-4
 
 
@@ -33,10 +35,14 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 class DomainClassifier:
-    """Hashed multinomial naive Bayes; ``weights`` has a row per bucket with a log-likelihood per domain."""
+    """Hashed multinomial naive Bayes.
 
-    def __init__(self, domains: list[str], priors: list[float], weights: DataFrame, default: list[float], sharpness: float):
-        self.domains, self.priors, self.weights, self.default, self.sharpness = domains, priors, weights, default, sharpness
+    ``weights`` has a row per telling bucket: for each domain the logarithm of its count over the
+    count expected if words and domains were independent. Other buckets have weight 0.
+    """
+
+    def __init__(self, domains: list[str], priors: list[float], weights: DataFrame, sharpness: float):
+        self.domains, self.priors, self.weights, self.sharpness = domains, priors, weights, sharpness
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame) -> "DomainClassifier":
@@ -53,12 +59,16 @@ class DomainClassifier:
         )
         pairs = stored(pairs, "domain-counts")
         totals = {r.domain: r["n"] for r in pairs.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
-        floor = [-math.log(totals.get(d, 0) + 2 * BUCKETS) for d in domains]  # add-one smoothing
-        weights = pairs.groupBy("bucket").agg(
-            *[(F.log(F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)) + F.lit(1.0)) + F.lit(floor[k])).alias(f"w{k}") for k, d in enumerate(domains)]
+        share = [totals.get(d, 0) / max(1, sum(totals.values())) for d in domains]
+        by_bucket = pairs.groupBy("bucket").agg(
+            F.sum("n").alias("all"), *[F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)).alias(f"n{k}") for k, d in enumerate(domains)]
         )
+        expected = [F.col("all") * F.lit(p) for p in share]
+        strays = [F.abs(F.col(f"n{k}") - e) / F.sqrt(e + 1) for k, e in enumerate(expected)]
+        telling = by_bucket.where(reduce(Column.__or__, [z >= SIGNIFICANT for z in strays]))
+        weights = telling.select("bucket", *[F.log((F.col(f"n{k}") + 1) / (e + 1)).alias(f"w{k}") for k, e in enumerate(expected)])
         total = sum(counts.values())
-        model = cls(domains, [math.log(counts[d] / total) for d in domains], stored(weights, "domain-weights"), floor, 1.0)
+        model = cls(domains, [math.log(counts[d] / total) for d in domains], stored(weights, "domain-weights"), 1.0)
         if len(domains) > 1:
             model.sharpness = model._calibrated(taught)
         return model
@@ -70,8 +80,8 @@ class DomainClassifier:
         first = small.select(F.col("bucket").alias("word"), *[F.col(f"w{i}").alias(f"a{i}") for i in k])
         second = small.select(F.col("bucket").alias("ending"), *[F.col(f"w{i}").alias(f"b{i}") for i in k])
         f = features(docs, keep).join(first, "word", "left").join(second, "ending", "left")
-        likelihood = [F.coalesce(f"a{i}", F.lit(self.default[i])) + F.coalesce(f"b{i}", F.lit(self.default[i])) for i in k]
-        # Sums of hundredths of whole numbers do not depend on the order of rows.
+        likelihood = [F.coalesce(f"a{i}", F.lit(0.0)) + F.coalesce(f"b{i}", F.lit(0.0)) for i in k]
+        # Sums of whole numbers do not depend on the order of rows.
         return f.groupBy(*keep).agg(
             F.count(F.lit(1)).alias("tokens"), *[F.sum(F.round(x * 1e6).cast("long")).alias(f"s{i}") for i, x in zip(k, likelihood, strict=True)]
         )

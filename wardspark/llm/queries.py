@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embedding_dedup, jaccard_join, kneser_ney, line_dedup, mixing, sharding, token_ids
+from . import chat, decontaminate, embedding_dedup, jaccard_join, kneser_ney, licenses, line_dedup, mixing, sharding, token_ids
 from .common import table
 
 
@@ -176,7 +176,36 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), TARGET_WEIGHTS)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
+def _op8_sql() -> str:
+    templates = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES)
+    grams = (
+        "list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)"
+    )
+    return f"""
+WITH templates(license, text) AS (VALUES {templates}),
+t AS (SELECT row_number() OVER () AS tid, license, {grams} AS grams FROM (SELECT license, {_WORDS_SQL} AS w FROM templates)),
+lines AS (SELECT doc_id, 'line' AS unit, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place, unnest(string_split(text, chr(10))) AS text FROM documents),
+parts AS (SELECT doc_id, string_split_regex(text, '\\n[ \\t\\r]*\\n\\s*') AS p, text FROM documents),
+paragraphs AS (SELECT doc_id, 'paragraph' AS unit, generate_subscripts(p, 1) - 1 AS place, unnest(p) AS text FROM parts),
+passages AS (
+  SELECT * FROM lines UNION ALL SELECT * FROM paragraphs WHERE contains(text, chr(10))
+  UNION ALL SELECT doc_id, 'text', 0, text FROM parts WHERE len(p) > 1),
+sets AS (SELECT doc_id, unit, place, {grams} AS grams FROM (SELECT doc_id, unit, place, {_WORDS_SQL} AS w FROM passages) WHERE len(w) > 0),
+own AS (SELECT doc_id, unit, place, len(grams) AS n, unnest(grams) AS g FROM sets),
+theirs AS (SELECT tid, license, len(grams) AS tn, unnest(grams) AS g FROM t),
+shared AS (
+  SELECT doc_id, unit, place, license, 2 * count(*) / (n + tn) AS dice
+  FROM own JOIN theirs USING (g) GROUP BY doc_id, unit, place, n, tid, license, tn)
+SELECT doc_id, unit, CAST(place AS INTEGER) AS place, license, dice
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit, place ORDER BY dice DESC, license) AS k FROM shared WHERE dice >= 0.8) WHERE k = 1"""
+
+
 QUERIES = {
+    "op8_license_scan": op8_license_scan,
     "op2_mixing": op2_mixing,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op1_line_dedup": op1_line_dedup,
@@ -188,6 +217,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
 }
 ORACLES = {
+    "op8_license_scan": _op8_sql(),
     "op10_embedding_dedup": OP10_SQL,
     "op1_line_dedup": OP1_SQL,
     "op7_decontamination": OP7_SQL,
