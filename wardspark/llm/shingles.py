@@ -37,6 +37,15 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes; equal bytes have equal hashes wherever they lie."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    up, down = _power_table(len(raw))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the words of a text, in order."""
     if not text:
@@ -47,9 +56,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _power_table(len(raw))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return span_hashes(raw, starts, ends)
 
 
 def shingle_hashes(text: str | None, size: int = 5) -> np.ndarray:

@@ -8,7 +8,6 @@ checkpoints and the coded words of its blocks (see rans.py).
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,38 +20,62 @@ from pyspark.sql import functions as F
 
 from . import rans
 from .common import shared_dir
+from .shingles import span_hashes
 
 SEGMENT_TOKENS = 1 << 21
 SEGMENT_SCHEMA = (
     "part int, segment int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, table binary, checkpoints binary, payload binary"
 )
-#: Characters of text encoded at once, and limits of the cache of encoded words of a worker.
-SLICE_CHARS, CACHE_WORDS, CACHE_CHARS = 2 << 20, 400_000, 32 << 20
-IRREGULAR = re.compile(r"\s\s|^\s|\s$")
-LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
-
-class _Words(dict):
-    """Word to its number; a new word gets the next one and is noted as pending."""
-
-    def __init__(self, owner: "WordEncoder", prefix: str):
-        super().__init__()
-        self.owner, self.prefix = owner, prefix
-
-    def __missing__(self, word: str) -> int:
-        o = self.owner
-        self[word] = number = o.size + len(o.pending)
-        o.pending.append(self.prefix + word)
-        return number
+#: Characters of text encoded at once; words that a worker remembers; words joined into one call of the tokenizer.
+SLICE_CHARS, CACHE_WORDS, JOINED = 1 << 20, 1 << 20, 256
+
+# First bytes after which a space can be cut off: not white space, nor the lead byte of any in UTF-8.
+_solid = np.ones(256, bool)
+_solid[[*range(33), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+
+
+class _HashTable:
+    """64-bit keys to row numbers: open addressing in arrays, looked up and filled as vectors."""
+
+    def __init__(self, rows: int):
+        self.mask = np.uint64((1 << (4 * rows - 1).bit_length()) - 1)
+        self.keys = np.zeros(int(self.mask) + 1, np.uint64)
+        self.rows = np.zeros(int(self.mask) + 1, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys & self.mask
+        at = self.keys[slot]
+        found = np.where(at == keys, self.rows[slot], -1)
+        open_ = np.flatnonzero((at != keys) & (at != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + np.uint64(1)) & self.mask
+            at = self.keys[slot[open_]]
+            hit = at == keys[open_]
+            found[open_[hit]] = self.rows[slot[open_[hit]]]
+            open_ = open_[~hit & (at != 0)]
+        return found
+
+    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        """Keys must be different and not there yet."""
+        slot = keys & self.mask
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            _, first = np.unique(slot[free], return_index=True)
+            mine = free[first]
+            self.keys[slot[mine]], self.rows[slot[mine]] = keys[mine], rows[mine]
+            left = np.setdiff1d(left, mine, assume_unique=True)
+            slot[left] = (slot[left] + np.uint64(1)) & self.mask
 
 
 class WordEncoder:
     """Encodes texts with a byte-level BPE tokenizer, looking repeated words up.
 
-    A text is cut before each lone space between two non-space characters. The tokenizer's own
-    pre-tokenizer always starts a new piece there (the space belongs to the piece it opens), so
-    the ids of the cuts joined are the ids of the whole text. Each different word is encoded by
-    the library once while it stays in the cache.
+    A text is cut before each space that a non-space character follows. The tokenizer's own
+    pre-tokenizer always starts a piece there (the space belongs to the piece that it opens, and
+    white space before it ends one), so the ids of the cuts joined are the ids of the whole text.
+    Each different cut is encoded by the library once while it is remembered, known by a 64-bit
+    hash of its bytes.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -62,54 +85,92 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end_id = end_id
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.clear()
 
-    def clear(self) -> None:
-        self.later, self.first = _Words(self, " "), _Words(self, "")
-        self.pending: list[str] = []
-        self.size, self.chars = 1, 0  # word 0 stands for the end of a document
-        self.flat = np.array([self.end_id], np.uint32)
+    def clear(self, room: int = 0) -> None:
+        self.table = _HashTable(max(CACHE_WORDS, room))
+        self.flat = np.array([self.end_id], np.uint32)  # row 0 stands for the end of a document
         self.starts, self.lengths = np.array([0]), np.array([1])
 
-    def _learn(self) -> None:
-        found = self.tokenizer.encode_batch_fast(self.pending, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, *[np.array([x for i in ids for x in i], np.uint32)]])
-        self.size += len(ids)
-        self.chars += sum(map(len, self.pending))
-        self.pending = []
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        # Words with no space but their first can share a call: each starts at a token that opens with a space.
+        plain = np.array([w[:1] == b" " and w.count(b" ") == 1 for w in words], bool)
+        lengths = np.zeros(len(words), np.int64)
+        parts = []
+        for joined in (True, False):
+            at = np.flatnonzero(plain == joined)
+            size = JOINED if joined else 1
+            calls = ["".join([texts[i] for i in at[k : k + size]]) for k in range(0, len(at), size)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(calls, add_special_tokens=False)] if calls else []
+            flat = np.array([x for i in ids for x in i], np.uint32)
+            if joined:
+                lengths[at] = np.diff(np.append(np.flatnonzero(self.opens[flat]), len(flat)))
+            else:
+                lengths[at] = [len(i) for i in ids]
+            parts.append((at, flat))
+        starts = np.zeros(len(words), np.int64)
+        base = len(self.flat)
+        for at, flat in parts:
+            ends = np.cumsum(lengths[at])
+            starts[at] = base + ends - lengths[at]
+            base += len(flat)
+        self.flat = np.concatenate([self.flat, *[flat for _, flat in parts]])
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each document closed by the end id, and the number of ids of each document."""
-        if self.size > CACHE_WORDS or self.chars > CACHE_CHARS:
-            self.clear()
-        numbers: list[np.ndarray] = []
-        words_of = np.zeros(len(texts), np.int64)
-        get, get_first = self.later.__getitem__, self.first.__getitem__
-        for i, text in enumerate(texts):
-            words = LONE_SPACE.split(text) if IRREGULAR.search(text) else text.split(" ")
-            n = np.zeros(len(words) + 1, np.int64)
-            n[0] = get_first(words[0]) if text else 0
-            if text:
-                n[1:-1] = np.fromiter(map(get, words[1:]), np.int64, len(words) - 1)
-            else:
-                n = n[:1]
-            numbers.append(n)
-            words_of[i] = len(n)
-        if self.pending:
-            self._learn()
-        w = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-        lengths = self.lengths[w]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(self.starts[w] - (ends - lengths), lengths) + np.arange(total)
-        doc_ends = ends[np.cumsum(words_of) - 1] if len(texts) else ends
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        joined = b"".join(raws)
+        raw = np.frombuffer(joined, np.uint8)
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        ends = np.cumsum(sizes)
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[:-2] = (raw[:-1] == 32) & _solid[raw[1:]] if len(raw) > 1 else False
+        cut[ends[sizes > 0] - 1] = False  # the last byte of a text has nothing after it
+        cut[(ends - sizes)[sizes > 0]] = True
+        starts = np.flatnonzero(cut[:-1])
+        up_to = np.append(starts[1:], len(raw))
+        keys = span_hashes(raw, starts, up_to)
+        keys[keys == 0] = 1
+        rows = self.table.find(keys)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            different, first = np.unique(keys[new], return_index=True)
+            if len(self.starts) + len(different) > CACHE_WORDS:
+                new = np.arange(len(keys))
+                different, first = np.unique(keys, return_index=True)
+                self.clear(len(different))
+            at = new[first]
+            base = len(self.starts)
+            self._learn([joined[a:b] for a, b in zip(starts[at].tolist(), up_to[at].tolist(), strict=True)])
+            self.table.add(different, np.arange(base, base + len(different), dtype=np.int32))
+            rows[new] = self.table.find(keys[new])
+        # Put row 0 after the words of each document.
+        words_before = np.searchsorted(starts, ends, side="left")
+        rows = np.insert(rows.astype(np.int64), words_before, 0)
+        lengths = self.lengths[rows]
+        stops = np.cumsum(lengths)
+        total = int(stops[-1]) if len(stops) else 0
+        at = np.repeat(self.starts[rows] - (stops - lengths), lengths) + np.arange(total)
+        doc_ends = stops[words_before + np.arange(len(texts))]
         return self.flat[at], np.diff(doc_ends, prepend=0)
 
 
+_encoders: dict[tuple[str, int], WordEncoder] = {}
+
+
+def word_encoder(path: str, end_id: int) -> WordEncoder:
+    """The encoder of this Python worker; it keeps its words from task to task."""
+    if (path, end_id) not in _encoders:
+        _encoders.clear()
+        _encoders[path, end_id] = WordEncoder(path, end_id)
+    return _encoders[path, end_id]
+
+
 def _segment(part: int, number: int, docs: list, counts: list, ids: list) -> dict:
     flat = np.concatenate(ids)
     table, checkpoints, payload = rans.encode_segment(flat)
@@ -139,7 +200,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
 
 def _encode(path: str, end_id: int, segment_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path, end_id)
+        encoder = word_encoder(path, end_id)
         part, number, held = TaskContext.get().partitionId(), 0, 0
         docs, counts, ids = [], [], []
         for batch in batches:
