@@ -2,6 +2,389 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scan as text_scan
+from .functions.patterns import BASE_RISK, CONTEXTS, DETECTORS, ENTITY_TYPES, SEVERITY_WEIGHTS
+from .operators import conversations, evaluation, policy, rules, telemetry
+from .plans import mining
+from .sources import dml
+from .streaming import live
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- telemetry: the events table as raw governance payloads -------------------------------------
+
+_TYPES = [*telemetry.EVENT_TYPES[:5], "something_else"]
+_FLAGS = ["Email address", "Regulated legal context", "API key or secret", "Prompt injection attempt", " "]
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a payload; fields follow from its id and value."""
+    e = table(spark, sf_dir, "events")
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), F.pmod(n, F.lit(len(values))).cast("int"))
+    i = F.col("event_id")
+    return e.select(
+        "event_id",
+        pick(_TYPES, i).alias("event_type"),
+        F.when(i % 3 == 0, " ").otherwise("web").alias("surface"),
+        F.concat(F.lit("Company "), (F.col("user_id") % 4).cast("string"), F.lit("!")).alias("company_slug"),
+        F.when(i % 7 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("user "), F.col("user_id").cast("string"))).alias("user_label"),
+        F.concat(F.lit("install-"), F.col("user_id").cast("string")).alias("install_id"),
+        F.concat(F.lit("conversation:"), (i % 50).cast("string")).alias("conversation_key"),
+        pick([*telemetry.ACTIONS, "odd"], F.floor(i / 6)).alias("action"),
+        F.col("value").alias("risk_score"),
+        F.when(i % 5 == 0, "high").alias("risk_level"),
+        F.array(pick(_FLAGS, i), pick(_FLAGS, F.floor(i / 5))).alias("flags"),
+        F.create_map(F.lit("EMAIL"), (i % 3).cast("double")).alias("entity_counts"),
+        (i % 4).alias("redaction_count"),
+        (i % 2).alias("attachment_count"),
+        F.create_map(F.lit("k"), F.col("props")).alias("metadata"),
+        F.col("ts").alias("occurred_at"),
+    )
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.normalised(payloads(spark, sf_dir))
+
+
+def _list_sql(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_EVENTS_SQL = f"""
+raw AS (
+  SELECT event_id, user_id, ts AS created_at, value, {_list_sql(_TYPES)}[CAST(event_id % {len(_TYPES)} AS INT) + 1] AS t,
+         {_list_sql([*telemetry.ACTIONS, "odd"])}[CAST((event_id // 6) % {len(telemetry.ACTIONS) + 1} AS INT) + 1] AS a,
+         list_filter([{_list_sql(_FLAGS)}[CAST(event_id % {len(_FLAGS)} AS INT) + 1], {_list_sql(_FLAGS)}[CAST((event_id // 5) % {len(_FLAGS)} AS INT) + 1]],
+                     lambda f: trim(f) <> '') AS flags
+  FROM events),
+typed AS (SELECT *, CASE WHEN t IN {telemetry.EVENT_TYPES} THEN t ELSE 'extension_error' END AS event_type FROM raw),
+ev AS (
+  SELECT event_id, created_at, event_type, flags, 'company-' || (user_id % 4) AS company_slug, 'install-' || user_id AS install_id,
+         CASE WHEN a IN {telemetry.ACTIONS} THEN a WHEN contains(event_type, 'blocked') THEN 'block' ELSE 'allow' END AS action,
+         CAST(greatest(0, least(100, floor(value + 0.5))) AS INT) AS risk_score, CAST(event_id % 4 AS INT) AS redaction_count,
+         CASE WHEN event_id % 5 = 0 THEN 'high'
+              WHEN floor(value + 0.5) >= 85 THEN 'critical' WHEN floor(value + 0.5) >= 60 THEN 'high' WHEN floor(value + 0.5) >= 35 THEN 'medium' ELSE 'low' END AS risk_level
+  FROM typed)"""
+_VIOLATION = f"action IN {telemetry.VIOLATIONS}"
+_FLAGGED = f"({_VIOLATION} OR event_type = 'message_blocked' OR risk_score >= 35)"
+_METRICS_SQL = """count(*) FILTER (WHERE event_type <> 'assistant_response_rehydrated') AS governed_events,
+  count(*) FILTER (WHERE event_type = 'message_sent_to_ai') AS messages_sent, count(*) FILTER (WHERE event_type = 'message_blocked') AS messages_blocked,
+  count(*) FILTER (WHERE event_type = 'message_sent_to_ai' AND action IN ('redact', 'redacted')) AS messages_redacted,
+  count(*) FILTER (WHERE """ + _VIOLATION + """) AS policy_violations,
+  count(*) FILTER (WHERE event_type IN ('attachment_governed', 'attachment_blocked')) AS governed_uploads,
+  CAST(coalesce(sum(redaction_count) FILTER (WHERE event_type <> 'assistant_response_rehydrated'), 0) AS BIGINT) AS protected_identifiers"""
+
+
+def telemetry_normalised(spark, sf_dir):
+    return events(spark, sf_dir).select(
+        "event_id", "event_type", "surface", "company_slug", "user_label", "install_id", "action", "risk_score", "risk_level",
+        F.array_join("flags", "|").alias("flags"), "redaction_count", "attachment_count", F.element_at("entity_counts", "EMAIL").alias("emails"),
+    )
+
+
+def dashboard_metrics(spark, sf_dir):
+    e = events(spark, sf_dir)
+    last = e.agg(F.max("created_at").alias("last"))
+    windows = last.select("last", F.explode(F.array(*[F.struct(F.lit(n).alias("time_range"), F.lit(d).cast("int").alias("days")) for n, d in (("7d", 6), ("30d", 29), ("all", None))])).alias("w"))
+    # One row a range: each event is counted in every range that holds it, in one pass.
+    in_range = e.join(F.broadcast(windows.select("last", "w.time_range", "w.days")), (F.col("days").isNull()) | (F.to_date("created_at") >= F.date_sub(F.to_date("last"), F.coalesce("days", F.lit(0)))))
+    return telemetry.metrics(in_range, ["company_slug", "time_range"])
+
+
+def usage_over_time(spark, sf_dir):
+    daily = telemetry.daily_usage(events(spark, sf_dir).where("company_slug = 'company-1'"))
+    return daily.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "requests", "flagged")
+
+
+def risk_distribution(spark, sf_dir):
+    return telemetry.risk_distribution(events(spark, sf_dir).where("company_slug = 'company-2'"))
+
+
+def risk_categories(spark, sf_dir):
+    return telemetry.risk_categories(events(spark, sf_dir))
+
+
+def provider_usage(spark, sf_dir):
+    messages = table(spark, sf_dir, "conversations").select(F.when(F.col("role") == "assistant", "OpenAI").when(F.col("role") == "user", " ").otherwise("Gemini").alias("provider_label"))
+    return telemetry.provider_usage(events(spark, sf_dir), messages)
+
+
+def recent_events(spark, sf_dir):
+    return telemetry.recent_events(events(spark, sf_dir)).drop("created_at")
+
+
+def active_users(spark, sf_dir):
+    return telemetry.active_users(events(spark, sf_dir), ["company_slug"]).select("company_slug", "install_id", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"), "events")
+
+
+def streamed_daily_counts(spark, sf_dir):
+    """The event files as a stream: deduplicated, counted by company and day in windows, all of it at once."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
+    work = f"{base}/stream-{uuid.uuid4().hex}"
+    events(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp")).select("event_id", "company_slug", "event_type", "action", "risk_score", "created_at").write.parquet(f"{work}/in")
+    stream = live.event_stream(spark, f"{work}/in", spark.read.parquet(f"{work}/in").schema)
+    counted = live.daily_counts(live.deduplicated(stream, "60 days"), "60 days")
+    # Windows close after the watermark; batches up to then come out of the complete table instead.
+    name = f"daily_{uuid.uuid4().hex}"
+    counted.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select("company_slug", F.date_format("day", "yyyy-MM-dd").alias("day"), "requests", "flagged")
+
+
+# ---- text scan -----------------------------------------------------------------------------------
+
+
+def _flagged_docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "source", text_scan.policy_flags(F.coalesce("text", F.lit(""))).alias("flags"))
+
+
+def governance_summary(spark, sf_dir):
+    """The scan of all documents, by source and action."""
+    f = _flagged_docs(spark, sf_dir).select("source", text_scan.scan_action(F.col("flags")).alias("action"), text_scan.risk_score(F.col("flags")).alias("risk"), F.size("flags").alias("n"))
+    return f.groupBy("source", "action").agg(F.count(F.lit(1)).alias("documents"), F.sum("risk").alias("risk"), F.max("risk").alias("top_risk"), F.sum("n").alias("flags"))
+
+
+def policy_scan(spark, sf_dir):
+    f = _flagged_docs(spark, sf_dir)
+    return f.select("doc_id", F.array_join("flags", ",").alias("flags"), text_scan.risk_score(F.col("flags"), F.lit("Regulated")).alias("risk_score"), text_scan.scan_action(F.col("flags")).alias("action"))
+
+
+def _re2(pattern: str, ignore: bool) -> str:
+    return (("(?i)" if ignore else "") + pattern).replace("(?<!\\d)", "(?:^|\\D)").replace("'", "''")
+
+
+def _flags_sql() -> str:
+    parts = []
+    for kind in ("EMAIL", "PHONE", "SECRET", "ADDRESS", "ACCOUNT"):
+        if kind == "PHONE":
+            hit = f"len(list_filter(regexp_extract_all(text, '(?:^|\\D)({DETECTORS[1][4][7:]})', 1), lambda m: regexp_matches(m, '[\\s().-]') OR regexp_matches(m, '^\\+?1'))) > 0"
+        else:
+            hit = "(" + " OR ".join(f"regexp_matches(text, '{_re2(p, i)}')" for k, _, _, i, p in DETECTORS if k == kind) + ")"
+        parts.append(f"CASE WHEN {hit} THEN '{ENTITY_TYPES[kind][2]}' END")
+    parts += [f"CASE WHEN regexp_matches(text, '{_re2(p, True)}') THEN '{n}' END" for n, _, p in CONTEXTS]
+    return "list_filter([" + ",\n  ".join(parts) + "], lambda f: f IS NOT NULL)"
+
+
+_SEVERITIES = {v[2]: v[3] for v in ENTITY_TYPES.values() if v[2]} | {n: s for n, s, _ in CONTEXTS}
+_WEIGHT_SQL = "CASE " + " ".join(f"WHEN f = '{n}' THEN {SEVERITY_WEIGHTS[s]}" for n, s in _SEVERITIES.items()) + " ELSE 0 END"
+_SCAN_SQL = f"""
+f AS (SELECT doc_id, source, {_flags_sql()} AS flags FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)),
+r AS (SELECT *, {BASE_RISK} + coalesce(list_sum(list_transform(flags, lambda f: {_WEIGHT_SQL})), 0) AS total,
+      CASE WHEN list_contains(flags, 'prompt_injection') THEN 'block'
+           WHEN list_has_any(flags, ['secret', 'email', 'phone', 'address', 'account']) THEN 'redact'
+           WHEN len(flags) > 0 THEN 'warn' ELSE 'allow' END AS action FROM f)"""
+
+
+def entity_counts(spark, sf_dir):
+    """Entities that stay after overlap resolution, by document and type."""
+    s = text_scan.scan(table(spark, sf_dir, "documents"))
+    return s.select("doc_id", F.explode("entities").alias("e")).groupBy("doc_id", F.col("e.type").alias("type")).agg(F.count(F.lit(1)).alias("spans"), F.countDistinct("e.id").alias("entities"))
+
+
+def redaction_round_trip(spark, sf_dir):
+    """Redacted documents put back: all but secrets come back as they were."""
+    docs = table(spark, sf_dir, "documents")
+    s = text_scan.scan(docs).select("doc_id", "redacted", "risk_score", "action", text_scan.rehydrated(F.col("redacted"), F.col("redaction_map")).alias("h"))
+    return s.select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"), F.sha2("h.text", 256).alias("restored_sha256"), F.size("h.unresolved").alias("unresolved"), "risk_score", "action")
+
+
+# ---- policy and rules ----------------------------------------------------------------------------
+
+_RULES = (
+    ("pii_transform", 1, ["personal_data"], "any", "any", "transform", "block", "high"),
+    ("secret_block", 2, ["secret"], "any", "any", "block", "block", "critical"),
+    ("finance_warn", 1, ["regulated_financial_context", "Regulated_Legal_Context"], "chatgpt", "personal", "warn", "block", "medium"),
+    ("address_allow", 3, ["address"], "all", "any", "allow", "allow", "low"),
+    ("other_provider", 1, ["personal_data"], "gemini", "any", "block", "block", "critical"),
+)
+
+
+def rule_table(spark):
+    rows = F.array(*[F.struct(*[F.lit(x).alias(n) if not isinstance(x, list) else F.array(*map(F.lit, x)).alias(n) for n, x in zip(("rule_key", "version", "data_categories", "ai_provider", "destination_type", "action", "fallback_action", "severity"), r, strict=True)]) for r in _RULES])
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*", F.lit("all").alias("user_scope"), F.lit("").alias("department_scope"), F.lit("AI policy").alias("source_policy"), F.lit("1").alias("source_section"), F.lit("See the policy.").alias("explanation"))
+
+
+def policy_decisions(spark, sf_dir):
+    """Each document's flags against the published rules; every tenth document has no sanitised text."""
+    s = _flagged_docs(spark, sf_dir).select(
+        "doc_id", "flags", F.create_map().cast("map<string,int>").alias("entity_counts"), F.lit(1).alias("redaction_count"), (F.col("doc_id") % 10 != 0).alias("sanitizable"),
+        F.lit("chatgpt").alias("ai_provider"), F.lit("personal").alias("destination_type"), F.lit("all").alias("user_scope"), F.lit("all").alias("department_scope"),
+    )
+    d = policy.evaluate(s, rule_table(spark))
+    return d.select("doc_id", F.array_join("categories", ",").alias("categories"), "triggered", "action", "rule_key", "rule_version", "severity")
+
+
+def rule_versions(spark, sf_dir):
+    """The orders table as a version history: a customer's orders are versions of a rule."""
+    o = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "O", "approved").when(F.col("o_orderstatus") == "F", "draft").otherwise("archived")
+    version = F.count(F.lit(1)).over(rules.Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return o.select(
+        F.concat(F.lit("company-"), (F.col("o_custkey") % 5).cast("string")).alias("company_slug"),
+        F.concat(F.lit("rule_"), F.col("o_custkey").cast("string")).alias("rule_key"),
+        version.cast("int").alias("version"), F.col("o_orderkey").alias("id"), status.alias("status"),
+        ((F.col("o_orderkey") % 3) == 0).alias("active"), F.col("o_orderpriority").alias("severity"),
+    )
+
+
+_VERSIONS_SQL = """
+rv AS (SELECT 'company-' || (o_custkey % 5) AS company_slug, 'rule_' || o_custkey AS rule_key,
+       CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS version, o_orderkey AS id,
+       CASE o_orderstatus WHEN 'O' THEN 'approved' WHEN 'F' THEN 'draft' ELSE 'archived' END AS status, o_orderkey % 3 = 0 AS active, o_orderpriority AS severity FROM orders)"""
+
+
+def _last_bundle(r):
+    return r.where("id % 7 = 0").select("company_slug", "id", "rule_key", "version")
+
+
+def rule_latest(spark, sf_dir):
+    return rules.latest_versions(rule_versions(spark, sf_dir)).select("company_slug", "rule_key", "version", "id", "status")
+
+
+def rule_next_versions(spark, sf_dir):
+    return rules.next_versions(rule_versions(spark, sf_dir))
+
+
+def rule_status_counts(spark, sf_dir):
+    return rules.status_counts(rule_versions(spark, sf_dir))
+
+
+def rule_buckets(spark, sf_dir):
+    r = rule_versions(spark, sf_dir)
+    return rules.buckets(rules.with_published(r, _last_bundle(r))).groupBy("company_slug", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def published_bundles(spark, sf_dir):
+    r = rule_versions(spark, sf_dir)
+    versions = r.groupBy("company_slug").agg((F.max("id") % 9).cast("int").alias("version"))
+    made = rules.publish(r, _last_bundle(r), versions, ["rule_key", "version", "severity"])
+    return made.select("company_slug", "version", "rule_count", "checksum", "id")
+
+
+# ---- mining, evaluation, conversations, table changes ----------------------------------------------
+
+_POLICY_TEXTS = (
+    "AI USAGE POLICY\nEmployees must not submit client names or personal data to public AI tools. Approval is required before legal contracts are shared with ChatGPT.\n"
+    "Data Handling\n- Staff should redact customer email addresses before using Gemini for support work.\n- Source code and API key values are prohibited in prompts.",
+    "Just a short note about lunch, nothing that binds anyone at all, really nothing here.",
+)
+
+
+def mined_rules(spark, sf_dir):
+    """Draft rules of policy texts: written ones and every document of the table."""
+    own = spark.range(1).select(F.posexplode(F.array(*map(F.lit, _POLICY_TEXTS))).alias("i", "text")).select((F.col("i") + 9_000_000).cast("long").alias("doc_id"), "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null").unionByName(own)
+    found = mining.inferred_rules(mining.sections(docs))
+    return mining.with_fallback(docs, found).select("doc_id", "place", "rule_key", F.array_join("data_categories", ",").alias("data_categories"), "action", "severity", "destination_type", "confidence")
+
+
+def detection_scores(spark, sf_dir):
+    """Personal-data flags as a detector of the labels 'toxic' and 'low quality', to score it by flag."""
+    flags = _flagged_docs(spark, sf_dir).select("doc_id", F.explode("flags").alias("type"))
+    labels = table(spark, sf_dir, "labels")
+    expected = labels.where("quality = 0").select("doc_id", F.lit("email").alias("type")).unionByName(labels.where("toxic = 1").select("doc_id", F.lit("phone").alias("type")))
+    actual = flags.where("type in ('email', 'phone')").join(labels.select("doc_id"), "doc_id", "left_semi")
+    return evaluation.scores(evaluation.matched(expected, actual, ["doc_id", "type"]), ["type"])
+
+
+def recent_history(spark, sf_dir):
+    return conversations.recent_history(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_sha256"))
+
+
+def conversation_vault(spark, sf_dir):
+    """Documents as messages of 100 conversations: the placeholders that each conversation's values get."""
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 100).alias("conv_id"), F.col("doc_id").alias("turn"), "text")
+    return conversations.vault(docs)
+
+
+def customer_upsert(spark, sf_dir):
+    """Customers after changes: every third updated, new ones added, some deleted, blanks filled."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    changed = c.where("c_custkey % 3 = 0").select(*[F.upper("c_name").alias("c_name") if x == "c_name" else F.col(x) for x in c.columns])
+    added = c.where("c_custkey % 50 = 1").withColumn("c_custkey", F.col("c_custkey") + 10_000_000)
+    out = dml.insert_ignore(dml.upsert(c, changed, ["c_custkey"]), added.unionByName(c.where("c_custkey % 50 = 2")), ["c_custkey"])
+    out = dml.update_where(out, F.col("c_acctbal") < 0, {"c_acctbal": F.lit(0.0)})
+    return dml.delete_where(out, F.col("c_nationkey") == 3)
+
+
+_CATEGORY_LIST = "list_filter([" + ", ".join(f"CASE WHEN len(list_filter(flags, lambda f: regexp_matches(lower(f), '{p}'))) > 0 THEN '{n}' END" for n, p in telemetry.FLAG_CATEGORIES) + """,
+  CASE WHEN starts_with(event_type, 'attachment') THEN 'Attachment governance' END,
+  CASE WHEN action IN ('block', 'blocked') OR contains(event_type, 'blocked') THEN 'Blocked request' END], lambda x: x IS NOT NULL)"""
+_RULES_SQL = ", ".join(f"('{k}', {v}, {_list_sql([x.lower() for x in c])}, '{p}', '{d}', '{a}', '{f}', '{s}')" for k, v, c, p, d, a, f, s in _RULES)
+_CATS_SQL = "list_sort(list_distinct(flatten(list_transform(flags, lambda f: CASE " + " ".join(f"WHEN f = '{n}' THEN {_list_sql(list(c))}" for n, c in policy.FLAG_CATEGORIES.items()) + " ELSE CAST([] AS VARCHAR[]) END))))"
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        governance_summary, policy_scan, entity_counts, redaction_round_trip, telemetry_normalised, dashboard_metrics, usage_over_time,
+        risk_distribution, risk_categories, provider_usage, recent_events, active_users, streamed_daily_counts, policy_decisions, rule_latest,
+        rule_next_versions, rule_status_counts, rule_buckets, published_bundles, mined_rules, detection_scores, recent_history, conversation_vault, customer_upsert,
+    )
+}
 FLAGSHIP = "governance_summary"
+ORACLES = {
+    "governance_summary": f"WITH {_SCAN_SQL} SELECT source, action, count(*) AS documents, CAST(sum(least(100, total)) AS BIGINT) AS risk, CAST(max(least(100, total)) AS INT) AS top_risk, CAST(sum(len(flags)) AS BIGINT) AS flags FROM r GROUP BY source, action",
+    "policy_scan": f"WITH {_SCAN_SQL} SELECT doc_id, array_to_string(flags, ',') AS flags, CAST(least(100, total + 12) AS INT) AS risk_score, action FROM r",
+    "telemetry_normalised": f"WITH {_EVENTS_SQL} SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN 'chatgpt' ELSE 'web' END AS surface, company_slug, CASE WHEN event_id % 7 = 0 THEN 'Test user' ELSE 'user ' || substr(install_id, 9) END AS user_label, install_id, action, risk_score, risk_level, array_to_string(flags, '|') AS flags, redaction_count, CAST(event_id % 2 AS INT) AS attachment_count, CAST(event_id % 3 AS INT) AS emails FROM ev",
+    "dashboard_metrics": f"""WITH {_EVENTS_SQL}, w AS (SELECT * FROM (VALUES ('7d', 6), ('30d', 29), ('all', NULL)) AS t(time_range, days)),
+m AS (SELECT company_slug, time_range, {_METRICS_SQL} FROM ev, w WHERE days IS NULL OR CAST(created_at AS DATE) >= (SELECT CAST(max(created_at) AS DATE) FROM ev) - CAST(days AS INT) GROUP BY ALL)
+SELECT *, CAST(CASE WHEN messages_sent + messages_blocked > 0 THEN floor(100.0 * messages_blocked / (messages_sent + messages_blocked) + 0.5) ELSE 0 END AS BIGINT) AS block_percent,
+  CAST(CASE WHEN messages_sent > 0 THEN floor(100.0 * messages_redacted / messages_sent + 0.5) ELSE 0 END AS BIGINT) AS redaction_percent FROM m""",
+    "usage_over_time": f"""WITH {_EVENTS_SQL}, e AS (SELECT *, CAST(created_at AS DATE) AS day FROM ev WHERE company_slug = 'company-1'),
+days AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM e)
+SELECT strftime(day, '%Y-%m-%d') AS day, count(*) FILTER (WHERE event_type IN ('message_sent_to_ai', 'message_blocked')) AS requests, count(*) FILTER (WHERE {_FLAGGED}) AS flagged FROM days LEFT JOIN e USING (day) GROUP BY day""",
+    "risk_distribution": f"""WITH {_EVENTS_SQL}, l AS (SELECT unnest({_list_sql(list(telemetry.LEVELS))}) AS level),
+c AS (SELECT level, count(ev.event_id) AS n FROM l LEFT JOIN ev ON risk_level = level AND company_slug = 'company-2' AND event_type <> 'assistant_response_rehydrated' GROUP BY level)
+SELECT level, n, CAST(CASE WHEN sum(n) OVER () > 0 THEN floor(100.0 * n / sum(n) OVER () + 0.5) ELSE 0 END AS BIGINT) AS percent FROM c""",
+    "risk_categories": f"""WITH {_EVENTS_SQL}, c AS (SELECT {_CATEGORY_LIST} AS cs FROM ev WHERE {_VIOLATION} OR contains(event_type, 'blocked') OR risk_score >= 35),
+x AS (SELECT unnest(CASE WHEN len(cs) > 0 THEN cs ELSE ['Policy screened'] END) AS category FROM c)
+SELECT category, count(*) AS events FROM x GROUP BY category ORDER BY events DESC, category LIMIT 6""",
+    "provider_usage": f"""WITH {_EVENTS_SQL}, p AS (SELECT 'ChatGPT' AS provider FROM ev WHERE event_type IN ('message_sent_to_ai', 'message_blocked')
+UNION ALL SELECT CASE role WHEN 'assistant' THEN 'OpenAI' WHEN 'user' THEN 'Workspace Chat' ELSE 'Gemini' END FROM conversations)
+SELECT provider, count(*) AS requests FROM p GROUP BY provider ORDER BY requests DESC, provider LIMIT 6""",
+    "recent_events": f"""WITH {_EVENTS_SQL} SELECT event_id, event_type, action, risk_score, risk_level,
+CASE WHEN event_type = 'message_blocked' THEN 'Message blocked' WHEN event_type = 'attachment_blocked' THEN 'Attachment blocked' WHEN event_type = 'attachment_governed' THEN 'Governed upload'
+     WHEN action IN ('redact', 'redacted') THEN 'PII redaction' WHEN action = 'warn' THEN 'Policy warning' ELSE 'Extension telemetry' END AS category,
+CASE WHEN event_type = 'message_sent_to_ai' AND action = 'redact' THEN 'Redacted and sent' WHEN event_type = 'message_sent_to_ai' THEN 'Sent through ChatGPT' WHEN event_type = 'message_blocked' THEN 'Blocked before AI'
+     WHEN event_type = 'attachment_governed' THEN 'Protected copy uploaded' WHEN event_type = 'attachment_blocked' THEN 'Original upload blocked'
+     WHEN event_type = 'assistant_response_rehydrated' THEN 'Response rehydrated locally' ELSE 'Logged' END AS action_taken
+FROM ev WHERE event_type IN ('message_blocked', 'attachment_blocked') OR {_VIOLATION} ORDER BY created_at DESC, event_id DESC LIMIT 8""",
+    "active_users": f"WITH {_EVENTS_SQL} SELECT company_slug, install_id, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last_seen, count(*) AS events FROM ev GROUP BY ALL",
+    "streamed_daily_counts": f"WITH {_EVENTS_SQL} SELECT company_slug, strftime(created_at, '%Y-%m-%d') AS day, count(*) FILTER (WHERE event_type IN ('message_sent_to_ai', 'message_blocked')) AS requests, count(*) FILTER (WHERE {_FLAGGED}) AS flagged FROM ev GROUP BY ALL",
+    "policy_decisions": f"""WITH {_SCAN_SQL}, c AS (SELECT doc_id, {_CATS_SQL} AS cats FROM f),
+rules AS (SELECT * FROM (VALUES {_RULES_SQL}) AS t(rule_key, rule_version, dc, p, d, a, fb, severity) WHERE p IN ('any', 'all', 'chatgpt') AND d IN ('any', 'personal')),
+m AS (SELECT doc_id, rule_key, rule_version, severity,
+        CASE WHEN a IN ('block', 'require_approval') THEN 'block' WHEN a = 'warn' THEN 'warn' WHEN a = 'transform' AND doc_id % 10 <> 0 THEN 'redact' WHEN a = 'transform' AND fb = 'block' THEN 'block' ELSE 'allow' END AS action
+      FROM c JOIN rules ON list_has_any(cats, dc)),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE action WHEN 'block' THEN 5 WHEN 'redact' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END DESC,
+        CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, rule_key) AS k FROM m)
+SELECT doc_id, array_to_string(cats, ',') AS categories, rule_key IS NOT NULL AS triggered, coalesce(action, 'allow') AS action, rule_key, rule_version, severity FROM c LEFT JOIN (SELECT * FROM b WHERE k = 1) USING (doc_id)""",
+    "rule_latest": f"WITH {_VERSIONS_SQL} SELECT company_slug, rule_key, version, id, status FROM rv QUALIFY row_number() OVER (PARTITION BY company_slug, rule_key ORDER BY version DESC, id DESC) = 1",
+    "rule_next_versions": f"WITH {_VERSIONS_SQL} SELECT company_slug, rule_key, CAST(max(version) + 1 AS INT) AS next_version FROM rv GROUP BY ALL",
+    "rule_status_counts": f"WITH {_VERSIONS_SQL} SELECT company_slug, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in rules.STATUSES) + " FROM rv GROUP BY ALL",
+    "rule_buckets": f"""WITH {_VERSIONS_SQL}, p AS (SELECT *, id % 7 = 0 AS published FROM rv)
+SELECT company_slug, CASE WHEN status = 'draft' THEN 'draft' WHEN status = 'rejected' THEN 'rejected' WHEN published AND active THEN 'published' WHEN published THEN 'removal_pending'
+  WHEN active THEN 'pending_publish' WHEN status = 'archived' THEN 'archived' ELSE 'previous' END AS bucket, count(*) AS n FROM p GROUP BY ALL""",
+    "published_bundles": f"""WITH {_VERSIONS_SQL}, a AS (SELECT * FROM rv WHERE status = 'approved' AND (active OR id % 7 = 0) QUALIFY row_number() OVER (PARTITION BY company_slug, rule_key ORDER BY version DESC) = 1),
+v AS (SELECT company_slug, CAST(max(id) % 9 AS INT) + 1 AS version FROM rv GROUP BY 1),
+b AS (SELECT company_slug, count(*) AS rule_count, '[' || string_agg('{{"rule_key":"' || rule_key || '","severity":"' || severity || '","version":' || version || '}}', ',' ORDER BY rule_key) || ']' AS body FROM a GROUP BY 1),
+s AS (SELECT company_slug, v.version, rule_count, sha256(company_slug || ':' || v.version || ':' || body) AS checksum FROM b JOIN v USING (company_slug))
+SELECT *, 'bundle_' || company_slug || '_' || version || '_' || substr(checksum, 1, 12) AS id FROM s""",
+    "detection_scores": f"""WITH {_SCAN_SQL}, e AS (SELECT doc_id, 'email' AS type FROM labels WHERE quality = 0 UNION SELECT doc_id, 'phone' FROM labels WHERE toxic = 1),
+a AS (SELECT DISTINCT doc_id, type FROM (SELECT doc_id, unnest(flags) AS type FROM f) WHERE type IN ('email', 'phone') AND doc_id IN (SELECT doc_id FROM labels)),
+m AS (SELECT coalesce(e.type, a.type) AS type, e.type IS NOT NULL AS he, a.type IS NOT NULL AS ha FROM e FULL JOIN a ON e.doc_id = a.doc_id AND e.type = a.type),
+s AS (SELECT type, count(*) FILTER (WHERE he AND ha) AS tp, count(*) FILTER (WHERE NOT he) AS fp, count(*) FILTER (WHERE NOT ha) AS fn FROM m GROUP BY type),
+p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0 END AS re FROM s)
+SELECT type, tp, fp, fn, round(pr, 3) AS precision, round(re, 3) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 3) AS f1 FROM p""",
+    "recent_history": "SELECT conv_id, turn, role, sha256(text) AS text_sha256 FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8",
+    "customer_upsert": """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS c_name, c_nationkey, c_acctbal FROM customer
+UNION ALL SELECT c_custkey + 10000000, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 50 = 1)
+SELECT c_custkey, c_name, c_nationkey, greatest(c_acctbal, 0.0) AS c_acctbal FROM c WHERE c_nationkey <> 3""",
+}

@@ -1,0 +1,191 @@
+"""Governance telemetry: normalisation, windowed metrics, daily series, distributions, top-k."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.scan import risk_level
+
+EVENT_TYPES = ("message_sent_to_ai", "message_blocked", "attachment_governed", "attachment_blocked", "assistant_response_rehydrated", "extension_error")
+ACTIONS = ("allow", "warn", "redact", "block", "clean", "redacted", "blocked", "unsupported", "too_large", "failed", "binary")
+VIOLATIONS = ("warn", "redact", "block", "redacted", "blocked")
+LEVELS = ("low", "medium", "high", "critical")
+WINDOW_DAYS = {"7d": 6, "30d": 29}
+#: Parts of flag texts and the category that they stand for.
+FLAG_CATEGORIES = (
+    ("PII exposure", "personal|person|name|email|phone|address|account|customer id"),
+    ("Regulated context", "regulated|financial|legal|medical|health|hr|employment"),
+    ("Secrets/API keys", "secret|api key|credential|token"),
+    ("Prompt injection", "prompt injection|jailbreak|bypass|ignore instructions"),
+)
+
+
+def clamped(value: Column, low: int, high: int) -> Column:
+    """Rounded half up and clamped; missing or non-finite values are 0."""
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.floor(F.when(finite, value).otherwise(0.0) + 0.5))).cast("int")
+
+
+def text_or(value: Column, default: str, limit: int) -> Column:
+    """The first ``limit`` characters, or the default if the value is missing or blank."""
+    return F.when(F.trim(value) != "", F.substring(value, 1, limit)).otherwise(default)
+
+
+def slug(value: Column, limit: int = 80) -> Column:
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(value), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, limit)
+
+
+def normalised(events: DataFrame) -> DataFrame:
+    """Raw payload rows to the normalised event row; every field has a default and a limit.
+
+    Expects the columns event_type, surface, company_slug, user_label, install_id,
+    conversation_key, action, risk_score, risk_level, flags (array), entity_counts (map),
+    redaction_count, attachment_count, metadata (map), occurred_at (timestamp), event_id. A
+    missing time stays missing.
+    """
+    kind = F.when(F.col("event_type").isin(*EVENT_TYPES), F.col("event_type")).otherwise("extension_error")
+    action = F.when(F.col("action").isin(*ACTIONS), F.col("action")).when(kind.contains("blocked"), "block").otherwise("allow")
+    score = clamped(F.col("risk_score").cast("double"), 0, 100)
+    counts = F.map_filter("entity_counts", lambda k, v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    label = text_or(F.col("user_label"), "Test user", 120)
+    return events.select(
+        "event_id",
+        kind.alias("event_type"),
+        text_or(F.col("surface"), "chatgpt", 80).alias("surface"),
+        F.when(F.trim("company_slug") != "", slug(F.col("company_slug"))).otherwise("test-company").alias("company_slug"),
+        label.alias("user_label"),
+        text_or(F.col("install_id"), "unknown-install", 160).alias("install_id"),
+        F.substring(F.sha2(F.coalesce(F.substring("conversation_key", 1, 240), F.lit("unknown-conversation")), 256), 1, 32).alias("conversation_key_hash"),
+        action.alias("action"),
+        score.alias("risk_score"),
+        F.when(F.col("risk_level").isin(*LEVELS), F.col("risk_level")).otherwise(risk_level(score)).alias("risk_level"),
+        F.slice(F.transform(F.filter(F.coalesce("flags", F.array().cast("array<string>")), lambda f: F.trim(f) != ""), lambda f: F.substring(f, 1, 120)), 1, 20).alias("flags"),
+        F.coalesce(F.transform_values(F.transform_keys(counts, lambda k, v: F.substring(k, 1, 60)), lambda k, v: F.greatest(F.lit(0), F.floor(v + 0.5)).cast("int")), F.create_map().cast("map<string,int>")).alias("entity_counts"),
+        clamped(F.col("redaction_count").cast("double"), 0, 10000).alias("redaction_count"),
+        clamped(F.col("attachment_count").cast("double"), 0, 1000).alias("attachment_count"),
+        _labelled(F.coalesce("metadata", F.create_map().cast("map<string,string>")), label).alias("metadata"),
+        F.col("occurred_at").alias("created_at"),
+    )
+
+
+def _labelled(metadata: Column, label: Column) -> Column:
+    """Metadata with the user's label unless it brings one; keys and values are limited."""
+    own = F.create_map(F.lit("userLabel"), label)
+    limited = F.transform_values(F.transform_keys(metadata, lambda k, v: F.substring(k, 1, 80)), lambda k, v: F.substring(v, 1, 240))
+    return F.when(F.map_contains_key(metadata, "userLabel"), limited).otherwise(F.map_concat(own, limited))
+
+
+def in_window(events: DataFrame, time_range: str, anchor: Column, ts: str = "created_at") -> DataFrame:
+    """Events from the start of the day so many days before the anchor day; 'all' keeps all; unknown is 7d."""
+    if time_range == "all":
+        return events
+    return events.where(F.to_date(ts) >= F.date_sub(F.to_date(anchor), WINDOW_DAYS.get(time_range, WINDOW_DAYS["7d"])))
+
+
+def _count(condition: Column) -> Column:
+    return F.count(F.when(condition, 1))
+
+
+def is_violation() -> Column:
+    return F.col("action").isin(*VIOLATIONS)
+
+
+def is_flagged() -> Column:
+    return is_violation() | (F.col("event_type") == "message_blocked") | (F.col("risk_score") >= 35)
+
+
+def metrics(events: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """All dashboard metrics of each group in one pass."""
+    kind = F.col("event_type")
+    sent, blocked = kind == "message_sent_to_ai", kind == "message_blocked"
+    redacted = sent & F.col("action").isin("redact", "redacted")
+    out = events.groupBy(*(by or [])).agg(
+        _count(kind != "assistant_response_rehydrated").alias("governed_events"),
+        _count(sent).alias("messages_sent"),
+        _count(blocked).alias("messages_blocked"),
+        _count(redacted).alias("messages_redacted"),
+        _count(is_violation()).alias("policy_violations"),
+        _count(kind.isin("attachment_governed", "attachment_blocked")).alias("governed_uploads"),
+        F.coalesce(F.sum(F.when(kind != "assistant_response_rehydrated", F.col("redaction_count"))), F.lit(0)).alias("protected_identifiers"),
+    )
+    percent = lambda a, b: F.when(b > 0, F.floor(100.0 * a / b + 0.5)).otherwise(0).cast("long")
+    return out.withColumn("block_percent", percent(F.col("messages_blocked"), F.col("messages_sent") + F.col("messages_blocked"))).withColumn(
+        "redaction_percent", percent(F.col("messages_redacted"), F.col("messages_sent"))
+    )
+
+
+def daily_usage(events: DataFrame, first_day: Column | None = None, last_day: Column | None = None) -> DataFrame:
+    """(day, requests, flagged) for every day from the first to the last, zeros included."""
+    daily = events.groupBy(F.to_date("created_at").alias("day")).agg(
+        _count(F.col("event_type").isin("message_sent_to_ai", "message_blocked")).alias("requests"), _count(is_flagged()).alias("flagged")
+    )
+    ends = events.agg(
+        (first_day if first_day is not None else F.min(F.to_date("created_at"))).alias("a"),
+        (last_day if last_day is not None else F.max(F.to_date("created_at"))).alias("b"),
+    )
+    calendar = ends.where("a is not null and b is not null").select(F.explode(F.sequence("a", "b")).alias("day"))
+    return calendar.join(daily, "day", "left").select(
+        "day", F.coalesce("requests", F.lit(0)).alias("requests"), F.coalesce("flagged", F.lit(0)).alias("flagged")
+    )
+
+
+def risk_distribution(events: DataFrame) -> DataFrame:
+    """(level, n, percent) of all four levels, rehydrations left out."""
+    counted = events.where("event_type <> 'assistant_response_rehydrated'").groupBy(F.col("risk_level").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    levels = events.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, LEVELS))).alias("level"))
+    out = levels.join(F.broadcast(counted), "level", "left").select("level", F.coalesce("n", F.lit(0)).alias("n"))  # at most four rows
+    total = F.sum("n").over(Window.partitionBy())
+    return out.select("level", "n", F.when(total > 0, F.floor(100.0 * F.col("n") / total + 0.5)).otherwise(0).cast("long").alias("percent"))
+
+
+def categories(flags: Column, event_type: Column, action: Column) -> Column:
+    """Dashboard categories of an event, in a fixed order; 'Policy screened' if there is none."""
+    lower = F.transform(flags, F.lower)
+    found = [F.when(_any(lower, part), name) for name, part in FLAG_CATEGORIES]
+    found.append(F.when(event_type.startswith("attachment"), "Attachment governance"))
+    found.append(F.when(action.isin("block", "blocked") | event_type.contains("blocked"), "Blocked request"))
+    some = F.filter(F.array(*found), lambda x: x.isNotNull())
+    return F.when(F.size(some) > 0, some).otherwise(F.array(F.lit("Policy screened")))
+
+
+def _any(lower: Column, pattern: str) -> Column:
+    return F.exists(lower, lambda f: f.rlike(pattern))
+
+
+def risk_categories(events: DataFrame, top: int = 6) -> DataFrame:
+    """(category, events) of the most frequent categories among events with a violation, a block or risk; ties by name."""
+    risky = events.where(is_violation() | F.col("event_type").contains("blocked") | (F.col("risk_score") >= 35))
+    each = risky.select(F.explode(categories(F.col("flags"), F.col("event_type"), F.col("action"))).alias("category"))
+    return each.groupBy("category").agg(F.count(F.lit(1)).alias("events")).orderBy(F.desc("events"), "category").limit(top)
+
+
+def provider_usage(events: DataFrame, messages: DataFrame, top: int = 6) -> DataFrame:
+    """(provider, requests): messages by the surface plus chat messages by provider label; ties by name."""
+    surface = events.where(F.col("event_type").isin("message_sent_to_ai", "message_blocked")).select(F.lit("ChatGPT").alias("provider"))
+    own = messages.select(F.when(F.trim("provider_label") != "", F.trim("provider_label")).otherwise("Workspace Chat").alias("provider"))
+    counted = surface.unionByName(own).groupBy("provider").agg(F.count(F.lit(1)).alias("requests"))
+    return counted.orderBy(F.desc("requests"), "provider").limit(top)
+
+
+def recent_events(events: DataFrame, top: int = 8) -> DataFrame:
+    """The latest events that are errors or blocked or carry a violation, with their labels; ties by id."""
+    kind, action = F.col("event_type"), F.col("action")
+    picked = events.where(kind.isin("message_blocked", "attachment_blocked") | is_violation()).orderBy(F.desc("created_at"), F.desc("event_id")).limit(top)
+    category = (
+        F.when(kind == "message_blocked", "Message blocked").when(kind == "attachment_blocked", "Attachment blocked")
+        .when(kind == "attachment_governed", "Governed upload").when(action.isin("redact", "redacted"), "PII redaction")
+        .when(action == "warn", "Policy warning").otherwise("Extension telemetry")
+    )
+    taken = (
+        F.when((kind == "message_sent_to_ai") & (action == "redact"), "Redacted and sent").when(kind == "message_sent_to_ai", "Sent through ChatGPT")
+        .when(kind == "message_blocked", "Blocked before AI").when(kind == "attachment_governed", "Protected copy uploaded")
+        .when(kind == "attachment_blocked", "Original upload blocked").when(kind == "assistant_response_rehydrated", "Response rehydrated locally")
+        .otherwise("Logged")
+    )
+    return picked.select("event_id", "created_at", "event_type", "action", "risk_score", "risk_level", category.alias("category"), taken.alias("action_taken"))
+
+
+def active_users(events: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(user, last_seen, events) from the events themselves."""
+    return events.groupBy(*(by or []), "install_id").agg(F.max("created_at").alias("last_seen"), F.count(F.lit(1)).alias("events"))
