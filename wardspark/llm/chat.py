@@ -18,8 +18,8 @@ TILE_SIDE, TILE_TOKENS, SECOND_TOKENS, PAGE_TOKENS = 512, 170, 25, 800
 
 
 def escaped(text: Column) -> Column:
-    """Put a backslash before each backslash and before each control string."""
-    return reduce(lambda t, s: F.replace(t, F.lit(s), F.lit("\\" + s)), CONTROL_STRINGS, F.replace(text, F.lit("\\"), F.lit("\\\\")))
+    """Put a backslash before each backslash and behind the first character of each control string, so that none is left."""
+    return reduce(lambda t, s: F.replace(t, F.lit(s), F.lit(s[0] + "\\" + s[1:])), CONTROL_STRINGS, F.replace(text, F.lit("\\"), F.lit("\\\\")))
 
 
 def unescaped(text: Column) -> Column:

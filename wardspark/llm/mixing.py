@@ -204,6 +204,7 @@ def mix(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id") -> DataFrame:
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 24)) / float(1 << 24)
     copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
     times = stored(rates.select("doc_id", copies.alias("copies")).where("copies > 0"), "copies")
+    # One struct per id, so that no column of docs can clash with what is added.
     times = times.select(F.col("doc_id").alias("mixed_id"), F.sequence(F.lit(1), F.col("copies")).alias("mixed_copies"))
-    joined = docs.join(sized(times, 64), docs[id_col] == F.col("mixed_id"))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode("mixed_copies").alias("mixed_copy")).select(*docs.columns)
+    joined = docs.select(F.struct("*").alias("mixed_row")).join(sized(times, 64), F.col(f"mixed_row.{id_col}") == F.col("mixed_id"))
+    return joined.select("mixed_row", F.explode("mixed_copies").alias("mixed_copy")).select("mixed_row.*")

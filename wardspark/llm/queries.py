@@ -38,7 +38,7 @@ def _op4_sql() -> str:
     def esc(column: str) -> str:
         out = f"replace({column}, '\\', '\\\\')"
         for s in chat.CONTROL_STRINGS:
-            out = f"replace({out}, '{s}', '\\{s}')"
+            out = f"replace({out}, '{s}', '{s[0]}\\{s[1:]}')"
         return out
 
     head, tail = len(chat.OPEN) + len(chat.BREAK), len(chat.CLOSE)
