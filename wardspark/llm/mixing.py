@@ -18,33 +18,40 @@ from .common import dropped, sized, stored
 
 #: Word and word-ending features are hashed into so many buckets each; this bounds the model.
 BUCKETS = 1 << 18
-#: Only buckets whose count in some domain is so many deviations from its expectation have weights.
-SIGNIFICANT = 5.0
-SHARPNESS = (0.02, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0)
+#: Only buckets whose count of documents in some domain is so many deviations from its expectation have weights.
+SIGNIFICANT = 3.0
+#: Powers to choose from by log-loss: of the likelihood of what a document has, and of what it lacks.
+SHARPNESS, ABSENCE = (0.02, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0), (0.0, 0.03, 0.1, 0.3, 1.0)
 MAX_STEPS, STORE_EVERY, TOLERANCE = 60, 10, 1e-4
 #: The fit has also settled, at targets that the bounds of the rates put out of reach, when no total moves further in so many steps.
 SETTLED, SETTLED_STEPS = 1e-4, 3
 
 
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows (keep..., word, ending): hashed features of each white-space word of text."""
-    words = F.explode(F.split(F.trim(F.lower(F.col("text"))), r"\s+")).alias("w")
-    return docs.select(*keep, words).where("w <> ''").select(
-        *keep,
-        F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("word"),
-        (F.pmod(F.xxhash64(F.right("w", F.lit(2))), F.lit(BUCKETS)) + BUCKETS).cast("int").alias("ending"),
-    )
+    """Rows (keep..., tokens, bucket): the different hashed words and word endings of text, each once a document.
+
+    Words are those between white space. The first row of a document has its number of words as
+    tokens and the others 0, so tokens add up; a document without words has one row of a null bucket.
+    A long document counts once for each feature: documents are independent of each other, their words are not.
+    """
+    words = F.filter(F.split(F.trim(F.lower(F.col("text"))), r"\s+"), lambda w: w != "")
+    split = docs.select(*keep, words.alias("words"))
+    whole = F.transform(F.array_distinct("words"), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+    ends = F.transform(F.array_distinct(F.transform("words", lambda w: F.right(w, F.lit(2)))), lambda w: (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) + BUCKETS).cast("int"))
+    rows = split.select(*keep, F.size("words").alias("n"), F.posexplode_outer(F.concat(whole, ends)).alias("at", "bucket"))
+    return rows.select(*keep, F.when(F.coalesce("at", F.lit(0)) == 0, F.col("n")).otherwise(0).alias("tokens"), "bucket")
 
 
 class DomainClassifier:
-    """Hashed multinomial naive Bayes.
+    """Hashed naive Bayes over the features that a document has; those that it lacks move the prior.
 
-    ``weights`` has a row per telling bucket: for each domain the logarithm of its count over the
-    count expected if words and domains were independent. Other buckets have weight 0.
+    ``weights`` has a row per telling bucket: for each domain the logarithm of its documents with
+    the feature over those expected if features and domains were independent. ``absence`` has, by
+    domain, the log-likelihood ratio of having no telling feature. Other buckets have weight 0.
     """
 
-    def __init__(self, domains: list[str], priors: list[float], weights: DataFrame, sharpness: float):
-        self.domains, self.priors, self.weights, self.sharpness = domains, priors, weights, sharpness
+    def __init__(self, domains: list[str], priors: list[float], absence: list[float], weights: DataFrame, powers: tuple[float, float]):
+        self.domains, self.priors, self.absence, self.weights, self.powers = domains, priors, absence, weights, powers
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame) -> "DomainClassifier":
@@ -56,55 +63,60 @@ class DomainClassifier:
         domains = sorted(counts)
         taught = docs.where("text is not null").join(sized(labels, 48), "doc_id")
         f = features(taught, ["domain"])
-        pairs = f.groupBy("domain", F.col("word").alias("bucket")).agg(F.count(F.lit(1)).alias("n")).unionByName(
-            f.groupBy("domain", F.col("ending").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-        )
+        pairs = f.where("bucket is not null").groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n"))
         pairs = stored(pairs, "domain-counts")
-        totals = {r.domain: r["n"] for r in pairs.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
-        share = [totals.get(d, 0) / max(1, sum(totals.values())) for d in domains]
+        held = {r.domain: r["n"] for r in taught.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a domain
+        size = [held.get(d, 0) for d in domains]
         by_bucket = pairs.groupBy("bucket").agg(
             F.sum("n").alias("all"), *[F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)).alias(f"n{k}") for k, d in enumerate(domains)]
         )
-        expected = [F.col("all") * F.lit(p) for p in share]
+        totals = {r.domain: r["n"] for r in pairs.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
+        expected = [F.col("all") * F.lit(totals.get(d, 0) / max(1, sum(totals.values()))) for d in domains]
         strays = [F.abs(F.col(f"n{k}") - e) / F.sqrt(e + 1) for k, e in enumerate(expected)]
         telling = by_bucket.where(reduce(Column.__or__, [z >= SIGNIFICANT for z in strays]))
-        weights = telling.select("bucket", *[F.log((F.col(f"n{k}") + 1) / (e + 1)).alias(f"w{k}") for k, e in enumerate(expected)])
+        anywhere = (F.col("all") + 0.5) / (sum(size) + 1)
+        chance = [(F.col(f"n{k}") + anywhere) / (n + 1) for k, n in enumerate(size)]
+        absent = [F.log((1 - p) / (1 - anywhere)) for p in chance]
+        columns = [F.log((F.col(f"n{k}") + 1) / (e + 1)).alias(f"w{k}") for k, e in enumerate(expected)] + [a.alias(f"a{k}") for k, a in enumerate(absent)]
+        weights = stored(telling.select("bucket", *columns), "domain-weights")
+        base = weights.agg(*[F.sum(F.round(F.col(f"a{k}") * 1e6).cast("long")) for k in range(len(domains))]).first()
         total = sum(counts.values())
-        model = cls(domains, [math.log(counts[d] / total) for d in domains], stored(weights, "domain-weights"), 1.0)
+        priors = [math.log(counts[d] / total) for d in domains]
+        model = cls(domains, priors, [(x or 0) / 1e6 for x in base], weights.drop(*[f"a{k}" for k in range(len(domains))]), (1.0, 1.0))
         if len(domains) > 1:
-            model.sharpness = model._calibrated(taught)
+            model.powers = model._calibrated(taught)
         return model
 
     def scores(self, docs: DataFrame, keep: list[str]) -> DataFrame:
         """(keep..., tokens, s0, s1, ...): summed log-likelihoods of the words of each document."""
         k = range(len(self.domains))
         small = F.broadcast(self.weights)  # at most 2 * BUCKETS rows
-        first = small.select(F.col("bucket").alias("word"), *[F.col(f"w{i}").alias(f"a{i}") for i in k])
-        second = small.select(F.col("bucket").alias("ending"), *[F.col(f"w{i}").alias(f"b{i}") for i in k])
-        f = features(docs, keep).join(first, "word", "left").join(second, "ending", "left")
-        likelihood = [F.coalesce(f"a{i}", F.lit(0.0)) + F.coalesce(f"b{i}", F.lit(0.0)) for i in k]
+        f = features(docs, keep).join(small, "bucket", "left")
+        likelihood = [F.coalesce(f"w{i}", F.lit(0.0)) for i in k]
         # Sums of whole numbers do not depend on the order of rows.
         return f.groupBy(*keep).agg(
-            F.count(F.lit(1)).alias("tokens"), *[F.sum(F.round(x * 1e6).cast("long")).alias(f"s{i}") for i, x in zip(k, likelihood, strict=True)]
+            F.sum("tokens").alias("tokens"), *[F.sum(F.round(x * 1e6).cast("long")).alias(f"s{i}") for i, x in zip(k, likelihood, strict=True)]
         )
 
-    def posterior(self, sharpness: Column) -> list[Column]:
-        """Posterior columns from s0, s1, ...: softmax of prior plus sharpness x likelihood."""
-        logits = [F.lit(p) + sharpness * F.col(f"s{i}") / 1e6 for i, p in enumerate(self.priors)]
+    def posterior(self, powers: tuple[float, float] | None = None) -> list[Column]:
+        """Posterior columns from s0, s1, ...: softmax of prior plus the likelihoods, each to its power."""
+        has, lacks = powers or self.powers
+        logits = [F.lit(p + lacks * a) + has * F.col(f"s{i}") / 1e6 for i, (p, a) in enumerate(zip(self.priors, self.absence, strict=True))]
         top = F.greatest(*logits) if len(logits) > 1 else logits[0]
         parts = [F.exp(x - top) for x in logits]
         return [p / reduce(Column.__add__, parts) for p in parts]
 
-    def _calibrated(self, taught: DataFrame) -> float:
-        """The sharpness of least log-loss over the labelled documents."""
-        scored = self.scores(taught, ["doc_id", "domain"])
+    def _calibrated(self, taught: DataFrame) -> tuple[float, float]:
+        """The powers of least log-loss over the labelled documents."""
+        grid = [(has, lacks) for has in SHARPNESS for lacks in ABSENCE]
+        scored = stored(self.scores(taught, ["doc_id", "domain"]), "calibration")
         losses = []
-        for tau in SHARPNESS:
-            p = reduce(lambda x, y: F.coalesce(x, y), [F.when(F.col("domain") == d, c) for d, c in zip(self.domains, self.posterior(F.lit(tau)), strict=True)])
+        for powers in grid:
+            p = reduce(lambda x, y: F.coalesce(x, y), [F.when(F.col("domain") == d, c) for d, c in zip(self.domains, self.posterior(powers), strict=True)])
             losses.append(F.avg(-F.log(F.greatest(p, F.lit(1e-12)))).alias(f"t{len(losses)}"))
         row = scored.agg(*losses).first()
-        known = [(row[f"t{i}"], tau) for i, tau in enumerate(SHARPNESS) if row[f"t{i}"] is not None]
-        return min(known)[1] if known else 1.0
+        known = [(row[f"t{i}"], powers) for i, powers in enumerate(grid) if row[f"t{i}"] is not None]
+        return min(known)[1] if known else (1.0, 1.0)
 
 
 def mixing_rates(
@@ -136,7 +148,7 @@ def mixing_rates(
     scored = model.scores(rows.where("text is not null"), ["doc_id"])
     none = rows.select("doc_id", F.lit(0).cast("long").alias("tokens"), *[F.lit(0).cast("long").alias(f"s{i}") for i in k])
     scored = scored.unionByName(none).groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), *[F.sum(f"s{i}").alias(f"s{i}") for i in k])
-    table = scored.select("doc_id", "tokens", *[p.alias(f"p{i}") for i, p in enumerate(model.posterior(F.lit(model.sharpness)))])
+    table = scored.select("doc_id", "tokens", *[p.alias(f"p{i}") for i, p in enumerate(model.posterior())])
     table = stored(table, "posteriors")
 
     def exact(x: Column) -> Column:  # whole numbers: sums are the same in any order of rows
