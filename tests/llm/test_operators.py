@@ -268,6 +268,26 @@ def test_repeated_lines_go(spark, none):
     assert line_dedup.drop_repeated_lines(none).count() == 0
 
 
+def test_repeated_lines_equal_brute_force(spark):
+    rng = random.Random(9)
+    kinds = [*"abcdefgh", words(rng, 20), words(rng, 30), words(rng, 55)]  # common lines occur first in other contexts
+    docs = {i: [kinds[rng.randrange(len(kinds))] for _ in range(rng.randrange(1, 14))] for i in range(60)}
+    docs |= {100: ["a", *"qrs", "b"], 101: [*"xyza", *"uvwb"], 102: ["y", "a", *"uvw", "b", "c"], 103: ["k", "y", "a", *"uvw", "b", "l"]}
+    length = {x: len(x.split()) for lines in docs.values() for x in lines}
+    gone = {i: set() for i in docs}
+    places = [(i, at) for i in sorted(docs) for at in range(len(docs[i]))]
+    for k, (i, at) in enumerate(places):
+        for j, at0 in places[:k]:
+            n = 0
+            while at + n < len(docs[i]) and at0 + n < len(docs[j]) and docs[i][at + n] == docs[j][at0 + n]:
+                n += 1
+            if n >= 4 or sum(length[x] for x in docs[i][at : at + n]) >= 50:
+                gone[i] |= set(range(at, at + n))
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in docs.items()], "doc_id long, text string")
+    got = {r.doc_id: set(r.deleted) for r in line_dedup.drop_repeated_lines(df).collect()}
+    assert got == gone and {1, 2, 3, 4, 5, 6} & gone[103]
+
+
 def test_licences(spark, none):
     rows = [(1, "x\nReleased under the MIT license\ny"), (2, "nothing here"), (3, None), (4, ""), (5, licenses.TEMPLATES[4][1]), (None, "Licensed under CC BY 4.0.")]
     got = {(r.doc_id, r.license) for r in licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

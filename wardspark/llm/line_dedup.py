@@ -1,15 +1,15 @@
-"""Line dedup by winnowing over line hashes (operator 1).
+"""Line dedup by the hashes of line windows (operator 1).
 
-Each document is a sequence of line hashes. From every line starts a window: the shortest run
-of lines that has ``window_lines`` lines or ``window_words`` words. The smallest hash of each
-window is a fingerprint, so whatever run contains a whole window shares a fingerprint with its
-repeats. Each fingerprint is joined to the first place where it occurs; the match is extended
-both ways line by line, and a later run that is long enough is deleted.
+Each document is a sequence of line hashes. From every line starts a window, and at every line
+ends one: the shortest run of lines that has ``window_lines`` lines or ``window_words`` words.
+A run that is long enough is covered by the windows that start or end in it and lie in it, so
+lines of later repeated runs are those of the windows whose hash occurs at an earlier place.
+Every window meets its earliest equal one by a grouped minimum; no pairs of documents are made.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import sized, stored
@@ -26,29 +26,27 @@ def line_table(docs: DataFrame) -> DataFrame:
     )
 
 
-def _window_minima(lines: Column, window_lines: int, window_words: int) -> Column:
-    """Positions in an array of (pos, h, words) that are the smallest of some window, ties to the right."""
+def _windows(lines: Column, window_lines: int, window_words: int) -> Column:
+    """Different shortest windows of an array of (pos, h, words) as (at, h, positions); h is a hash of the line hashes."""
 
-    def window_min(i: Column) -> Column:
-        # Fold over at most window_lines lines; stop adding when the words are enough.
-        start = F.struct(F.lit(0).alias("words"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("h"), F.lit(None).cast("int").alias("at"))
-        steps = F.sequence(F.lit(0), F.lit(window_lines - 1))
+    def size(i: Column, step: int) -> Column:
+        # Lines from i on, or back from i, until they are enough; null if the document has too few.
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"), F.lit(False).alias("done"))
 
         def add(acc: Column, k: Column) -> Column:
-            line = F.get(lines, i + k)
-            closed = acc["done"] | line.isNull()
-            better = ~closed & (acc["h"].isNull() | (line["h"] <= acc["h"]))
-            words = F.when(closed, acc["words"]).otherwise(acc["words"] + line["words"])
-            return F.struct(
-                words.alias("words"),
-                (acc["done"] | (words >= window_words)).alias("done"),
-                F.when(better, line["h"]).otherwise(acc["h"]).alias("h"),
-                F.when(better, i + k).otherwise(acc["at"]).alias("at"),
-            )
+            line = F.get(lines, i + k * step)
+            words = F.when(acc["done"], acc["words"]).otherwise(acc["words"] + F.coalesce(line["words"], F.lit(0)))
+            n = F.when(acc["done"] | line.isNull(), acc["n"]).otherwise(acc["n"] + 1)
+            return F.struct(n.alias("n"), words.alias("words"), ((n >= window_lines) | (words >= window_words)).alias("done"))
 
-        return F.aggregate(steps, start, add, lambda acc: acc["at"])
+        return F.aggregate(F.sequence(F.lit(0), F.lit(window_lines - 1)), start, add, lambda acc: F.when(acc["done"], acc["n"]))
 
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(lines) - 1), window_min))
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    ahead = F.transform(every, lambda i: F.struct(i.alias("at"), size(i, 1).alias("n")))
+    behind = F.transform(F.transform(every, lambda i: F.struct(i.alias("i"), size(i, -1).alias("n"))), lambda x: F.struct((x["i"] - x["n"] + 1).alias("at"), x["n"].alias("n")))
+    whole = F.filter(F.array_distinct(F.concat(ahead, behind)), lambda x: x["n"].isNotNull())
+    cut = F.transform(whole, lambda x: F.struct(x["at"].alias("at"), F.slice(lines, x["at"] + 1, x["n"]).alias("run")))
+    return F.transform(cut, lambda x: F.struct(x["at"].alias("at"), F.unhex(F.md5(F.array_join(x["run"]["h"], ""))).alias("h"), x["run"]["pos"].alias("positions")))
 
 
 def repeated_lines(
@@ -56,9 +54,8 @@ def repeated_lines(
 ) -> DataFrame:
     """(doc_id, pos): lines, counted from 0, of later repeated runs.
 
-    A run of consecutive lines (blank ones aside) is repeated if it equals, line by line, a run
-    that starts earlier in the order of doc_id and position, is aligned on a fingerprint with the
-    first occurrence of that fingerprint, and has ``window_lines`` lines or ``window_words`` words.
+    A run of consecutive lines (blank ones aside) is repeated if it equals, line by line, any run
+    that starts earlier in the order of doc_id and position and has ``window_lines`` lines or ``window_words`` words.
     Lines are equal if they are after lower-casing and collapsing white space.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
@@ -67,48 +64,13 @@ def repeated_lines(
     lines = line_table(rows.select(F.struct("doc_id", "copy").alias("doc_id"), "text"))
     lines = lines.select("doc_id.doc_id", "doc_id.copy", "pos", "h", "words").distinct()
     arrays = lines.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(F.struct("pos", "h", "words"))).alias("lines"))
-    arrays = stored(arrays, "line-hashes")
-    fingerprints = arrays.select(
-        "doc_id", "copy", F.explode(_window_minima(F.col("lines"), window_lines, window_words)).alias("seq"), "lines"
-    ).select("doc_id", "copy", "seq", F.get("lines", F.col("seq"))["h"].alias("h"))
-    fingerprints = stored(fingerprints, "line-fingerprints")
-    place = F.struct("doc_id", "copy", "seq")
-    first = fingerprints.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first")
-    # An alignment: this document against an earlier one (or itself), shifted by so many lines.
-    aligned = (
-        fingerprints.join(first, "h")
-        .where(place > F.col("first"))
-        .select(
-            "doc_id", "copy", F.col("first.doc_id").alias("doc0"), F.col("first.copy").alias("copy0"),
-            (F.col("seq") - F.col("first.seq")).alias("shift"), "seq",
-        )
-        .groupBy("doc_id", "copy", "doc0", "copy0", "shift")
-        .agg(F.collect_set("seq").alias("seeds"))
-    )
-    aligned = stored(aligned, "line-alignments")
-    sources = aligned.select("doc0", "copy0").distinct()
-    source = arrays.join(sources, (arrays["doc_id"] == sources["doc0"]) & (arrays["copy"] == sources["copy0"]), "left_semi")
-    source = source.select(F.col("doc_id").alias("doc0"), F.col("copy").alias("copy0"), F.transform("lines", lambda x: x["h"]).alias("hashes0"))
-    pairs = aligned.join(arrays, ["doc_id", "copy"]).join(source, ["doc0", "copy0"])
-    same = F.transform(
-        "lines",
-        lambda x, i: F.struct(
-            x["pos"].alias("pos"), x["words"].alias("words"), i.alias("seq"),
-            # An alignment of a document with itself never matches a line with itself: its shift is above 0.
-            F.coalesce(F.when(i >= F.col("shift"), F.get("hashes0", i - F.col("shift"))) == x["h"], F.lit(False)).alias("same"),
-        ),
-    )
-    # Extend both ways: runs of equal lines are islands between unequal ones.
-    flat = pairs.select("doc_id", "copy", "doc0", "copy0", "shift", "seeds", F.explode(same).alias("x")).where("x.same")
-    key = ["doc_id", "copy", "doc0", "copy0", "shift"]
-    order = Window.partitionBy(*key).orderBy("seq")
-    flat = flat.select(*key, "x.pos", "x.words", "x.seq", F.array_contains("seeds", F.col("x.seq")).alias("seed"))
-    flat = flat.withColumn("island", F.col("seq") - F.row_number().over(order))
-    islands = flat.groupBy(*key, "island").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"), F.max("seed").alias("seeded"), F.collect_list("pos").alias("positions")
-    )
-    long_enough = (F.col("n") >= window_lines) | (F.col("words") >= window_words)
-    return islands.where(long_enough & F.col("seeded")).select("doc_id", "copy", F.explode("positions").alias("pos")).distinct()
+    windows = arrays.select("doc_id", "copy", F.explode(_windows(F.col("lines"), window_lines, window_words)).alias("x"))
+    windows = stored(windows.select("doc_id", "copy", "x.at", "x.h", "x.positions"), "line-windows")
+    place = F.struct("doc_id", "copy", "at")
+    first = windows.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first")
+    # Stored, so that a large join starts from plain shuffles, whose skewed parts Spark can split.
+    later = windows.join(sized(stored(first, "first-windows"), 96), "h").where(place > F.col("first"))
+    return later.select("doc_id", "copy", F.explode("positions").alias("pos")).distinct()
 
 
 def drop_repeated_lines(
