@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -295,6 +296,26 @@ def test_licences(spark, none):
     assert licenses.license_matches(none).count() == 0
 
 
+def test_notices_among_other_lines(spark):
+    def wrapped(text, mark="# ", width=70):
+        return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+    whole = {}
+    for name, text in licenses.WHOLE_TEMPLATES:
+        whole.setdefault(name, text)
+    code = "import os\nprint(os.getcwd())"
+    rows = [(i, f"{code}\n{wrapped(text)}\ndef main(): pass\n{code}") for i, text in enumerate(whole.values())]
+    bsd = [(50, wrapped(whole["BSD-2-Clause"], "")), (51, wrapped(whole["BSD-3-Clause"], "")), (52, licenses.BSD_HEADING)]
+    twice = [(60, f"{wrapped(whole['MIT'])}\n{wrapped(whole['ISC'])}\n{code}\n{wrapped(whole['MIT'])}"), (61, f"{code}\nReleased under\nthe MIT License.\n{code}"), (62, code)]
+    got = licenses.license_matches(spark.createDataFrame(rows + bsd + twice, "doc_id long, text string")).collect()
+    runs = {i: sorted((r.place, r.license) for r in got if r.doc_id == i and r.unit == "run") for i in {r.doc_id for r in got}}
+    assert [runs[i] for i in range(len(whole))] == [[(2, name)] for name in whole]
+    assert {r.license for r in got if r.doc_id == 50 and r.unit != "line"} == {"BSD-2-Clause"}
+    assert {r.license for r in got if r.doc_id == 51 and r.unit != "line"} == {"BSD-3-Clause"}
+    assert {r.license for r in got if r.doc_id == 52} == {"BSD-2-Clause OR BSD-3-Clause"}
+    assert [name for _, name in runs[60]] == ["MIT", "ISC", "MIT"] and runs[61] == [(2, "MIT")] and 62 not in runs
+
+
 def test_mixing_reaches_its_targets(spark):
     rng = random.Random(4)
     kinds = {"a": "red green blue", "b": "cat dog bird", "c": "sun moon star"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import clean_words, stored
+from .common import clean_words, sized, stored
 
 # Notices by which works in public are put under common licences (name, text).
 TEMPLATES = (
@@ -36,9 +36,49 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: The start of both BSD texts: by itself it doesn't tell which.
+BSD_HEADING = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_CLAUSES = " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_MIT = next(text for _, text in TEMPLATES if text.startswith("Permission is hereby granted"))
+_ISC = next(text for name, text in TEMPLATES if name == "ISC")
+_MIT_END = " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC_END = " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_APACHE_END = " Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+
+
+def _gnu(license: str, version: str, this: str = "This program", stop: str = ":") -> str:
+    """The notice of all paragraphs that GNU licences ask for at the top of a source file."""
+    purpose = {"Lesser General": "Lesser ", "Affero General": "Affero "}.get(license, "")
+    name = f"GNU {license} Public License"
+    short = f"GNU {purpose}General Public License"
+    end = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA." if version == "2" else ". If not, see <https://www.gnu.org/licenses/>."
+    return (
+        f"{this} is free software{stop} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation{';' if version[0] == '2' else ','} either version {version} of the License, or (at your option) any later version. "
+        f"{this} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {short} for more details. "
+        f"You should have received a copy of the {short} along with this program{end}"
+    )
+
+
+#: Whole notices and licence texts, as they stand in files; TEMPLATES has their first sentences.
+WHOLE_TEMPLATES = (
+    ("MIT", _MIT + _MIT_END),
+    ("Apache-2.0", next(text for name, text in TEMPLATES if name == "Apache-2.0" and "you may not" in text) + _APACHE_END),
+    ("GPL-2.0-or-later", _gnu("General", "2", stop=";")),
+    ("GPL-3.0-or-later", _gnu("General", "3")),
+    ("LGPL-2.1-or-later", _gnu("Lesser General", "2.1", "This library", ";")),
+    ("LGPL-3.0-or-later", _gnu("Lesser General", "3")),
+    ("AGPL-3.0-or-later", _gnu("Affero General", "3")),
+    ("BSD-2-Clause", BSD_HEADING + _BSD_CLAUSES + _BSD_END),
+    ("BSD-3-Clause", BSD_HEADING + _BSD_CLAUSES + _BSD_THIRD + _BSD_END),
+    ("ISC", _ISC + _ISC_END),
+)
+
 
 def default_templates(spark: SparkSession) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in TEMPLATES])
+    named = [("BSD-2-Clause OR BSD-3-Clause" if text == BSD_HEADING else name, text) for name, text in TEMPLATES]
+    rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in [*named, *WHOLE_TEMPLATES]])
     return spark.range(1).select(F.explode(rows).alias("t")).select("t.license", "t.text")
 
 
@@ -64,6 +104,11 @@ def license_matches(
     is only compared with templates of n t / (2 - t) to n (2 - t) / t bigrams, beyond which the
     coefficient can't be reached.
 
+    Runs of consecutive lines (unit 'run', place is the first line) are passages, too, of any
+    length: a notice may stand among other lines. Of runs and lines of a text that match and overlap,
+    the one with most shared less foreign bigrams counts, then the higher coefficient; it is a row
+    if it has several lines, even if it is a whole paragraph.
+
     Null, empty and wordless texts match nothing; null ids are dropped; rows that repeat an id
     are taken together. Empty tables give no rows. Other columns are not read.
     """
@@ -97,4 +142,52 @@ def license_matches(
     scored = shared.select("doc_id", "unit", "place", "tid", dice).where(F.col("dice") >= threshold)
     scored = scored.join(F.broadcast(t.select("tid", "license")), "tid")
     best = Window.partitionBy("doc_id", "unit", "place").orderBy(F.desc("dice"), "license")
-    return scored.withColumn("k", F.row_number().over(best)).where("k = 1").select("doc_id", "unit", "place", "license", "dice")
+    fixed = scored.withColumn("k", F.row_number().over(best)).where("k = 1").select("doc_id", "unit", "place", "license", "dice")
+    return fixed.unionByName(_runs(rows, t, threshold))
+
+
+def _runs(rows: DataFrame, t: DataFrame, threshold: float) -> DataFrame:
+    """Rows of the unit 'run' of license_matches; t has tid, license, tn and grams."""
+    ratio = (2 - threshold) / threshold
+    rows = rows.where(F.contains("text", F.lit("\n"))).select("doc_id", F.xxhash64("text").alias("copy"), "text")
+    words = rows.select("doc_id", "copy", word_hashes("text").alias("w"))
+    own = words.select("doc_id", "copy", F.explode(bigrams(F.col("w"))).alias("gram"))
+    theirs = F.broadcast(t.select("tid", "tn", F.explode("grams").alias("gram")))
+    # Whatever reaches the threshold shares so many bigrams with its template, so its text does.
+    shared = own.join(theirs, "gram").groupBy("doc_id", "copy", "tid", "tn").agg(F.count(F.lit(1)).alias("s"))
+    near = stored(shared.where(F.col("s") >= F.col("tn") / ratio - 1e-9).select("doc_id", "copy", "tid"), "license-candidates")
+
+    # A text is picked by its hash alone, which makes a small table; what else has the hash falls out when candidates are joined.
+    picked = sized(stored(near.select("copy").distinct(), "license-texts-picked"), 24)
+    few = rows.join(picked, "copy", "left_semi").dropDuplicates(["doc_id", "copy"])
+    lines = few.select("doc_id", "copy", F.posexplode(F.split("text", "\n")).alias("line", "text")).select("doc_id", "copy", "line", F.posexplode(word_hashes("text")).alias("at", "w"))
+    order = Window.partitionBy("doc_id", "copy").orderBy("line", "at")
+    place = lines.select("doc_id", "copy", "line", F.row_number().over(order).alias("j"), F.xxhash64("w", F.lead("w").over(order)).alias("gram"), F.lead("line").over(order).alias("stop"))
+    # A bigram is new to a run from line a if it occurred last before a.
+    again = Window.partitionBy("doc_id", "copy", "gram").orderBy("j")
+    place = place.where("stop is not null").withColumn("last", F.coalesce(F.lag("line").over(again), F.lit(-1)))
+    texts = stored(place.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(F.struct("j", "line", "stop", "last", "gram"))).alias("g")), "license-texts")
+
+    tried = near.join(texts, ["doc_id", "copy"]).join(F.broadcast(t), "tid")
+    marked = tried.select(
+        "doc_id", "copy", "license", "tn",
+        F.transform("g", lambda x: F.struct(x["line"].alias("line"), x["stop"].alias("stop"), x["last"].alias("last"), F.array_contains("grams", x["gram"]).alias("hit"))).alias("g"),
+    )
+    starts = marked.select("*", F.explode(F.array_distinct(F.filter("g", lambda x: x["hit"])["line"])).alias("a"))
+    # Of the distinct bigrams from line a on, in order, no more can lie in a run that matches.
+    most = F.floor(F.col("tn") * ratio + 1e-9).cast("int") + 1
+    fresh = starts.select("doc_id", "copy", "license", "tn", "a", F.slice(F.filter("g", lambda x: (x["line"] >= F.col("a")) & (x["last"] < F.col("a"))), F.lit(1), most).alias("g"))
+    # A run ends best where it shares one bigram more.
+    ends = fresh.select("*", F.explode(F.array_distinct(F.filter("g", lambda x: x["hit"])["stop"])).alias("b"))
+    ends = ends.select("doc_id", "copy", "license", "tn", "a", "b", F.filter("g", lambda x: x["stop"] <= F.col("b")).alias("g"))
+    sizes = ends.select("doc_id", "copy", "license", "tn", "a", "b", F.size("g").alias("n"), F.size(F.filter("g", lambda x: x["hit"])).alias("s"))
+    fit = sizes.select("doc_id", "copy", "license", "a", "b", "n", "s", (2 * F.col("s") / (F.col("n") + F.col("tn"))).alias("dice"))
+    fit = fit.where(F.col("dice") >= threshold)
+    ranked = F.struct((F.col("n") - 2 * F.col("s")).alias("rank"), (-F.col("dice")).alias("less"), "license", "a", "b", "dice")
+    matches = fit.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(ranked)).alias("m"))
+    chosen = F.aggregate(
+        "m", F.slice("m", 1, 0),
+        lambda acc, x: F.when(F.exists(acc, lambda y: (y["a"] <= x["b"]) & (y["b"] >= x["a"])), acc).otherwise(F.array_append(acc, x)),
+    )
+    found = matches.select("doc_id", F.explode(F.filter(chosen, lambda x: x["a"] < x["b"])).alias("x"))
+    return found.select("doc_id", F.lit("run").alias("unit"), F.col("x.a").alias("place"), "x.license", "x.dice").distinct()
