@@ -105,6 +105,19 @@ def test_daily_usage_fills_gaps(spark):
     assert {r.level: r.n for r in telemetry.risk_distribution(e.limit(0).withColumn("risk_level", F.lit("low"))).collect()} == {"low": 0, "medium": 0, "high": 0, "critical": 0}
 
 
+def test_streamed_counts_hold_days_of_a_long_span(spark, tmp_path, monkeypatch):
+    from wardspark import catalog
+    from wardspark.streaming import live
+
+    one_by_one = live.event_stream
+    monkeypatch.setattr(live, "event_stream", lambda s, folder, schema: one_by_one(s, folder, schema, files_at_once=1))
+    e = spark.range(400).selectExpr("id as event_id", "id % 8 as user_id", "cast(20 as double) as value", "'{}' as props", "timestamp'2023-01-01' + make_interval(0, 0, 0, cast(id % 200 as int) * 3) as ts")
+    e.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.streamed_daily_counts(spark, str(tmp_path)).collect()
+    sent = sum(1 for i in range(400) if catalog._TYPES[i % 6] in ("message_sent_to_ai", "message_blocked"))
+    assert len({r.day for r in got}) == 200 and sum(r.requests for r in got) == sent
+
+
 def test_mined_rules(spark):
     text = "AI USAGE POLICY\nEmployees must not submit client names or personal data to public AI tools. Approval is required before legal contracts are shared with ChatGPT.\nData Handling\n- Staff should redact customer email addresses before using Gemini."
     docs = spark.createDataFrame([(1, text), (2, "Lunch is at noon.")], "doc_id long, text string")

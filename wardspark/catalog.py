@@ -130,8 +130,11 @@ def streamed_daily_counts(spark, sf_dir):
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
     work = f"{base}/stream-{uuid.uuid4().hex}"
     events(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp")).select("event_id", "company_slug", "event_type", "action", "risk_score", "created_at").write.parquet(f"{work}/in")
-    stream = live.event_stream(spark, f"{work}/in", spark.read.parquet(f"{work}/in").schema)
-    counted = live.daily_counts(live.deduplicated(stream, "60 days"), "60 days")
+    written = spark.read.parquet(f"{work}/in")
+    # Files are in no order of time: nothing may be late within the span of the table.
+    span = written.agg(F.datediff(F.max("created_at"), F.min("created_at"))).first()[0] or 0
+    stream = live.event_stream(spark, f"{work}/in", written.schema)
+    counted = live.daily_counts(live.deduplicated(stream, f"{span + 2} days"), f"{span + 2} days")
     # Windows close after the watermark; batches up to then come out of the complete table instead.
     name = f"daily_{uuid.uuid4().hex}"
     counted.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start().awaitTermination()
