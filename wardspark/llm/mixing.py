@@ -1,20 +1,27 @@
 """Mixing to target weights by soft domain membership (operator 2).
 
 A naive Bayes classifier, fitted on a labelled table, gives every document a posterior over
-domains; its sharpness is calibrated on the labelled documents. Projected-gradient least squares
-then fits one nonnegative rate per document so that the expected tokens of each domain,
-sum over documents of rate x tokens x posterior, match the targets.
+domains; its sharpness is calibrated on labelled documents that it was not fitted on.
+Projected-gradient least squares then fits one nonnegative rate per document so that the expected
+tokens of each domain, sum over documents of rate x tokens x posterior, match the targets.
+
+The gradient of a document's rate is its posterior times one number a domain, so what steps have
+added up to is one number a domain as well: a rate is the start less posterior x those numbers,
+projected onto the bounds. Each step is one grouped aggregate over all documents, which tries
+several step lengths along the gradient scaled by the k x k Hessian of the rates that no bound holds.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, sized, stored
+from .common import sized, stored
 
 #: Word and word-ending features are hashed into so many buckets each; this bounds the model.
 BUCKETS = 1 << 18
@@ -22,9 +29,15 @@ BUCKETS = 1 << 18
 SIGNIFICANT = 3.0
 #: Powers to choose from by log-loss: of the likelihood of what a document has, and of what it lacks.
 SHARPNESS, ABSENCE = (0.02, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0), (0.0, 0.03, 0.1, 0.3, 1.0)
-MAX_STEPS, STORE_EVERY, TOLERANCE = 60, 10, 1e-4
-#: The fit has also settled, at targets that the bounds of the rates put out of reach, when no total moves further in so many steps.
-SETTLED, SETTLED_STEPS = 1e-4, 3
+#: One labelled document in so many chooses the powers and is not counted.
+HELD_OUT = 5
+#: Weight of the squared distance from the start rate, against that from the targets, both as shares of all
+#: tokens: it makes the rates unique and moves totals by about as much.
+RIDGE = 1e-5
+#: The fit ends when no domain's part of the projected gradient exceeds this share of all tokens.
+TOLERANCE = 1e-6
+#: Step lengths tried in one pass; passes after which the fit gives up with a warning.
+LENGTHS, MAX_STEPS = (1.0, 0.3, 0.1, 0.01), 100
 
 
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -54,44 +67,51 @@ class DomainClassifier:
         self.domains, self.priors, self.absence, self.weights, self.powers = domains, priors, absence, weights, powers
 
     @classmethod
-    def fit(cls, docs: DataFrame, labels: DataFrame) -> "DomainClassifier":
-        """docs (doc_id, text), labels (doc_id, domain); every labelled document is used."""
-        labels = stored(labels.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain")), "domain-labels")
-        counts = {r.domain: r["n"] for r in labels.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a domain
-        if not counts:
+    def fit(cls, docs: DataFrame, labels: DataFrame, significant: float = SIGNIFICANT) -> "DomainClassifier":
+        """docs (doc_id, text), labels (doc_id, domain); of the labelled documents one in HELD_OUT, by a hash of
+        the id, chooses the powers and the others are counted (all do both if either part is empty)."""
+        labels = labels.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
+        labels = stored(labels.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD_OUT)) == 0), "domain-labels")
+        domains = sorted(r.domain for r in labels.select("domain").distinct().collect())  # a row a domain
+        if not domains:
             raise ValueError("the labelled table has no domain")
-        domains = sorted(counts)
-        taught = docs.where("text is not null").join(sized(labels, 48), "doc_id")
-        f = features(taught, ["domain"])
-        pairs = f.where("bucket is not null").groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n"))
-        pairs = stored(pairs, "domain-counts")
-        held = {r.domain: r["n"] for r in taught.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a domain
+        known = docs.where("text is not null").join(sized(labels, 48), "doc_id")
+        known = stored(features(known, ["doc_id", "domain", "held"]), "domain-features")  # labelled documents only
+        sizes = known.groupBy("held", "domain").agg(F.countDistinct("doc_id").alias("n")).collect()  # two rows a domain
+        parted = {r.held for r in sizes} == {True, False}
+        held = {r.domain: r["n"] for r in sizes if not r.held or not parted}
         size = [held.get(d, 0) for d in domains]
-        by_bucket = pairs.groupBy("bucket").agg(
-            F.sum("n").alias("all"), *[F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)).alias(f"n{k}") for k, d in enumerate(domains)]
+        taught = known.where("not held") if parted else known
+        by_bucket = taught.where("bucket is not null").groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("all"), *[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{k}") for k, d in enumerate(domains)]
         )
-        totals = {r.domain: r["n"] for r in pairs.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
-        expected = [F.col("all") * F.lit(totals.get(d, 0) / max(1, sum(totals.values()))) for d in domains]
-        strays = [F.abs(F.col(f"n{k}") - e) / F.sqrt(e + 1) for k, e in enumerate(expected)]
-        telling = by_bucket.where(reduce(Column.__or__, [z >= SIGNIFICANT for z in strays]))
+        by_bucket = stored(by_bucket, "domain-counts")
+        k = range(len(domains))
+        totals = by_bucket.agg(F.sum("all").alias("all"), *[F.sum(f"n{i}").alias(f"n{i}") for i in k]).first()
+        expected = [F.col("all") * F.lit((totals[f"n{i}"] or 0) / max(1, totals["all"] or 0)) for i in k]
+        strays = [F.abs(F.col(f"n{i}") - e) / F.sqrt(e + 1) for i, e in enumerate(expected)]
+        telling = by_bucket.where(reduce(Column.__or__, [z >= significant for z in strays]))
         anywhere = (F.col("all") + 0.5) / (sum(size) + 1)
-        chance = [(F.col(f"n{k}") + anywhere) / (n + 1) for k, n in enumerate(size)]
+        chance = [(F.col(f"n{i}") + anywhere) / (n + 1) for i, n in enumerate(size)]
         absent = [F.log((1 - p) / (1 - anywhere)) for p in chance]
-        columns = [F.log((F.col(f"n{k}") + 1) / (e + 1)).alias(f"w{k}") for k, e in enumerate(expected)] + [a.alias(f"a{k}") for k, a in enumerate(absent)]
+        columns = [F.log((F.col(f"n{i}") + 1) / (e + 1)).alias(f"w{i}") for i, e in enumerate(expected)] + [a.alias(f"a{i}") for i, a in enumerate(absent)]
         weights = stored(telling.select("bucket", *columns), "domain-weights")
-        base = weights.agg(*[F.sum(F.round(F.col(f"a{k}") * 1e6).cast("long")) for k in range(len(domains))]).first()
-        total = sum(counts.values())
-        priors = [math.log(counts[d] / total) for d in domains]
-        model = cls(domains, priors, [(x or 0) / 1e6 for x in base], weights.drop(*[f"a{k}" for k in range(len(domains))]), (1.0, 1.0))
+        base = weights.agg(*[F.sum(F.round(F.col(f"a{i}") * 1e6).cast("long")) for i in k]).first()
+        present = {d: sum(r["n"] for r in sizes if r.domain == d) for d in domains}
+        total = sum(present.values())
+        priors = [math.log((present[d] + 0.5) / (total + 0.5 * len(domains))) for d in domains]
+        model = cls(domains, priors, [(x or 0) / 1e6 for x in base], weights.drop(*[f"a{i}" for i in k]), (1.0, 1.0))
         if len(domains) > 1:
-            model.powers = model._calibrated(taught)
+            model.powers = model._calibrated(known.where("held") if parted else known)
         return model
 
     def scores(self, docs: DataFrame, keep: list[str]) -> DataFrame:
         """(keep..., tokens, s0, s1, ...): summed log-likelihoods of the words of each document."""
+        return self._summed(features(docs, keep), keep)
+
+    def _summed(self, rows: DataFrame, keep: list[str]) -> DataFrame:
         k = range(len(self.domains))
-        small = F.broadcast(self.weights)  # at most 2 * BUCKETS rows
-        f = features(docs, keep).join(small, "bucket", "left")
+        f = rows.join(sized(self.weights, 8 * len(k) + 8), "bucket", "left")
         likelihood = [F.coalesce(f"w{i}", F.lit(0.0)) for i in k]
         # Sums of whole numbers do not depend on the order of rows.
         return f.groupBy(*keep).agg(
@@ -106,17 +126,21 @@ class DomainClassifier:
         parts = [F.exp(x - top) for x in logits]
         return [p / reduce(Column.__add__, parts) for p in parts]
 
-    def _calibrated(self, taught: DataFrame) -> tuple[float, float]:
-        """The powers of least log-loss over the labelled documents."""
+    def _calibrated(self, rows: DataFrame) -> tuple[float, float]:
+        """The powers of least log-loss over rows of features of labelled documents."""
         grid = [(has, lacks) for has in SHARPNESS for lacks in ABSENCE]
-        scored = stored(self.scores(taught, ["doc_id", "domain"]), "calibration")
-        losses = []
-        for powers in grid:
-            p = reduce(lambda x, y: F.coalesce(x, y), [F.when(F.col("domain") == d, c) for d, c in zip(self.domains, self.posterior(powers), strict=True)])
-            losses.append(F.avg(-F.log(F.greatest(p, F.lit(1e-12)))).alias(f"t{len(losses)}"))
-        row = scored.agg(*losses).first()
-        known = [(row[f"t{i}"], powers) for i, powers in enumerate(grid) if row[f"t{i}"] is not None]
-        return min(known)[1] if known else (1.0, 1.0)
+        scored = self._summed(rows, ["doc_id", "domain"]).select(
+            F.array(*[F.col(f"s{i}") / 1e6 for i in range(len(self.domains))]).alias("s"),
+            F.array_position(F.array(*map(F.lit, self.domains)), F.col("domain")).cast("int").alias("at"),
+        )
+        # The grid is a row a choice, so that one small expression serves all of it.
+        tried = scored.select("*", F.posexplode(F.array(*[F.struct(F.lit(h).alias("has"), F.lit(a).alias("lacks")) for h, a in grid])).alias("place", "g"))
+        base = F.arrays_zip(F.col("s"), F.array(*map(F.lit, self.priors)).alias("prior"), F.array(*map(F.lit, self.absence)).alias("absence"))
+        logits = tried.select("place", "at", F.transform(base, lambda x: x["prior"] + F.col("g.lacks") * x["absence"] + F.col("g.has") * x["s"]).alias("x"))
+        centred = logits.select("place", "at", F.transform("x", lambda v: v - F.array_max("x")).alias("x"))
+        loss = F.least(F.lit(27.7), F.log(F.aggregate("x", F.lit(0.0), lambda n, v: n + F.exp(v))) - F.element_at("x", F.col("at")))
+        losses = centred.groupBy("place").agg(F.sum(F.round(loss * 1e6).cast("long")).alias("loss")).collect()  # a row a choice
+        return min(((r["loss"], grid[r["place"]]) for r in losses), default=(0, (1.0, 1.0)))[1]
 
 
 def mixing_rates(
@@ -133,13 +157,11 @@ def mixing_rates(
     ``labels`` has doc_id and domain; ``weights`` are target shares of tokens (white-space words)
     by domain, domains without one get 0; targets sum to ``total_factor`` times all tokens.
     Minimises the squared distance of expected domain totals to the targets over rates in
-    [0, max_rate] by accelerated projected gradient from rate 1, scaled by tokens, until totals are
-    within 1e-4 of the whole, no longer move by as much in three steps, or 60 steps are made. Each step reads a few numbers a document and brings one
-    number a domain to the driver.
+    [0, max_rate], of equally good rates those nearest to the start (1, or max_rate if that is less).
 
     Null, empty and blank texts have 0 tokens, the prior as posterior and the rate that it gets.
     Null ids are dropped. Rows that repeat an id are one document with the words of all of them.
-    Labels of unknown documents only count for the prior. An empty table gives no rows. Other
+    Labels of unknown documents only name a domain. An empty table gives no rows. Other
     columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
@@ -148,74 +170,67 @@ def mixing_rates(
     scored = model.scores(rows.where("text is not null"), ["doc_id"])
     none = rows.select("doc_id", F.lit(0).cast("long").alias("tokens"), *[F.lit(0).cast("long").alias(f"s{i}") for i in k])
     scored = scored.unionByName(none).groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), *[F.sum(f"s{i}").alias(f"s{i}") for i in k])
-    table = scored.select("doc_id", "tokens", *[p.alias(f"p{i}") for i, p in enumerate(model.posterior())])
-    table = stored(table, "posteriors")
+    table = stored(scored.select("doc_id", "tokens", *[p.alias(f"p{i}") for i, p in enumerate(model.posterior())]), "posteriors")
+    shares = [total_factor * weights.get(d, 0.0) / max(sum(weights.values()), 1e-12) for d in model.domains]
+    moved = fitted(table, shares, max_rate)
+    rate = _projected(F.array(*[F.lit(float(x)) for x in moved]), len(shares), max_rate)
+    return table.select("doc_id", "tokens", rate.alias("rate"), *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(model.domains)])
+
+
+def _projected(moved: Column, n: int, max_rate: float) -> Column:
+    """Rates: the start less the product of the posteriors p0, p1, ... and an array, within the bounds."""
+    step = reduce(Column.__add__, [F.get(moved, F.lit(i)) * F.col(f"p{i}") for i in range(n)])
+    return F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), F.lit(min(1.0, max_rate)) - step))
+
+
+def fitted(table: DataFrame, shares: list[float], max_rate: float) -> np.ndarray:
+    """One number a domain for ``_projected``, of a stored table (tokens, p0, p1, ...) and target shares of its tokens.
+
+    With rates as shares of all tokens, the objective is half the squared distance of the totals y from the
+    targets t plus RIDGE / 2 times that of the rates from the start r0. Its gradient is zero, where no bound holds, at
+    r = r0 - p . (y - t) / RIDGE, so the fit seeks the m with m RIDGE = y(m) - t, which has one solution: both
+    sides are monotone, and their difference is the gradient of a convex function of m, whose value guards the steps.
+    """
+    n, start = len(shares), min(1.0, max_rate)
+    whole = table.agg(F.sum("tokens")).first()[0] or 0
+    target, at, steps = np.array(shares), np.zeros(n), [np.zeros(n)]
+    if not whole:
+        return at
 
     def exact(x: Column) -> Column:  # whole numbers: sums are the same in any order of rows
-        return F.sum(F.round(x * 1000).cast("decimal(38,0)")) / 1000
-
-    first = table.agg(
-        F.sum("tokens").alias("t"),
-        *[exact(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"h{i}_{j}") for i in k for j in k],
-    ).first()
-    whole = float(first["t"] or 0)
-    targets = [total_factor * whole * weights.get(d, 0.0) / max(sum(weights.values()), 1e-12) for d in model.domains]
-    start = F.lit(min(1.0, max_rate))
-    state = table.withColumn("rate", start).withColumn("last", start)
-    steps: list[tuple[float, list[float]]] = []
-    if whole:
-        # In rates scaled by the root of the tokens the Hessian is the sum of tokens x p p'.
-        step = 1.0 / _largest_eigenvalue([[float(first[f"h{i}_{j}"]) for j in k] for i in k])
-        momentum, before, still = 1.0, None, 0
-        for n in range(1, MAX_STEPS + 1):
-            following = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
-            ahead, momentum = (momentum - 1) / following, following
-            now = _after(steps, max_rate, k)
-            point = now["rate"] + F.lit(ahead) * (now["rate"] - now["last"])
-            row = state.agg(
-                *[exact(point * F.col("tokens") * F.col(f"p{i}")).alias(f"y{i}") for i in k],
-                *[exact(now["rate"] * F.col("tokens") * F.col(f"p{i}")).alias(f"r{i}") for i in k],
-            ).first()
-            totals = [float(row[f"r{i}"]) for i in k]
-            if max(abs(x - t) for x, t in zip(totals, targets, strict=True)) <= TOLERANCE * whole:
-                break
-            moved = before is None or max(abs(x - y) for x, y in zip(totals, before, strict=True)) > SETTLED * whole
-            before, still = totals, 0 if moved else still + 1
-            if still >= SETTLED_STEPS:
-                break
-            steps.append((ahead, [-step * (float(row[f"y{i}"]) - targets[i]) for i in k]))
-            if n % STORE_EVERY == 0:
-                done = _after(steps, max_rate, k)
-                settled = state.select("doc_id", "tokens", *[f"p{i}" for i in k], done["rate"].alias("rate"), done["last"].alias("last"))
-                state, old, steps = stored(settled, "rates"), state, []
-                dropped(old)
-    rate = _after(steps, max_rate, k)["rate"]
-    return state.select("doc_id", "tokens", rate.alias("rate"), *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(model.domains)])
-
-
-def _largest_eigenvalue(m: list[list[float]]) -> float:
-    """Of a small nonnegative symmetric matrix, by power iteration, rounded up a little."""
-    v = [1.0] * len(m)
-    size = 1.0
-    for _ in range(100):
-        v = [sum(a * b for a, b in zip(row, v, strict=True)) for row in m]
-        size = max(max(v), 1e-300)
-        v = [x / size for x in v]
-    return size * 1.001
-
-
-def _after(steps: list[tuple[float, list[float]]], max_rate: float, k: range) -> Column:
-    """(rate, last) after the steps: each moves ahead along the last change, adds its gradient step and projects."""
-    now = F.struct(F.col("rate").alias("rate"), F.col("last").alias("last"))
-    if not steps:
-        return now
-    literals = F.array(*[F.struct(F.lit(ahead).alias("ahead"), *[F.lit(g[i]).alias(f"g{i}") for i in k]) for ahead, g in steps])
-
-    def move(x: Column, g: Column) -> Column:
-        to = x["rate"] + g["ahead"] * (x["rate"] - x["last"]) + reduce(Column.__add__, [g[f"g{i}"] * F.col(f"p{i}") for i in k])
-        return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(max_rate), to)).alias("rate"), x["rate"].alias("last"))
-
-    return F.aggregate(literals, now, move)
+        return F.sum(F.round(x * 1000).cast("decimal(38,0)")).cast("double") / (1000.0 * whole)
+
+    upper = [(i, j) for i in range(n) for j in range(i, n)]
+    best = None
+    for _ in range(MAX_STEPS):
+        # Literals of arrays are data and not code, so all passes share one compiled plan.
+        tried = table.select("tokens", *[f"p{i}" for i in range(n)], F.explode(F.array(*[F.struct(F.lit(x).alias("place"), F.array(*[F.lit(float(v)) for v in m]).alias("m")) for x, m in enumerate(steps)])).alias("x"))
+        rated = tried.select("x.place", "tokens", *[f"p{i}" for i in range(n)], F.col("x.m").alias("m"), _projected(F.col("x.m"), n, max_rate).alias("rate"))
+        pull = reduce(Column.__add__, [F.get("m", F.lit(i)) * F.col(f"p{i}") for i in range(n)])
+        free = F.when((F.col("rate") > 0) & (F.col("rate") < max_rate), F.col("tokens")).otherwise(0)
+        sums = rated.groupBy("place").agg(
+            exact(F.col("tokens") * (-F.col("rate") * pull - (F.col("rate") - start) * (F.col("rate") - start) / 2)).alias("value"),
+            *[exact(F.col("tokens") * F.col("rate") * F.col(f"p{i}")).alias(f"y{i}") for i in range(n)],
+            *[exact(free * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"h{i}_{j}") for i, j in upper],
+        ).collect()  # a row a step length
+        found = []
+        for r in sums:
+            m = steps[r["place"]]
+            off = np.array([r[f"y{i}"] for i in range(n)]) - target - RIDGE * m
+            found.append((r["value"] + float(target @ m) + RIDGE / 2 * float(m @ m), float(np.abs(off).max()), r["place"], m, off, r))
+        nearest = min(found, key=lambda x: x[1])
+        if nearest[1] <= TOLERANCE:
+            return nearest[3]
+        lowest = min(found, key=lambda x: (x[0], x[2]))
+        # At the level of rounding the value cannot tell steps apart; the gradient can.
+        best = nearest if best is not None and nearest[1] < best[1] and nearest[0] <= best[0] + 1e-9 else lowest
+        h = np.zeros((n, n))
+        for i, j in upper:
+            h[i, j] = h[j, i] = best[5][f"h{i}_{j}"]
+        step = np.linalg.solve(h + RIDGE * np.eye(n), best[4])
+        steps = [best[3] + length * step for length in LENGTHS]
+    warnings.warn(f"the fit of mixing rates stopped after {MAX_STEPS} steps with a gradient of {best[1]:.1e}", stacklevel=2)
+    return best[3]
 
 
 def mix(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id") -> DataFrame:
