@@ -8,10 +8,13 @@ stage, which leaves them out. Empty tables pass through.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wardspark.llm import decontaminate, jaccard_join, kneser_ney, mixing, token_ids
 from wardspark.llm.common import sized, stored, table
-from wardspark.llm.queries import TARGET_WEIGHTS, domain_labels, tokenizer_path, trusted_ids
+from wardspark.llm.queries import domain_labels, tokenizer_path, trusted_ids
+
+MIXTURE_WEIGHTS = {"clean": 0.97, "toxic": 0.03}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +35,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are thinned by their rates; targets lie above what good documents hold, so these stay whole."""
-    rates = mixing.mixing_rates(docs, domain_labels(spark, sf_dir), TARGET_WEIGHTS, total_factor=1.1, max_rate=1.0)
-    return mixing.mix(docs, rates)
+    """Documents are repeated or thinned by rates that bring the expected tokens of each domain to the target weights.
+
+    The quality stage has left next to no junk to weigh, so domains here are toxic and clean.
+    """
+    domain = F.when(F.col("domain") == "toxic", "toxic").otherwise("clean").alias("domain")
+    labels = domain_labels(spark, sf_dir).select("doc_id", domain)
+    return mixing.mix(docs, mixing.mixing_rates(docs, labels, MIXTURE_WEIGHTS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
