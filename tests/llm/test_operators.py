@@ -12,6 +12,7 @@ from pyspark.sql import Row
 
 from wardspark.llm import chat, decontaminate, embedding_dedup, jaccard_join, kneser_ney, licenses, line_dedup, mixing, rans, sharding, token_ids
 from wardspark.llm.queries import tokenizer_path
+from wardspark.llm.shingles import word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use for their own.
@@ -89,6 +90,26 @@ def test_jaccard_join_equals_brute_force(docs, texts):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got.values())
 
 
+def test_jaccard_join_over_many_blocks(spark):
+    rng = random.Random(21)
+    base = [words(rng, 60) for _ in range(4)]
+    texts = {}
+    for i in range(60):  # chains: each text is near its neighbours and not near the others
+        w = base[i % 4].split()
+        for k in range(i // 4):
+            w[k * 4 % 60] = f"x{k}"
+        texts[i] = " ".join(w)
+    # An id whose rows have different sets of the same size
+    texts[100], other = words(rng, 40), words(rng, 40)
+    df = spark.createDataFrame([*texts.items(), (100, other), (101, other)], "doc_id long, text string")
+    sets = {i: shingles(t) for i, t in texts.items()} | {101: shingles(other)}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8] + [(100, 101)]
+    got = {r.doc_id: r for r in jaccard_join.jaccard_classes(df, block=4).collect()}
+    assert {i: r.class_id for i, r in got.items()} == smallest_reachable(sets, links)
+    assert all(got[i].n_links == sum(i in pair for pair in links) for i in sets)
+    assert {i: r.class_id for i, r in got.items()} == {r.doc_id: r.class_id for r in jaccard_join.jaccard_classes(df).collect()}
+
+
 def test_jaccard_join_drops_all_but_one_of_a_class(docs, none):
     classes = {r.doc_id: r.class_id for r in jaccard_join.jaccard_classes(docs).collect()}
     left = jaccard_join.drop_near_duplicates(docs)
@@ -149,6 +170,25 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_dedup.cosine_components(df.where("false")).count() == 0
 
 
+def test_embeddings_over_many_blocks(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(90, 6))
+    vectors = np.concatenate([base, base[:40] + 0.2 * rng.normal(size=(40, 6)), np.repeat(base[:1], 30, axis=0), -0.0 * base[:1] + base[1:2]])
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)] + [(5, vectors[5].tolist(), 0), (6, vectors[7].tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, copies int")
+    ids = np.array([r[0] for r in rows])
+    m = np.array([r[1] for r in rows])
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    low = smallest_reachable(set(ids.tolist()), [(int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(near), strict=True)])
+    degree = {i: max(int(near[k].sum()) for k in np.flatnonzero(ids == i)) for i in set(ids.tolist())}
+    for block in (8, 4096):
+        got = {r.vec_id: r for r in embedding_dedup.cosine_components(df, block=block).collect()}
+        assert {i: r.component_id for i, r in got.items()} == low
+        assert {i: r.n_links for i, r in got.items()} == degree
+
+
 def test_tiles_agree_with_one_product():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(700, 16)), rng.normal(size=(300, 16))
@@ -193,6 +233,31 @@ def test_token_ids_equal_the_tokenizer(spark, docs, none):
     assert token_ids.read_token_digest(spark, token_ids.write_token_ids(none, tokenizer_path(), end_id=2)).count() == 0
 
 
+def test_words_are_known_by_their_bytes():
+    """Two words that every polynomial hash modulo a power of two confuses, and strings of added tokens."""
+    from tokenizers import Tokenizer
+
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    tokenizer, encoder = Tokenizer.from_file(tokenizer_path()), token_ids.WordEncoder(tokenizer_path(), 2)
+    texts = [word, other, f"{other} {word}", word[:64], other[:64], "hello <|endoftext|> x", "two  <|endoftext|>  <|endoftext|>", "hello x", ""]
+    for batch in (texts, texts[::-1]):
+        flat, n = encoder.encode(batch)
+        for text, at, k in zip(batch, (np.cumsum(n) - n).tolist(), n.tolist(), strict=True):
+            assert flat[at : at + k].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], text
+    a, b = (word_hashes(f"{x} end") for x in (word, other))
+    assert a[0] != b[0] and a[1] == b[1]
+    # Words that share a key: the second is told from the first by its bytes.
+    clash = token_ids.WordEncoder(tokenizer_path(), 2)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(token_ids, "span_hashes", lambda raw, starts, ends: np.full(len(starts), 7, np.uint64))
+        for batch in (["one two three", "two"], ["three one", "onf"]):
+            flat, n = clash.encode(batch)
+            assert flat.tolist() == [x for t in batch for x in [*tokenizer.encode(t, add_special_tokens=False).ids, 2]]
+
+
 def test_cut_words_give_the_ids_of_whole_texts():
     from tokenizers import Tokenizer
 
@@ -241,6 +306,11 @@ def test_shards_are_contiguous_and_balanced(spark, docs, none):
     assert sorted((r.size, r.text_crc32) for r in out) == source
     for shard in {r.shard for r in out}:
         assert [r.slot for r in out if r.shard == shard] == list(range(sum(r.shard == shard for r in out)))
+    # The cut once more in plain Python: the shard of a row is where the middle of its bytes falls.
+    total = sum(r.size for r in out)
+    assert [r.shard for r in out] == [min(3, (2 * r.start + r.size) * 4 // (2 * total)) for r in out]
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size)
+    assert [key(r) for r in out] == sorted(map(key, out))
     many = spark.range(2000).selectExpr("id as doc_id", "repeat('x', cast(id % 50 as int)) as text")
     sizes = [r["sum(size)"] for r in sharding.assign_shards(many, 16).groupBy("shard").sum("size").collect()]
     assert len(sizes) == 16 and max(sizes) - min(sizes) <= 2 * 51
@@ -252,6 +322,46 @@ def test_written_shards_hold_all_rows(docs, tmp_path):
     assert sorted((str(r.row.doc_id), r.row.text or "") for r in back.collect()) == sorted((str(r.doc_id), r.text or "") for r in docs.collect())
 
 
+def test_written_shards_of_repeated_rows_and_none(spark, none, tmp_path):
+    df = spark.createDataFrame([(None, None)] * 3 + [(1, "x")] * 4 + [(2, "y" * 300_000)], "doc_id long, text string").selectExpr("*", "9 as shard", "9 as slot", "9 as copy")
+    back = sharding.write_shards(df, str(tmp_path / "odd"), 2).collect()
+    assert sorted((r.row.doc_id or 0, len(r.row.text or "")) for r in back) == [(0, 0)] * 3 + [(1, 1)] * 4 + [(2, 300_000)]
+    assert sorted((r.shard, r.slot) for r in back) == [(0, i) for i in range(7)] + [(1, 0)]
+    assert sharding.write_shards(none, str(tmp_path / "none"), 2).count() == 0
+
+
+def test_repeated_lines_of_odd_tables(spark):
+    rng = random.Random(5)
+    block = [words(rng, 12) for _ in range(5)]
+    long_text = "\n".join(words(rng, 9) for _ in range(4000))
+    rows = [(1, "\n".join(block)), (1, "\n".join(block)), (2, "\n".join(block + ["own line"])), (2, "\n".join(["another", *block])), (3, long_text), (4, long_text + "\nend of it"), (5, None), (6, "\n\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as pos", "1 as h", "1 as copy", "1 as lines", "1 as at")
+    got = line_dedup.drop_repeated_lines(df).collect()
+    by_id = {i: sorted(r.text for r in got if r.doc_id == i and r.text is not None) for i in range(1, 7)}
+    assert by_id[1] == ["\n".join(block)] * 2  # equal rows of one id aren't repeats of each other
+    assert by_id[2] == ["another", "own line"]
+    assert by_id[3] == [long_text] and by_id[4] == ["end of it"] and by_id[5] == [] and by_id[6] == ["\n\n"]
+
+
+def test_decontamination_of_ties_and_long_texts(spark):
+    rng = random.Random(6)
+    item = words(rng, 300)
+    docs = [(1, words(rng, 100_000) + " " + item), (2, item), (2, item), (3, " ".join(item.split()[:230])), (4, " ".join(item.split()[:245])), (5, "same " * 50)]
+    items = [(1, item), (2, item), (3, "same same same same same same"), (4, "same " * 9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item_id", "1 as h", "1 as q", "1 as length")
+    got = {(r.doc_id, r.item_id): (r.shared, r.item_shingles) for r in decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d, i): (n, 296) for d, n in ((1, 296), (2, 296), (4, 241)) for i in (1, 2)} | {(5, 3): (1, 1), (5, 4): (1, 1)}
+
+
+def test_licences_of_odd_tables(spark):
+    rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (2, words(random.Random(1), 60_000) + "\nLicensed under CC BY 4.0."), (3, "alpha beta gamma")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as license", "1 as tid", "1 as unit", "1 as copy")
+    assert {(r.doc_id, r.unit, r.place, r.license) for r in licenses.license_matches(df).collect()} == {(1, "line", 0, "MIT"), (2, "line", 1, "CC-BY-4.0")}
+    own = spark.createDataFrame([("B", "alpha beta gamma"), ("A", "alpha beta gamma"), ("C", "")], "license string, text string")
+    assert [(r.doc_id, r.license, r.dice) for r in licenses.license_matches(df, own).collect()] == [(3, "A", 1.0)]
+    assert licenses.license_matches(df, own.where("false")).count() == 0
+
+
 def test_repeated_lines_go(spark, none):
     rng = random.Random(2)
     block = [words(rng, 8) for _ in range(6)]
@@ -341,6 +451,44 @@ def test_mixing_reaches_its_targets(spark):
     assert mixing.mixing_rates(df.where("false"), spark.createDataFrame(labels, "doc_id long, domain string"), goal).count() == 0
 
 
+@pytest.mark.parametrize("max_rate, goal", [(4.0, (0.3, 0.3, 0.4)), (1.0, (0.5, 0.1, 0.1)), (1.5, (0.1, 0.1, 2.0)), (4.0, (0.0, 0.0, 1.0)), (0.5, (1.0, 1.0, 1.0))])
+def test_rates_equal_a_bounded_least_squares_fit(spark, max_rate, goal):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet((0.4, 0.3, 0.2), 300)
+    p[:20] = p[0]  # ties
+    tokens = rng.integers(0, 200, 300)
+    table = spark.createDataFrame([(int(t), *map(float, x)) for t, x in zip(tokens, p, strict=True)], "tokens long, p0 double, p1 double, p2 double")
+    m = mixing.fitted(table, list(goal), max_rate)
+    start = min(1.0, max_rate)
+    rate = np.clip(start - p @ m, 0, max_rate)
+    w = tokens / tokens.sum()
+
+    def value(r):
+        return ((p.T @ (w * r) - goal) ** 2).sum() / 2 + mixing.RIDGE / 2 * (w * (r - start) ** 2).sum()
+
+    # The same objective by many plain projected-gradient steps in numpy.
+    r, last, momentum = np.full(300, start), np.full(300, start), 1.0
+    length = 1 / (np.linalg.eigvalsh((p * w[:, None]).T @ p)[-1] + mixing.RIDGE)
+    for _ in range(20_000):
+        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        ahead = r + (momentum - 1) / following * (r - last)
+        gradient = p @ (p.T @ (w * ahead) - goal) + mixing.RIDGE * (ahead - start)
+        last, r, momentum = r, np.clip(ahead - length * gradient, 0, max_rate), following
+    assert value(rate) <= value(r) + 1e-8
+    assert np.abs(p.T @ (w * rate) - p.T @ (w * r)).max() < 2e-3
+
+
+def test_mixing_of_odd_tables(spark):
+    rows = [(1, "a b c"), (2, None), (3, ""), (4, "x " * 200_000), (4, "y"), (5, "a b c"), (None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as tokens", "1 as rate", "1 as held")
+    one = spark.createDataFrame([(1, "only"), (99, "only"), (None, "x"), (2, None)], "doc_id long, domain string")
+    got = {r.doc_id: r for r in mixing.mixing_rates(df, one, {"only": 1.0}, total_factor=2.0).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and got[4].tokens == 200_001 and got[2].tokens == 0
+    assert all(abs(r.rate - 2) < 1e-3 and r.p_only == 1 for r in got.values())
+    with pytest.raises(ValueError):
+        mixing.mixing_rates(df, one.where("false"), {"only": 1.0})
+
+
 def test_quality_of_odd_texts(docs, none, spark):
     trusted = spark.createDataFrame([(i,) for i in range(20)] + [(None,), (777,)], "doc_id long")
     got = {r.doc_id: r for r in kneser_ney.classify(docs, trusted).collect()}

@@ -1,10 +1,12 @@
 """Benchmark decontamination by size-partitioned MinHash containment (operator 7).
 
 Items are partitioned by the size of their shingle sets. An item's sketch holds its smallest
-shingle hashes, a bottom-k MinHash sample; k belongs to the size partition. A document has an
-item as a candidate if it holds a shingle of the item's sketch below the partition's ceiling;
-a document is long, so its side of the search is all its shingles and not a sketch that would
-lose short items. Candidates are verified by exact containment of the shingle sets.
+shingle hashes, a bottom-k MinHash sample; k belongs to the size partition and is more than the
+shingles that an item of the partition may lack, so none is missed. A document has an
+item as a candidate if it holds a shingle of the item's sketch; shingles beyond the largest hash
+of all sketches of their length are not looked up. A document is long, so its side of the search is all
+its shingles and not a sketch that would lose short items. Candidates are verified by exact
+containment of the shingle sets.
 """
 
 from __future__ import annotations
@@ -16,9 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import clean_words, sized, stored
 
-#: More sketch hashes than this are never needed: at containment 0.8, 0.2 ** 16 of the items are missed.
-LARGEST_SKETCH = 16
-
 
 def runs(w: Column, size: int, hashed) -> Column:
     """Hashes of the runs of ``size`` elements of an array with at least as many."""
@@ -56,9 +55,8 @@ def contaminated(
     """One row per document and item that it contains: doc_id, item_id, shared, item_shingles, containment.
 
     Containment is the share of the item's different shingles that the document has; pairs from
-    ``threshold`` on are returned. A sketch of more than (1 - threshold) x q hashes cannot be
-    missed, so items of up to 79 shingles are found with certainty at 0.8; larger ones are missed
-    with probability below 1e-11.
+    ``threshold`` on are returned. A sketch of more than (1 - threshold) x q of an item's q hashes
+    cannot be missed by a document that holds the rest, so every item is found.
 
     Items of fewer words than a shingle are one shingle of their words. Null, empty and wordless
     items and documents match nothing; null ids are dropped. Items that repeat an id count as one
@@ -72,7 +70,7 @@ def contaminated(
     part = F.floor(F.log2("q")).cast("int")
     ranked = shingles.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "length").orderBy("h")))
     tops = shingles.groupBy(part.alias("part")).agg(F.max("q").alias("most"))
-    need = F.least(F.floor(F.lit(1 - threshold) * F.col("most") + 1e-9) + 1, F.lit(LARGEST_SKETCH))
+    need = F.floor(F.lit(1 - threshold) * F.col("most") + 1e-9) + 1
     sketches = ranked.join(tops, "part").where(F.col("rank") <= need).select("item_id", "length", "part", "h")
     sketches = stored(sketches, "item-sketches")
     found = []

@@ -11,16 +11,18 @@ are dropped. The rest are compared exactly, in double precision, on the vectors
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored
+from .common import connected_components, sized, stored
 
-BLOCK = 4096  # vectors in a block, on average
+BLOCK = 4096  # default number of vectors in a block, on average
 ROWS = 512  # rows of a block multiplied at once
 SLACK = 1e-4  # bounds are in single precision
 LEADING = 0.25  # share of the coordinates in the first product
@@ -43,6 +45,13 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a 128-bit cryptographic digest of each vector, which stands for its value."""
+    for batch in batches:
+        digests = [blake2b(v.values.to_numpy().tobytes(), digest_size=16).digest() for v in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=["vec_id", "v", "digest"])
+
+
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
@@ -69,7 +78,7 @@ def _first_coordinate(axis: np.ndarray):
         for batch in batches:
             if batch.num_rows:
                 first = _unit(_matrix(batch.column(2))) @ axis
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first)], names=["rep", "copies", "v", "first"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first)], names=["rep", "copies", "v", "digest", "first"])
 
     return run
 
@@ -127,7 +136,8 @@ def _compare(axes: np.ndarray, threshold: float):
         m = _matrix(group.column("v").chunk(0))
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = not len(b) and group.column("x")[0] == group.column("y")[0]
-        empty = pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
+        digests = group.column("digest")
+        empty = pa.table({"rep": pa.array([], pa.int64()), "digest": pa.array([], pa.binary()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
         if same:
             b = a
         if not len(a) or not len(b):
@@ -149,12 +159,12 @@ def _compare(axes: np.ndarray, threshold: float):
                 root[max(x, y)] = min(x, y)
         some = np.flatnonzero(links > 0)
         top = np.array([find(x) for x in some], np.int64)
-        return pa.table({"rep": pa.array(reps[some]), "links": pa.array(links[some]), "other": pa.array(reps[top])})
+        return pa.table({"rep": pa.array(reps[some]), "digest": digests.take(pa.array(some)), "links": pa.array(links[some]), "other": pa.array(reps[top])})
 
     return run
 
 
-def cosine_components(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def cosine_components(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     n_links counts the other vectors with cosine >= ``threshold`` (positive), component_id is the
@@ -170,47 +180,46 @@ def cosine_components(vectors: DataFrame, threshold: float = 0.9, id_col: str =
         raise ValueError("threshold must be in (0, 1]")
     ids = vectors.select(F.col(id_col).cast("long").alias("vec_id")).where("vec_id is not null").distinct()
     rows = valid_vectors(vectors, id_col, vector_col)
-    # -0.0 and 0.0 are one value; equal vectors are found by two hashes and then by value.
-    rows = stored(rows.select("vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")), "vectors")
-    key = [F.xxhash64("v").alias("k1"), F.hash("v").alias("k2"), F.size("v").alias("dim")]
-    keyed = rows.select("vec_id", "v", *key)
-    classes = stored(keyed.groupBy("k1", "k2", "dim").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "vector-classes")
-    members = keyed.select("vec_id", "k1", "k2", "dim").join(classes.select("k1", "k2", "dim", "rep", "copies"), ["k1", "k2", "dim"])
+    # -0.0 and 0.0 are one value. Equal vectors have equal digests.
+    rows = rows.select("vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
+    keyed = stored(rows.mapInArrow(_digests, "vec_id long, v array<double>, digest binary"), "vectors").withColumn("dim", F.size("v"))
+    classes = stored(keyed.groupBy("digest", "dim").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "vector-classes")
     found = []
     for dim, n in [(r.dim, r["n"]) for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()]:
-        mine = classes.where(F.col("dim") == dim).select("rep", "copies", "v")
+        mine = classes.where(F.col("dim") == dim).select("rep", "copies", "v", "digest")
         axes = principal_axes(mine, dim)
-        placed = stored(mine.mapInArrow(_first_coordinate(axes[:, 0]), "rep long, copies long, v array<double>, first double"), "placed")
-        blocks = max(1, math.ceil(n / BLOCK))
+        placed = stored(mine.mapInArrow(_first_coordinate(axes[:, 0]), "rep long, copies long, v array<double>, digest binary, first double"), "placed")
+        blocks = max(1, math.ceil(n / block))
         cuts = sorted(set(placed.agg(F.percentile_approx("first", [k / blocks for k in range(1, blocks)], 100 * blocks)).first()[0])) if blocks > 1 else []
         # |a - b| of unit vectors at the threshold bounds how far apart first coordinates can be.
         reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
         low, high = [-math.inf, *cuts], [*cuts, math.inf]
-        near = [[y for y in range(len(low)) if low[y] <= high[x] + reach and low[x] <= high[y] + reach] for x in range(len(low))]
-        block = F.expr(" + ".join(["0", *[f"int(first > {c!r}D)" for c in cuts]])) if len(cuts) < 50 else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("first")))
-        spans = F.array(*[F.struct(F.lit(min(y)).alias("a"), F.lit(max(y)).alias("b")) for y in near])
-        tiles = placed.withColumn("block", block.cast("int")).withColumn("span", F.get(spans, F.col("block")))
+        near = [(bisect_left(high, low[x] - reach), bisect_right(low, high[x] + reach) - 1) for x in range(len(low))]
+        place = F.expr(" + ".join(["0", *[f"int(first > {c!r}D)" for c in cuts]])) if len(cuts) < 50 else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("first")))
+        spans = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in near])
+        tiles = placed.withColumn("block", place.cast("int")).withColumn("span", F.get(spans, F.col("block")))
         # A block that ties make too large is cut further by a hash of the id.
-        sizes = stored(tiles.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).cast("int").alias("subs")), "block-sizes")
-        subs = F.broadcast(sizes)  # one row a block
+        sizes = stored(tiles.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (2 * block)).cast("int").alias("subs")), "block-sizes")
+        subs = sized(sizes, 16)  # one row a block
         tiles = tiles.join(subs, "block").withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int"))
         tiles = tiles.select("*", F.explode(F.sequence("span.a", "span.b")).alias("other"))
         tiles = tiles.join(subs.select(F.col("block").alias("other"), F.col("subs").alias("other_subs")), "other")
         tiles = tiles.select("*", F.explode(F.sequence(F.lit(0), F.col("other_subs") - 1)).alias("other_sub"))
         here, there = F.struct(F.col("block").alias("b"), F.col("sub").alias("s")), F.struct(F.col("other").alias("b"), F.col("other_sub").alias("s"))
         tiles = tiles.select(
-            F.least(here, there).alias("x"), F.greatest(here, there).alias("y"), F.when(here <= there, 0).otherwise(1).alias("side"), "rep", "copies", "v"
+            F.least(here, there).alias("x"), F.greatest(here, there).alias("y"), F.when(here <= there, 0).otherwise(1).alias("side"), "rep", "copies", "v", "digest"
         )
-        found.append(stored(tiles.groupBy("x", "y").applyInArrow(_compare(axes, threshold), "rep long, links long, other long"), "vector-links"))
+        found.append(stored(tiles.groupBy("x", "y").applyInArrow(_compare(axes, threshold), "rep long, digest binary, links long, other long"), "vector-links"))
     if not found:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
-    counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
+    # Links belong to a class, as an id whose vectors differ may stand for several; components belong to ids.
+    counts = links.groupBy("digest", "rep").agg(F.sum("links").alias("links"))
     final = connected_components(links.select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    linked = counts.join(final.select(F.col("node").alias("rep"), "component"), "rep", "full")
-    out = members.join(linked, "rep", "left").groupBy("vec_id").agg(
+    linked = classes.select("digest", "dim", "rep", "copies").join(counts, ["digest", "rep"], "left").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    out = keyed.select("vec_id", "digest", "dim").join(linked, ["digest", "dim"]).groupBy("vec_id").agg(
         F.max(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component_id")
     )
     out = ids.join(out, "vec_id", "left")

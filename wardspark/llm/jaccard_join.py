@@ -28,7 +28,7 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 STEP = 32  # MinHash values compared between two prunings
 TOLERANCE = 1e-9
-BLOCK = 384  # classes in a block, on average
+BLOCK = 384  # default number of classes in a block, on average
 BAND_BYTES = 2 * ROWS
 
 _seeds = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -63,6 +63,13 @@ def least_matches(threshold: float, tolerance: float = TOLERANCE) -> np.ndarray:
 SIGNED = "doc_id long, n_shingles int, set_low long, set_high long, sig binary"
 
 
+def set_hashes(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set of shingles, which with its size are the key of its class."""
+    low = np.bitwise_xor.reduce(mix(shingles + np.uint64(1)))
+    high = np.add.reduce(mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+    return int(low.astype(np.int64)), int(high.astype(np.int64))
+
+
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,8 +78,9 @@ def _sign(size: int):
                 s = shingle_set(text.as_py(), size)
                 ids.append(doc_id.as_py())
                 counts.append(len(s))
-                lows.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(1))).astype(np.int64)) if len(s) else 0)
-                highs.append(int(np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))).astype(np.int64)) if len(s) else 0)
+                low, high = set_hashes(s)
+                lows.append(low)
+                highs.append(high)
                 sigs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(counts, pa.int32()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64()), pa.array(sigs, pa.binary())],
@@ -85,8 +93,13 @@ def _sign(size: int):
 def _shingled(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), size).astype("<u8").tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+            sets = [shingle_set(t.as_py(), size).astype("<u8") for t in batch.column(1)]
+            keys = [set_hashes(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), *[pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)],
+                 pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["rep", "n_shingles", "set_low", "set_high", "shingles"],
+            )
 
     return run
 
@@ -145,7 +158,7 @@ def linked_pairs(sigs_a, sets_a, sigs_b, sets_b, threshold: float, least: np.nda
     return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
 
 
-PAIRED = "rep long, links long, other long"
+PAIRED = "rep long, n_shingles int, set_low long, set_high long, links long, other long"
 
 
 def _compare(threshold: float):
@@ -162,7 +175,7 @@ def _compare(threshold: float):
         if within:
             b = a
         if not len(a) or not len(b):
-            return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
+            return _found(group, reps, np.zeros(0, np.int64), np.zeros(0, np.int64), reps)
         i, j = linked_pairs(sigs[a], [sets[x] for x in a], sigs[b], [sets[x] for x in b], threshold, least)
         if within:
             i, j = i[i < j], j[i < j]
@@ -182,13 +195,17 @@ def _compare(threshold: float):
             if x != y:
                 root[max(x, y)] = min(x, y)
         top = np.array([find(x) for x in range(len(reps))])
-        some = np.flatnonzero(links > 0)
-        return pa.table({"rep": pa.array(reps[some]), "links": pa.array(links[some]), "other": pa.array(reps[top[some]])})
+        return _found(group, reps, np.flatnonzero(links > 0), links, reps[top])
 
     return run
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _found(group: pa.Table, reps: np.ndarray, some: np.ndarray, links: np.ndarray, other: np.ndarray) -> pa.Table:
+    keys = group.select(["n_shingles", "set_low", "set_high"]).take(pa.array(some))
+    return pa.table({"rep": pa.array(reps[some]), **{c: keys.column(c) for c in keys.column_names}, "links": pa.array(links[some]), "other": pa.array(other[some])})
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, kept.
 
     n_links counts the other documents whose shingle sets have a Jaccard similarity of at
@@ -206,9 +223,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
     by_set = ["n_shingles", "set_low", "set_high"]
     real = signed.where("n_shingles > 0")
     classes = real.groupBy(*by_set).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
-    # One representative may stand for two classes if its id repeats with other texts: keep them apart by class key.
+    # One representative may stand for two classes if its id repeats with other texts; its sets are told apart by the class key.
     classes = stored(classes, "classes")
-    member = real.select("doc_id", *by_set).join(classes.select(*by_set, "rep", "copies"), by_set).select("doc_id", "rep", "copies")
 
     bands = classes.select(
         "rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.substring("sig", b * BAND_BYTES + 1, F.lit(BAND_BYTES)).alias("key")))).alias("x")
@@ -220,26 +236,25 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
 
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     placed = groups.join(sizes, "grp").select(
-        "rep", "grp", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
+        "rep", "grp", F.ceil(F.col("size") / block).cast("int").alias("blocks")
     ).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     wanted = sized(groups.select("rep"), 16)
     texts = rows.join(wanted, rows["doc_id"] == wanted["rep"], "left_semi")
-    sets = texts.mapInArrow(_shingled(shingle), "rep long, shingles binary")
-    sets = sets.withColumn("n_shingles", (F.length("shingles") / 8).cast("int"))
-    full = (
-        placed.join(classes.select("rep", "n_shingles", "copies", "sig"), "rep").join(sets, ["rep", "n_shingles"]).dropDuplicates(["rep", "n_shingles"])
-    )
+    sets = texts.mapInArrow(_shingled(shingle), "rep long, n_shingles int, set_low long, set_high long, shingles binary")
+    key = ["rep", *by_set]
+    full = placed.join(classes.select(*key, "copies", "sig"), "rep").join(sets, key).dropDuplicates(key)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
     tiles = full.select("*", other).select(
         "grp", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"),
         F.when(F.col("block") <= F.col("with"), 0).otherwise(1).alias("side"),
-        (F.col("block") == F.col("with")).alias("within"), "rep", "copies", "sig", "shingles",
+        (F.col("block") == F.col("with")).alias("within"), *key, "copies", "sig", "shingles",
     )
     found = stored(tiles.groupBy("grp", "x", "y").applyInArrow(_compare(threshold), PAIRED), "links")
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    # Links belong to a class, as an id whose texts differ may stand for several; components belong to ids.
+    counts = found.groupBy(*key).agg(F.sum("links").alias("links"))
     final = connected_components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    linked = counts.join(final.select(F.col("node").alias("rep"), "component"), "rep", "full")
-    out = member.join(linked, "rep", "left").select(
+    linked = classes.select(*key, "copies").join(counts, key, "left").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    out = real.select("doc_id", *by_set).join(linked, by_set).select(
         "doc_id",
         F.coalesce("component", "rep").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),

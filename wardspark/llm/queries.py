@@ -111,32 +111,19 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "lines_in", "lines_out")
 
 
+# All pairs of equal lines, chained along diagonals into runs: no windows and no first places.
 OP1_SQL = r"""
 WITH raw AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
-norm AS (SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS n, regexp_matches(line, '[\p{L}\p{N}]') AS full FROM raw),
+norm AS (SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS n, regexp_matches(line, '[\p{L}\p{N}]') AS "full" FROM raw),
 lines AS (
-  SELECT doc_id, pos, substr(md5(n), 1, 16) AS h, len(string_split(n, ' ')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS seq
-  FROM norm WHERE "full"),
-wide AS (
-  SELECT a.doc_id, a.seq AS i, b.seq, b.h,
-         coalesce(sum(b.words) OVER (PARTITION BY a.doc_id, a.seq ORDER BY b.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.seq BETWEEN a.seq AND a.seq + 3),
-prints AS (
-  SELECT DISTINCT doc_id, seq, h
-  FROM (SELECT doc_id, seq, h, row_number() OVER (PARTITION BY doc_id, i ORDER BY h, seq DESC) AS k FROM wide WHERE before < 50) WHERE k = 1),
-firsts AS (SELECT h, doc_id AS doc0, seq AS seq0 FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, seq) AS k FROM prints) WHERE k = 1),
-seeds AS (
-  SELECT DISTINCT doc_id, doc0, seq - seq0 AS shift, seq FROM prints JOIN firsts USING (h) WHERE doc_id > doc0 OR (doc_id = doc0 AND seq > seq0)),
-aligned AS (SELECT DISTINCT doc_id, doc0, shift FROM seeds),
+  SELECT doc_id, pos, n, len(string_split(n, ' ')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM norm WHERE "full"),
 equal AS (
-  SELECT x.doc_id, x.doc0, x.shift, a.seq, a.pos, a.words,
-         a.seq - row_number() OVER (PARTITION BY x.doc_id, x.doc0, x.shift ORDER BY a.seq) AS island
-  FROM aligned x JOIN lines a ON a.doc_id = x.doc_id JOIN lines b ON b.doc_id = x.doc0 AND b.seq = a.seq - x.shift AND a.h = b.h),
-runs AS (
-  SELECT e.doc_id, e.doc0, e.shift, e.island FROM equal e LEFT JOIN seeds s USING (doc_id, doc0, shift, seq)
-  GROUP BY ALL HAVING (count(*) >= 4 OR sum(e.words) >= 50) AND count(s.doc_id) > 0),
-gone AS (SELECT DISTINCT doc_id, pos, TRUE AS gone FROM equal JOIN runs USING (doc_id, doc0, shift, island))
+  SELECT a.doc_id, b.doc_id AS earlier, a.seq - b.seq AS shift, a.pos, a.words,
+         a.seq - row_number() OVER (PARTITION BY a.doc_id, b.doc_id, a.seq - b.seq ORDER BY a.seq) AS island
+  FROM lines a JOIN lines b ON a.n = b.n AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.seq < a.seq))),
+sized AS (SELECT doc_id, pos, count(*) OVER run AS n, sum(words) OVER run AS words FROM equal WINDOW run AS (PARTITION BY doc_id, earlier, shift, island)),
+gone AS (SELECT DISTINCT doc_id, pos, TRUE AS gone FROM sized WHERE n >= 4 OR words >= 50)
 SELECT doc_id,
        CASE WHEN bool_or(gone) AND NOT bool_or("full" AND gone IS NULL) THEN ''
             ELSE string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE gone IS NULL) END AS text,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import partitions_for, stored
 
 #: monotonically_increasing_id() holds the partition above this bit and the row below it.
 ROW_BITS = 33
@@ -32,12 +32,11 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", t
     Null and empty texts have size 1 (the terminator). Equal rows take neighbouring slots in
     either order. An empty table gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
     # The last key lets even one repeated row be dealt over many partitions.
+    digest = byte_digest(docs, id_col, text_col)
     ordered = (
-        byte_digest(docs, id_col, text_col)
-        .withColumn("tie", F.monotonically_increasing_id())
-        .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "text_crc32", "size", "tie")
+        digest.withColumn("tie", F.monotonically_increasing_id())
+        .repartitionByRange(partitions_for(digest), "doc_id", "text_crc32", "size", "tie")
         .sortWithinPartitions("doc_id", "text_crc32", "size", "tie")
         .withColumn("at", F.monotonically_increasing_id())
         .select(
@@ -73,10 +72,11 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", t
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write whole rows into one folder per shard, ordered within it, and read them back.
+    """Write whole rows into one folder per shard, ordered within it, and read them back: shard, slot, row.
 
     Rows meet their shard by id, checksum and the rank among rows that share both, so
-    repeated rows go to as many slots as there are rows.
+    repeated rows go to as many slots as there are rows. Null ids and null texts are rows like others.
+    An empty table gives no rows. Columns of docs are fields of ``row``, so none clashes.
     """
     key = Window.partitionBy("doc_id", "text_crc32").orderBy("slot_order")
     plan = assign_shards(docs, n_shards, id_col, text_col).withColumn("slot_order", F.struct("shard", "slot"))
@@ -89,5 +89,9 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 16, id_col: str = "
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "text_crc32").orderBy(F.monotonically_increasing_id())))
     same = [rows[c].eqNullSafe(plan[c]) for c in ("doc_id", "text_crc32", "copy")]
     out = rows.join(plan, same).select(plan["shard"], plan["slot"], rows["row"])
-    out.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    if out.isEmpty():
+        return out
+    # By range, so that a large shard is several tasks and files; their order is that of the slots.
+    ranged = out.repartitionByRange(max(n_shards, partitions_for(docs)), "shard", "slot").sortWithinPartitions("shard", "slot")
+    ranged.write.partitionBy("shard").parquet(path)
     return docs.sparkSession.read.parquet(path)

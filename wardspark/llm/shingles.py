@@ -2,17 +2,17 @@
 
 A word is a run of ASCII letters and digits and of any non-ASCII characters, lower-cased.
 A shingle is ``size`` consecutive words; a text of fewer words, but at least one, is one shingle.
-Word hashes come from one polynomial prefix sum over the bytes, so a text costs a few passes.
+Words are hashed eight bytes at a time, all words of a text at once, so a text costs a few passes.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
-MASK = (1 << 64) - 1
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 64
 
 _word_byte = np.zeros(256, bool)
 _word_byte[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -27,23 +27,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        up, down = np.full(size, BASE, np.uint64), np.full(size, BASE_INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _powers[size] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return _powers[size]
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, zeros after the end; a view of a padded copy."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+
+def head(eight: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Of spans from ``at`` with ``left`` bytes to go, the next eight bytes, zeros beyond the span."""
+    shift = (np.uint64(8) * np.maximum(0, 8 - left).astype(np.uint64)) & np.uint64(63)
+    return eight[at] << shift >> shift
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of bytes; equal bytes have equal hashes wherever they lie."""
+    """64-bit hashes of nonempty spans of bytes; equal bytes have equal hashes wherever they lie."""
+    lengths = ends - starts
+    h = mix(lengths.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _power_table(len(raw))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        return h
+    eight = eights(raw)
+    some = np.flatnonzero(lengths <= LONG_SPAN)
+    at, left = starts[some], lengths[some]
+    while len(some):
+        h[some] = mix(h[some] * np.uint64(0xD6E8FEB86659FD93) ^ head(eight, at, left))
+        go = left > 8
+        some, at, left = some[go], at[go] + 8, left[go] - 8
+    for i in np.flatnonzero(lengths > LONG_SPAN):
+        h[i] = np.frombuffer(blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "<u8")[0]
+    return h
 
 
 def word_hashes(text: str | None) -> np.ndarray:

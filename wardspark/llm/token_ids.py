@@ -8,6 +8,7 @@ checkpoints and the coded words of its blocks (see rans.py).
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import shared_dir
-from .shingles import span_hashes
+from .common import partitions_for, shared_dir
+from .shingles import LONG_SPAN, eights, head, span_hashes
 
 SEGMENT_TOKENS = 1 << 21
 SEGMENT_SCHEMA = (
@@ -74,8 +75,9 @@ class WordEncoder:
     A text is cut before each space that a non-space character follows. The tokenizer's own
     pre-tokenizer always starts a piece there (the space belongs to the piece that it opens, and
     white space before it ends one), so the ids of the cuts joined are the ids of the whole text.
-    Each different cut is encoded by the library once while it is remembered, known by a 64-bit
-    hash of its bytes.
+    Texts that hold one of the tokenizer's added tokens, which it takes out beforehand, aren't cut.
+    Each different cut of up to LONG_SPAN bytes is encoded by the library once while it is
+    remembered. It is found by a hash of its bytes, and then the bytes are compared.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -83,8 +85,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.end_id = end_id
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.joined = 1 if any(" " in t for t in added) else JOINED
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
         self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
@@ -94,6 +98,8 @@ class WordEncoder:
         self.table = _HashTable(max(CACHE_WORDS, room))
         self.flat = np.array([self.end_id], np.uint32)  # row 0 stands for the end of a document
         self.starts, self.lengths = np.array([0]), np.array([1])
+        self.bytes = b""  # of the remembered words, by row from byte_at on
+        self.byte_at, self.byte_n = np.array([0]), np.array([0])
 
     def _learn(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "surrogatepass") for w in words]
@@ -103,7 +109,7 @@ class WordEncoder:
         parts = []
         for joined in (True, False):
             at = np.flatnonzero(plain == joined)
-            size = JOINED if joined else 1
+            size = self.joined if joined else 1
             calls = ["".join([texts[i] for i in at[k : k + size]]) for k in range(0, len(at), size)]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(calls, add_special_tokens=False)] if calls else []
             flat = np.array([x for i in ids for x in i], np.uint32)
@@ -131,13 +137,37 @@ class WordEncoder:
         cut = np.zeros(len(raw) + 1, bool)
         cut[:-2] = (raw[:-1] == 32) & _solid[raw[1:]] if len(raw) > 1 else False
         cut[ends[sizes > 0] - 1] = False  # the last byte of a text has nothing after it
+        whole = np.zeros(len(raw) + 1, bool)
+        if self.added:
+            for i, text in enumerate(texts):
+                if self.added.search(text):
+                    cut[ends[i] - sizes[i] : ends[i]] = False
+                    whole[ends[i] - sizes[i]] = True
         cut[(ends - sizes)[sizes > 0]] = True
         starts = np.flatnonzero(cut[:-1])
         up_to = np.append(starts[1:], len(raw))
-        keys = span_hashes(raw, starts, up_to)
+        rows = self._rows(joined, raw, starts, up_to, whole[starts])
+        # Put row 0 after the words of each document.
+        words_before = np.searchsorted(starts, ends, side="left")
+        rows = np.insert(rows.astype(np.int64), words_before, 0)
+        lengths = self.lengths[rows]
+        stops = np.cumsum(lengths)
+        total = int(stops[-1]) if len(stops) else 0
+        at = np.repeat(self.starts[rows] - (stops - lengths), lengths) + np.arange(total)
+        doc_ends = stops[words_before + np.arange(len(texts))]
+        ids = self.flat[at]
+        known = len(self.byte_at)  # rows after those of the remembered words served this call only
+        self.flat, self.starts, self.lengths = self.flat[: self.kept], self.starts[:known], self.lengths[:known]
+        return ids, np.diff(doc_ends, prepend=0)
+
+    def _rows(self, joined: bytes, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """The row of each word: a remembered one, or for long words and those set apart one of this call."""
+        short = np.flatnonzero((ends - starts <= LONG_SPAN) & ~apart)
+        a, b = starts[short], ends[short]
+        keys = span_hashes(raw, a, b)
         keys[keys == 0] = 1
-        rows = self.table.find(keys)
-        new = np.flatnonzero(rows < 0)
+        found = self.table.find(keys)
+        new = np.flatnonzero(found < 0)
         if len(new):
             different, first = np.unique(keys[new], return_index=True)
             if len(self.starts) + len(different) > CACHE_WORDS:
@@ -146,18 +176,35 @@ class WordEncoder:
                 self.clear(len(different))
             at = new[first]
             base = len(self.starts)
-            self._learn([joined[a:b] for a, b in zip(starts[at].tolist(), up_to[at].tolist(), strict=True)])
+            words = [joined[x:y] for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)]
+            self._learn(words)
+            n = np.fromiter(map(len, words), np.int64, len(words))
+            self.byte_at = np.append(self.byte_at, len(self.bytes) + np.cumsum(n) - n)
+            self.byte_n = np.append(self.byte_n, n)
+            self.bytes += b"".join(words)
             self.table.add(different, np.arange(base, base + len(different), dtype=np.int32))
-            rows[new] = self.table.find(keys[new])
-        # Put row 0 after the words of each document.
-        words_before = np.searchsorted(starts, ends, side="left")
-        rows = np.insert(rows.astype(np.int64), words_before, 0)
-        lengths = self.lengths[rows]
-        stops = np.cumsum(lengths)
-        total = int(stops[-1]) if len(stops) else 0
-        at = np.repeat(self.starts[rows] - (stops - lengths), lengths) + np.arange(total)
-        doc_ends = stops[words_before + np.arange(len(texts))]
-        return self.flat[at], np.diff(doc_ends, prepend=0)
+            found[new] = self.table.find(keys[new])
+        rows = np.full(len(starts), -1, np.int64)
+        same = self._same(raw, a, b, found)
+        rows[short[same]] = found[same]
+        others, self.kept = np.flatnonzero(rows < 0), len(self.flat)
+        if len(others):
+            rows[others] = len(self.starts) + np.arange(len(others))
+            self._learn([joined[x:y] for x, y in zip(starts[others].tolist(), ends[others].tolist(), strict=True)])
+        return rows
+
+    def _same(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Whether each word has the bytes that its row was learnt from."""
+        same = self.byte_n[rows] == ends - starts
+        mine, theirs = eights(raw), eights(np.frombuffer(self.bytes, np.uint8))
+        open_ = np.flatnonzero(same)
+        at, kept, left = starts[open_], self.byte_at[rows[open_]], (ends - starts)[open_]
+        while len(open_):
+            equal = head(mine, at, left) == head(theirs, kept, left)
+            same[open_[~equal]] = False
+            go = equal & (left > 8)
+            open_, at, kept, left = open_[go], at[go] + 8, kept[go] + 8, left[go] - 8
+        return same
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -233,15 +280,14 @@ def write_token_ids(
     Rows are range-partitioned by id (ties by a hash of the text, then by place, so a repeated
     id is dealt over partitions too) and each partition is encoded as a stream: at most a
     segment of ids is held. Null and empty texts are only the end id; null ids come first and
-    stay null. Strings of special tokens in a text are ordinary text. An empty table gives a
+    stay null. A string of an added token in a text is that token, as the library has it. An empty table gives a
     folder without rows. Other columns are not read.
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = rows.withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartitionByRange(n, "doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place")
+    ordered = keyed.repartitionByRange(partitions_for(docs), "doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place")
     ordered.select("doc_id", "text").mapInArrow(_encode(tokenizer_path, end_id, segment_tokens), SEGMENT_SCHEMA).write.parquet(path)
     return path
 
