@@ -47,12 +47,15 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     tokens and the others 0, so tokens add up; a document without words has one row of a null bucket.
     A long document counts once for each feature: documents are independent of each other, their words are not.
     """
-    words = F.filter(F.split(F.trim(F.lower(F.col("text"))), r"\s+"), lambda w: w != "")
-    split = docs.select(*keep, words.alias("words"))
-    whole = F.transform(F.array_distinct("words"), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-    ends = F.transform(F.array_distinct(F.transform("words", lambda w: F.right(w, F.lit(2)))), lambda w: (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) + BUCKETS).cast("int"))
-    rows = split.select(*keep, F.size("words").alias("n"), F.posexplode_outer(F.concat(whole, ends)).alias("at", "bucket"))
-    return rows.select(*keep, F.when(F.coalesce("at", F.lit(0)) == 0, F.col("n")).otherwise(0).alias("tokens"), "bucket")
+    split = docs.select(*keep, F.array_remove(F.split(F.lower(F.col("text")), r"\s+"), "").alias("words"))
+    kinds = split.select(*keep, F.size("words").alias("n"), F.array_distinct("words").alias("words"))
+    ends = F.array_distinct(F.transform("words", lambda w: F.right(w, F.lit(2))))
+    kinds = kinds.select(*keep, "n", "words", ends.alias("ends"))
+    # Words are hashed after they are rows, in generated code, which costs half of hashing them in arrays.
+    rows = kinds.select(*keep, "n", F.size("words").alias("m"), F.posexplode_outer(F.concat("words", "ends")).alias("at", "feature"))
+    bucket = F.pmod(F.xxhash64("feature"), F.lit(BUCKETS)) + F.when(F.col("at") >= F.col("m"), BUCKETS).otherwise(0)
+    tokens = F.when(F.coalesce("at", F.lit(0)) == 0, F.col("n")).otherwise(0)
+    return rows.select(*keep, tokens.alias("tokens"), F.when(F.col("feature").isNotNull(), bucket).cast("int").alias("bucket"))
 
 
 class DomainClassifier:
@@ -76,12 +79,10 @@ class DomainClassifier:
         if not domains:
             raise ValueError("the labelled table has no domain")
         known = docs.where("text is not null").join(sized(labels, 48), "doc_id")
-        known = stored(features(known, ["doc_id", "domain", "held"]), "domain-features")  # labelled documents only
-        sizes = known.groupBy("held", "domain").agg(F.countDistinct("doc_id").alias("n")).collect()  # two rows a domain
+        sizes = known.groupBy("held", "domain").agg(F.count(F.lit(1)).alias("n")).collect()  # two rows a domain
         parted = {r.held for r in sizes} == {True, False}
-        held = {r.domain: r["n"] for r in sizes if not r.held or not parted}
-        size = [held.get(d, 0) for d in domains]
-        taught = known.where("not held") if parted else known
+        size = [sum(r["n"] for r in sizes if r.domain == d and not (parted and r.held)) for d in domains]
+        taught = features(known.where("not held") if parted else known, ["domain"])
         by_bucket = taught.where("bucket is not null").groupBy("bucket").agg(
             F.count(F.lit(1)).alias("all"), *[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{k}") for k, d in enumerate(domains)]
         )
@@ -102,7 +103,7 @@ class DomainClassifier:
         priors = [math.log((present[d] + 0.5) / (total + 0.5 * len(domains))) for d in domains]
         model = cls(domains, priors, [(x or 0) / 1e6 for x in base], weights.drop(*[f"a{i}" for i in k]), (1.0, 1.0))
         if len(domains) > 1:
-            model.powers = model._calibrated(known.where("held") if parted else known)
+            model.powers = model._calibrated(features(known.where("held") if parted else known, ["doc_id", "domain"]))
         return model
 
     def scores(self, docs: DataFrame, keep: list[str]) -> DataFrame:
