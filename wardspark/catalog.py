@@ -145,7 +145,7 @@ def streamed_daily_counts(spark, sf_dir):
 
 
 def _flagged_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source", text_scan.policy_flags(F.coalesce("text", F.lit(""))).alias("flags"))
+    return text_scan.flagged(table(spark, sf_dir, "documents"), ["doc_id", "source"])
 
 
 def governance_summary(spark, sf_dir):

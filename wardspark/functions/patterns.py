@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Entity types with acceptance threshold, overlap priority and the flag they raise.
 ENTITY_TYPES = {
     "PERSON": (0.74, 2, "possible_name", "medium"),
@@ -39,6 +44,31 @@ CONTEXTS = (
     ("prompt_injection", "critical", r"\b(?:ignore (?:all )?(?:previous|prior) instructions|jailbreak|developer mode|system prompt|reveal (?:your|the) instructions|bypass safety|disable safety|do anything now|DAN)\b"),
 )
 
+# The same contexts for texts cut into lower-case words (flag, words, part of every phrase, phrases).
+CONTEXT_WORDS = (
+    ("regulated_financial", ("loan", "credit", "mortgage", "bank", "account", "underwriting", "denied", "payment", "investment", "securities", "insurance"), ("adverse action",), r"adverse action"),
+    ("regulated_legal", ("lawsuit", "contract", "legal", "attorney", "privilege", "litigation", "subpoena", "compliance", "regulation", "court", "settlement"), (), None),
+    ("regulated_medical", ("patient", "diagnosis", "treatment", "medical", "health", "hipaa", "prescription", "clinical", "hospital", "therapy"), (), None),
+    ("regulated_hr", ("employee", "termination", "salary", "disciplinary", "candidate", "hiring", "hr", "workplace", "harassment"), ("performance review",), r"performance review"),
+    ("prompt_injection", ("jailbreak", "dan"), (" instructions", "developer mode", "system prompt", " safety", "do anything now"), r"(?:ignore (?:all )?(?:previous|prior) instructions|developer mode|system prompt|reveal (?:your|the) instructions|bypass safety|disable safety|do anything now)"),
+)
+
+# Literals of which a text holds at least one (in lower case where the detector ignores case) if the detector finds anything.
+LITERALS = {
+    "email_regex": ("@",),
+    "openai_key_regex": ("sk-",),
+    "aws_access_key_regex": ("AKIA",),
+    "github_token_regex": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
+    "slack_token_regex": ("xox",),
+    "jwt_regex": ("eyJ",),
+    "bearer_token_regex": ("bearer",),
+    "credential_assignment_regex": ("key", "secret", "token", "passw"),
+    "credential_uri_regex": ("://",),
+    "private_key_regex": ("-----BEGIN ",),
+    "address_regex": ("Street", "St.", "Avenue", "Ave.", "Road", "Rd.", "Boulevard", "Blvd.", "Lane", "Ln.", "Drive", "Dr."),
+    "account_regex": ("account", "acct", "routing", "iban"),
+}
+
 # What a flag adds to the base risk, and the boost of sensitive workspaces.
 SEVERITY_WEIGHTS = {"low": 8, "medium": 18, "high": 28, "critical": 48}
 BASE_RISK, SENSITIVITY_BOOST, TOP_RISK = 10, 12, 100
@@ -51,6 +81,23 @@ _BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 _SPACE = r"\t-\r \xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 
 
+def ascii_lower(text: Column) -> Column:
+    """Lower case, as patterns that ignore case see it: the two other characters whose lower case is ASCII become spaces."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit(" ")), F.lit("\u0130"), F.lit(" ")))
+
+
+def words(lower: Column) -> Column:
+    """The maximal runs of word characters of a lower-case text: what lies between ASCII word boundaries."""
+    return F.split(lower, "[^a-z0-9_]+")
+
+
+def may_match(name: str, text: Column, lower: Column, ignore_case: bool) -> Column:
+    """Whether a detector can find anything, by its literals; saves most texts its regular expression."""
+    if name == "phone_regex":
+        return text.rlike(r"\d{4}")
+    return reduce(Column.__or__, [F.contains(lower if ignore_case else text, F.lit(x)) for x in LITERALS[name]])
+
+
 def java(pattern: str, ignore_case: bool = False) -> str:
     """The pattern for Spark's regular expressions: ASCII word boundaries, Unicode white space."""
     out, inside, i = [], False, 0

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .patterns import (
     BASE_RISK,
+    CONTEXT_WORDS,
     CONTEXTS,
     DETECTORS,
     ENTITY_TYPES,
@@ -23,7 +24,10 @@ from .patterns import (
     SENSITIVITY_BOOST,
     SEVERITY_WEIGHTS,
     TOP_RISK,
+    ascii_lower,
     java,
+    may_match,
+    words,
 )
 
 CANDIDATE = "struct<start:int,rank:int,doubt:double,ordinal:int,stop:int,type:string,value:string,confidence:double,detector:string>"
@@ -34,25 +38,32 @@ def _type_map(value) -> Column:
     return F.create_map(*[F.lit(x) for t, v in ENTITY_TYPES.items() for x in (t, value(t, v))])
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, stop, value>> of all matches: offsets from the lengths of what lies between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    return F.transform(
-        found,
-        lambda m, i: F.struct(
-            F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda n, x: n + F.length(x)).alias("before"),
-            F.aggregate(F.slice(found, 1, i), F.lit(0), lambda n, x: n + F.length(x)).alias("earlier"),
-            m.alias("value"),
-        ),
-    )
+def spans(text: Column, pattern: str, where: Column | None = None) -> Column:
+    """array<struct<start, stop, value>> of all matches: offsets add up from the lengths of what lies between them.
+
+    Texts that ``where`` excludes have none and are not searched.
+    """
+    parts = F.arrays_zip(
+        F.split(text, pattern, -1).alias("b"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")
+    )  # one piece more than matches
+    shape = "array<struct<start:int,stop:int,value:string>>"
+    none = F.array().cast(shape)
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["b"])
+        stop = start + F.length(x["m"])
+        return F.struct(stop.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("value"))).alias("out"))
+
+    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    found = F.aggregate(F.slice(parts, F.lit(1), F.greatest(F.lit(0), F.size(parts) - 1)), first, add, lambda acc: acc["out"])
+    return found if where is None else F.when(where, found).otherwise(none)
 
 
-def candidates(text: Column) -> Column:
-    """Candidates of all pattern detectors that pass their validator, in order of detection."""
+def candidates(text: Column, lower: Column) -> Column:
+    """Candidates of all pattern detectors that pass their validator, in order of detection; lower is ascii_lower(text)."""
     parts = []
     for ordinal, (kind, name, confidence, ignore, pattern) in enumerate(DETECTORS):
-        at = spans(text, java(pattern, ignore))
+        at = spans(text, java(pattern, ignore), may_match(name, text, lower, ignore))
         if kind == "PHONE":  # credible by its digits; it must show formatting or a country code
             digits = lambda x: F.regexp_replace(x["value"], r"\D", "")
             at = F.filter(
@@ -68,11 +79,11 @@ def _shaped(at: Column, kind: str, name: str, confidence: float, ordinal: int) -
     return F.transform(
         at,
         lambda x: F.struct(
-            (x["before"] + x["earlier"]).alias("start"),
+            x["start"],
             F.lit(RANK[kind]).alias("rank"),
             F.lit(-confidence).alias("doubt"),
             F.lit(ordinal).alias("ordinal"),
-            (x["before"] + x["earlier"] + F.length(x["value"])).alias("stop"),
+            x["stop"],
             F.lit(kind).alias("type"),
             x["value"].alias("value"),
             F.lit(confidence).alias("confidence"),
@@ -129,10 +140,16 @@ def resolved(found: Column) -> Column:
     return F.array_sort(F.aggregate(ordered, F.array().cast(f"array<{CANDIDATE}>"), meet))
 
 
+def stable_key(kind: Column, value: Column) -> Column:
+    """What values of a type that share a placeholder have in common: white space is collapsed, names ignore case."""
+    key = F.trim(F.regexp_replace(value, java(r"\s+"), " "))
+    return F.when(kind == "PERSON", F.lower(key)).otherwise(key)
+
+
 def placeholder_ids(text: Column, entities: Column) -> Column:
     """One placeholder per entity: by type, numbered by first appearance of the value, after numbers in the text."""
     keys = F.array_distinct(
-        F.transform(entities, lambda e: F.struct(e["type"].alias("type"), F.trim(F.regexp_replace(e["value"], java(r"\s+"), " ")).alias("key")))
+        F.transform(entities, lambda e: F.struct(e["type"].alias("type"), stable_key(e["type"], e["value"]).alias("key")))
     )
     seen = F.transform(
         F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0)),
@@ -142,7 +159,7 @@ def placeholder_ids(text: Column, entities: Column) -> Column:
     def identify(e: Column) -> Column:
         base = F.coalesce(F.array_max(F.transform(F.filter(seen, lambda s: s["type"] == e["type"]), lambda s: s["n"])), F.lit(0))
         mine = F.transform(F.filter(keys, lambda k: k["type"] == e["type"]), lambda k: k["key"])
-        key = F.trim(F.regexp_replace(e["value"], java(r"\s+"), " "))
+        key = stable_key(e["type"], e["value"])
         return F.concat(F.lit("["), e["type"], F.lit("_"), (base + F.array_position(mine, key)).cast("string"), F.lit("]"))
 
     return F.transform(entities, identify)
@@ -164,22 +181,38 @@ def _from(entities: Column, i: Column) -> Column:
     return F.when(i > 0, F.get(entities, i - 1)["stop"]).otherwise(0)
 
 
-def context_flags(text: Column) -> Column:
-    """Names of the regulated contexts and instruction bypasses that a text shows."""
-    return F.filter(F.array(*[F.when(text.rlike(java(p, True)), F.lit(n)) for n, _, p in CONTEXTS]), lambda x: x.isNotNull())
+def context_flags(lower: Column, held: Column) -> Column:
+    """Names of the regulated contexts and instruction bypasses of a text, from ascii_lower and its words."""
+    found = []
+    for name, single, parts, phrases in CONTEXT_WORDS:
+        hit = F.arrays_overlap(held, F.array(*map(F.lit, single)))
+        if phrases:
+            some = reduce(Column.__or__, [F.contains(lower, F.lit(p)) for p in parts])
+            hit = hit | (some & lower.rlike(f"(?<![a-z0-9_]){phrases}(?![a-z0-9_])"))
+        found.append(F.when(hit, F.lit(name)))
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
 
+def flagged(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """(keep..., flags): flags without resolving overlaps or redacting, the scan for text that is not sent on.
 
-def policy_flags(text: Column) -> Column:
-    """Flags without resolving overlaps or redacting: the scan for text that is not sent on."""
-    found = []
+    Null texts are scanned as empty. Each text is lower-cased and cut into words once, and searched
+    with those regular expressions only whose literals it holds.
+    """
+    base = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    base = base.select("*", ascii_lower(F.col("_text")).alias("_lower")).select("*", words(F.col("_lower")).alias("_words"))
+    text, lower, found = F.col("_text"), F.col("_lower"), []
     for kind in ("EMAIL", "PHONE", "SECRET", "ADDRESS", "ACCOUNT"):
-        if kind == "PHONE":
-            phones = F.regexp_extract_all(text, F.lit(java(DETECTORS[1][4])), F.lit(0))
-            hit = F.exists(phones, lambda m: m.rlike(java(r"[\s().-]")) | m.rlike(r"^\+?1"))
-        else:
-            hit = reduce(Column.__or__, [text.rlike(java(p, i)) for k, _, _, i, p in DETECTORS if k == kind])
-        found.append(F.when(hit, F.lit(ENTITY_TYPES[kind][2])))
-    return F.concat(F.filter(F.array(*found), lambda x: x.isNotNull()), context_flags(text))
+        hits = []
+        for _, name, _, ignore, pattern in [d for d in DETECTORS if d[0] == kind]:
+            hit = text.rlike(java(pattern, ignore))
+            if kind == "PHONE":
+                phones = F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))
+                hit = F.exists(phones, lambda m: m.rlike(java(r"[\s().-]")) | m.rlike(r"^\+?1"))
+            hits.append(may_match(name, text, lower, ignore) & hit)
+        found.append(F.when(reduce(Column.__or__, hits), F.lit(ENTITY_TYPES[kind][2])))
+    flags = F.concat(F.filter(F.array(*found), lambda x: x.isNotNull()), context_flags(lower, F.col("_words")))
+    return base.select(*keep, flags.alias("flags"))
 
 
 def severity(flag: Column) -> Column:
@@ -216,15 +249,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extern
     Null texts are scanned as empty. ``external`` names a column of further candidates.
     """
     base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.col(external).alias("given")] if external else []))
-    found = candidates(F.col("text"))
+    base = base.select("*", ascii_lower(F.col("text")).alias("lower"))
+    found = candidates(F.col("text"), F.col("lower"))
     if external:
         found = F.concat(found, external_candidates(F.col("text"), F.coalesce(F.col("given"), F.array().cast("array<struct<type:string,start:int,stop:int,value:string,confidence:double,detector:string>>"))))
-    step = base.select(id_col, "text", found.alias("found"))
-    step = step.select(id_col, "text", resolved(F.col("found")).alias("entities"))
+    step = base.select(id_col, "text", found.alias("found"), context_flags(F.col("lower"), words(F.col("lower"))).alias("contexts"))
+    step = step.select(id_col, "text", "contexts", resolved(F.col("found")).alias("entities"))
     step = step.select("*", placeholder_ids(F.col("text"), F.col("entities")).alias("ids"))
     kinds = F.array_distinct(F.transform("entities", lambda e: e["type"]))
     flag_of = _type_map(lambda t, v: v[2] or "")
-    flags = F.concat(F.filter(F.transform(kinds, lambda k: F.element_at(flag_of, k)), lambda f: f != ""), context_flags(F.col("text")))
+    flags = F.concat(F.filter(F.transform(kinds, lambda k: F.element_at(flag_of, k)), lambda f: f != ""), F.col("contexts"))
     step = step.select(
         id_col,
         F.transform(F.arrays_zip(F.col("entities").alias("e"), F.col("ids").alias("i")), lambda z: F.struct(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRECEDENCE = {"block": 5, "redact": 3, "warn": 2, "allow": 1}
@@ -72,28 +72,35 @@ def evaluate(signals: DataFrame, rules: DataFrame, key: str = "doc_id", guard: s
     user_scope, department_scope. rules: rule_key, version, data_categories (array), scopes, ai_provider,
     destination_type, action, fallback_action, severity, source_policy, source_section, explanation.
 
-    Categories and rules meet in an equi-join on the category, so that a large rule table stays a
-    hash join; the scopes are residual conditions. The rule of highest precedence, then severity, then
-    smallest key wins. No rule or no category: allow, not triggered.
+    The rule table, which people write, is one array that every row is decided against in place: signals are
+    computed once and not shuffled, and a null or repeated key changes nothing. The rule of highest
+    precedence, then severity, then smallest key wins. No rule or no category: allow, not triggered.
     """
-    found = signals.withColumn("categories", detected_categories(F.col("flags"), F.col("entity_counts")))
-    keyed = found.select(
-        F.col(key).alias("_key"), F.explode("categories").alias("category"), "redaction_count", "sanitizable",
-        *[F.col(c).alias(f"at_{c}") for c in ("ai_provider", "destination_type", "user_scope", "department_scope")],
+    found = signals.select("*", detected_categories(F.col("flags"), F.col("entity_counts")).alias("categories"))
+    entry = F.struct(
+        "rule_key", F.col("version").alias("rule_version"), F.array_distinct(F.transform("data_categories", F.lower)).alias("data_categories"), "ai_provider",
+        "destination_type", "user_scope", "department_scope", "action", "fallback_action", "severity", "source_policy", "source_section", F.col("explanation").alias("says"),
     )
-    wanted = rules.select("*", F.explode(F.array_distinct(F.transform("data_categories", F.lower))).alias("category"))
-    fits = (
-        _scope(F.col("ai_provider"), F.col("at_ai_provider"))
-        & ((F.col("destination_type") == "any") | (F.col("destination_type") == F.col("at_destination_type")))
-        & _scope(F.col("user_scope"), F.coalesce("at_user_scope", F.lit("all")))
-        & _scope(F.col("department_scope"), F.coalesce("at_department_scope", F.lit("all")))
-    )
-    act = execution_action(F.col("action"), F.col("fallback_action"), (F.col("redaction_count") > 0) & F.col("sanitizable"))
-    best = F.min(F.struct(
-        (-rank(act, PRECEDENCE)).alias("p"), (-rank(F.col("severity"), SEVERITY)).alias("s"), F.col("rule_key"), F.col("version").alias("rule_version"),
-        act.alias("action"), F.col("severity"), "source_policy", "source_section", F.col("explanation").alias("says"),
-    ))
-    decided = keyed.join(wanted, "category").where(fits).groupBy("_key").agg(best.alias("d"))
+    found = found.select("*", rules.agg(F.collect_list(entry).alias("rules")).scalar().alias("rules"))
+    sanitizable = (F.col("redaction_count") > 0) & F.col("sanitizable")
+
+    def fits(r: Column) -> Column:
+        return (
+            F.arrays_overlap(r["data_categories"], F.col("categories"))
+            & _scope(r["ai_provider"], F.col("ai_provider"))
+            & ((r["destination_type"] == "any") | (r["destination_type"] == F.col("destination_type")))
+            & _scope(r["user_scope"], F.coalesce("user_scope", F.lit("all")))
+            & _scope(r["department_scope"], F.coalesce("department_scope", F.lit("all")))
+        )
+
+    def ranked(r: Column) -> Column:
+        act = execution_action(r["action"], r["fallback_action"], sanitizable)
+        return F.struct(
+            (-rank(act, PRECEDENCE)).alias("p"), (-rank(r["severity"], SEVERITY)).alias("s"), r["rule_key"].alias("rule_key"), r["rule_version"].alias("rule_version"),
+            act.alias("action"), r["severity"].alias("severity"), r["source_policy"].alias("source_policy"), r["source_section"].alias("source_section"), r["says"].alias("says"),
+        )
+
+    decided = found.select(key, "categories", F.array_min(F.transform(F.filter("rules", fits), ranked)).alias("d"))
     doing = (
         F.when(F.col("d.action") == "block", "blocking this submission").when(F.col("d.action") == "redact", "transforming it with local redaction")
         .when(F.col("d.action") == "warn", "warning before submission").otherwise("allowing the submission")
@@ -103,7 +110,7 @@ def evaluate(signals: DataFrame, rules: DataFrame, key: str = "doc_id", guard: s
         F.lit(f"{guard} detected "), shown, F.lit(". "), F.col("d.source_policy"), F.lit(" "), F.col("d.source_section"), F.lit(": "),
         F.col("d.says"), F.lit(f" {guard} is "), doing, F.lit("."),
     )
-    return found.select(key, "categories").join(decided, F.col(key) == F.col("_key"), "left").select(
+    return decided.select(
         key, "categories", F.col("d").isNotNull().alias("triggered"), F.coalesce("d.action", F.lit("allow")).alias("action"),
         F.col("d.rule_key").alias("rule_key"), F.col("d.rule_version").alias("rule_version"), F.col("d.severity").alias("severity"),
         F.when(F.col("d").isNull(), "No published company policy rule matched.").otherwise(text).alias("explanation"),
