@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table too small to fill all cores by its files, dealt out to them; larger ones stay as they are read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * (16 << 20) else df
+
+
 # ---- telemetry: the events table as raw governance payloads -------------------------------------
 
 _TYPES = [*telemetry.EVENT_TYPES[:5], "something_else"]
@@ -145,7 +153,7 @@ def streamed_daily_counts(spark, sf_dir):
 
 
 def _flagged_docs(spark, sf_dir):
-    return text_scan.flagged(table(spark, sf_dir, "documents"), ["doc_id", "source"])
+    return text_scan.flagged(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), ["doc_id", "source"])
 
 
 def governance_summary(spark, sf_dir):
@@ -187,13 +195,13 @@ r AS (SELECT *, {BASE_RISK} + coalesce(list_sum(list_transform(flags, lambda f:
 
 def entity_counts(spark, sf_dir):
     """Entities that stay after overlap resolution, by document and type."""
-    s = text_scan.scan(table(spark, sf_dir, "documents"))
+    s = text_scan.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return s.select("doc_id", F.explode("entities").alias("e")).groupBy("doc_id", F.col("e.type").alias("type")).agg(F.count(F.lit(1)).alias("spans"), F.countDistinct("e.id").alias("entities"))
 
 
 def redaction_round_trip(spark, sf_dir):
     """Redacted documents put back: all but secrets come back as they were."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     s = text_scan.scan(docs).select("doc_id", "redacted", "risk_score", "action", text_scan.rehydrated(F.col("redacted"), F.col("redaction_map")).alias("h"))
     return s.select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"), F.sha2("h.text", 256).alias("restored_sha256"), F.size("h.unresolved").alias("unresolved"), "risk_score", "action")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -104,7 +105,9 @@ def java(pattern: str, ignore_case: bool = False) -> str:
     while i < len(pattern):
         two = pattern[i : i + 2]
         if two == r"\b":
-            out.append(_BOUNDARY)
+            # Before what begins with a word character the boundary is one look back.
+            begins = re.match(r"(?:\(\?:)*(?:[A-Za-z]|\\d)", pattern[i + 2 :])
+            out.append(f"(?<!{_WORD})" if begins else _BOUNDARY)
         elif two == r"\s":
             out.append(_SPACE if inside else f"[{_SPACE}]")
         elif two == r"\S" and inside:

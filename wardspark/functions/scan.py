@@ -2,8 +2,8 @@
 
 Everything here is built from Spark functions, so a scan is one projection over the table: it
 needs no shuffle and runs at the speed of the regular expressions. Offsets are in code points.
-Names of persons, whose detection depends on evaluation order over word lists, come in as external
-candidates.
+Names of persons are found by rules over capitals, lists and cues (names.py); candidates of other
+recognisers come in as external ones.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import names, validated
 from .patterns import (
     BASE_RISK,
     CONTEXT_WORDS,
@@ -29,6 +30,7 @@ from .patterns import (
     may_match,
     words,
 )
+from .spans import spans
 
 CANDIDATE = "struct<start:int,rank:int,doubt:double,ordinal:int,stop:int,type:string,value:string,confidence:double,detector:string>"
 RANK = {t: -priority for t, (_, priority, _, _) in ENTITY_TYPES.items()}
@@ -38,27 +40,6 @@ def _type_map(value) -> Column:
     return F.create_map(*[F.lit(x) for t, v in ENTITY_TYPES.items() for x in (t, value(t, v))])
 
 
-def spans(text: Column, pattern: str, where: Column | None = None) -> Column:
-    """array<struct<start, stop, value>> of all matches: offsets add up from the lengths of what lies between them.
-
-    Texts that ``where`` excludes have none and are not searched.
-    """
-    parts = F.arrays_zip(
-        F.split(text, pattern, -1).alias("b"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")
-    )  # one piece more than matches
-    shape = "array<struct<start:int,stop:int,value:string>>"
-    none = F.array().cast(shape)
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["b"])
-        stop = start + F.length(x["m"])
-        return F.struct(stop.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("value"))).alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    found = F.aggregate(F.slice(parts, F.lit(1), F.greatest(F.lit(0), F.size(parts) - 1)), first, add, lambda acc: acc["out"])
-    return found if where is None else F.when(where, found).otherwise(none)
-
-
 def candidates(text: Column, lower: Column) -> Column:
     """Candidates of all pattern detectors that pass their validator, in order of detection; lower is ascii_lower(text)."""
     parts = []
@@ -96,7 +77,8 @@ def external_candidates(text: Column, given: Column) -> Column:
     """Candidates from elsewhere (array of type, start, stop, value, confidence, detector) that agree with the text.
 
     Kept if the type is known, offsets lie in the text, the text there is the value, and the
-    confidence is finite; it is clamped to 0..1 and must reach the type's threshold.
+    confidence is finite; it is clamped to 0..1 and must reach the type's threshold. Persons are
+    validated like detected names, with the signals that they bring.
     """
     thresholds, ranks = _type_map(lambda t, v: v[0]), _type_map(lambda t, v: RANK[t])
     ok = F.filter(
@@ -115,7 +97,26 @@ def external_candidates(text: Column, given: Column) -> Column:
             F.coalesce(c["detector"], F.lit("external_candidate")).alias("detector"),
         ),
     ).cast(f"array<{CANDIDATE}>")
-    return F.filter(shaped, lambda c: c["confidence"] >= F.element_at(thresholds, c["type"]))
+    others = F.filter(shaped, lambda c: (c["type"] != "PERSON") & (c["confidence"] >= F.element_at(thresholds, c["type"])))
+    people = F.transform(
+        F.filter(ok, lambda c: c["type"] == "PERSON"),
+        lambda c: F.struct(
+            c["start"].cast("int").alias("start"), c["stop"].cast("int").alias("stop"), c["value"].alias("value"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c["confidence"])).alias("base"),
+            F.coalesce(c["detector"], F.lit("external_candidate")).alias("detector"), F.coalesce(c["signals"], F.array().cast("array<string>")).alias("signals"),
+        ),
+    )
+    return F.concat(others, people_candidates(validated(text, people), 2000))
+
+
+def people_candidates(found: Column, ordinal: int) -> Column:
+    """Validated names in the shape of candidates."""
+    return F.transform(
+        found,
+        lambda x, i: F.struct(
+            x["start"], F.lit(RANK["PERSON"]).alias("rank"), (-x["confidence"]).alias("doubt"), (i + ordinal).alias("ordinal"), x["stop"], F.lit("PERSON").alias("type"),
+            x["value"], x["confidence"], x["detector"],
+        ),
+    ).cast(f"array<{CANDIDATE}>")
 
 
 def resolved(found: Column) -> Column:
@@ -243,16 +244,25 @@ def scan_action(flags: Column) -> Column:
     )
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", external: str | None = None, sensitivity: str = "Internal") -> DataFrame:
+EXTERNAL = "array<struct<type:string,start:int,stop:int,value:string,confidence:double,detector:string,signals:array<string>>>"
+
+
+def scan(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", external: str | None = None, sensitivity: str = "Internal", persons: str | None = "hybrid"
+) -> DataFrame:
     """One row per document: id, entities, redacted, redaction_map, entity_counts, flags, risk_score, action.
 
-    Null texts are scanned as empty. ``external`` names a column of further candidates.
+    Null texts are scanned as empty. ``external`` names a column of further candidates (EXTERNAL).
+    ``persons`` is the profile of the rules for names (see names.names), or None for none of them.
     """
-    base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.col(external).alias("given")] if external else []))
+    base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.coalesce(F.col(external), F.array().cast(EXTERNAL)).alias("given")] if external else []))
     base = base.select("*", ascii_lower(F.col("text")).alias("lower"))
-    found = candidates(F.col("text"), F.col("lower"))
+    if persons:  # a step of its own, as later ones read it more than once
+        base = base.select("*", people_candidates(names(F.col("text"), persons), 100).alias("people"))
+    found = [candidates(F.col("text"), F.col("lower")), *([F.col("people")] if persons else [])]
     if external:
-        found = F.concat(found, external_candidates(F.col("text"), F.coalesce(F.col("given"), F.array().cast("array<struct<type:string,start:int,stop:int,value:string,confidence:double,detector:string>>"))))
+        found.append(external_candidates(F.col("text"), F.col("given")))
+    found = F.concat(*found)
     step = base.select(id_col, "text", found.alias("found"), context_flags(F.col("lower"), words(F.col("lower"))).alias("contexts"))
     step = step.select(id_col, "text", "contexts", resolved(F.col("found")).alias("entities"))
     step = step.select("*", placeholder_ids(F.col("text"), F.col("entities")).alias("ids"))
