@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,12 +24,12 @@ from . import rans
 from .common import partitions_for, shared_dir
 from .shingles import LONG_SPAN, eights, head, span_hashes
 
-SEGMENT_TOKENS = 1 << 21
+SEGMENT_TOKENS = 1 << 20
 SEGMENT_SCHEMA = (
     "part int, segment int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, table binary, checkpoints binary, payload binary"
 )
 #: Characters of text encoded at once; words that a worker remembers; words joined into one call of the tokenizer.
-SLICE_CHARS, CACHE_WORDS, JOINED = 1 << 20, 1 << 20, 256
+SLICE_CHARS, CACHE_WORDS, JOINED = 1 << 19, 1 << 18, 256
 
 # First bytes after which a space can be cut off: not white space, nor the lead byte of any in UTF-8.
 _solid = np.ones(256, bool)
@@ -235,7 +236,7 @@ ARROW = pa.schema([
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of a batch, a bounded number of characters at once."""
-    lengths = batch.column(1).to_pandas().str.len().fillna(0).to_numpy()
+    lengths = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy()
     cuts = np.searchsorted(np.cumsum(lengths), np.arange(SLICE_CHARS, lengths.sum() + SLICE_CHARS, SLICE_CHARS), side="left") + 1
     start = 0
     for stop in [*np.unique(np.minimum(cuts, batch.num_rows)), batch.num_rows]:
