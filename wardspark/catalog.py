@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import scan as text_scan
 from .functions.patterns import BASE_RISK, CONTEXTS, DETECTORS, ENTITY_TYPES, SEVERITY_WEIGHTS
-from .operators import conversations, evaluation, policy, rules, telemetry
+from .operators import conversations, policy, rules, telemetry
 from .plans import mining
 from .sources import dml
 from .streaming import live
@@ -99,21 +100,21 @@ def telemetry_normalised(spark, sf_dir):
 
 
 def dashboard_metrics(spark, sf_dir):
+    """Each event is counted in every range that holds it, by its distance from the last day: one pass, no join of ranges."""
     e = events(spark, sf_dir)
-    last = e.agg(F.max("created_at").alias("last"))
-    windows = last.select("last", F.explode(F.array(*[F.struct(F.lit(n).alias("time_range"), F.lit(d).cast("int").alias("days")) for n, d in (("7d", 6), ("30d", 29), ("all", None))])).alias("w"))
-    # One row a range: each event is counted in every range that holds it, in one pass.
-    in_range = e.join(F.broadcast(windows.select("last", "w.time_range", "w.days")), (F.col("days").isNull()) | (F.to_date("created_at") >= F.date_sub(F.to_date("last"), F.coalesce("days", F.lit(0)))))
-    return telemetry.metrics(in_range, ["company_slug", "time_range"])
+    last = e.agg(F.to_date(F.max("created_at"))).scalar()
+    age = F.datediff(last, F.to_date("created_at"))
+    ranges = F.array_compact(F.array(*[F.when(age <= n, F.lit(name)) for name, n in telemetry.WINDOW_DAYS.items()], F.lit("all")))
+    return telemetry.metrics(e.withColumn("time_range", F.explode(ranges)), ["company_slug", "time_range"])
 
 
 def usage_over_time(spark, sf_dir):
-    daily = telemetry.daily_usage(events(spark, sf_dir).where("company_slug = 'company-1'"))
-    return daily.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "requests", "flagged")
+    daily = telemetry.daily_usage(events(spark, sf_dir), ["company_slug"])
+    return daily.select("company_slug", F.date_format("day", "yyyy-MM-dd").alias("day"), "requests", "flagged")
 
 
 def risk_distribution(spark, sf_dir):
-    return telemetry.risk_distribution(events(spark, sf_dir).where("company_slug = 'company-2'"))
+    return telemetry.risk_distribution(events(spark, sf_dir), ["company_slug"])
 
 
 def risk_categories(spark, sf_dir):
@@ -135,7 +136,11 @@ def active_users(spark, sf_dir):
 
 def streamed_daily_counts(spark, sf_dir):
     """The event files as a stream: deduplicated, counted by company and day in windows, all of it at once."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="checkpoint-")
     work = f"{base}/stream-{uuid.uuid4().hex}"
     events(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp")).select("event_id", "company_slug", "event_type", "action", "risk_score", "created_at").write.parquet(f"{work}/in")
     written = spark.read.parquet(f"{work}/in")
@@ -145,8 +150,9 @@ def streamed_daily_counts(spark, sf_dir):
     counted = live.daily_counts(live.deduplicated(stream, f"{span + 2} days"), f"{span + 2} days")
     # Windows close after the watermark; batches up to then come out of the complete table instead.
     name = f"daily_{uuid.uuid4().hex}"
-    counted.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("company_slug", F.date_format("day", "yyyy-MM-dd").alias("day"), "requests", "flagged")
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{work}/{name}")
+    counted.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counted.schema).parquet(f"{work}/{name}").select("company_slug", F.date_format("day", "yyyy-MM-dd").alias("day"), "requests", "flagged")
 
 
 # ---- text scan -----------------------------------------------------------------------------------
@@ -296,15 +302,6 @@ def mined_rules(spark, sf_dir):
     return mining.with_fallback(docs, found).select("doc_id", "place", "rule_key", F.array_join("data_categories", ",").alias("data_categories"), "action", "severity", "destination_type", "confidence")
 
 
-def detection_scores(spark, sf_dir):
-    """Personal-data flags as a detector of the labels 'toxic' and 'low quality', to score it by flag."""
-    flags = _flagged_docs(spark, sf_dir).select("doc_id", F.explode("flags").alias("type"))
-    labels = table(spark, sf_dir, "labels")
-    expected = labels.where("quality = 0").select("doc_id", F.lit("email").alias("type")).unionByName(labels.where("toxic = 1").select("doc_id", F.lit("phone").alias("type")))
-    actual = flags.where("type in ('email', 'phone')").join(labels.select("doc_id"), "doc_id", "left_semi")
-    return evaluation.scores(evaluation.matched(expected, actual, ["doc_id", "type"]), ["type"])
-
-
 def recent_history(spark, sf_dir):
     return conversations.recent_history(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_sha256"))
 
@@ -316,7 +313,7 @@ def conversation_vault(spark, sf_dir):
 
 
 def customer_upsert(spark, sf_dir):
-    """Customers after changes: every third updated, new ones added, some deleted, blanks filled."""
+    """Customers after changes: every third updated, new ones added, negative balances zeroed, some deleted."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
     changed = c.where("c_custkey % 3 = 0").select(*[F.upper("c_name").alias("c_name") if x == "c_name" else F.col(x) for x in c.columns])
     added = c.where("c_custkey % 50 = 1").withColumn("c_custkey", F.col("c_custkey") + 10_000_000)
@@ -336,7 +333,7 @@ QUERIES = {
     for f in (
         governance_summary, policy_scan, entity_counts, redaction_round_trip, telemetry_normalised, dashboard_metrics, usage_over_time,
         risk_distribution, risk_categories, provider_usage, recent_events, active_users, streamed_daily_counts, policy_decisions, rule_latest,
-        rule_next_versions, rule_status_counts, rule_buckets, published_bundles, mined_rules, detection_scores, recent_history, conversation_vault, customer_upsert,
+        rule_next_versions, rule_status_counts, rule_buckets, published_bundles, mined_rules, recent_history, conversation_vault, customer_upsert,
     )
 }
 FLAGSHIP = "governance_summary"
@@ -348,12 +345,12 @@ ORACLES = {
 m AS (SELECT company_slug, time_range, {_METRICS_SQL} FROM ev, w WHERE days IS NULL OR CAST(created_at AS DATE) >= (SELECT CAST(max(created_at) AS DATE) FROM ev) - CAST(days AS INT) GROUP BY ALL)
 SELECT *, CAST(CASE WHEN messages_sent + messages_blocked > 0 THEN floor(100.0 * messages_blocked / (messages_sent + messages_blocked) + 0.5) ELSE 0 END AS BIGINT) AS block_percent,
   CAST(CASE WHEN messages_sent > 0 THEN floor(100.0 * messages_redacted / messages_sent + 0.5) ELSE 0 END AS BIGINT) AS redaction_percent FROM m""",
-    "usage_over_time": f"""WITH {_EVENTS_SQL}, e AS (SELECT *, CAST(created_at AS DATE) AS day FROM ev WHERE company_slug = 'company-1'),
-days AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM e)
-SELECT strftime(day, '%Y-%m-%d') AS day, count(*) FILTER (WHERE event_type IN ('message_sent_to_ai', 'message_blocked')) AS requests, count(*) FILTER (WHERE {_FLAGGED}) AS flagged FROM days LEFT JOIN e USING (day) GROUP BY day""",
-    "risk_distribution": f"""WITH {_EVENTS_SQL}, l AS (SELECT unnest({_list_sql(list(telemetry.LEVELS))}) AS level),
-c AS (SELECT level, count(ev.event_id) AS n FROM l LEFT JOIN ev ON risk_level = level AND company_slug = 'company-2' AND event_type <> 'assistant_response_rehydrated' GROUP BY level)
-SELECT level, n, CAST(CASE WHEN sum(n) OVER () > 0 THEN floor(100.0 * n / sum(n) OVER () + 0.5) ELSE 0 END AS BIGINT) AS percent FROM c""",
+    "usage_over_time": f"""WITH {_EVENTS_SQL}, e AS (SELECT *, CAST(created_at AS DATE) AS day FROM ev),
+days AS (SELECT company_slug, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM e GROUP BY company_slug)
+SELECT company_slug, strftime(day, '%Y-%m-%d') AS day, count(*) FILTER (WHERE event_type IN ('message_sent_to_ai', 'message_blocked')) AS requests, count(*) FILTER (WHERE {_FLAGGED}) AS flagged FROM days LEFT JOIN e USING (company_slug, day) GROUP BY company_slug, day""",
+    "risk_distribution": f"""WITH {_EVENTS_SQL}, l AS (SELECT company_slug, unnest({_list_sql(list(telemetry.LEVELS))}) AS level FROM (SELECT DISTINCT company_slug FROM ev)),
+c AS (SELECT l.company_slug, level, count(ev.event_id) AS n FROM l LEFT JOIN ev ON risk_level = level AND ev.company_slug = l.company_slug AND event_type <> 'assistant_response_rehydrated' GROUP BY ALL)
+SELECT company_slug, level, n, CAST(CASE WHEN sum(n) OVER (PARTITION BY company_slug) > 0 THEN floor(100.0 * n / sum(n) OVER (PARTITION BY company_slug) + 0.5) ELSE 0 END AS BIGINT) AS percent FROM c""",
     "risk_categories": f"""WITH {_EVENTS_SQL}, c AS (SELECT {_CATEGORY_LIST} AS cs FROM ev WHERE {_VIOLATION} OR contains(event_type, 'blocked') OR risk_score >= 35),
 x AS (SELECT unnest(CASE WHEN len(cs) > 0 THEN cs ELSE ['Policy screened'] END) AS category FROM c)
 SELECT category, count(*) AS events FROM x GROUP BY category ORDER BY events DESC, category LIMIT 6""",
@@ -388,12 +385,6 @@ v AS (SELECT company_slug, CAST(max(id) % 9 AS INT) + 1 AS version FROM rv GROUP
 b AS (SELECT company_slug, count(*) AS rule_count, '[' || string_agg('{{"rule_key":"' || rule_key || '","severity":"' || severity || '","version":' || version || '}}', ',' ORDER BY rule_key) || ']' AS body FROM a GROUP BY 1),
 s AS (SELECT company_slug, v.version, rule_count, sha256(company_slug || ':' || v.version || ':' || body) AS checksum FROM b JOIN v USING (company_slug))
 SELECT *, 'bundle_' || company_slug || '_' || version || '_' || substr(checksum, 1, 12) AS id FROM s""",
-    "detection_scores": f"""WITH {_SCAN_SQL}, e AS (SELECT doc_id, 'email' AS type FROM labels WHERE quality = 0 UNION SELECT doc_id, 'phone' FROM labels WHERE toxic = 1),
-a AS (SELECT DISTINCT doc_id, type FROM (SELECT doc_id, unnest(flags) AS type FROM f) WHERE type IN ('email', 'phone') AND doc_id IN (SELECT doc_id FROM labels)),
-m AS (SELECT coalesce(e.type, a.type) AS type, e.type IS NOT NULL AS he, a.type IS NOT NULL AS ha FROM e FULL JOIN a ON e.doc_id = a.doc_id AND e.type = a.type),
-s AS (SELECT type, count(*) FILTER (WHERE he AND ha) AS tp, count(*) FILTER (WHERE NOT he) AS fp, count(*) FILTER (WHERE NOT ha) AS fn FROM m GROUP BY type),
-p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0 END AS re FROM s)
-SELECT type, tp, fp, fn, round(pr, 3) AS precision, round(re, 3) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 3) AS f1 FROM p""",
     "recent_history": "SELECT conv_id, turn, role, sha256(text) AS text_sha256 FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8",
     "customer_upsert": """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS c_name, c_nationkey, c_acctbal FROM customer
 UNION ALL SELECT c_custkey + 10000000, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 50 = 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .telemetry import slug
+
 STATUSES = ("draft", "approved", "rejected", "archived")
 
 
@@ -85,3 +87,89 @@ def publish(rules: DataFrame, bundle: DataFrame, versions: DataFrame, columns: l
     made = made.withColumn("checksum", F.sha2(F.concat(F.col(scope), F.lit(":"), F.col("version").cast("string"), F.lit(":"), body), 256))
     bundle_id = F.concat(F.lit("bundle_"), F.col(scope), F.lit("_"), F.col("version").cast("string"), F.lit("_"), F.substring("checksum", 1, 12))
     return made.select(scope, "version", "rule_count", "checksum", bundle_id.alias("id"), F.transform("es", lambda e: e["json"]).alias("rules"))
+
+
+# What the fields of a draft can be and what they are without.
+DRAFT_ACTIONS, DESTINATIONS = ("allow", "transform", "warn", "require_approval", "block"), ("any", "approved", "enterprise", "personal", "unapproved")
+SEVERITIES = ("low", "medium", "high", "critical")
+DRAFT_TEXTS = {
+    "name": (300, "Untitled policy rule"), "source_policy": (300, "External AI Usage Policy"), "source_section": (300, "Imported policy section"), "excerpt": (3000, ""),
+    "user_scope": (160, "all"), "department_scope": (160, "all"), "ai_provider": (80, "chatgpt"),
+}
+
+
+def rule_slug(value: Column) -> Column:
+    """Lower-case letters and digits, in groups joined by underscores, at most 80 characters."""
+    return F.replace(slug(value), F.lit("-"), F.lit("_"))
+
+
+def draft_fields(inputs: DataFrame, scope: str = "company_slug") -> DataFrame:
+    """Drafts as they are stored: scope, rule_key and the limited, defaulted fields.
+
+    inputs: scope, rule_key, name, source_policy, source_section, excerpt, data_categories (text cut at commas and lines),
+    user_scope, department_scope, ai_provider, destination_type, action, fallback_action, severity. Blank texts
+    get defaults, and so do unknown actions (warn), destinations (personal) and severities (low). At most 40 categories stay.
+    """
+
+    def text(name: str) -> Column:
+        limit, default = DRAFT_TEXTS[name]
+        kept = F.substring(F.trim(F.coalesce(name, F.lit(""))), 1, limit)
+        return F.when(kept == "", default).otherwise(kept).alias(name)
+
+    known = lambda name, values, default: F.when(F.col(name).isin(*values), F.col(name)).otherwise(default).alias(name)
+    key = F.coalesce(F.when(F.col("rule_key") != "", F.col("rule_key")), F.when(F.col("name") != "", F.col("name")), F.lit("policy-rule"))
+    categories = F.filter(F.transform(F.split(F.coalesce("data_categories", F.lit("")), "[\n,]"), rule_slug), lambda c: c != "")
+    return inputs.select(
+        scope, rule_slug(key).alias("rule_key"), *[text(n) for n in ("name", "source_policy", "source_section", "excerpt")], F.slice(categories, 1, 40).alias("data_categories"),
+        *[text(n) for n in ("user_scope", "department_scope", "ai_provider")], known("destination_type", DESTINATIONS, "personal"), known("action", DRAFT_ACTIONS, "warn"),
+        known("fallback_action", DRAFT_ACTIONS, "warn"), known("severity", SEVERITIES, "low"),
+    )
+
+
+def created_drafts(rules: DataFrame, drafts: DataFrame, order: str, scope: str = "company_slug") -> DataFrame:
+    """Drafts with their versions: those of a key follow its highest version in the order of a column of drafts. They are inactive."""
+    last = next_versions(rules, scope)
+    n = F.row_number().over(Window.partitionBy(scope, "rule_key").orderBy(order))
+    out = drafts.withColumn("_n", n).join(last, [scope, "rule_key"], "left")
+    version = (F.coalesce("next_version", F.lit(1)) + F.col("_n") - 1).cast("int")
+    return out.select(*drafts.columns, version.alias("version"), F.lit("draft").alias("status"), F.lit(False).alias("active"))
+
+
+def edited_drafts(rules: DataFrame, edits: DataFrame) -> DataFrame:
+    """Rules after edits (id and new values of some columns): only drafts change."""
+    columns = [c for c in edits.columns if c != "id"]
+    new = edits.select(F.col("id").alias("_id"), F.struct(*columns).alias("_new"))
+    hit = F.col("_new").isNotNull() & (F.col("status") == "draft")
+    out = rules.join(new, F.col("id") == F.col("_id"), "left")
+    return out.select(*[F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rules.columns])
+
+
+def superseded(bundles: DataFrame, made: DataFrame, scope: str = "company_slug") -> DataFrame:
+    """Bundles after publishing: the new ones are published, and those of the same companies that were are superseded."""
+    fresh = made.select(scope, "version", "rule_count", "id", F.lit("published").alias("status"))
+    touched = made.select(F.col(scope).alias("_s")).distinct()
+    old = bundles.join(touched, F.col(scope) == F.col("_s"), "left")
+    status = F.when(F.col("_s").isNotNull() & (F.col("status") == "published"), "superseded").otherwise(F.col("status"))
+    return old.select(scope, "version", "rule_count", "id", status.alias("status")).unionByName(fresh)
+
+
+def latest_bundles(bundles: DataFrame, scope: str = "company_slug") -> DataFrame:
+    """Each company's published bundle of the highest version; companies without one have no row."""
+    order = Window.partitionBy(scope).orderBy(F.desc("version"), F.desc("id"))
+    return bundles.where("status = 'published'").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def bundle_pages(bundles: DataFrame, page: int = 10, recent: int = 3, scope: str = "company_slug") -> DataFrame:
+    """The newest bundles of each company, the first of them marked recent."""
+    order = Window.partitionBy(scope).orderBy(F.desc("version"), F.desc("id"))
+    placed = bundles.withColumn("place", F.row_number().over(order)).where(F.col("place") <= page)
+    return placed.withColumn("recent", F.col("place") <= recent)
+
+
+def admin_snapshot(rules: DataFrame, bundles: DataFrame, bundle_rules: DataFrame, scope: str = "company_slug") -> DataFrame:
+    """One row per company: rules by status, published rules, bundles and the latest version; companies without bundles have nulls and zeros."""
+    counts = status_counts(rules, scope)
+    live = with_published(rules, bundle_rules, scope).groupBy(scope).agg(F.count(F.when(F.col("published"), 1)).alias("published"))
+    held = bundles.groupBy(scope).agg(F.count(F.lit(1)).alias("bundles"))
+    latest = latest_bundles(bundles, scope).select(scope, F.col("version").alias("latest_version"))
+    return counts.join(live, scope, "left").join(held, scope, "left").join(latest, scope, "left").fillna(0, ["published", "bundles"])

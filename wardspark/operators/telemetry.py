@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scan import risk_level
 
+#: What events, actions and levels are called.
 EVENT_TYPES = ("message_sent_to_ai", "message_blocked", "attachment_governed", "attachment_blocked", "assistant_response_rehydrated", "extension_error")
 ACTIONS = ("allow", "warn", "redact", "block", "clean", "redacted", "blocked", "unsupported", "too_large", "failed", "binary")
 VIOLATIONS = ("warn", "redact", "block", "redacted", "blocked")
@@ -36,13 +37,13 @@ def slug(value: Column, limit: int = 80) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(value), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, limit)
 
 
-def normalised(events: DataFrame) -> DataFrame:
+def normalised(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Raw payload rows to the normalised event row; every field has a default and a limit.
 
     Expects the columns event_type, surface, company_slug, user_label, install_id,
     conversation_key, action, risk_score, risk_level, flags (array), entity_counts (map),
     redaction_count, attachment_count, metadata (map), occurred_at (timestamp), event_id. A
-    missing time stays missing.
+    missing time stays missing. Columns of ``keep`` pass through.
     """
     kind = F.when(F.col("event_type").isin(*EVENT_TYPES), F.col("event_type")).otherwise("extension_error")
     action = F.when(F.col("action").isin(*ACTIONS), F.col("action")).when(kind.contains("blocked"), "block").otherwise("allow")
@@ -66,6 +67,7 @@ def normalised(events: DataFrame) -> DataFrame:
         clamped(F.col("attachment_count").cast("double"), 0, 1000).alias("attachment_count"),
         _labelled(F.coalesce("metadata", F.create_map().cast("map<string,string>")), label).alias("metadata"),
         F.col("occurred_at").alias("created_at"),
+        *(keep or []),
     )
 
 
@@ -115,28 +117,25 @@ def metrics(events: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def daily_usage(events: DataFrame, first_day: Column | None = None, last_day: Column | None = None) -> DataFrame:
-    """(day, requests, flagged) for every day from the first to the last, zeros included."""
-    daily = events.groupBy(F.to_date("created_at").alias("day")).agg(
+def daily_usage(events: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., day, requests, flagged) for every day of each group from its first to its last, zeros included."""
+    by = by or []
+    daily = events.groupBy(*by, F.to_date("created_at").alias("day")).agg(
         _count(F.col("event_type").isin("message_sent_to_ai", "message_blocked")).alias("requests"), _count(is_flagged()).alias("flagged")
     )
-    ends = events.agg(
-        (first_day if first_day is not None else F.min(F.to_date("created_at"))).alias("a"),
-        (last_day if last_day is not None else F.max(F.to_date("created_at"))).alias("b"),
-    )
-    calendar = ends.where("a is not null and b is not null").select(F.explode(F.sequence("a", "b")).alias("day"))
-    return calendar.join(daily, "day", "left").select(
-        "day", F.coalesce("requests", F.lit(0)).alias("requests"), F.coalesce("flagged", F.lit(0)).alias("flagged")
-    )
+    ends = events.groupBy(*by).agg(F.min(F.to_date("created_at")).alias("a"), F.max(F.to_date("created_at")).alias("b"))
+    calendar = ends.where("a is not null").select(*by, F.explode(F.sequence("a", "b")).alias("day"))
+    return calendar.join(daily, [*by, "day"], "left").select(*by, "day", F.coalesce("requests", F.lit(0)).alias("requests"), F.coalesce("flagged", F.lit(0)).alias("flagged"))
 
 
-def risk_distribution(events: DataFrame) -> DataFrame:
-    """(level, n, percent) of all four levels, rehydrations left out."""
-    counted = events.where("event_type <> 'assistant_response_rehydrated'").groupBy(F.col("risk_level").alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    levels = events.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, LEVELS))).alias("level"))
-    out = levels.join(F.broadcast(counted), "level", "left").select("level", F.coalesce("n", F.lit(0)).alias("n"))  # at most four rows
-    total = F.sum("n").over(Window.partitionBy())
-    return out.select("level", "n", F.when(total > 0, F.floor(100.0 * F.col("n") / total + 0.5)).otherwise(0).cast("long").alias("percent"))
+def risk_distribution(events: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., level, n, percent) of all four levels of each group, rehydrations left out."""
+    by = by or []
+    kept = F.when(F.col("event_type") != "assistant_response_rehydrated", F.col("risk_level"))
+    counts = events.groupBy(*by).agg(*[F.count(F.when(kept == level, 1)).alias(level) for level in LEVELS])
+    total = sum((F.col(level) for level in LEVELS[1:]), F.col(LEVELS[0]))
+    out = counts.select(*by, total.alias("total"), *LEVELS).unpivot([*by, "total"], list(LEVELS), "level", "n")
+    return out.select(*by, "level", "n", F.when(F.col("total") > 0, F.floor(100.0 * F.col("n") / F.col("total") + 0.5)).otherwise(0).cast("long").alias("percent"))
 
 
 def categories(flags: Column, event_type: Column, action: Column) -> Column:
@@ -189,3 +188,98 @@ def recent_events(events: DataFrame, top: int = 8) -> DataFrame:
 def active_users(events: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(user, last_seen, events) from the events themselves."""
     return events.groupBy(*(by or []), "install_id").agg(F.max("created_at").alias("last_seen"), F.count(F.lit(1)).alias("events"))
+
+
+# What the dashboard says of an event.
+POLICY_TEXTS = (
+    "{} blocked submission before external AI routing.", "{} redacted identifiers before external AI routing.", "{} detected policy-sensitive context.",
+    "Extension telemetry captured metadata only.",
+)
+PREVIEWS = (
+    "Extension governed an attachment. Raw file content was not stored.", ("Extension allowed a ", " message after local governance."),
+    ("Extension blocked a ", " message before AI submission."), "Extension event logged without raw content.",
+)
+#: Fields of a payload beside those of normalised(): their limit and what a blank one is.
+FURTHER_TEXTS = {
+    "company_name": (120, "Test Company"), "message_length_bucket": (40, "unknown"), "employee_user_id": (160, "unknown-employee"), "ai_provider": (80, "chatgpt"),
+    "destination_type": (80, "personal"), "content_type": (80, "prompt"),
+}
+RULE_TEXTS = {"rule_id": 160, "rule_key": 160, "policy_action": 80, "policy_severity": 80}
+PAYLOAD = (
+    "event_id long, event_type string, surface string, company_slug string, company_name string, user_label string, install_id string, conversation_key string, action string, "
+    "risk_score double, risk_level string, flags array<string>, entity_counts map<string,double>, redaction_count double, attachment_count double, message_length_bucket string, "
+    "metadata map<string,string>, occurred_at string, organization_id string, employee_user_id string, rule_id string, rule_key string, rule_version double, "
+    "policy_bundle_version double, policy_action string, policy_severity string, ai_provider string, destination_type string, content_type string, detected_categories array<string>"
+)
+
+
+def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Payload rows of JSON lines; works on streams. Lines that are no JSON object come out with nulls only."""
+    return lines.select(F.from_json(column, PAYLOAD, {"mode": "PERMISSIVE"}).alias("p")).select("p.*").withColumn("occurred_at", F.try_to_timestamp("occurred_at"))
+
+
+def normalised_whole(payloads: DataFrame) -> DataFrame:
+    """normalised() with the fields of rules, bundles and destinations; zero versions and blank rule texts are null, as they are stored."""
+    versions = {c: F.when(clamped(F.col(c), 0, 100_000) != 0, clamped(F.col(c), 0, 100_000)) for c in ("rule_version", "policy_bundle_version")}
+    kept = lambda name, limit: F.substring(F.coalesce(name, F.lit("")), 1, limit)
+    categories = F.filter(F.coalesce("detected_categories", F.array().cast("array<string>")), lambda c: F.trim(c) != "")
+    organisation = F.when(F.trim("organization_id") != "", F.substring("organization_id", 1, 120)).when(F.col("company_slug").isNotNull(), slug(F.col("company_slug"))).otherwise("test-company")
+    further = payloads.select(
+        F.struct(
+            *[text_or(F.col(n), default, limit).alias(n) for n, (limit, default) in FURTHER_TEXTS.items()], organisation.alias("organization_id"),
+            *[F.when(kept(n, limit) != "", kept(n, limit)).alias(n) for n, limit in RULE_TEXTS.items()], *[v.alias(c) for c, v in versions.items()],
+            F.slice(F.transform(categories, lambda c: F.substring(c, 1, 120)), 1, 40).alias("detected_categories"),
+        ).alias("further"),
+        *payloads.columns,
+    )
+    base = normalised(further, keep=["further"])
+    return base.select(*[c for c in base.columns if c != "further"], "further.*")
+
+
+def described(events: DataFrame, guard: str = "The guard") -> DataFrame:
+    """(event_id, preview, policy_text) of events with message_length_bucket: what is shown in place of content."""
+    kind, action = F.col("event_type"), F.col("action")
+    say = lambda parts: F.concat(F.lit(parts[0]), F.col("message_length_bucket"), F.lit(parts[1]))
+    preview = F.when(kind.startswith("attachment"), PREVIEWS[0]).when(kind == "message_sent_to_ai", say(PREVIEWS[1])).when(kind == "message_blocked", say(PREVIEWS[2])).otherwise(PREVIEWS[3])
+    texts = [t.format(guard) for t in POLICY_TEXTS]
+    blocked = (kind == "message_blocked") | action.isin("block", "blocked")
+    policy = F.when(blocked, texts[0]).when(action.isin("redact", "redacted"), texts[1]).when(action == "warn", texts[2]).otherwise(texts[3])
+    return events.select("event_id", preview.alias("preview"), policy.alias("policy_text"))
+
+
+def governance_events(scans: DataFrame) -> DataFrame:
+    """Scanned chats (flags, action, requires_review, risk_score, provider_label and others) as governance events.
+
+    Adds category, action_taken, status, severity and provider.
+    """
+    has = lambda *names: F.arrays_overlap("flags", F.array(*map(F.lit, names)))
+    action, label = F.col("action"), F.coalesce("provider_label", F.lit(""))
+    named = lambda part: F.contains(label, F.lit(part))
+    return scans.select(
+        "*",
+        F.when(has("secret"), "Secrets/API keys").when(has("prompt_injection"), "Prompt injection").when(F.exists("flags", lambda f: f.startswith("regulated_")), "Regulated advice")
+        .when(has("email", "phone", "address", "account", "possible_name"), "PII exposure").otherwise("Policy screened").alias("category"),
+        F.when(action == "block", "Blocked").when(action == "redact", "Redacted and logged").when(action == "warn", "Warned and logged").otherwise("Allowed and logged").alias("action_taken"),
+        F.when(action == "block", "Incident created").when(F.col("requires_review"), "Needs review").otherwise("Resolved").alias("status"),
+        risk_level(F.col("risk_score")).alias("severity"),
+        F.when(named("Anthropic"), "Anthropic").when(named("Gemini"), "Gemini").when(named("OpenAI"), "OpenAI").otherwise("Internal").alias("provider"),
+    )
+
+
+def day_label(day: Column, buckets: Column) -> Column:
+    """The weekday for up to seven buckets, else month and day."""
+    return F.when(buckets <= 7, F.date_format(day, "EEE")).otherwise(F.date_format(day, "MMM d"))
+
+
+def key_figures(metrics: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., label, value): metrics with active_users as labelled figures with thousands separators."""
+    figures = (("Total AI requests", "messages_sent"), ("High-risk events", "policy_violations"), ("Blocked requests", "messages_blocked"), ("Active users", "active_users"))
+    rows = [F.struct(F.lit(label).alias("label"), F.format_number(F.col(c), 0).alias("value")) for label, c in figures]
+    rows.append(F.struct(F.lit("Estimated spend").alias("label"), F.lit("$0").alias("value")))
+    return metrics.select(*by, F.explode(F.array(*rows)).alias("f")).select(*by, "f.*")
+
+
+def latest_scans(scans: DataFrame, by: list[str], sequence: str = "sequence") -> DataFrame:
+    """Of each key's scan results those of the newest sequence; older ones that arrive late are dropped. Ties keep one row."""
+    order = Window.partitionBy(*by).orderBy(F.desc(sequence))
+    return scans.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
