@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardspark.functions import scan as S
-from wardspark.operators import conversations, evaluation, policy, rules, telemetry
+from wardspark.operators import attachments, conversations, evaluation, policy, rules, telemetry
 from wardspark.plans import mining
 from wardspark.sources import dml, documents
 
@@ -123,11 +123,59 @@ def test_mined_rules(spark):
     docs = spark.createDataFrame([(1, text), (2, "Lunch is at noon.")], "doc_id long, text string")
     got = mining.with_fallback(docs, mining.inferred_rules(mining.sections(docs))).collect()
     by = {(r.doc_id, r.action): r for r in got}
-    assert by[1, "block"].source_section == "AI USAGE POLICY" and by[1, "block"].destination_type == "personal" or by[1, "block"].destination_type == "any"
+    assert by[1, "block"].source_section == "AI USAGE POLICY" and by[1, "block"].destination_type == "personal"
     assert by[1, "require_approval"].ai_provider == "chatgpt" and by[1, "transform"].ai_provider == "gemini"
     assert by[2, "warn"].confidence == 35 and by[2, "warn"].rule_key == "review_imported_ai_policy"
 
 
+def test_paragraphs_end_with_the_line_that_fills_them(spark):
+    line = lambda i: f"line {i} " + "x" * 392
+    docs = spark.createDataFrame([(1, "\n".join(line(i) for i in range(9)))], "doc_id long, text string")
+    got = [r.text for r in mining.sections(docs).orderBy("ordinal").collect()]
+    assert got == [f"{line(i)} {line(i + 1)}" for i in range(0, 8, 2)] + [line(8)]
+
+
+def test_stabilised_messages(spark):
+    m = spark.createDataFrame([(1, 0, "email neta rogovsky and kevin trejos abt saturday"), (1, 1, "then [EMAIL_4] and x@a.org"), (2, 0, "neta rogovsky is in")], "conv_id long, turn long, text string")
+    v = conversations.vault(m)
+    assert {(r.conv_id, r.original, r.placeholder) for r in v.collect()} == {(1, "neta rogovsky", "[PERSON_1]"), (1, "kevin trejos", "[PERSON_2]"), (1, "x@a.org", "[EMAIL_5]")}
+    later = spark.createDataFrame([(1, 2, "Kevin Trejos is bringing dessert; NETA ROGOVSKY too, xneta rogovsky not"), (2, 1, "neta rogovsky is in")], m.schema)
+    got = {r.conv_id: r for r in conversations.stabilised(later, v).collect()}
+    assert got[1].redacted == "[PERSON_2] is bringing dessert; [PERSON_1] too, xneta rogovsky not" and got[1].risk_score == 40
+    assert got[2].redacted == "neta rogovsky is in" and got[2].risk_score == 10
+    grown = conversations.vault(later, v).where("conv_id = 1").collect()
+    assert {(r.original, r.placeholder) for r in grown} == {("neta rogovsky", "[PERSON_1]"), ("kevin trejos", "[PERSON_2]"), ("x@a.org", "[EMAIL_5]")}
+    told = spark.createDataFrame([(7, 0, "Hi [PERSON_1]")], m.schema)
+    draft = spark.createDataFrame([(7, "[PERSON_1]", "Ann Lee")], "conv_id long, placeholder string, original string")
+    assert conversations.rehydrate_messages(told, v, draft).first().text == "Hi Ann Lee"
+
+
+def test_pdf_text(spark, tmp_path):
+    import zlib
+
+    page = rb"BT (Hello \(PDF\) w\157rld) Tj <FEFF00480069002000740068006500720065> Tj ET"
+    packed = zlib.compress(page)
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4\n1 0 obj << /Filter /FlateDecode >>\nstream\n" + packed + b"\nendstream\nendobj")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4\n1 0 obj << /Length 9 >>\nstream\r\n" + page + b"\r\nendstream\n2 0 obj << /Filter /DCTDecode >> stream\n(not this one)\nendstream")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-1.4\n<< /FlateDecode >> stream\nbroken\nendstream")
+    got = {r.path.rsplit("/", 1)[1]: r for r in documents.document_text(documents.read_binaries(spark, str(tmp_path))).collect()}
+    assert got["a.pdf"].text == got["b.pdf"].text == "Hello (PDF) world Hi there" and got["a.pdf"].problem == "little_text"
+    assert got["c.pdf"].text == ""
+
+
+def test_attachments_are_governed(spark):
+    key = 'const k = "sk-abc123def456";'
+    rows = [(1, "John_Smith.ts", "text/plain", 40, key, "native_text", None), (2, "scan.pdf", "application/pdf", 9, None, "native_text", None), (3, "ok.md", "", 9, "fine", None, None),
+            (4, "m.pdf", "application/pdf", 99, "mail x@a.org", "pdf_text", ["short"]), (5, "bad.txt", "text/plain", 9, "please jailbreak", None, None), (6, "big.txt", "", 300_000, "x", None, None)]
+    df = spark.createDataFrame(rows, "id long, name string, mime_type string, size long, text string, extraction string, warnings array<string>")
+    got = {r.id: r for r in attachments.governed(df).collect()}
+    assert {i: r.action for i, r in got.items()} == {1: "redacted", 2: "unsupported", 3: "clean", 4: "redacted", 5: "blocked", 6: "too_large"}
+    assert "[SECRET_1]" in got[1].sanitized_text and got[1].safe_name.endswith(".ts") and got[1].redaction_count == 2 and "Smith" not in got[1].safe_name
+    assert got[4].sanitized_text.endswith("---\nmail [EMAIL_1]") and "Extraction notes: short" in got[4].sanitized_text and got[2].sanitized_text is None
+    batches = attachments.batch_verdicts(spark.createDataFrame([(1, r.id, r.action, r.risk_score, r.redaction_count, r.safe_name, r.blocked_reason) for r in got.values() if r.id in (1, 3)], "batch_id long, id long, action string, risk_score int, redaction_count int, safe_name string, blocked_reason string"))
+    assert (batches.first().batch_action, batches.first().summary) == ("allow", "2 identifiers protected across 2 files.")
+
+
 def test_scores_of_empty_denominators(spark):
     none = spark.createDataFrame([], "id long, type string")
     some = spark.createDataFrame([(1, "a"), (2, "a")], "id long, type string")

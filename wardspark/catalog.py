@@ -307,9 +307,15 @@ def recent_history(spark, sf_dir):
 
 
 def conversation_vault(spark, sf_dir):
-    """Documents as messages of 100 conversations: the placeholders that each conversation's values get."""
-    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 100).alias("conv_id"), F.col("doc_id").alias("turn"), "text")
-    return conversations.vault(docs)
+    """The placeholders that the values of each conversation get."""
+    return conversations.vault(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+
+
+def conversation_redacted(spark, sf_dir):
+    """Messages with the placeholders that the vault of their conversation knows."""
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    done = conversations.stabilised(messages, conversations.vault(messages))
+    return done.select("conv_id", "turn", F.size("entities").alias("entities"), F.sha2("redacted", 256).alias("redacted_sha256"), "risk_score")
 
 
 def customer_upsert(spark, sf_dir):
@@ -333,7 +339,7 @@ QUERIES = {
     for f in (
         governance_summary, policy_scan, entity_counts, redaction_round_trip, telemetry_normalised, dashboard_metrics, usage_over_time,
         risk_distribution, risk_categories, provider_usage, recent_events, active_users, streamed_daily_counts, policy_decisions, rule_latest,
-        rule_next_versions, rule_status_counts, rule_buckets, published_bundles, mined_rules, recent_history, conversation_vault, customer_upsert,
+        rule_next_versions, rule_status_counts, rule_buckets, published_bundles, mined_rules, recent_history, conversation_vault, conversation_redacted, customer_upsert,
     )
 }
 FLAGSHIP = "governance_summary"

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scan import rehydrated, scan
+from ..functions.patterns import PLACEHOLDER
+from ..functions.scan import rehydrated, scan, spliced, stable_key
 
 
 def recent_history(messages: DataFrame, last: int = 8) -> DataFrame:
@@ -15,19 +16,81 @@ def recent_history(messages: DataFrame, last: int = 8) -> DataFrame:
     return said.withColumn("back", F.row_number().over(order)).where(F.col("back") <= last).select("conv_id", "turn", "role", "text", "back")
 
 
-def vault(messages: DataFrame) -> DataFrame:
+KEYED = "array<struct<id:string,type:string,original:string>>"
+
+
+def vault(messages: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(conv_id, type, original, placeholder): one placeholder a conversation for each value, numbered by first appearance.
 
-    Values are counted over the whole conversation by a rank of their first place, not by a fold over
-    messages, so a long conversation is sorted and not held. Secrets get placeholders too; rehydration
-    leaves them.
+    Values are those of a type that share a stable key; the first form is kept. Numbers go on after those of
+    placeholders in the texts and of ``seeds`` (rows of an earlier vault, which stay as they are). Values are counted
+    over the whole conversation by a rank of their first place, not by a fold over messages. Secrets get
+    placeholders too; rehydration leaves them.
     """
     scanned = scan(messages.select(F.struct("conv_id", "turn").alias("at"), "text"), "at")
     each = scanned.select("at.conv_id", "at.turn", F.explode("entities").alias("e"))
-    key = F.trim(F.regexp_replace("e.original", r"\s+", " "))
-    first = each.groupBy("conv_id", F.col("e.type").alias("type"), key.alias("original")).agg(F.min(F.struct("turn", "e.start")).alias("first"))
-    number = F.row_number().over(Window.partitionBy("conv_id", "type").orderBy("first", "original"))
-    return first.select("conv_id", "type", "original", F.concat(F.lit("["), "type", F.lit("_"), number.cast("string"), F.lit("]")).alias("placeholder"))
+    first = each.groupBy("conv_id", F.col("e.type").alias("type"), stable_key(F.col("e.type"), F.col("e.original")).alias("key")).agg(
+        F.min(F.struct("turn", F.col("e.start").alias("start"), F.col("e.original").alias("original"))).alias("first")
+    )
+    marks = messages.select("conv_id", F.explode(F.regexp_extract_all("text", F.lit(PLACEHOLDER), F.lit(0))).alias("p"))
+    if seeds is not None:
+        marks = marks.unionByName(seeds.select("conv_id", F.col("placeholder").alias("p")))
+        known = seeds.select("conv_id", "type", stable_key(F.col("type"), F.col("original")).alias("key"))
+        first = first.join(known, ["conv_id", "type", "key"], "left_anti")
+    taken = marks.groupBy("conv_id", F.regexp_extract("p", PLACEHOLDER, 1).alias("type")).agg(F.max(F.regexp_extract("p", PLACEHOLDER, 2).cast("int")).alias("taken"))
+    number = F.row_number().over(Window.partitionBy("conv_id", "type").orderBy("first", "key"))
+    new = first.withColumn("number", number).join(taken, ["conv_id", "type"], "left")
+    ids = F.concat(F.lit("["), "type", F.lit("_"), (F.col("number") + F.coalesce("taken", F.lit(0))).cast("string"), F.lit("]"))
+    out = new.select("conv_id", "type", F.trim(F.regexp_replace("first.original", r"\s+", " ")).alias("original"), ids.alias("placeholder"))
+    return out if seeds is None else seeds.select(*out.columns).unionByName(out)
+
+
+def known_entities(text: Column, vault: Column) -> Column:
+    """Places at which values of a vault (array of id, type, original) stand in a text, between word boundaries; names in any case, secrets never."""
+
+    def places(v: Column) -> Column:
+        literal = F.concat(F.lit("\\Q"), F.replace(v["original"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        edge = F.lit("(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+        pattern = F.concat(F.when(v["type"] == "PERSON", "(?i)").otherwise(""), edge, literal, edge)
+        found = F.regexp_extract_all(text, pattern, F.lit(0))
+        parts = F.arrays_zip(F.split(text, pattern, -1).alias("b"), found.alias("m"))
+
+        def add(acc: Column, x: Column) -> Column:
+            start = acc["at"] + F.length(x["b"])
+            new = F.struct(start.alias("start"), (start + F.length(x["m"])).alias("stop"), v["id"].alias("id"), v["type"].alias("type"))
+            return F.struct((start + F.length(x["m"])).alias("at"), F.array_append(acc["out"], new).alias("out"))
+
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,id:string,type:string>>").alias("out"))
+        return F.aggregate(F.slice(parts, F.lit(1), F.size(found)), empty, add, lambda acc: acc["out"])
+
+    return F.flatten(F.transform(F.filter(vault, lambda v: (v["type"] != "SECRET") & (v["original"] != "")), places))
+
+
+def without_overlaps(primary: Column, secondary: Column) -> Column:
+    """Both arrays of (start, stop, id, type) in order of place; of the second those that overlap nothing taken before."""
+    clash = lambda acc, x: F.exists(acc, lambda y: (y["start"] < x["stop"]) & (x["start"] < y["stop"]))
+    return F.array_sort(F.aggregate(secondary, primary, lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.array_append(acc, x))))
+
+
+def stabilised(messages: DataFrame, vaults: DataFrame) -> DataFrame:
+    """(conv_id, turn, entities, redacted, risk_score): messages with the placeholders that their conversation knows.
+
+    Values that the scan finds and the vault knows get the vault's placeholder; known values that the scan misses
+    are added where they overlap nothing, and raise the risk to 40 at least.
+    """
+    maps = vaults.groupBy("conv_id").agg(F.collect_list(F.struct(F.col("placeholder").alias("id"), "type", "original")).alias("vault"))
+    told = messages.join(maps, "conv_id", "left").select(F.struct("conv_id", "turn").alias("at"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("vault", F.array().cast(KEYED)).alias("vault"))
+    found = scan(told, "at").select(F.col("at").alias("_at"), "entities", "risk_score")
+    both = told.join(found, F.col("at") == F.col("_at"))
+    shape = "array<struct<start:int,stop:int,id:string,type:string>>"
+    named = lambda e: F.get(F.filter("vault", lambda v: (v["type"] == e["type"]) & (stable_key(v["type"], v["original"]) == stable_key(e["type"], e["original"]))), F.lit(0))["id"]
+    own = F.transform("entities", lambda e: F.struct(e["start"].alias("start"), e["stop"].alias("stop"), F.coalesce(named(e), e["id"]).alias("id"), e["type"].alias("type"))).cast(shape)
+    both = both.select("at", "text", own.alias("own"), known_entities(F.col("text"), F.col("vault")).cast(shape).alias("known"), "risk_score")
+    both = both.select("*", without_overlaps(F.col("own"), F.col("known")).alias("all"))
+    return both.select(
+        "at.conv_id", "at.turn", F.col("all").alias("entities"), spliced(F.col("text"), F.col("all"), F.transform("all", lambda e: e["id"])).alias("redacted"),
+        F.when(F.size("known") > 0, F.greatest("risk_score", F.lit(40))).otherwise(F.col("risk_score")).alias("risk_score"),
+    )
 
 
 def migrated(vaults: DataFrame, moves: DataFrame) -> DataFrame:
@@ -37,9 +100,25 @@ def migrated(vaults: DataFrame, moves: DataFrame) -> DataFrame:
     return kept.unionByName(moved)
 
 
-def rehydrate_messages(messages: DataFrame, vaults: DataFrame) -> DataFrame:
-    """Messages with their conversation's placeholders put back: conv_id, turn, text, replaced, unresolved."""
-    maps = vaults.groupBy("conv_id").agg(F.collect_list(F.struct(F.col("placeholder").alias("id"), "original")).alias("vault"))
-    joined = messages.join(maps, "conv_id", "left")
+def rehydrate_messages(messages: DataFrame, vaults: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
+    """Messages with their conversation's placeholders put back: conv_id, turn, text, replaced, unresolved.
+
+    Where nothing is put back though placeholders stand there, ``fallback`` (conv_id, placeholder, original: the vault
+    of the draft that the conversation came from) is tried.
+    """
     empty = F.array().cast("array<struct<id:string,original:string>>")
-    return joined.select("conv_id", "turn", rehydrated(F.coalesce("text", F.lit("")), F.coalesce("vault", empty)).alias("h")).select("conv_id", "turn", "h.*")
+    maps = lambda rows, name: rows.groupBy("conv_id").agg(F.collect_list(F.struct(F.col("placeholder").alias("id"), "original")).alias(name))
+    joined = messages.join(maps(vaults, "vault"), "conv_id", "left")
+    if fallback is not None:
+        joined = joined.join(maps(fallback, "draft"), "conv_id", "left")
+    text = F.coalesce("text", F.lit(""))
+    done = joined.select("*", rehydrated(text, F.coalesce("vault", empty)).alias("h"))
+    if fallback is not None:
+        again = (F.col("h.replaced") == 0) & (F.size("h.unresolved") > 0) & F.col("draft").isNotNull()
+        done = done.withColumn("h", F.when(again, rehydrated(text, F.coalesce("draft", empty))).otherwise(F.col("h")))
+    return done.select("conv_id", "turn", "h.*")
+
+
+def pruned_drafts(drafts: DataFrame, now: Column, minutes: int = 10) -> DataFrame:
+    """Draft vault rows (with saved_at) that are not older than so many minutes."""
+    return drafts.where(F.col("saved_at") >= now - F.make_dt_interval(mins=F.lit(minutes)))

@@ -25,7 +25,26 @@ CATEGORIES = (
     ("prompt_injection", "prompt injection", r"\b(prompt injection|jailbreak|ignore previous|bypass|override instructions)\b"),
 )
 REDACTING = r"\b(redact|remove|de-identify|deidentify|mask|anonymize)\b"
-LONG_LINE, LEAST_TEXT, MOST_RULES = 450, 40, 8
+FORBIDDING = r"\b(block|prohibit|prohibited|must not|do not|never|forbidden)\b"
+#: Outcomes in order of priority with the patterns that must all match; what no row fits is the last word.
+ACTIONS = (
+    ("transform", (FORBIDDING, REDACTING)), ("block", (FORBIDDING,)), ("require_approval", (r"\b(approval|approved|permission|review required|human review)\b",)),
+    ("transform", (REDACTING,)), ("warn", ()),
+)
+DESTINATIONS = (
+    ("personal", (r"\b(personal|consumer|free account|public ai|unapproved)\b",)), ("unapproved", (r"\bunauthorized\b",)),
+    ("approved", (r"\b(approved|enterprise|company account|managed account)\b",)), ("any", ()),
+)
+PROVIDERS = (("chatgpt", ("chatgpt",)), ("openai", ("openai",)), ("anthropic", ("anthropic|claude",)), ("gemini", ("gemini|google ai",)), ("any", ()))
+CRITICAL = r"\b(api key|secret|password|private key|hipaa|payment|bank account|ssn|social security)\b"
+GRAVE = ("regulated_financial_context", "medical_context", "legal_context", "hr_context")
+FALLBACKS = {"transform": "block", "warn": "require_approval", "block": "block", "require_approval": "require_approval"}
+#: Names of rules by action, around the label of their first category.
+TITLES = {
+    "transform": ("Redact ", " before external AI use"), "block": ("Do not submit ", " to unapproved AI"), "require_approval": ("Require approval for ", " in AI workflows"),
+    "warn": ("Review ", " before AI use"),
+}
+LONG_LINE, FULL_PARAGRAPH, LEAST_TEXT, MOST_RULES = 450, 700, 40, 8
 
 
 def clamp_text(value: Column, limit: int) -> Column:
@@ -45,7 +64,7 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, ordinal, heading, text): candidate sections longer than 40 characters.
 
     Lines under a heading are joined; a line longer than 450 characters is cut into its sentences
-    by itself. Of a section with several sentences, those with an obligation are sections of their own.
+    by itself, and a paragraph ends with the line that makes it longer than 700. Of a section with several sentences, those with an obligation are sections of their own.
     """
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.replace(F.col(text_col), F.lit("\r"), F.lit("")), "\n")).alias("n", "line"))
     lines = lines.select("doc_id", "n", F.trim("line").alias("line")).where("line <> ''")
@@ -60,13 +79,20 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     title = clamp_text(F.regexp_replace("bare", ":$", ""), 120)
     lines = lines.withColumn("heading", F.coalesce(F.last(F.when(F.col("is_heading"), title), True).over(order), F.lit("Imported AI usage policy")))
     body = lines.where("not is_heading").withColumn("part", F.when(F.col("is_long"), F.col("line")).otherwise(F.col("bare")))
-    # Paragraphs close after 700 characters: the running length within a block says how many are full.
-    size = F.sum(F.length("part") + 1).over(Window.partitionBy("doc_id", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-    body = body.withColumn("piece", F.floor(F.coalesce(size, F.lit(0)) / 700))
-    joined = body.groupBy("doc_id", "block", "piece").agg(
-        F.min("n").alias("n"), F.min_by("heading", "n").alias("heading"), F.max("is_long").alias("is_long"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]), " ").alias("paragraph"),
-    )
+    # Lines gather in a paragraph until it is longer than FULL_PARAGRAPH; the next line starts anew.
+    blocks = body.groupBy("doc_id", "block").agg(
+        F.array_sort(F.collect_list(F.struct("n", "part"))).alias("lines"), F.min_by("heading", "n").alias("heading"), F.max("is_long").alias("is_long")
+    )
+    open_, closed = "struct<n:int,paragraph:string>", "array<struct<n:int,paragraph:string>>"
+    empty = F.struct(F.lit(None).cast(open_).alias("now"), F.array().cast(closed).alias("out"))
+
+    def gather(acc: Column, x: Column) -> Column:
+        now = F.struct(F.coalesce(acc["now"]["n"], x["n"]).alias("n"), F.concat(F.coalesce(F.concat(acc["now"]["paragraph"], F.lit(" ")), F.lit("")), x["part"]).alias("paragraph"))
+        full = F.length(now["paragraph"]) > FULL_PARAGRAPH
+        return F.struct(F.when(~full, now).cast(open_).alias("now"), F.when(full, F.array_append(acc["out"], now)).otherwise(acc["out"]).cast(closed).alias("out"))
+
+    gathered = F.aggregate("lines", empty, gather, lambda acc: F.when(acc["now"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["now"])))
+    joined = blocks.select("doc_id", "heading", "is_long", F.posexplode(gathered).alias("piece", "x")).select("doc_id", "x.n", "piece", "heading", "is_long", "x.paragraph")
     split = joined.select("doc_id", "n", "piece", "heading", "paragraph", "is_long", sentences(F.regexp_replace("paragraph", r"\s+", " ")).alias("ss"))
     binding = F.filter("ss", lambda s: _obligations(s) > 0)
     parts = F.when((F.size("ss") <= 1), F.col("ss")).when(F.size(binding) > 0, binding).when(F.col("is_long"), F.col("ss")).otherwise(F.array(F.trim(F.regexp_replace("paragraph", r"\s+", " "))))
@@ -83,51 +109,40 @@ def _obligations(text: Column) -> Column:
     return out
 
 
+def _first(lower: Column, table: tuple) -> Column:
+    """The outcome of the first row of a table all of whose patterns match."""
+    out = F.lit(None).cast("string")
+    for outcome, patterns in reversed(table):
+        hit = F.lit(True)
+        for pattern in patterns:
+            hit = hit & lower.rlike(pattern)
+        out = F.when(hit, outcome).otherwise(out)
+    return out
+
+
 def inferred_rules(candidates: DataFrame, top: int = MOST_RULES) -> DataFrame:
     """Draft rules of sections (doc_id, ordinal, heading, text): at most ``top`` a document, by confidence.
 
     Documents without a section that binds come out with no rule; see with_fallback.
     """
     lower = F.lower(F.col("text"))
-    word = lambda p: lower.rlike(p)
     found = F.filter(F.array(*[F.when(F.col("text").rlike("(?i)" + p), F.lit(c)) for c, _, p in CATEGORIES]), lambda x: x.isNotNull())
     base = candidates.select("*", found.alias("categories"), _obligations(F.col("text")).alias("obligations"))
     base = base.where((F.col("obligations") > 0) | (F.size("categories") >= 2))
-    action = (
-        F.when(word(r"\b(block|prohibit|prohibited|must not|do not|never|forbidden)\b"), F.when(word(REDACTING), "transform").otherwise("block"))
-        .when(word(r"\b(approval|approved|permission|review required|human review)\b"), "require_approval")
-        .when(word(REDACTING), "transform").otherwise("warn")
-    )
-    destination = (
-        F.when(word(r"\b(personal|consumer|free account|public ai|unapproved)\b"), "personal").when(word(r"\b(unapproved|unauthorized)\b"), "unapproved")
-        .when(word(r"\b(approved|enterprise|company account|managed account)\b"), "approved").otherwise("any")
-    )
-    provider = (
-        F.when(F.contains(lower, F.lit("chatgpt")), "chatgpt").when(F.contains(lower, F.lit("openai")), "openai")
-        .when(F.contains(lower, F.lit("anthropic")) | F.contains(lower, F.lit("claude")), "anthropic")
-        .when(F.contains(lower, F.lit("gemini")) | F.contains(lower, F.lit("google ai")), "gemini").otherwise("any")
-    )
-    base = base.select("*", action.alias("action"), destination.alias("destination"), provider.alias("ai_provider"))
+    base = base.select("*", _first(lower, ACTIONS).alias("action"), _first(lower, DESTINATIONS).alias("destination"), _first(lower, PROVIDERS).alias("ai_provider"))
     strict = F.col("action").isin("block", "require_approval")
-    grave = F.arrays_overlap("categories", F.array(*map(F.lit, ("regulated_financial_context", "medical_context", "legal_context", "hr_context"))))
     severity = (
-        F.when(word(r"\b(api key|secret|password|private key|hipaa|payment|bank account|ssn|social security)\b"), "critical")
-        .when(strict, F.when(F.size("categories") >= 2, "high").otherwise("medium"))
-        .when(grave, "high").when(F.size("categories") > 0, "medium").otherwise("low")
+        F.when(lower.rlike(CRITICAL), "critical").when(strict, F.when(F.size("categories") >= 2, "high").otherwise("medium"))
+        .when(F.arrays_overlap("categories", F.array(*map(F.lit, GRAVE))), "high").when(F.size("categories") > 0, "medium").otherwise("low")
     )
-    fallback = F.when(F.col("action") == "transform", "block").when(F.col("action") == "warn", "require_approval").otherwise(F.col("action"))
+    fallback = F.element_at(F.create_map(*[F.lit(x) for pair in FALLBACKS.items() for x in pair]), F.col("action"))
     confidence = F.least(F.lit(96), 42 + F.col("obligations") * 9 + F.size("categories") * 7 + F.when(strict, 8).otherwise(0))
     labels = F.create_map(*[F.lit(x) for c, label, _ in CATEGORIES for x in (c, label)])
     first = F.element_at(labels, F.get("categories", F.lit(0)))
     sentence = F.trim(F.get(F.split("text", "[.!?]"), F.lit(0)))
     plain = clamp_text(F.regexp_replace(F.when(sentence == "", "Imported AI usage policy").otherwise(sentence), r"(?i)^(employees|users|staff)\s+", ""), 84)
-    name = (
-        F.when(first.isNull(), plain)
-        .when(F.col("action") == "transform", F.concat(F.lit("Redact "), first, F.lit(" before external AI use")))
-        .when(F.col("action") == "block", F.concat(F.lit("Do not submit "), first, F.lit(" to unapproved AI")))
-        .when(F.col("action") == "require_approval", F.concat(F.lit("Require approval for "), first, F.lit(" in AI workflows")))
-        .otherwise(F.concat(F.lit("Review "), first, F.lit(" before AI use")))
-    )
+    around = F.element_at(F.create_map(*[x for k, pair in TITLES.items() for x in (F.lit(k), F.array(*map(F.lit, pair)))]), F.col("action"))
+    name = F.coalesce(F.concat(F.get(around, F.lit(0)), first, F.get(around, F.lit(1))), plain)
     key = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-"), "^-+|-+$", ""), "-", "_")
     rules = base.select("*", severity.alias("severity"), fallback.alias("fallback_action"), confidence.alias("confidence"), name.alias("name"))
     rules = rules.withColumn("rule_key", key).withColumn(

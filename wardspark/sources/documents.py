@@ -1,27 +1,29 @@
-"""Text of binary documents: plain text, DOCX and legacy DOC, read with Spark's binaryFile source."""
+"""Text of binary documents: plain text, PDF, DOCX and legacy DOC, read with Spark's binaryFile source."""
 
 from __future__ import annotations
 
 import io
 import re
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_CHARS, MOST_BYTES = 80_000, 8 << 20
-PARTS = ("word/document.xml", "word/header1.xml", "word/footer1.xml", "word/footnotes.xml", "word/endnotes.xml", "word/comments.xml")
+#: The parts of a DOCX file that hold text, in order of reading.
+PARTS = ("word/document.xml", "word/footnotes.xml", "word/endnotes.xml", "word/header1.xml", "word/header2.xml", "word/footer1.xml", "word/footer2.xml")
 
 
 def read_binaries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
-def _docx(content: bytes) -> str:
+def _docx(content: bytes, parts: tuple = PARTS) -> str:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
-        xml = "\n".join(z.read(p).decode("utf-8", "replace") for p in PARTS if p in names)
+        xml = "\n".join(z.read(p).decode("utf-8", "replace") for p in parts if p in names)
     xml = re.sub(r"</w:(?:p|tr)>", "\n", xml)
     xml = re.sub(r"<w:tab\s*/>|</w:tc>", "\t", xml)
     text = re.sub(r"<[^>]+>", "", xml)
@@ -30,6 +32,68 @@ def _docx(content: bytes) -> str:
     return text
 
 
+def _docx_body(content: bytes) -> str:
+    """Only the body, lines trimmed and without blank ones."""
+    lines = (line.strip() for line in _docx(content, PARTS[:1]).split("\n"))
+    return "\n".join(line for line in lines if line)
+
+
+# What a backslash makes of a letter in a PDF string.
+PDF_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "(": "(", ")": ")", "\\": "\\"}
+
+
+def _pdf_literal(value: str) -> str:
+    def one(m: re.Match) -> str:
+        return chr(int(m[1], 8) & 0xFFFF) if m[1] else PDF_ESCAPES.get(m[2], "")
+
+    return re.sub(r"\\(?:([0-7]{1,3})|([\s\S]?))", one, value)
+
+
+def _pdf_hex(value: str) -> str:
+    digits = re.sub(r"\s+", "", value)
+    if len(digits) < 4 or len(digits) % 2:
+        return ""
+    raw = bytes.fromhex(digits)
+    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("utf-8", "replace")
+
+
+def _readable(value: str) -> bool:
+    bare = value.strip()
+    return len(bare) >= 2 and len(re.findall(r"[a-zA-Z0-9.,;:!?@/#$%&()\[\]\s-]", bare)) / len(bare) > 0.65
+
+
+def _pdf_strings(page: str) -> str:
+    """The readable strings of the text blocks of a page, or of all of it if it has none."""
+
+    def strings(part: str) -> list[str]:
+        found = [_pdf_literal(m[1:-1]) for m in re.findall(r"\((?:\\.|[^\\)])*\)", part)]
+        return [x for x in found + [_pdf_hex(m) for m in re.findall(r"<([0-9a-fA-F\s]{4,})>", part)] if _readable(x)]
+
+    blocks = [x for block in re.findall(r"BT([\s\S]*?)ET", page) for x in strings(block)]
+    return " ".join(blocks or strings(page))
+
+
+def _pdf(content: bytes) -> str:
+    """Text of the streams, or of the raw file if that has more. Images are left out; what can't be inflated, too."""
+    pages, at = [], 0
+    while (start := content.find(b"stream", at)) >= 0 and (stop := content.find(b"endstream", start)) >= 0:
+        at = stop + len(b"endstream")
+        opens, closes = content.rfind(b"<<", 0, start), content.rfind(b">>", 0, start)
+        about = content[opens : closes + 2] if 0 <= opens < closes else b""
+        data = re.sub(rb"^(?:\r\n|\r|\n)", b"", content[start + len(b"stream") : stop]).rstrip(b"\r\n")
+        if re.search(rb"/FlateDecode\b", about):
+            for window in (15, -15):
+                try:
+                    pages.append(_pdf_strings(zlib.decompressobj(window).decompress(data).decode("latin-1")))
+                    break
+                except zlib.error:
+                    continue
+        elif not re.search(rb"/(?:DCT|JPX|CCITTFax)Decode\b", about):
+            pages.append(_pdf_strings(data.decode("latin-1")))
+    streams, raw = "\n".join(pages), _pdf_strings(content.decode("latin-1"))
+    return streams if len(streams) > len(raw) else raw
+
+
 def _doc(content: bytes) -> str:
     def runs(text: str) -> str:
         found = re.findall(r"[\t\n\r -~\xa0-￿]{18,}", text)
@@ -38,32 +102,35 @@ def _doc(content: bytes) -> str:
     return max(runs(content.decode("latin-1")), runs(content.decode("utf-16-le", "ignore")), key=len)
 
 
-def document_text(files: DataFrame) -> DataFrame:
-    """(path, kind, text, problem) of a binaryFile table; text is at most 80,000 characters.
+def document_text(files: DataFrame, most_chars: int = MOST_CHARS, most_bytes: int = MOST_BYTES, body_only: bool = False) -> DataFrame:
+    """(path, kind, text, problem) of a binaryFile table; text is at most ``most_chars`` characters.
 
-    Files that can't be read have a null text and say why; larger ones than 8 MiB are not opened.
+    Files that can't be read have a null text and say why; larger ones than ``most_bytes`` are not opened. A PDF with
+    fewer than 120 characters has its text and the problem 'little_text', as it may be scanned. With ``body_only``
+    DOCX files give the lines of their body that are not blank.
     """
     extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    kind = F.when(extension.isin("docx", "doc"), extension).when(extension.isin("txt", "md", "csv", "json", "html"), "text").otherwise("unsupported")
+    kind = F.when(extension.isin("docx", "doc", "pdf"), extension).when(extension.isin("txt", "md", "csv", "json", "html"), "text").otherwise("unsupported")
+    readers = {"docx": _docx_body if body_only else _docx, "doc": _doc, "pdf": _pdf, "text": lambda b: b.decode("utf-8", "replace")}
 
     @F.pandas_udf("text string, problem string")
     def extract(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
         out = []
         for c, k in zip(content, kind, strict=True):
             try:
-                text = {"docx": _docx, "doc": _doc, "text": lambda b: b.decode("utf-8", "replace")}[k](bytes(c))
-                out.append((normalised(text)[:MOST_CHARS], None))
+                text = normalised(readers[k](bytes(c)))[:most_chars]
+                out.append((text, "little_text" if k == "pdf" and len(text) < 120 else None))
             except KeyError:
                 out.append((None, "unsupported"))
             except (zipfile.BadZipFile, ValueError) as e:
                 out.append((None, type(e).__name__))
         return pd.DataFrame(out, columns=["text", "problem"])
 
-    sized = files.select("path", kind.alias("kind"), F.when(F.col("length") <= MOST_BYTES, F.col("content")).otherwise(F.lit(b"")).alias("content"), "length")
+    sized = files.select("path", kind.alias("kind"), F.when(F.col("length") <= most_bytes, F.col("content")).otherwise(F.lit(b"")).alias("content"), "length")
     read = sized.select("path", "kind", "length", extract("content", "kind").alias("x"))
     return read.select(
-        "path", "kind", F.when(F.col("length") <= MOST_BYTES, F.col("x.text")).alias("text"),
-        F.when(F.col("length") > MOST_BYTES, "too_large").otherwise(F.col("x.problem")).alias("problem"),
+        "path", "kind", F.when(F.col("length") <= most_bytes, F.col("x.text")).alias("text"),
+        F.when(F.col("length") > most_bytes, "too_large").otherwise(F.col("x.problem")).alias("problem"),
     )
 
 
