@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import catalog
 from .catalog import _EVENTS_SQL, _SCAN_SQL, _TYPES, _VERSIONS_SQL, events, payloads, rule_versions, table
 from .functions import scan as text_scan
-from .operators import attachments, evaluation, membership, rules, telemetry
+from .operators import attachments, evaluation, gateway, membership, rules, telemetry
 from .sources import dml
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -299,6 +299,33 @@ def merged_entity_counts(spark, sf_dir):
     return e.select("event_id", attachments.count_text(both).alias("counts"))
 
 
+# ---- chat requests ----------------------------------------------------------------------------------
+
+
+def requests(spark, sf_dir) -> DataFrame:
+    """User messages as chat requests, with models and attachments dealt out."""
+    m, i = table(spark, sf_dir, "conversations").where("role = 'user'"), F.col("conv_id") * 1000 + F.col("turn")
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), F.pmod(n, F.lit(len(values))).cast("int"))
+    file = F.struct(pick(["image", "document", "metadata"], i).alias("kind"), F.lit("some text").alias("text"), F.when(i % 6 == 0, F.array(F.lit("secret"))).otherwise(F.array(F.lit("email"))).alias("flags"), (i % 70).cast("int").alias("risk_score"))
+    return m.select(
+        i.alias("request_id"), F.when(i % 13 != 0, F.col("text")).alias("prompt"), pick(["GPT-4.1 mini", "claude-sonnet", "unknown", " Gemini  Pro"], F.floor(i / 2)).alias("model"), F.lit("").alias("use_case"),
+        F.when(i % 3 == 0, "Regulated").alias("sensitivity"), pick(["new-chat", "c1"], i).alias("conversation_id"), F.when(i % 2 == 0, F.array(file)).alias("attachments"),
+    )
+
+
+def answered_requests(spark, sf_dir):
+    """Every user message through the gateway, answered by the provider without a model."""
+    a = gateway.answered(requests(spark, sf_dir))
+    return a.select("request_id", "model", "provider", "problem", "action", "requires_review", "provider_called", F.sha2("answer", 256).alias("answer_sha256"), "risk_score", "redactions", "restored", "unresolved")
+
+
+def request_support(spark, sf_dir):
+    """Requests whose models can't read what they hold, or that have no prompt."""
+    r = gateway.normalised_requests(requests(spark, sf_dir))
+    problem = F.coalesce("problem", gateway.support_problem(gateway.input_kinds(F.col("attachments")), F.col("model.inputs")))
+    return r.select("request_id", F.col("model.id").alias("model"), "use_case", "sensitivity", "conversation_id", problem.alias("problem"))
+
+
 # ---- labelled cases ---------------------------------------------------------------------------------
 
 _CASE_VALUES = (
@@ -329,7 +356,7 @@ def detection_scores(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     member_contexts, member_order, invitations_accepted, members_by_email, visible_rules, visible_to_one, event_users, active_user_windows, dashboard_figures, telemetry_ingested,
     event_descriptions, governance_records, day_labels, newest_scans, rule_drafts, draft_edits, bundle_history, bundle_latest, bundle_page, rule_admin, table_health, constraint_audit,
-    customer_backfill, attachment_classes, attachment_batches, governed_attachments, attachment_decisions, merged_entity_counts, detection_scores,
+    customer_backfill, attachment_classes, attachment_batches, governed_attachments, attachment_decisions, merged_entity_counts, answered_requests, request_support, detection_scores,
 )}
 
 _L = catalog._list_sql
@@ -428,6 +455,11 @@ SELECT doc_id, CASE WHEN stop THEN 'block' WHEN personal OR third THEN 'redact'
   CASE WHEN stop THEN TRUE WHEN personal THEN third OR reg WHEN NOT third AND reg THEN TRUE ELSE third END AS requires_review FROM g""",
     "merged_entity_counts": """WITH c AS (SELECT event_id, event_id % 3 + event_id % 4 AS emails, event_id % 2 AS phones FROM events)
 SELECT event_id, CASE WHEN emails = 0 AND phones = 0 THEN 'none' ELSE array_to_string(list_filter([CASE WHEN emails > 0 THEN emails || ' EMAIL' END, CASE WHEN phones > 0 THEN phones || ' PHONE' END], lambda x: x IS NOT NULL), ', ') END AS counts FROM c""",
+    "request_support": """WITH r AS (SELECT conv_id * 1000 + turn AS i, text FROM conversations WHERE role = 'user'),
+k AS (SELECT *, (i // 2) % 4 AS m, CASE WHEN i % 2 = 0 THEN i % 3 END AS a FROM r)
+SELECT i AS request_id, CASE m WHEN 0 THEN 'gpt-4.1-mini' WHEN 1 THEN 'claude-sonnet' WHEN 2 THEN 'gpt-4.1' ELSE 'gemini-pro' END AS model, 'General' AS use_case, CASE WHEN i % 3 = 0 THEN 'Regulated' ELSE 'Internal' END AS sensitivity,
+  CASE WHEN i % 2 = 1 THEN 'c1' END AS conversation_id,
+  CASE WHEN i % 13 = 0 OR trim(coalesce(text, '')) = '' THEN 'Prompt is required.' WHEN m = 0 AND a = 0 THEN 'This model does not support image input. Choose a vision-capable model.' END AS problem FROM k""",
     "detection_scores": """SELECT * FROM (VALUES ('EMAIL', CAST(10 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), ('PHONE', 10, 0, 0, 1.0, 1.0, 1.0), ('SECRET', 10, 0, 0, 1.0, 1.0, 1.0),
   ('ADDRESS', 5, 0, 0, 1.0, 1.0, 1.0), ('ACCOUNT', 5, 0, 0, 1.0, 1.0, 1.0), ('false alerts', 0, 0, 5, 0.0, 0.0, 0.0)) AS t(type, tp, fp, fn, precision, recall, f1)""",
 }
