@@ -202,7 +202,7 @@ r AS (SELECT *, {BASE_RISK} + coalesce(list_sum(list_transform(flags, lambda f:
 def entity_counts(spark, sf_dir):
     """Entities that stay after overlap resolution, by document and type."""
     s = text_scan.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return s.select("doc_id", F.explode("entities").alias("e")).groupBy("doc_id", F.col("e.type").alias("type")).agg(F.count(F.lit(1)).alias("spans"), F.countDistinct("e.id").alias("entities"))
+    return text_scan.entity_rows(s, "doc_id").groupBy("doc_id", F.col("e.type").alias("type")).agg(F.count(F.lit(1)).alias("spans"), F.countDistinct("e.id").alias("entities"))
 
 
 def redaction_round_trip(spark, sf_dir):

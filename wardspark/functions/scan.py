@@ -287,6 +287,12 @@ def scan(
     )
 
 
+def entity_rows(scanned: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., e): a row per entity of a scan. The explode is an outer one: Spark would infer a filter from an
+    inner one and evaluate the whole scan again for it."""
+    return scanned.select(*keep, F.explode_outer("entities").alias("e")).where("e is not null")
+
+
 def rehydrated(text: Column, redaction_map: Column) -> Column:
     """struct<text, replaced, unresolved>: known placeholders put back, secrets and unknown ones left.
 

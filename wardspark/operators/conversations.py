@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import PLACEHOLDER
-from ..functions.scan import rehydrated, scan, spliced, stable_key
+from ..functions.scan import entity_rows, rehydrated, scan, spliced, stable_key
 
 
 def recent_history(messages: DataFrame, last: int = 8) -> DataFrame:
@@ -28,7 +28,7 @@ def vault(messages: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     placeholders too; rehydration leaves them.
     """
     scanned = scan(messages.select(F.struct("conv_id", "turn").alias("at"), "text"), "at")
-    each = scanned.select("at.conv_id", "at.turn", F.explode("entities").alias("e"))
+    each = entity_rows(scanned, "at").select("at.conv_id", "at.turn", "e")
     first = each.groupBy("conv_id", F.col("e.type").alias("type"), stable_key(F.col("e.type"), F.col("e.original")).alias("key")).agg(
         F.min(F.struct("turn", F.col("e.start").alias("start"), F.col("e.original").alias("original"))).alias("first")
     )

@@ -346,7 +346,7 @@ def detection_cases(spark) -> DataFrame:
 def detection_scores(spark, sf_dir):
     """Precision and recall of the scan on the written cases, by type, and its false alerts on normal sentences."""
     cases = detection_cases(spark)
-    found = text_scan.scan(cases, "case_id", persons="core").select("case_id", F.explode("entities").alias("e")).select("case_id", "e.type", F.col("e.original").alias("value"))
+    found = text_scan.entity_rows(text_scan.scan(cases, "case_id", persons="core"), "case_id").select("case_id", "e.type", F.col("e.original").alias("value"))
     keys = ["case_id", "type", "value"]
     scored = evaluation.scores(evaluation.matched(cases.where("type is not null").select(*keys), found, keys), ["type"])
     alerts = evaluation.false_alert_rate(cases.where("type is null").select("case_id"), found.join(cases.where("type is null").select("case_id"), "case_id", "left_semi"), "case_id")
