@@ -97,6 +97,6 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Rows of docs that contain no item."""
+    """Rows of docs that contain no item. All rows of an id go together; null ids and null texts stay; an empty table gives no rows."""
     bad = stored(contaminated(docs, items, id_col=id_col, **options).select("doc_id").distinct(), "contaminated")
     return docs.join(sized(bad, 16), docs[id_col] == bad["doc_id"], "left_anti")

@@ -265,7 +265,11 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """Rows of docs of which one document of each class stays: the one with the smallest id."""
+    """Rows of docs of which one document of each class stays: the one with the smallest id.
+
+    All rows of that id stay. Rows with a null id and rows without words stay. An empty table gives no rows. Columns of docs
+    pass through, whatever their names.
+    """
     gone = jaccard_classes(docs, **options).where("not kept").select("doc_id")
-    gone = stored(gone, "duplicates")
-    return docs.join(sized(gone, 16), docs[options.get("id_col", "doc_id")] == gone["doc_id"], "left_anti")
+    gone = stored(gone.select(F.col("doc_id").alias("duplicate_id")), "duplicates")
+    return docs.join(sized(gone, 16), docs[options.get("id_col", "doc_id")] == gone["duplicate_id"], "left_anti")

@@ -283,15 +283,15 @@ def _score(model, tag: str, order: int, shard: int, shards: int):
 
 
 def score(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, predicted, logp): characters predicted and their summed log-probability, a row per input row.
+    """(doc_id, predicted, logp): characters predicted and their summed log-probability, a row per doc_id.
 
-    docs has doc_id and text; a doc_id that repeats is scored once for each row when one shard
-    holds the model, and its rows are added up otherwise.
+    docs has doc_id and text; rows that repeat an id, null included, are added up. Null texts and those shorter than the
+    order predict nothing. With an empty model every sum is 0.
     """
     spark = docs.sparkSession
     unseen = model.where("gram = ''").first()
     if unseen is None:
-        return docs.select("doc_id", F.lit(0).cast("long").alias("predicted"), F.lit(0.0).alias("logp"))
+        return docs.select("doc_id").distinct().select("doc_id", F.lit(0).cast("long").alias("predicted"), F.lit(0.0).alias("logp"))
     rows = model.where("gram <> ''")
     shards = max(1, -(-rows.count() * 16 // shard_bytes))
     keyed = rows.withColumn("size", F.length("gram"))
@@ -308,7 +308,7 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_bytes: in
         sent = spark.sparkContext.broadcast((*values, float(unseen["logp"])))
         part = docs.select("doc_id", "text").mapInArrow(_score(sent, uuid.uuid4().hex, order, shard, shards), "doc_id long, predicted long, logp double")
         if shards == 1:
-            return part
+            return part.groupBy("doc_id").agg(F.sum("predicted").alias("predicted"), F.sum("logp").alias("logp"))
         parts.append(stored(part, "kn-part"))
         sent.unpersist()
     every = reduce(DataFrame.unionByName, parts).groupBy("doc_id")
@@ -365,7 +365,6 @@ def classify(
     model = train(texts, order)
     langs = rows.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
     scored = score(rows.select("doc_id", "text"), model, order, shard_bytes)
-    scored = scored.groupBy("doc_id").agg(F.sum("predicted").alias("predicted"), F.sum("logp").alias("logp"))
     scored = scored.join(langs, "doc_id").withColumn("perplexity", F.when(F.col("predicted") > 0, F.exp(-F.col("logp") / F.col("predicted"))))
     scored = stored(scored.select("doc_id", "lang", "chars", "predicted", "perplexity"), "kn-scores")
     held = scored.join(ids.where("held_out"), scored["doc_id"] == ids["trusted_id"], "left_semi").where("perplexity is not null")
@@ -373,7 +372,7 @@ def classify(
     by_lang = held.groupBy("lang").agg(cut.alias("own"))
     overall = held.agg(cut.alias("any"))
     return (
-        scored.join(F.broadcast(overall)).join(by_lang, "lang", "left")  # one row; one row a language
+        scored.crossJoin(F.broadcast(overall)).join(by_lang, "lang", "left")  # one row; one row a language
         .withColumn("threshold", F.coalesce("own", "any"))
         .select("doc_id", "lang", "predicted", "perplexity", "threshold",
                 ((F.col("chars") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"))

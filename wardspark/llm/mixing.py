@@ -235,7 +235,11 @@ def fitted(table: DataFrame, shares: list[float], max_rate: float) -> np.ndarray
 
 
 def mix(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs repeated by their rates: the whole part always, one more if a hash of the id falls below the rest."""
+    """Rows of docs repeated by their rates: the whole part always, one more if a hash of the id falls below the rest.
+
+    All rows of an id are repeated alike, null texts too. Rows whose id is null or has no rate are left out. Empty tables
+    give no rows. Columns of docs keep their names and clash with nothing.
+    """
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 24)) / float(1 << 24)
     copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
     times = stored(rates.select("doc_id", copies.alias("copies")).where("copies > 0"), "copies")
