@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of ``documents``. Rows with a null doc_id pass the filters unchanged up to the mixing
-stage, which leaves them out. Empty tables pass through.
+stage, which leaves them out. Null, empty and wordless texts go in the quality stage. Rows that
+repeat an id stay or go together. Empty tables pass through. Further columns pass all stages but the last.
 """
 
 from __future__ import annotations
