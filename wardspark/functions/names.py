@@ -22,10 +22,10 @@ FALSE_WORDS = (
     "typescript admins users validator tell the to token transfer update up user write work workspace york you"
 ).split()
 FALSE_PHRASES = (
-    "accord guard", "artificial intelligence platform", "customer support team", "monday client meeting", "new york", "new york office", "openai api", "q3 risk review",
+    "artificial intelligence platform", "customer support team", "monday client meeting", "new york", "new york office", "openai api", "q3 risk review",
     "react state update", "representational state transfer",
 )
-COMPANY_WORDS = ("accord", "anthropic", "api", "chat", "chatgpt", "claude", "gemini", "google", "northstar", "openai")
+COMPANY_WORDS = ("anthropic", "api", "chat", "chatgpt", "claude", "gemini", "google", "northstar", "openai")
 FIRST_NAMES = (
     "alex", "aisha", "alice", "bob", "david", "jane", "jean-pierre", "joao", "joão", "john", "jose", "josé", "li", "ludwig", "maria", "maría", "mary", "mary-kate", "mike",
     "mohammed", "nguyễn", "saoirse", "sarah", "wei",
