@@ -39,9 +39,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def partitions_for(df: DataFrame) -> int:
-    """At least spark.sql.shuffle.partitions, more for a large table."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+    """At least spark.sql.shuffle.partitions, more for large files below df; tables of unknown size don't count."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // PARTITION_BYTES))
 
 
 def sized(small: DataFrame, row_bytes: int) -> DataFrame:
