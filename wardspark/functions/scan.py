@@ -253,9 +253,16 @@ def scan(
     """One row per document: id, entities, redacted, redaction_map, entity_counts, flags, risk_score, action.
 
     Null texts are scanned as empty. ``external`` names a column of further candidates (EXTERNAL).
+    The field ``signals`` may be missing from it.
     ``persons`` is the profile of the rules for names (see names.names), or None for none of them.
     """
-    base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.coalesce(F.col(external), F.array().cast(EXTERNAL)).alias("given")] if external else []))
+    given = []
+    if external:
+        has = docs.schema[external].dataType.elementType.fieldNames()
+        fields = ("type", "start", "stop", "value", "confidence", "detector", "signals")
+        shaped = F.transform(F.col(external), lambda c: F.struct(*[(c[f] if f in has else F.lit(None)).alias(f) for f in fields])).cast(EXTERNAL)
+        given = [F.coalesce(shaped, F.array().cast(EXTERNAL)).alias("given")]
+    base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *given)
     base = base.select("*", ascii_lower(F.col("text")).alias("lower"))
     if persons:  # a step of its own, as later ones read it more than once
         base = base.select("*", people_candidates(names(F.col("text"), persons), 100).alias("people"))
