@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embedding_dedup, jaccard_join, kneser_ney, licenses, line_dedup, mixing, sharding, token_ids
+from . import chat, conversation_trie, decontaminate, embedding_dedup, jaccard_join, kneser_ney, licenses, line_dedup, mixing, sharding, spelling, token_ids, toxicity
 from .common import table
 
 
@@ -191,7 +191,22 @@ SELECT doc_id, unit, CAST(place AS INTEGER) AS place, license, dice
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit, place ORDER BY dice DESC, license) AS k FROM shared WHERE dice >= 0.8) WHERE k = 1"""
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_toxicity": op13_toxicity,
     "op8_license_scan": op8_license_scan,
     "op2_mixing": op2_mixing,
     "op10_embedding_dedup": op10_embedding_dedup,
