@@ -51,7 +51,7 @@ def known_entities(text: Column, vault: Column) -> Column:
     def places(v: Column) -> Column:
         literal = F.concat(F.lit("\\Q"), F.replace(v["original"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
         edge = F.lit("(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
-        pattern = F.concat(F.when(v["type"] == "PERSON", "(?i)").otherwise(""), edge, literal, edge)
+        pattern = F.concat(F.when(v["type"] == "PERSON", "(?iu)").otherwise(""), edge, literal, edge)
         found = F.regexp_extract_all(text, pattern, F.lit(0))
         parts = F.arrays_zip(F.split(text, pattern, -1).alias("b"), found.alias("m"))
 
