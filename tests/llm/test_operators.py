@@ -12,7 +12,7 @@ from pyspark.sql import Row
 
 from wardspark.llm import chat, decontaminate, embedding_dedup, jaccard_join, kneser_ney, licenses, line_dedup, mixing, rans, sharding, token_ids
 from wardspark.llm.queries import tokenizer_path
-from wardspark.llm.shingles import word_hashes
+from wardspark.llm.shingles import shingle_hashes, word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use for their own.
@@ -120,6 +120,30 @@ def test_jaccard_join_drops_all_but_one_of_a_class(docs, none):
     assert jaccard_join.drop_near_duplicates(none).count() == 0
 
 
+def test_a_chain_of_near_duplicates_costs_its_bucket_pairs():
+    """Texts near their neighbours only: pairs to compare grow with the chain's length, and none is compared twice."""
+    rng = random.Random(9)
+    w, chain = words(rng, 200).split(), []
+    for k in range(240):
+        w[k * 3 % 200] = f"y{k}"
+        chain.append(" ".join(w))
+    sigs = np.array([jaccard_join.signature(np.unique(shingle_hashes(t))) for t in chain])
+    least, cost = jaccard_join.least_matches(0.8), {}
+    for n in (120, 240):
+        buckets = {}
+        for i, sig in enumerate(sigs[:n]):
+            for band, key in enumerate(sig.reshape(jaccard_join.BANDS, jaccard_join.ROWS)):
+                buckets.setdefault((band, key.tobytes()), []).append(i)
+        several = {at: rows for at, rows in buckets.items() if len(rows) > 1}
+        cost[n] = sum(len(r) * (len(r) - 1) // 2 for r in several.values())
+        found = []
+        for (band, _), rows in several.items():
+            i, j = jaccard_join.candidate_pairs(sigs[rows], np.full(len(rows), band), [(len(rows), 0, True)], least)
+            found += [(rows[a], rows[b]) for a, b in zip(i, j, strict=True)]
+        assert len(found) == len(set(found)) and {(i, i + 1) for i in range(n - 1)} <= set(found)
+    assert cost[240] < 2.5 * cost[120] < 240 * 240 * 8
+
+
 def test_pruning_keeps_whatever_can_reach_the_threshold():
     least = jaccard_join.least_matches(0.8)
     assert all(least[n] <= n and least[n] >= least[n - 1] for n in range(1, len(least)))

@@ -1,13 +1,12 @@
 """Similarity join on word shingles with Bayesian candidate pruning (operator 5).
 
 1. Texts with equal shingle sets form a class; only the smallest id of a class goes on.
-2. MinHash bands propose candidates; classes that share a bucket, directly or over others,
-   form a candidate group. Groups are cut into blocks of bounded size by a hash of the id, and
-   every pair of blocks is one task group, so no group is held whole.
-3. In a pair of blocks, pairs that share a band are compared some MinHash values at a time and
-   dropped when the posterior probability of reaching the threshold falls below a tolerance.
-   The rest are verified exactly on their shingle sets.
-4. Link counts are summed over blocks and weighted by class sizes; classes of documents are the
+2. MinHash bands propose candidates: the unit of work is a bucket (band, key) of several classes. A bucket
+   of many is cut into blocks by a hash of the id, and every pair of blocks is a tile of its own, so none is held whole.
+3. A pair is compared only in the first band that it shares, which its signatures tell: some MinHash values at
+   a time, and dropped when the posterior probability of reaching the threshold falls below a tolerance.
+4. Only classes with a pair left fetch their shingle sets, into the tiles where they have one, and are verified exactly.
+5. Link counts are summed over tiles and weighted by class sizes; classes of documents are the
    connected components of the verified links.
 """
 
@@ -128,81 +127,133 @@ def _overlaps(sets_a: list[np.ndarray], sets_b: list[np.ndarray], i: np.ndarray,
     return shared
 
 
-def linked_pairs(sigs_a, sets_a, sigs_b, sets_b, threshold: float, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with Jaccard similarity of at least threshold among those that share a band."""
-    found_i, found_j = [], []
-    bands_a = sigs_a.reshape(len(sigs_a), BANDS, ROWS)
-    bands_b = sigs_b.reshape(len(sigs_b), BANDS, ROWS)
-    near = np.zeros((len(sigs_a), len(sigs_b)), bool)
-    for band in range(BANDS):
-        _, codes = np.unique(np.concatenate([bands_a[:, band], bands_b[:, band]]), axis=0, return_inverse=True)
-        codes = codes.reshape(-1)
-        near |= codes[: len(sigs_a), None] == codes[None, len(sigs_a) :]
-    i, j = np.nonzero(near)
-    for at in range(0, len(i), 1 << 16):
-        a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-        matches = np.zeros(len(a), np.int64)
+def _pairs(sizes: list[tuple[int, int, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of tiles that lie one after the other: (rows of the first block, of the second, whether it is one block)."""
+    none, at = np.zeros(0, np.int64), 0
+    left, right = [none], [none]
+    for first, second, within in sizes:
+        if within:
+            i, j = np.triu_indices(first, 1)
+        else:
+            i, j = np.repeat(np.arange(first), second), first + np.tile(np.arange(second), first)
+        left.append(i + at)
+        right.append(j + at)
+        at += first + second
+    return np.concatenate(left), np.concatenate(right)
+
+
+def candidate_pairs(sigs: np.ndarray, band: np.ndarray, sizes: list[tuple[int, int, bool]], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of tiles whose first shared band is that of the tile and that the Bayesian pruning keeps."""
+    every_i, every_j = _pairs(sizes)
+    found = []
+    for at in range(0, len(every_i), 1 << 15):
+        i, j = every_i[at : at + (1 << 15)], every_j[at : at + (1 << 15)]
+        same = sigs[i] == sigs[j]
+        first = same.reshape(len(i), BANDS, ROWS).all(axis=2).argmax(axis=1) == band[i]
+        i, j, same = i[first], j[first], same[first]
+        matches = np.zeros(len(i), np.int64)
         for lo in range(0, HASHES, STEP):
             hi = min(HASHES, lo + STEP)
-            matches += (sigs_a[a, lo:hi] == sigs_b[b, lo:hi]).sum(axis=1)
+            matches += same[:, lo:hi].sum(axis=1)
             keep = matches >= least[hi]
-            a, b, matches = a[keep], b[keep], matches[keep]
-        shared = _overlaps(sets_a, sets_b, a, b)
-        size_a = np.array([len(s) for s in sets_a])[a]
-        size_b = np.array([len(s) for s in sets_b])[b]
-        # Decided as a brute-force comparison would: shared / union >= threshold in doubles.
-        good = shared / np.maximum(1, size_a + size_b - shared) >= threshold
-        found_i.append(a[good])
-        found_j.append(b[good])
+            i, j, same, matches = i[keep], j[keep], same[keep], matches[keep]
+        found.append((i, j))
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
+    return np.concatenate([none, *[i for i, _ in found]]), np.concatenate([none, *[j for _, j in found]])
 
 
+TILE = ["band", "key", "x", "y"]
+CLASS = ["rep", "n_shingles", "set_low", "set_high"]
+PLACED = "band int, key binary, x int, y int, side int, rep long, n_shingles int, set_low long, set_high long"
 PAIRED = "rep long, n_shingles int, set_low long, set_high long, links long, other long"
+#: Rows, and bytes of shingle sets, that a task gathers before it compares; tiles are not cut.
+HELD_ROWS, HELD_BYTES = 4096, 32 << 20
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int, bool]]]]:
+    """Whole tiles of rows sorted by tile and side, some at a time, with their sizes."""
+    held: list[pa.Table] = []
+    sizes: list[list] = []
+    rows = size = 0
+    now = None
+    for batch in batches:
+        keys = list(zip(*[batch.column(c).to_pylist() for c in (*TILE, "side")], strict=True))
+        from_ = 0
+        for at, (*tile, side) in enumerate(keys):
+            if tile != now:
+                if rows + at - from_ >= HELD_ROWS or size >= HELD_BYTES:
+                    held.append(pa.Table.from_batches([batch.slice(from_, at - from_)]))
+                    yield pa.concat_tables(held).combine_chunks(), [(a, b, c) for a, b, c in sizes]
+                    held, sizes, rows, size, from_ = [], [], 0, 0, at
+                now = tile
+                sizes.append([0, 0, tile[2] == tile[3]])
+            sizes[-1][0 if sizes[-1][2] else side] += 1
+        if from_ < len(keys):
+            held.append(pa.Table.from_batches([batch.slice(from_)]))
+            rows += len(keys) - from_
+            size += held[-1].nbytes
+    if sizes:
+        yield pa.concat_tables(held).combine_chunks(), [(a, b, c) for a, b, c in sizes]
+
+
+def _signatures(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
+    return sigs, group.column("band").to_numpy()
+
+
+def _surviving(threshold: float):
+    least = least_matches(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, sizes in _gathered(batches):
+            i, j = candidate_pairs(*_signatures(group), sizes, least)
+            some = group.select([*TILE, "side", *CLASS]).take(pa.array(np.unique(np.concatenate([i, j]))))
+            yield from some.to_batches()
+
+    return run
 
 
-def _compare(threshold: float):
+def _verified(threshold: float):
     least = least_matches(threshold)
 
-    def run(group: pa.Table) -> pa.Table:
-        side = np.array(group.column("side").to_pylist())
-        reps = np.array(group.column("rep").to_pylist(), np.int64)
-        weight = np.array(group.column("copies").to_pylist(), np.int64)
-        sigs = np.array([np.frombuffer(x, "<u2") for x in group.column("sig").to_pylist()])
-        sets = [np.frombuffer(x, "<u8") for x in group.column("shingles").to_pylist()]
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        within = not len(b) and bool(group.column("within")[0].as_py())
-        if within:
-            b = a
-        if not len(a) or not len(b):
-            return _found(group, reps, np.zeros(0, np.int64), np.zeros(0, np.int64), reps)
-        i, j = linked_pairs(sigs[a], [sets[x] for x in a], sigs[b], [sets[x] for x in b], threshold, least)
-        if within:
-            i, j = i[i < j], j[i < j]
-        i, j = a[i], b[j]
-        links = np.bincount(i, weight[j], len(reps)).astype(np.int64) + np.bincount(j, weight[i], len(reps)).astype(np.int64)
-        # A spanning forest of the links is all that components need.
-        root = np.arange(len(reps))
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            x, y = find(x), find(y)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-        top = np.array([find(x) for x in range(len(reps))])
-        return _found(group, reps, np.flatnonzero(links > 0), links, reps[top])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, sizes in _gathered(batches):
+            i, j = candidate_pairs(*_signatures(group), sizes, least)
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            sets = [np.frombuffer(x, "<u8") for x in group.column("shingles").to_pylist()]
+            lengths = np.array([len(x) for x in sets])
+            good = [np.zeros(0, bool)]
+            for at in range(0, len(i), 1 << 14):
+                a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                shared = _overlaps(sets, sets, a, b)
+                # Decided as a brute-force comparison would: shared / union >= threshold in doubles.
+                good.append(shared / np.maximum(1, lengths[a] + lengths[b] - shared) >= threshold)
+            good = np.concatenate(good)
+            yield from _links(group, i[good], j[good]).to_batches()
 
     return run
 
 
-def _found(group: pa.Table, reps: np.ndarray, some: np.ndarray, links: np.ndarray, other: np.ndarray) -> pa.Table:
-    keys = group.select(["n_shingles", "set_low", "set_high"]).take(pa.array(some))
-    return pa.table({"rep": pa.array(reps[some]), **{c: keys.column(c) for c in keys.column_names}, "links": pa.array(links[some]), "other": pa.array(other[some])})
+def _links(group: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.Table:
+    """Links of each row, and a spanning forest of them, which is all that components need."""
+    reps, weight = group.column("rep").to_numpy(), group.column("copies").to_numpy()
+    links = np.bincount(i, weight[j], len(reps)).astype(np.int64) + np.bincount(j, weight[i], len(reps)).astype(np.int64)
+    root = np.arange(len(reps))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    some = np.flatnonzero(links)
+    tops = reps[np.array([find(x) for x in some.tolist()], np.int64)]
+    return group.select(CLASS).take(pa.array(some)).append_column("links", pa.array(links[some])).append_column("other", pa.array(tops))
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -227,29 +278,24 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
     classes = stored(classes, "classes")
 
     bands = classes.select(
-        "rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.substring("sig", b * BAND_BYTES + 1, F.lit(BAND_BYTES)).alias("key")))).alias("x")
-    ).select("rep", "x.band", "x.key")
-    shared = bands.groupBy("band", "key").agg(F.min("rep").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = bands.join(shared.select("band", "key", "root"), ["band", "key"]).select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()
-    groups = connected_components(edges.where("a <> b"))
-    groups = stored(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "groups")
-
-    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    placed = groups.join(sizes, "grp").select(
-        "rep", "grp", F.ceil(F.col("size") / block).cast("int").alias("blocks")
-    ).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    wanted = sized(groups.select("rep"), 16)
+        *CLASS, F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.substring("sig", b * BAND_BYTES + 1, F.lit(BAND_BYTES)).alias("key")))).alias("x")
+    ).select(*CLASS, "x.band", "x.key")
+    shared = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    met = bands.join(shared, ["band", "key"]).select(*CLASS, "band", "key", blocks.alias("blocks"), F.pmod(F.xxhash64(*CLASS), blocks).cast("int").alias("mine"))
+    tile = lambda w: F.struct(F.least("mine", w).alias("x"), F.greatest("mine", w).alias("y"), F.when(F.col("mine") <= w, 0).otherwise(1).alias("side"))
+    placed = met.select(*CLASS, "band", "key", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), tile)).alias("t")).select("band", "key", "t.*", *CLASS)
+    signs = classes.select(*CLASS, "copies", "sig")
+    dealt = placed.join(signs, CLASS).repartition(*TILE).sortWithinPartitions(*TILE, "side")
+    survived = stored(dealt.mapInArrow(_surviving(threshold), PLACED), "candidates")
+
+    wanted = sized(stored(survived.select("rep").distinct(), "wanted"), 16)
     texts = rows.join(wanted, rows["doc_id"] == wanted["rep"], "left_semi")
     sets = texts.mapInArrow(_shingled(shingle), "rep long, n_shingles int, set_low long, set_high long, shingles binary")
-    key = ["rep", *by_set]
-    full = placed.join(classes.select(*key, "copies", "sig"), "rep").join(sets, key).dropDuplicates(key)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
-    tiles = full.select("*", other).select(
-        "grp", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"),
-        F.when(F.col("block") <= F.col("with"), 0).otherwise(1).alias("side"),
-        (F.col("block") == F.col("with")).alias("within"), *key, "copies", "sig", "shingles",
-    )
-    found = stored(tiles.groupBy("grp", "x", "y").applyInArrow(_compare(threshold), PAIRED), "links")
+    full = stored(signs.join(sets, CLASS).dropDuplicates(CLASS), "shingle-sets")
+    tiles = survived.join(full, CLASS).repartition(*TILE).sortWithinPartitions(*TILE, "side")
+    found = stored(tiles.mapInArrow(_verified(threshold), PAIRED), "links")
+    key = CLASS
     # Links belong to a class, as an id whose texts differ may stand for several; components belong to ids.
     counts = found.groupBy(*key).agg(F.sum("links").alias("links"))
     final = connected_components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
