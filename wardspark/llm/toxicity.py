@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms (operator 13).
 
 Terms of a text are its different words and the first letters of longer ones, hashed to 32 bits. Counts over
-all labelled rows of the fit tell the terms whose share among toxic texts differs from chance; these are the
+the labelled rows of the fit tell the terms whose share among toxic texts differs from chance; these are the
 machine's inputs. It scores a text by a bias, a weight for each term and, for each pair of terms, the
 product of their vectors, which learns combinations that no sum of single weights can.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sized, stored
 
 PREFIXES = (4, 5, 6)
 #: The machine's inputs, and the labelled rows it is fitted on: at most so many of each.
@@ -99,10 +99,13 @@ def fit_machine(held: list[np.ndarray], toxic: np.ndarray, terms: np.ndarray, se
 def train(docs: DataFrame, labels: DataFrame, most_terms: int = MOST_TERMS, fit_rows: int = FIT_ROWS) -> Machine:
     """The machine fitted on the rows of docs (doc_id, text) whose id labels (doc_id, toxic) marks 0 or 1.
 
-    Terms are counted over all those rows; at most ``most_terms`` of them, and at most ``fit_rows`` rows in the order of a hash,
-    reach the driver. Null ids and labels are left out. Rows that repeat an id are rows of their own.
+    The fit takes at most ``fit_rows`` labelled ids, the first in the order of a hash; their terms are counted, and at most
+    ``most_terms`` of them and ``fit_rows`` rows reach the driver. Null ids and labels are left out; an id with two labels
+    is toxic. Rows that repeat an id are rows of their own.
     """
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    # At most fit_rows ids and labels: joining them moves no text.
+    marks = sized(stored(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "fit-labels"), 16)
     rows = docs.select("doc_id", "text").join(marks, "doc_id").select(F.xxhash64("doc_id", "text").alias("row"), "toxic", "text")
     coded = stored(rows.mapInArrow(_terms, "row long, toxic int, terms array<long>"), "labelled-terms")
     total = coded.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
@@ -159,5 +162,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
     further columns are not read.
     """
     rows = docs.select("doc_id", "text")
-    machine = train(rows.where(~held_out(F.col("doc_id"))), labels.select("doc_id", "toxic"), **fit)
+    machine = train(rows, labels.select("doc_id", "toxic").where(~held_out(F.col("doc_id"))), **fit)
     return score(rows, machine).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
