@@ -246,6 +246,28 @@ def names(text: Column, profile: str = "hybrid") -> Column:
     return validated(text, F.concat(first, listed_names(text), cued_names(text)))
 
 
+def provenance(text: Column) -> Column:
+    """array<struct<start, stop, value, source>> of validated names: found by the rules ('heuristic'), by the second detector ('local') or by both.
+
+    Names are taken before overlaps are resolved and meet by their place.
+    """
+    place = lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"))
+    rules = F.array_distinct(F.transform(validated(text, F.concat(capitalised_names(text), listed_names(text), cued_names(text))), place))
+    second = F.array_distinct(F.transform(validated(text, local_names(text)), place))
+    both = F.struct(rules.alias("rules"), second.alias("second"))
+
+    def told(x: Column, name: str) -> Column:
+        return F.struct(x["start"], x["stop"], x["value"], F.lit(name).alias("source"))
+
+    # One evaluation of both: what a lambda reads is a field made before it.
+    of = lambda b: F.array_sort(F.concat(
+        F.transform(F.array_intersect(b["rules"], b["second"]), lambda x: told(x, "both")),
+        F.transform(F.array_except(b["rules"], b["second"]), lambda x: told(x, "heuristic")),
+        F.transform(F.array_except(b["second"], b["rules"]), lambda x: told(x, "local")),
+    ))
+    return F.get(F.transform(F.array(both), of), F.lit(0))
+
+
 def ner_names(text: Column, tokens: Column, detector: str = "local_ner_model") -> Column:
     """Candidates of a recogniser's tokens (entity, score, start, stop): labelled person tokens in a row, over gaps of
     spaces, hyphens and apostrophes, are one span with their mean score; a B- label opens a new one. Spans are
