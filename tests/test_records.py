@@ -23,6 +23,13 @@ def test_requests_are_answered(spark):
     assert got[6].action == "warn" and got[6].requires_review and got[6].instruction == gateway.INSTRUCTIONS["warn"]
 
 
+def test_requests_that_share_an_id_stay_apart(spark):
+    rows = [(1, "mail a@x.org", None, None, None, None, None), (1, "call 415-555-0101", None, None, None, None, None), (None, "nothing", None, None, None, None, None)]
+    done = gateway.answered(spark.createDataFrame(rows, REQUEST))
+    assert sorted((r.request_id or 0, r.preview) for r in done.collect()) == [(0, "nothing"), (1, "call [PHONE_1]"), (1, "mail [EMAIL_1]")]
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+
+
 def test_decisions_of_null_and_repeated_keys(spark):
     signals = spark.createDataFrame(
         [(None, ["email"], True), (1, ["email"], False), (1, [], True), (2, ["regulated_legal"], True)], "doc_id long, flags array<string>, sanitizable boolean"

@@ -306,18 +306,6 @@ def recent_history(spark, sf_dir):
     return conversations.recent_history(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_sha256"))
 
 
-def conversation_vault(spark, sf_dir):
-    """The placeholders that the values of each conversation get."""
-    return conversations.vault(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
-
-
-def conversation_redacted(spark, sf_dir):
-    """Messages with the placeholders that the vault of their conversation knows."""
-    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    done = conversations.stabilised(messages, conversations.vault(messages))
-    return done.select("conv_id", "turn", F.size("entities").alias("entities"), F.sha2("redacted", 256).alias("redacted_sha256"), "risk_score")
-
-
 def customer_upsert(spark, sf_dir):
     """Customers after changes: every third updated, new ones added, negative balances zeroed, some deleted."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
@@ -339,7 +327,7 @@ QUERIES = {
     for f in (
         governance_summary, policy_scan, entity_counts, redaction_round_trip, telemetry_normalised, dashboard_metrics, usage_over_time,
         risk_distribution, risk_categories, provider_usage, recent_events, active_users, streamed_daily_counts, policy_decisions, rule_latest,
-        rule_next_versions, rule_status_counts, rule_buckets, published_bundles, mined_rules, recent_history, conversation_vault, conversation_redacted, customer_upsert,
+        rule_next_versions, rule_status_counts, rule_buckets, published_bundles, mined_rules, recent_history, customer_upsert,
     )
 }
 FLAGSHIP = "governance_summary"

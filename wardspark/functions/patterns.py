@@ -82,6 +82,11 @@ _BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 _SPACE = r"\t-\r \xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 
 
+def js_trim(text: Column | str) -> Column:
+    """A text without white space at its ends: all of it that patterns call so, not spaces alone."""
+    return F.regexp_replace(text, f"^[{_SPACE}]+|[{_SPACE}]+$", "")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower case, as patterns that ignore case see it: the two other characters whose lower case is ASCII become spaces."""
     return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit(" ")), F.lit("\u0130"), F.lit(" ")))

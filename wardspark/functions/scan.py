@@ -27,6 +27,7 @@ from .patterns import (
     TOP_RISK,
     ascii_lower,
     java,
+    js_trim,
     may_match,
     words,
 )
@@ -36,6 +37,16 @@ CANDIDATE = "struct<start:int,rank:int,doubt:double,ordinal:int,stop:int,type:st
 RANK = {t: -priority for t, (_, priority, _, _) in ENTITY_TYPES.items()}
 
 
+#: Validated candidates of these types have at least this confidence.
+FLOORS = {"EMAIL": 0.96, "SECRET": 0.98, "PHONE": 0.90}
+
+
+def credible_phone(value: Column) -> Column:
+    """Ten digits, or eleven after a 1, and formatting or a country code."""
+    digits = F.regexp_replace(value, r"\D", "")
+    return ((F.length(digits) == 10) | ((F.length(digits) == 11) & digits.startswith("1"))) & (value.rlike(java(r"[\s().-]")) | value.rlike(r"^\+?1"))
+
+
 def _type_map(value) -> Column:
     return F.create_map(*[F.lit(x) for t, v in ENTITY_TYPES.items() for x in (t, value(t, v))])
 
@@ -46,12 +57,7 @@ def candidates(text: Column, lower: Column) -> Column:
     for ordinal, (kind, name, confidence, ignore, pattern) in enumerate(DETECTORS):
         at = spans(text, java(pattern, ignore), may_match(name, text, lower, ignore))
         if kind == "PHONE":  # credible by its digits; it must show formatting or a country code
-            digits = lambda x: F.regexp_replace(x["value"], r"\D", "")
-            at = F.filter(
-                at,
-                lambda x: ((F.length(digits(x)) == 10) | ((F.length(digits(x)) == 11) & digits(x).startswith("1")))
-                & (x["value"].rlike(java(r"[\s().-]")) | x["value"].rlike(r"^\+?1")),
-            )
+            at = F.filter(at, lambda x: credible_phone(x["value"]))
         parts.append(_shaped(at, kind, name, confidence, ordinal))
     return F.concat(*parts)
 
@@ -77,23 +83,32 @@ def external_candidates(text: Column, given: Column) -> Column:
     """Candidates from elsewhere (array of type, start, stop, value, confidence, detector) that agree with the text.
 
     Kept if the type is known, offsets lie in the text, the text there is the value, and the
-    confidence is finite; it is clamped to 0..1 and must reach the type's threshold. Persons are
+    confidence is finite; it is clamped to 0..1, and white space at the ends is cut. Addresses of mail and secrets have at
+    least the confidence of detected ones, phones must be credible by their digits and formatting, and all must reach the type's threshold. Persons are
     validated like detected names, with the signals that they bring.
     """
     thresholds, ranks = _type_map(lambda t, v: v[0]), _type_map(lambda t, v: RANK[t])
-    ok = F.filter(
+    floors = _type_map(lambda t, v: FLOORS.get(t, 0.0))
+    agree = F.filter(
         given,
         lambda c: c["type"].isin(*ENTITY_TYPES) & (c["start"] >= 0) & (c["stop"] > c["start"]) & (c["stop"] <= F.length(text))
         & (F.substring(text, c["start"] + 1, c["stop"] - c["start"]) == c["value"])
         & ~F.isnan(c["confidence"]) & (F.abs(c["confidence"]) < float("inf")),
     )
+    bare = lambda c: js_trim(c["value"])
+    lead = lambda c: F.length(F.regexp_extract(c["value"], java(r"^\s*"), 0))
+    trimmed = F.transform(agree, lambda c: F.struct(
+        c["type"].alias("type"), (c["start"] + lead(c)).alias("start"), (c["start"] + lead(c) + F.length(bare(c))).alias("stop"), bare(c).alias("value"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), c["confidence"])).alias("confidence"), c["detector"].alias("detector"), c["signals"].alias("signals"),
+    ))
+    ok = F.filter(trimmed, lambda c: (c["value"] != "") & ((c["type"] != "PHONE") | credible_phone(c["value"])))
     shaped = F.transform(
         ok,
         lambda c, i: F.struct(
             c["start"].cast("int").alias("start"), F.element_at(ranks, c["type"]).alias("rank"),
-            (-F.greatest(F.lit(0.0), F.least(F.lit(1.0), c["confidence"]))).alias("doubt"), (i + 1000).alias("ordinal"),
+            (-F.greatest(c["confidence"], F.element_at(floors, c["type"]))).alias("doubt"), (i + 1000).alias("ordinal"),
             c["stop"].cast("int").alias("stop"), c["type"].alias("type"), c["value"].alias("value"),
-            F.greatest(F.lit(0.0), F.least(F.lit(1.0), c["confidence"])).alias("confidence"),
+            F.greatest(c["confidence"], F.element_at(floors, c["type"])).alias("confidence"),
             F.coalesce(c["detector"], F.lit("external_candidate")).alias("detector"),
         ),
     ).cast(f"array<{CANDIDATE}>")
@@ -101,7 +116,7 @@ def external_candidates(text: Column, given: Column) -> Column:
     people = F.transform(
         F.filter(ok, lambda c: c["type"] == "PERSON"),
         lambda c: F.struct(
-            c["start"].cast("int").alias("start"), c["stop"].cast("int").alias("stop"), c["value"].alias("value"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c["confidence"])).alias("base"),
+            c["start"].cast("int").alias("start"), c["stop"].cast("int").alias("stop"), c["value"].alias("value"), c["confidence"].alias("base"),
             F.coalesce(c["detector"], F.lit("external_candidate")).alias("detector"), F.coalesce(c["signals"], F.array().cast("array<string>")).alias("signals"),
         ),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import PLACEHOLDER
+from ..functions.patterns import PLACEHOLDER, js_trim
 from ..functions.scan import scan
 
 # Sizes, extensions and types of files.
@@ -52,7 +52,7 @@ def extension(name: Column) -> Column:
 
 
 def media_type(value: Column) -> Column:
-    return F.lower(F.trim(F.get(F.split(F.coalesce(value, F.lit("")), ";"), F.lit(0))))
+    return F.lower(js_trim(F.get(F.split(F.coalesce(value, F.lit("")), ";"), F.lit(0))))
 
 
 def is_text_type(value: Column) -> Column:
@@ -91,7 +91,7 @@ def classified(name: Column, kind: Column, size: Column, text: Column, extractio
     """The first of what speaks against reading a file, or supported_text."""
     document = F.coalesce(extraction.isin("pdf_text", "docx_text"), F.lit(False))
     return (
-        F.when(document & (size > MOST_DOCUMENT_BYTES), "too_large").when(document & (F.trim(F.coalesce(text, F.lit(""))) == ""), "read_failed")
+        F.when(document & (size > MOST_DOCUMENT_BYTES), "too_large").when(document & (js_trim(F.coalesce(text, F.lit(""))) == ""), "read_failed")
         .when(~document & ~extension(name).isin(*TEXT_EXTENSIONS), "unsupported_type").when(~document & ~is_text_type(kind), "unsupported_mime")
         .when(~document & (size > MOST_TEXT_BYTES), "too_large").when(text.isNull(), "read_failed").when(looks_binary(text), "binary_content").otherwise("supported_text")
     )
@@ -114,21 +114,22 @@ def file_slug(value: Column) -> Column:
 
 
 def governed_names(files: DataFrame, sensitivity: str = "Internal") -> DataFrame:
-    """(id, safe_name, name_flags, name_entities, name_risk): file names without what a scan finds in them.
+    """files with safe_name, name_flags, name_entities, name_risk: file names without what a scan finds in them.
 
     The stem is scanned as it is and with its separators as spaces; the form with more entities, then more
-    risk, then the former counts.
+    risk, then the former counts. Rows go through both scans as one value, so ids may repeat or be missing.
     """
-    forms = F.array_distinct(F.array(stem(F.col("name")), F.regexp_replace(stem(F.col("name")), "[._-]+", " ")))
-    each = files.select("id", "name", F.posexplode(F.filter(forms, lambda x: x != "")).alias("place", "form"))
-    each = each.select(F.struct("id", "name", "place").alias("at"), "form")
-    found = scan(each, "at", "form", sensitivity=sensitivity)
-    best = found.groupBy("at.id").agg(
-        F.max_by(F.struct("at", "redacted", "entities", "flags", "risk_score"), F.struct(F.size("entities"), "risk_score", -F.col("at.place"))).alias("b")
-    )
-    slugged = F.when(F.size("b.entities") > 0, file_slug(F.col("b.redacted"))).otherwise(F.regexp_replace(file_slug(stem(F.col("b.at.name"))), PLACEHOLDER, "redacted"))
-    safe = F.concat(F.when(slugged == "", "attachment").otherwise(slugged), suffix(F.col("b.at.name")))
-    return best.select("id", safe.alias("safe_name"), F.col("b.flags").alias("name_flags"), F.transform("b.entities", lambda e: F.struct(e["id"], e["type"])).alias("name_entities"), F.col("b.risk_score").alias("name_risk"))
+    kept = files.columns
+    found = lambda name: F.struct("redacted", "entities", "flags", "risk_score").alias(name)
+    plain = stem(F.col("name"))
+    one = scan(files.select(F.struct(*kept).alias("file"), F.coalesce(plain, F.lit("")).alias("form")), "file", "form", sensitivity=sensitivity).select("file", found("one"))
+    spaced = F.regexp_replace(F.coalesce(stem(F.col("file.name")), F.lit("")), "[._-]+", " ")
+    two = scan(one.select(F.struct("file", "one").alias("row"), spaced.alias("form")), "row", "form", sensitivity=sensitivity).select("row.file", "row.one", found("two"))
+    weight = lambda x: F.struct(F.size(x["entities"]), x["risk_score"])
+    best = two.select("file.*", F.when(weight(F.col("two")) > weight(F.col("one")), F.col("two")).otherwise(F.col("one")).alias("b"))
+    slugged = F.when(F.size("b.entities") > 0, file_slug(F.col("b.redacted"))).otherwise(F.regexp_replace(file_slug(stem(F.col("name"))), PLACEHOLDER, "redacted"))
+    safe = F.concat(F.when(slugged == "", "attachment").otherwise(slugged), suffix(F.col("name")))
+    return best.select(*kept, safe.alias("safe_name"), F.col("b.flags").alias("name_flags"), F.transform("b.entities", lambda e: F.struct(e["id"], e["type"])).alias("name_entities"), F.col("b.risk_score").alias("name_risk"))
 
 
 def document_copy(redacted: Column, name: Column, extraction: Column, warnings: Column, guard: str = "The guard") -> Column:
@@ -151,11 +152,10 @@ def governed(files: DataFrame, sensitivity: str = "Internal") -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     kind = classified(F.col("name"), F.col("mime_type"), F.col("size"), F.col("text"), F.col("extraction"))
-    base = files.select("*", kind.alias("class"))
-    scanned = scan(base.select("id", F.when(F.col("class") == "supported_text", text).otherwise("").alias("body")), "id", "body", sensitivity=sensitivity)
-    body = scanned.select(F.col("id").alias("_id"), "redacted", F.col("flags").alias("body_flags"), F.transform("entities", lambda e: F.struct(e["id"], e["type"])).alias("body_entities"), F.col("risk_score").alias("body_risk"))
-    names = governed_names(files, sensitivity).withColumnRenamed("id", "_named")
-    joined = base.join(body, F.col("id") == F.col("_id")).join(names, F.col("id") == F.col("_named"), "left")
+    base = governed_names(files.select("*", kind.alias("class")), sensitivity)
+    body = F.when(F.col("class") == "supported_text", text).otherwise("")
+    scanned = scan(base.select(F.struct(*[c for c in base.columns if c != "text"]).alias("file"), body.alias("body")), "file", "body", sensitivity=sensitivity)
+    joined = scanned.select("file.*", "redacted", F.col("flags").alias("body_flags"), F.transform("entities", lambda e: F.struct(e["id"], e["type"])).alias("body_entities"), F.col("risk_score").alias("body_risk"))
     none = F.array().cast("array<struct<id:string,type:string>>")
     read = F.col("class") == "supported_text"
     entities = F.when(read, F.array_distinct(F.concat(F.coalesce("name_entities", none), "body_entities"))).otherwise(none)

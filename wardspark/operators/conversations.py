@@ -1,12 +1,11 @@
-"""Conversation state in batch: recent history, vaults of placeholders, rehydration."""
+"""Conversation state in batch: recent history, known values in texts, moved vaults, rehydration. The fold itself is in folds.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import PLACEHOLDER
-from ..functions.scan import entity_rows, rehydrated, scan, spliced, stable_key
+from ..functions.scan import rehydrated
 
 
 def recent_history(messages: DataFrame, last: int = 8) -> DataFrame:
@@ -16,35 +15,6 @@ def recent_history(messages: DataFrame, last: int = 8) -> DataFrame:
     return said.withColumn("back", F.row_number().over(order)).where(F.col("back") <= last).select("conv_id", "turn", "role", "text", "back")
 
 
-KEYED = "array<struct<id:string,type:string,original:string>>"
-
-
-def vault(messages: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """(conv_id, type, original, placeholder): one placeholder a conversation for each value, numbered by first appearance.
-
-    Values are those of a type that share a stable key; the first form is kept. Numbers go on after those of
-    placeholders in the texts and of ``seeds`` (rows of an earlier vault, which stay as they are). Values are counted
-    over the whole conversation by a rank of their first place, not by a fold over messages. Secrets get
-    placeholders too; rehydration leaves them.
-    """
-    scanned = scan(messages.select(F.struct("conv_id", "turn").alias("at"), "text"), "at")
-    each = entity_rows(scanned, "at").select("at.conv_id", "at.turn", "e")
-    first = each.groupBy("conv_id", F.col("e.type").alias("type"), stable_key(F.col("e.type"), F.col("e.original")).alias("key")).agg(
-        F.min(F.struct("turn", F.col("e.start").alias("start"), F.col("e.original").alias("original"))).alias("first")
-    )
-    marks = messages.select("conv_id", F.explode(F.regexp_extract_all("text", F.lit(PLACEHOLDER), F.lit(0))).alias("p"))
-    if seeds is not None:
-        marks = marks.unionByName(seeds.select("conv_id", F.col("placeholder").alias("p")))
-        known = seeds.select("conv_id", "type", stable_key(F.col("type"), F.col("original")).alias("key"))
-        first = first.join(known, ["conv_id", "type", "key"], "left_anti")
-    taken = marks.groupBy("conv_id", F.regexp_extract("p", PLACEHOLDER, 1).alias("type")).agg(F.max(F.regexp_extract("p", PLACEHOLDER, 2).cast("int")).alias("taken"))
-    number = F.row_number().over(Window.partitionBy("conv_id", "type").orderBy("first", "key"))
-    new = first.withColumn("number", number).join(taken, ["conv_id", "type"], "left")
-    ids = F.concat(F.lit("["), "type", F.lit("_"), (F.col("number") + F.coalesce("taken", F.lit(0))).cast("string"), F.lit("]"))
-    out = new.select("conv_id", "type", F.trim(F.regexp_replace("first.original", r"\s+", " ")).alias("original"), ids.alias("placeholder"))
-    return out if seeds is None else seeds.select(*out.columns).unionByName(out)
-
-
 def known_entities(text: Column, vault: Column) -> Column:
     """Places at which values of a vault (array of id, type, original) stand in a text, between word boundaries; names in any case, secrets never."""
 
@@ -72,27 +42,6 @@ def without_overlaps(primary: Column, secondary: Column) -> Column:
     return F.array_sort(F.aggregate(secondary, primary, lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.array_append(acc, x))))
 
 
-def stabilised(messages: DataFrame, vaults: DataFrame) -> DataFrame:
-    """(conv_id, turn, entities, redacted, risk_score): messages with the placeholders that their conversation knows.
-
-    Values that the scan finds and the vault knows get the vault's placeholder; known values that the scan misses
-    are added where they overlap nothing, and raise the risk to 40 at least.
-    """
-    maps = vaults.groupBy("conv_id").agg(F.collect_list(F.struct(F.col("placeholder").alias("id"), "type", "original")).alias("vault"))
-    told = messages.join(maps, "conv_id", "left").select(F.struct("conv_id", "turn").alias("at"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("vault", F.array().cast(KEYED)).alias("vault"))
-    found = scan(told, "at").select(F.col("at").alias("_at"), "entities", "risk_score")
-    both = told.join(found, F.col("at") == F.col("_at"))
-    shape = "array<struct<start:int,stop:int,id:string,type:string>>"
-    named = lambda e: F.get(F.filter("vault", lambda v: (v["type"] == e["type"]) & (stable_key(v["type"], v["original"]) == stable_key(e["type"], e["original"]))), F.lit(0))["id"]
-    own = F.transform("entities", lambda e: F.struct(e["start"].alias("start"), e["stop"].alias("stop"), F.coalesce(named(e), e["id"]).alias("id"), e["type"].alias("type"))).cast(shape)
-    both = both.select("at", "text", own.alias("own"), known_entities(F.col("text"), F.col("vault")).cast(shape).alias("known"), "risk_score")
-    both = both.select("*", without_overlaps(F.col("own"), F.col("known")).alias("all"))
-    return both.select(
-        "at.conv_id", "at.turn", F.col("all").alias("entities"), spliced(F.col("text"), F.col("all"), F.transform("all", lambda e: e["id"])).alias("redacted"),
-        F.when(F.size("known") > 0, F.greatest("risk_score", F.lit(40))).otherwise(F.col("risk_score")).alias("risk_score"),
-    )
-
-
 def migrated(vaults: DataFrame, moves: DataFrame) -> DataFrame:
     """Vault rows with those of ``source`` also under ``target``; a source's value wins over the target's, and stays."""
     moved = vaults.join(moves.select(F.col("source").alias("conv_id"), "target"), "conv_id").select(F.col("target").alias("conv_id"), "type", "original", "placeholder")

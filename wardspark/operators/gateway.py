@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import js_trim
 from ..functions.scan import flagged, rehydrated, risk_level, risk_score, scan
 from .attachments import count_text, with_attachments
 
@@ -29,7 +30,7 @@ REFUSAL = "This request was blocked before provider routing. Remove secrets or i
 
 
 def _model_key(value: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(value)), r"\s+", "-")
+    return F.regexp_replace(F.lower(js_trim(value)), r"\s+", "-")
 
 
 def model(value: Column) -> Column:
@@ -46,7 +47,7 @@ def input_kinds(attachments: Column) -> Column:
     some = lambda test: F.exists(attachments, test)
     return F.array_compact(F.array(
         F.lit("text"), F.when(F.size(attachments) > 0, "file_metadata"), F.when(some(lambda a: a["kind"] == "image"), "image"),
-        F.when(some(lambda a: a["kind"].isin("text", "document") & (F.trim(F.coalesce(a["text"], F.lit(""))) != "")), "document_text"),
+        F.when(some(lambda a: a["kind"].isin("text", "document") & (js_trim(F.coalesce(a["text"], F.lit(""))) != "")), "document_text"),
     ))
 
 
@@ -66,13 +67,13 @@ def normalised_requests(requests: DataFrame) -> DataFrame:
     requests: request_id, prompt, model, use_case, sensitivity, conversation_id, attachments (array of kind, text,
     flags, risk_score).
     """
-    or_ = lambda name, default: F.when(F.trim(name) != "", F.col(name)).otherwise(default).alias(name)
+    or_ = lambda name, default: F.when(js_trim(name) != "", F.col(name)).otherwise(default).alias(name)
     none = F.array().cast(requests.schema["attachments"].dataType)
-    conversation = F.when(F.trim("conversation_id").isin("", "ephemeral", "new-chat"), None).otherwise(F.substring("conversation_id", 1, 160))
+    conversation = F.when(js_trim("conversation_id").isin("", "ephemeral", "new-chat"), None).otherwise(F.substring("conversation_id", 1, 160))
     return requests.select(
-        "request_id", F.trim(F.coalesce("prompt", F.lit(""))).alias("prompt"), model(F.col("model")).alias("model"), or_("use_case", "General"), or_("sensitivity", "Internal"),
+        "request_id", js_trim(F.coalesce("prompt", F.lit(""))).alias("prompt"), model(F.col("model")).alias("model"), or_("use_case", "General"), or_("sensitivity", "Internal"),
         conversation.alias("conversation_id"), F.coalesce("attachments", none).alias("attachments"),
-        F.when(F.trim(F.coalesce("prompt", F.lit(""))) == "", "Prompt is required.").alias("problem"),
+        F.when(js_trim(F.coalesce("prompt", F.lit(""))) == "", "Prompt is required.").alias("problem"),
     )
 
 
@@ -96,10 +97,10 @@ def answered(requests: DataFrame, provider: Callable[[Column, Column, Column], C
     its model can't read, and one without a prompt do not reach the provider. Answers are scanned for flags only.
     ``provider`` makes a column of an answer from the redacted prompt, the use case and the entities.
     """
-    base = normalised_requests(requests)
-    found = scan(base, "request_id", "prompt")
+    # The request goes through the scan as one value: no join, so repeated and missing ids stay requests of their own.
+    base = normalised_requests(requests).select(F.struct("*").alias("request"), "prompt")
     sensitive = F.col("sensitivity")
-    joined = base.join(found.withColumnRenamed("request_id", "_id"), F.col("request_id") == F.col("_id"))
+    joined = scan(base, "request", "prompt").select("request.*", "entities", "redacted", "redaction_map", "entity_counts", "flags", "action")
     extra = F.flatten(F.transform("attachments", lambda a: F.coalesce(a["flags"], F.array().cast("array<string>"))))
     review = F.array_contains("flags", "prompt_injection") | F.exists("flags", lambda f: f.startswith("regulated_"))
     told = joined.select(

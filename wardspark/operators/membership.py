@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import js_trim
+
 
 
 # What a member can be, and mail hosts that say nothing of a company.
@@ -26,11 +28,11 @@ def member_status(value: Column) -> Column:
 
 def email_key(value: Column) -> Column:
     """What addresses are compared by; empty for a missing one."""
-    return F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    return F.lower(js_trim(F.coalesce(value, F.lit(""))))
 
 
 def company_name(value: Column) -> Column:
-    return F.substring(F.regexp_replace(F.trim(F.coalesce(value, F.lit(""))), r"\s+", " "), 1, 80)
+    return F.substring(F.regexp_replace(js_trim(F.coalesce(value, F.lit(""))), r"\s+", " "), 1, 80)
 
 
 def title(value: Column) -> Column:
@@ -41,7 +43,7 @@ def title(value: Column) -> Column:
 
 def workspace_name(email: Column, full_name: Column, default: str = "Workspace") -> Column:
     """By the company's mail domain, else the first name, else the local part of the address."""
-    address, name = F.coalesce(email, F.lit("")), F.trim(F.coalesce(full_name, F.lit("")))
+    address, name = F.coalesce(email, F.lit("")), js_trim(F.coalesce(full_name, F.lit("")))
     domain = F.when(F.contains(address, F.lit("@")), F.get(F.split(address, "@"), F.lit(1))).otherwise("")
     own = (domain != "") & ~domain.rlike(PUBLIC_HOSTS)
     return (

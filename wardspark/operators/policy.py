@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import js_trim
+
 PRECEDENCE = {"block": 5, "redact": 3, "warn": 2, "allow": 1}
 SEVERITY = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 #: What an entity type or a flag stands for in rules.
@@ -61,8 +63,8 @@ def execution_action(action: Column, fallback: Column, sanitizable: Column) -> C
 
 
 def _scope(rule: Column, actual: Column) -> Column:
-    r = F.lower(F.trim(F.coalesce(rule, F.lit(""))))
-    return r.isin("", "all", "any") | (r == F.lower(F.trim(actual)))
+    r = F.lower(js_trim(F.coalesce(rule, F.lit(""))))
+    return r.isin("", "all", "any") | (r == F.lower(js_trim(actual)))
 
 
 def evaluate(signals: DataFrame, rules: DataFrame, key: str = "doc_id", guard: str = "The guard") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import js_trim
+
 from .telemetry import slug
 
 STATUSES = ("draft", "approved", "rejected", "archived")
@@ -113,7 +115,7 @@ def draft_fields(inputs: DataFrame, scope: str = "company_slug") -> DataFrame:
 
     def text(name: str) -> Column:
         limit, default = DRAFT_TEXTS[name]
-        kept = F.substring(F.trim(F.coalesce(name, F.lit(""))), 1, limit)
+        kept = F.substring(js_trim(F.coalesce(name, F.lit(""))), 1, limit)
         return F.when(kept == "", default).otherwise(kept).alias(name)
 
     known = lambda name, values, default: F.when(F.col(name).isin(*values), F.col(name)).otherwise(default).alias(name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import js_trim
 from ..functions.scan import risk_level
 
 #: What events, actions and levels are called.
@@ -30,7 +31,7 @@ def clamped(value: Column, low: int, high: int) -> Column:
 
 def text_or(value: Column, default: str, limit: int) -> Column:
     """The first ``limit`` characters, or the default if the value is missing or blank."""
-    return F.when(F.trim(value) != "", F.substring(value, 1, limit)).otherwise(default)
+    return F.when(js_trim(value) != "", F.substring(value, 1, limit)).otherwise(default)
 
 
 def slug(value: Column, limit: int = 80) -> Column:
@@ -54,14 +55,14 @@ def normalised(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
         "event_id",
         kind.alias("event_type"),
         text_or(F.col("surface"), "chatgpt", 80).alias("surface"),
-        F.when(F.trim("company_slug") != "", slug(F.col("company_slug"))).otherwise("test-company").alias("company_slug"),
+        F.when(js_trim("company_slug") != "", slug(F.col("company_slug"))).otherwise("test-company").alias("company_slug"),
         label.alias("user_label"),
         text_or(F.col("install_id"), "unknown-install", 160).alias("install_id"),
         F.substring(F.sha2(F.coalesce(F.substring("conversation_key", 1, 240), F.lit("unknown-conversation")), 256), 1, 32).alias("conversation_key_hash"),
         action.alias("action"),
         score.alias("risk_score"),
         F.when(F.col("risk_level").isin(*LEVELS), F.col("risk_level")).otherwise(risk_level(score)).alias("risk_level"),
-        F.slice(F.transform(F.filter(F.coalesce("flags", F.array().cast("array<string>")), lambda f: F.trim(f) != ""), lambda f: F.substring(f, 1, 120)), 1, 20).alias("flags"),
+        F.slice(F.transform(F.filter(F.coalesce("flags", F.array().cast("array<string>")), lambda f: js_trim(f) != ""), lambda f: F.substring(f, 1, 120)), 1, 20).alias("flags"),
         F.coalesce(F.transform_values(F.transform_keys(counts, lambda k, v: F.substring(k, 1, 60)), lambda k, v: F.greatest(F.lit(0), F.floor(v + 0.5)).cast("int")), F.create_map().cast("map<string,int>")).alias("entity_counts"),
         clamped(F.col("redaction_count").cast("double"), 0, 10000).alias("redaction_count"),
         clamped(F.col("attachment_count").cast("double"), 0, 1000).alias("attachment_count"),
@@ -162,7 +163,7 @@ def risk_categories(events: DataFrame, top: int = 6) -> DataFrame:
 def provider_usage(events: DataFrame, messages: DataFrame, top: int = 6) -> DataFrame:
     """(provider, requests): messages by the surface plus chat messages by provider label; ties by name."""
     surface = events.where(F.col("event_type").isin("message_sent_to_ai", "message_blocked")).select(F.lit("ChatGPT").alias("provider"))
-    own = messages.select(F.when(F.trim("provider_label") != "", F.trim("provider_label")).otherwise("Workspace Chat").alias("provider"))
+    own = messages.select(F.when(js_trim("provider_label") != "", js_trim("provider_label")).otherwise("Workspace Chat").alias("provider"))
     counted = surface.unionByName(own).groupBy("provider").agg(F.count(F.lit(1)).alias("requests"))
     return counted.orderBy(F.desc("requests"), "provider").limit(top)
 
@@ -222,8 +223,8 @@ def normalised_whole(payloads: DataFrame) -> DataFrame:
     """normalised() with the fields of rules, bundles and destinations; zero versions and blank rule texts are null, as they are stored."""
     versions = {c: F.when(clamped(F.col(c), 0, 100_000) != 0, clamped(F.col(c), 0, 100_000)) for c in ("rule_version", "policy_bundle_version")}
     kept = lambda name, limit: F.substring(F.coalesce(name, F.lit("")), 1, limit)
-    categories = F.filter(F.coalesce("detected_categories", F.array().cast("array<string>")), lambda c: F.trim(c) != "")
-    organisation = F.when(F.trim("organization_id") != "", F.substring("organization_id", 1, 120)).when(F.col("company_slug").isNotNull(), slug(F.col("company_slug"))).otherwise("test-company")
+    categories = F.filter(F.coalesce("detected_categories", F.array().cast("array<string>")), lambda c: js_trim(c) != "")
+    organisation = F.when(js_trim("organization_id") != "", F.substring("organization_id", 1, 120)).when(F.col("company_slug").isNotNull(), slug(F.col("company_slug"))).otherwise("test-company")
     further = payloads.select(
         F.struct(
             *[text_or(F.col(n), default, limit).alias(n) for n, (limit, default) in FURTHER_TEXTS.items()], organisation.alias("organization_id"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import java, js_trim
+
 #: Phrases that mark an obligation.
 OBLIGATIONS = (
     "must", "must not", "should", "should not", "prohibit", "prohibited", "require", "required", "approval", "approved", "do not",
@@ -48,29 +50,30 @@ LONG_LINE, FULL_PARAGRAPH, LEAST_TEXT, MOST_RULES = 450, 700, 40, 8
 
 
 def clamp_text(value: Column, limit: int) -> Column:
-    clean = F.trim(F.regexp_replace(value, r"\s+", " "))
-    return F.when(F.length(clean) > limit, F.concat(F.trim(F.substring(clean, 1, limit - 1)), F.lit("..."))).otherwise(clean)
+    clean = js_trim(F.regexp_replace(value, java(r"\s+"), " "))
+    return F.when(F.length(clean) > limit, F.concat(js_trim(F.substring(clean, 1, limit - 1)), F.lit("..."))).otherwise(clean)
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z0-9])"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, java(r"(?<=[.!?])\s+(?=[A-Z0-9])")), js_trim), lambda s: s != "")
 
 
 def _bare(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"^(\d+(\.\d+)*[.)]?|[A-Za-z][.)]|[-*])\s+", ""))
+    return js_trim(F.regexp_replace(line, java(r"^(\d+(\.\d+)*[.)]?|[A-Za-z][.)]|[-*])\s+"), ""))
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ordinal, heading, text): candidate sections longer than 40 characters.
 
     Lines under a heading are joined; a line longer than 450 characters is cut into its sentences
-    by itself, and a paragraph ends with the line that makes it longer than 700. Of a section with several sentences, those with an obligation are sections of their own.
+    by itself, and a paragraph ends with the line that makes it longer than 700. Of a paragraph with several sentences, those with an obligation are sections of
+    their own; the sentences of a long line each stand.
     """
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.replace(F.col(text_col), F.lit("\r"), F.lit("")), "\n")).alias("n", "line"))
-    lines = lines.select("doc_id", "n", F.trim("line").alias("line")).where("line <> ''")
+    lines = lines.select("doc_id", "n", js_trim("line").alias("line")).where("line <> ''")
     bare = _bare(F.col("line"))
     heading = F.length(bare).between(3, 120) & (
-        F.col("line").rlike(r"^\d+(\.\d+)*\s+[A-Z]") | bare.rlike(r"^[A-Z][A-Z0-9 /&,-]{5,}$") | bare.rlike(r"^[A-Z][a-z]+(\s+[A-Z][a-z]+){1,7}:?$")
+        F.col("line").rlike(java(r"^\d+(\.\d+)*\s+[A-Z]")) | bare.rlike(r"^[A-Z][A-Z0-9 /&,-]{5,}$") | bare.rlike(java(r"^[A-Z][a-z]+(\s+[A-Z][a-z]+){1,7}:?$"))
     )
     lines = lines.select("doc_id", "n", "line", bare.alias("bare"), heading.alias("is_heading"), (F.length("line") > LONG_LINE).alias("is_long"))
     order = Window.partitionBy("doc_id").orderBy("n")
@@ -93,9 +96,9 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     gathered = F.aggregate("lines", empty, gather, lambda acc: F.when(acc["now"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["now"])))
     joined = blocks.select("doc_id", "heading", "is_long", F.posexplode(gathered).alias("piece", "x")).select("doc_id", "x.n", "piece", "heading", "is_long", "x.paragraph")
-    split = joined.select("doc_id", "n", "piece", "heading", "paragraph", "is_long", sentences(F.regexp_replace("paragraph", r"\s+", " ")).alias("ss"))
+    split = joined.select("doc_id", "n", "piece", "heading", "paragraph", "is_long", sentences(F.regexp_replace("paragraph", java(r"\s+"), " ")).alias("ss"))
     binding = F.filter("ss", lambda s: _obligations(s) > 0)
-    parts = F.when((F.size("ss") <= 1), F.col("ss")).when(F.size(binding) > 0, binding).when(F.col("is_long"), F.col("ss")).otherwise(F.array(F.trim(F.regexp_replace("paragraph", r"\s+", " "))))
+    parts = F.when((F.size("ss") <= 1) | F.col("is_long"), F.col("ss")).when(F.size(binding) > 0, binding).otherwise(F.array(js_trim(F.regexp_replace("paragraph", java(r"\s+"), " "))))
     out = split.select("doc_id", "n", "piece", "heading", F.posexplode(parts).alias("i", "text")).where(F.length("text") > LEAST_TEXT)
     ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "piece", "i"))
     return out.select("doc_id", ordinal.alias("ordinal"), "heading", "text")
@@ -139,7 +142,7 @@ def inferred_rules(candidates: DataFrame, top: int = MOST_RULES) -> DataFrame:
     confidence = F.least(F.lit(96), 42 + F.col("obligations") * 9 + F.size("categories") * 7 + F.when(strict, 8).otherwise(0))
     labels = F.create_map(*[F.lit(x) for c, label, _ in CATEGORIES for x in (c, label)])
     first = F.element_at(labels, F.get("categories", F.lit(0)))
-    sentence = F.trim(F.get(F.split("text", "[.!?]"), F.lit(0)))
+    sentence = js_trim(F.get(F.split("text", "[.!?]"), F.lit(0)))
     plain = clamp_text(F.regexp_replace(F.when(sentence == "", "Imported AI usage policy").otherwise(sentence), r"(?i)^(employees|users|staff)\s+", ""), 84)
     around = F.element_at(F.create_map(*[x for k, pair in TITLES.items() for x in (F.lit(k), F.array(*map(F.lit, pair)))]), F.col("action"))
     name = F.coalesce(F.concat(F.get(around, F.lit(0)), first, F.get(around, F.lit(1))), plain)
