@@ -49,3 +49,20 @@ def test_names_of_workspaces(spark):
     got = [r[0] for r in df.select(membership.workspace_name(F.col("email"), F.col("name"))).collect()]
     assert got == ["Big Firm Workspace", "Ann's Workspace", "bo's Workspace", "Workspace", "x's Workspace"]
     assert [r[0] for r in df.select(membership.company_name(F.lit("  A \t B  "))).limit(1).collect()] == ["A B"]
+
+
+def test_prompts_are_decided_with_their_names(spark, monkeypatch):
+    from wardspark import catalog
+    from wardspark.functions import scan as S
+
+    monkeypatch.setattr(catalog, "table", lambda s, d, n: s.createDataFrame([(7, "x", "call Maria Lopez at maria@x.org", 1)], "doc_id long, source string, text string, n_chars long"))
+    got = {r.doc_id: r for r in catalog.prompt_scan(spark, "").collect()}
+    texts = spark.createDataFrame([(-i - 1, t) for i, t in enumerate((*catalog.PLANTED, *catalog.NAMED))], "doc_id long, text string")
+    for r in S.scan(texts).collect():
+        assert got[r.doc_id].flags == ",".join(r.flags) and (got[r.doc_id].action, got[r.doc_id].risk_score) == (r.action, r.risk_score)
+    held = {f for r in got.values() for f in r.flags.split(",")}
+    assert held >= {"email", "phone", "secret", "address", "account", "possible_name", "regulated_financial", "regulated_legal", "regulated_medical", "regulated_hr", "prompt_injection"}
+    assert all("secret" in got[-i - 1].flags for i in range(1, 10))
+    decided = {r.doc_id: r for r in catalog.prompt_decisions(spark, "").collect()}
+    assert {r.rule_key for r in decided.values()} >= {rule[0] for rule in catalog._RULES}
+    assert decided[-24].categories == "client_identifying_info,personal_data" and got[-24].flags == "possible_name"
