@@ -22,12 +22,12 @@ def line_table(docs: DataFrame) -> DataFrame:
     blank = F.trim(F.regexp_replace(F.lower(F.col("line")), r"\s+", " "))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", blank.alias("line"))
     return lines.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select(
-        "doc_id", "pos", F.substring(F.md5("line"), 1, 16).alias("h"), F.size(F.split("line", " ")).alias("words")
+        "doc_id", "pos", F.unhex(F.md5("line")).alias("h"), F.size(F.split("line", " ")).alias("words")
     )
 
 
 def _windows(lines: Column, window_lines: int, window_words: int) -> Column:
-    """Different shortest windows of an array of (pos, h, words) as (at, h, positions); h is a hash of the line hashes."""
+    """Different shortest windows of an array of (pos, h, words) as (at, h, positions); h is a 128-bit hash of the line hashes."""
 
     def size(i: Column, step: int) -> Column:
         # Lines from i on, or back from i, until they are enough; null if the document has too few.
@@ -44,9 +44,12 @@ def _windows(lines: Column, window_lines: int, window_words: int) -> Column:
     every = F.sequence(F.lit(0), F.size(lines) - 1)
     ahead = F.transform(every, lambda i: F.struct(i.alias("at"), size(i, 1).alias("n")))
     behind = F.transform(F.transform(every, lambda i: F.struct(i.alias("i"), size(i, -1).alias("n"))), lambda x: F.struct((x["i"] - x["n"] + 1).alias("at"), x["n"].alias("n")))
-    whole = F.filter(F.array_distinct(F.concat(ahead, behind)), lambda x: x["n"].isNotNull())
+    # Windows that end at different lines differ, so one that ends here repeats at most the one that starts where it does.
+    behind = F.filter(behind, lambda x: x["n"] != F.coalesce(size(x["at"], 1), F.lit(0)))
+    whole = F.filter(F.concat(ahead, behind), lambda x: x["n"].isNotNull())
     cut = F.transform(whole, lambda x: F.struct(x["at"].alias("at"), F.slice(lines, x["at"] + 1, x["n"]).alias("run")))
-    return F.transform(cut, lambda x: F.struct(x["at"].alias("at"), F.unhex(F.md5(F.array_join(x["run"]["h"], ""))).alias("h"), x["run"]["pos"].alias("positions")))
+    joined = lambda run: F.concat(*[F.coalesce(F.get(run, F.lit(k))["h"], F.lit(b"")) for k in range(window_lines)])
+    return F.transform(cut, lambda x: F.struct(x["at"].alias("at"), F.unhex(F.md5(joined(x["run"]))).alias("h"), x["run"]["pos"].alias("positions")))
 
 
 def repeated_lines(
@@ -89,10 +92,10 @@ def drop_repeated_lines(
     gone = stored(gone.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list("pos")).alias("deleted")), "deleted-lines")
     joined = rows.join(sized(gone, 512), ["doc_id", "copy"], "left")
     lines = F.split("text", "\n")
-    left = F.filter(lines, lambda x, i: ~F.array_contains(F.col("deleted"), i))
-    text = F.when(F.col("deleted").isNull(), F.col("text")).otherwise(
-        F.when(F.exists(left, lambda x: x.rlike(r"[\p{L}\p{N}]")), F.array_join(left, "\n")).otherwise("")
-    )
+    # Both arrays are fields of one value, so the lambda over places neither cuts the text again nor searches the deleted ones.
+    both = F.struct(lines.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "deleted").alias("places"))
+    left = F.get(F.transform(F.array(both), lambda x: F.array_join(F.transform(x["places"], lambda i: F.get(x["lines"], i)), "\n")), F.lit(0))
+    text = F.when(F.col("deleted").isNull(), F.col("text")).otherwise(F.when(left.rlike(r"[\p{L}\p{N}]"), left).otherwise(""))
     n_in = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     return joined.select(
         "doc_id",
