@@ -19,16 +19,26 @@ from pyspark.sql import functions as F
 from .common import clean_words, sized, stored
 
 
+#: No 64-bit hash is larger.
+TOP = (1 << 63) - 1
+
+
 def runs(w: Column, size: int, hashed) -> Column:
     """Hashes of the runs of ``size`` elements of an array with at least as many."""
     return F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[hashed(F.get(w, i + k)) for k in range(size)]))
 
 
-def document_shingles(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, h) rows of docs (doc_id, text), repeats included."""
+def document_shingles(docs: DataFrame, ceilings: dict[int, int]) -> DataFrame:
+    """(doc_id, length, h) rows of docs (doc_id, text), repeats included: of each length in ``ceilings`` the hashes up to its ceiling."""
     # Words are hashed in a step of their own so that they are hashed once.
-    words = docs.select("doc_id", F.transform(clean_words(F.col("text")), lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") >= size)
-    return words.select("doc_id", F.explode(runs(F.col("w"), size, lambda x: x)).alias("h"))
+    words = docs.select("doc_id", F.transform(clean_words(F.col("text")), lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") >= min(ceilings))
+    none = F.array().cast("array<bigint>")
+
+    def of(length: int, top: int) -> Column:
+        all_ = F.when(F.size("w") >= length, runs(F.col("w"), length, lambda x: x)).otherwise(none)
+        return F.transform(all_ if top >= TOP else F.filter(all_, lambda h: h <= top), lambda h: F.struct(F.lit(length).alias("length"), h.alias("h")))
+
+    return words.select("doc_id", F.explode(F.concat(*[of(*x) for x in sorted(ceilings.items())])).alias("x")).select("doc_id", "x.*")
 
 
 def item_shingles(items: DataFrame, shingle: int) -> DataFrame:
@@ -39,7 +49,7 @@ def item_shingles(items: DataFrame, shingle: int) -> DataFrame:
         here = words.where(F.size("w") >= size if size == shingle else F.size("w") == size)
         rows.append(here.select("item_id", F.lit(size).alias("length"), F.explode(runs(F.col("w"), size, F.xxhash64)).alias("h")))
     rows = reduce(DataFrame.unionByName, rows).distinct()
-    return rows.withColumn("q", F.count(F.lit(1)).over(Window.partitionBy("item_id", "length")))
+    return rows.withColumn("q", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
 
 
 def contaminated(
@@ -68,29 +78,26 @@ def contaminated(
     shingles = stored(item_shingles(wanted, shingle), "item-shingles")
     # Size partitions are powers of two; the largest item of a partition sets its sketch size.
     part = F.floor(F.log2("q")).cast("int")
-    ranked = shingles.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "length").orderBy("h")))
+    ranked = shingles.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("h", "length")))
     tops = shingles.groupBy(part.alias("part")).agg(F.max("q").alias("most"))
     need = F.floor(F.lit(1 - threshold) * F.col("most") + 1e-9) + 1
     sketches = ranked.join(tops, "part").where(F.col("rank") <= need).select("item_id", "length", "part", "h")
     sketches = stored(sketches, "item-sketches")
-    found = []
-    for length in [r.length for r in sketches.select("length").distinct().collect()]:  # at most ``shingle`` values
-        mine = sketches.where(F.col("length") == length)
-        ceiling = mine.agg(F.max("h").alias("h")).first()["h"]
-        grams = document_shingles(rows, length).where(F.col("h") <= ceiling)
-        keys = sized(mine.select("h").distinct(), 16)
-        candidates = stored(grams.join(keys, "h", "left_semi").select("doc_id").distinct(), "candidate-docs")
-        texts = rows.join(sized(candidates, 16), "doc_id", "left_semi")
-        pairs = document_shingles(texts, length).join(sized(mine.select("h", "item_id"), 24), "h").select("doc_id", "item_id").distinct()
-        whole = sized(shingles.where(F.col("length") == length).select("h", "item_id", "q"), 32)
-        shared = document_shingles(texts, length).join(whole, "h").groupBy("doc_id", "item_id", "q", "h").agg(F.lit(1).alias("one"))
-        shared = shared.groupBy("doc_id", "item_id", "q").agg(F.count(F.lit(1)).alias("shared"))
-        found.append(shared.join(pairs, ["doc_id", "item_id"], "left_semi"))
-    if not found:
+    ceilings = {r["length"]: r["h"] for r in sketches.groupBy("length").agg(F.max("h").alias("h")).collect()}  # at most ``shingle`` rows
+    if not ceilings:
         return rows.sparkSession.createDataFrame(
             [], f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {wanted.schema['item_id'].dataType.simpleString()}, shared long, item_shingles long, containment double"
         )
-    out = reduce(DataFrame.unionByName, found)
+    gram = ["length", "h"]
+    keys = sized(stored(sketches.select(*gram).distinct(), "sketch-keys"), 24)
+    candidates = stored(document_shingles(rows, ceilings).join(keys, gram, "left_semi").select("doc_id").distinct(), "candidate-docs")
+    texts = rows.join(sized(candidates, 16), "doc_id", "left_semi")
+    grams = document_shingles(texts, dict.fromkeys(ceilings, TOP))
+    # An item's sketch tells its candidates and all its shingles are counted: both from one pass over the texts that are left.
+    whole = shingles.join(sketches.select("item_id", *gram, F.lit(1).alias("sketched")), ["item_id", *gram], "left")
+    whole = sized(stored(whole.select("item_id", *gram, "q", "sketched"), "item-grams"), 48)
+    shared = grams.join(whole, gram).groupBy("doc_id", "item_id", "q", *gram).agg(F.max("sketched").alias("sketched"))
+    out = shared.groupBy("doc_id", "item_id", "q").agg(F.count(F.lit(1)).alias("shared"), F.max("sketched").alias("sketched")).where("sketched is not null")
     return out.select(
         "doc_id", "item_id", "shared", F.col("q").alias("item_shingles"), (F.col("shared") / F.col("q")).alias("containment")
     ).where(F.col("containment") >= threshold)
