@@ -535,3 +535,27 @@ def test_sha_of_turns_is_that_of_the_contract(spark):
     df = spark.createDataFrame([(1, 0, "user", "é")], "conv_id long, turn int, role string, text string")
     r = chat.parse_chats(chat.format_chats(df)).first()
     assert hashlib.sha256("".join(f"{t.role}\n{t.text}\n" for t in r.turns).encode()).hexdigest() == hashlib.sha256("user\né\n".encode()).hexdigest()
+
+
+def test_texts_of_very_many_lines_take_seconds(spark):
+    """100,000 lines, all repeated, and a notice among lines that share bigrams with its template; limits leave room for a slow machine."""
+    import time
+
+    text = "\n".join(f"line {i} of a long text" for i in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, text + "\nnew end of it")], "doc_id long, text string").repartition(2)
+    line_dedup.drop_repeated_lines(df.limit(0)).count()
+    began = time.time()
+    got = {r.doc_id: (r.lines_out, r.text) for r in line_dedup.drop_repeated_lines(df).select("doc_id", "lines_out", "text").collect()}
+    assert got == {1: (100_000, text), 2: (1, "new end of it")} and time.time() - began < 90
+    lines = [f"subject to the following w{i} conditions w{i + 1} of the work" for i in range(30_000)]
+    lines[777:777] = licenses.WHOLE_TEMPLATES[0][1].replace(". ", ".\n").split("\n")
+    began = time.time()
+    found = licenses.license_matches(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).where("unit = 'run'").collect()
+    assert [(r.license, r.place) for r in found] == [("MIT", 777)] and time.time() - began < 120
+
+
+def test_an_item_of_two_lengths_is_one_item(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (1, "one two three four five six seven"), (2, "alpha beta gamma")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x alpha beta gamma one two three four five six seven y"), (2, "alpha beta gamma"), (3, "one two three four five six")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.shared, r.item_shingles) for r in decontaminate.contaminated(docs, items, threshold=0.7).collect()}
+    assert got == {(1, 1): (4, 4), (1, 2): (1, 1), (2, 2): (1, 1)}

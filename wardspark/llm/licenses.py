@@ -166,17 +166,27 @@ def _runs(rows: DataFrame, t: DataFrame, threshold: float) -> DataFrame:
     # A bigram is new to a run from line a if it occurred last before a.
     again = Window.partitionBy("doc_id", "copy", "gram").orderBy("j")
     place = place.where("stop is not null").withColumn("last", F.coalesce(F.lag("line").over(again), F.lit(-1)))
-    texts = stored(place.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(F.struct("j", "line", "stop", "last", "gram"))).alias("g")), "license-texts")
+    # Places count from 1 without gaps, so j is the place in the array, and j0 that of the first bigram of the line.
+    place = place.withColumn("j0", F.min("j").over(Window.partitionBy("doc_id", "copy", "line")))
+    texts = stored(place.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(F.struct("j", "line", "stop", "last", "j0", "gram"))).alias("g")), "license-texts")
 
     tried = near.join(texts, ["doc_id", "copy"]).join(F.broadcast(t), "tid")
-    marked = tried.select(
-        "doc_id", "copy", "license", "tn",
-        F.transform("g", lambda x: F.struct(x["line"].alias("line"), x["stop"].alias("stop"), x["last"].alias("last"), F.array_contains("grams", x["gram"]).alias("hit"))).alias("g"),
-    )
-    starts = marked.select("*", F.explode(F.array_distinct(F.filter("g", lambda x: x["hit"])["line"])).alias("a"))
-    # Of the distinct bigrams from line a on, in order, no more can lie in a run that matches.
+    hits = F.transform("g", lambda x: F.struct(x["line"].alias("line"), x["stop"].alias("stop"), x["last"].alias("last"), x["j0"].alias("j0"), F.array_contains("grams", x["gram"]).alias("hit")))
+    marked = stored(tried.select("doc_id", "copy", "license", "tn", hits.alias("g")), "license-hits")
+    # Of the distinct bigrams from line a on, in order, no more than ``most`` can lie in a run that matches; they stand in a stretch of some times
+    # that, or else in the rest of the text. A start that can't reach the hits that the threshold needs goes at once.
     most = F.floor(F.col("tn") * ratio + 1e-9).cast("int") + 1
-    fresh = starts.select("doc_id", "copy", "license", "tn", "a", F.slice(F.filter("g", lambda x: (x["line"] >= F.col("a")) & (x["last"] < F.col("a"))), F.lit(1), most).alias("g"))
+
+    def fresh_from(j0):
+        first = F.get("g", j0 - 1)["line"]
+        new = lambda part: F.slice(F.filter(part, lambda x: x["last"] < first), F.lit(1), most)
+        near_by = new(F.slice("g", j0, most * 4))
+        enough = (F.size(near_by) >= most) | (j0 + most * 4 > F.size("g"))
+        return F.struct(first.alias("a"), F.when(enough, near_by).otherwise(new(F.slice("g", j0, F.size("g")))).alias("g"))
+
+    starts = F.transform(F.array_distinct(F.filter("g", lambda x: x["hit"])["j0"]), fresh_from)
+    fresh = marked.select("doc_id", "copy", "license", "tn", F.explode_outer(starts).alias("x")).select("doc_id", "copy", "license", "tn", "x.*")
+    fresh = fresh.where(F.size(F.filter("g", lambda x: x["hit"])) >= F.col("tn") / ratio - 1e-9)
     # A run ends best where it shares one bigram more.
     ends = fresh.select("*", F.explode(F.array_distinct(F.filter("g", lambda x: x["hit"])["stop"])).alias("b"))
     ends = ends.select("doc_id", "copy", "license", "tn", "a", "b", F.filter("g", lambda x: x["stop"] <= F.col("b")).alias("g"))

@@ -168,7 +168,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op8_sql() -> str:
-    templates = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES)
+    named = [("BSD-2-Clause OR BSD-3-Clause" if text == licenses.BSD_HEADING else name, text) for name, text in licenses.TEMPLATES]
+    templates = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in [*named, *licenses.WHOLE_TEMPLATES])
     grams = (
         "list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)"
     )
