@@ -559,3 +559,15 @@ def test_an_item_of_two_lengths_is_one_item(spark):
     docs = spark.createDataFrame([(1, "x alpha beta gamma one two three four five six seven y"), (2, "alpha beta gamma"), (3, "one two three four five six")], "doc_id long, text string")
     got = {(r.doc_id, r.item_id): (r.shared, r.item_shingles) for r in decontaminate.contaminated(docs, items, threshold=0.7).collect()}
     assert got == {(1, 1): (4, 4), (1, 2): (1, 1), (2, 2): (1, 1)}
+
+
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    from wardspark.llm import common
+
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    before = common.stored(spark.range(3), "stays")
+    with common.scratch(spark):
+        assert common.stored(spark.range(3), "goes").count() == 3 and list(folder.glob("goes-*"))
+    assert not list(folder.glob("goes-*")) and before.count() == 3

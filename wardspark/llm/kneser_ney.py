@@ -211,13 +211,13 @@ def _shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
     return (gram_hashes(codes, 2) % np.uint64(shards)).astype(np.int64)
 
 
-def log_probabilities(codes: np.ndarray, table: "_Table", order: int, unseen: float) -> np.ndarray:
-    """Of each character from order - 1 on, backing off to shorter contexts where a gram is unknown."""
+def log_probabilities(codes: np.ndarray, table: "_Table", order: int, unseen: float, only: np.ndarray | None = None) -> np.ndarray:
+    """Of each character from order - 1 on, backing off to shorter contexts where a gram is unknown; of those outside ``only`` 0."""
     n = len(codes) - order + 1
     out = np.zeros(n)
-    left = np.arange(n)
+    left = np.arange(n) if only is None else only
     for k in range(order, 0, -1):
-        full = gram_hashes(codes, k)[order - k :] if k == order else _some(codes, left + order - k, k)
+        full = gram_hashes(codes, k)[order - k :] if k == order and only is None else _some(codes, left + order - k, k)
         row = table.find(full)
         known = (row >= 0) & (table.logp[row] > CONTEXT_ONLY)
         out[left[known]] += table.logp[row[known]]
@@ -256,9 +256,9 @@ def _score(model, tag: str, order: int, shard: int, shards: int):
             def settle():
                 # Several texts at once; predictions that would reach over a border are left out.
                 codes = np.concatenate([c for _, c in held])
-                logp = log_probabilities(codes, table, order, unseen)
-                if shards > 1:
-                    logp = np.where(_shard_of(codes, shards)[order - 3 : len(codes) - 2] == shard, logp, 0.0)
+                # Each character is looked up in its own shard alone; in the others it costs one hash.
+                only = np.flatnonzero(_shard_of(codes, shards)[order - 3 : len(codes) - 2] == shard) if shards > 1 else None
+                logp = log_probabilities(codes, table, order, unseen, only)
                 at = 0
                 for row, c in held:
                     counts[row] += len(c) - order + 1
