@@ -75,6 +75,21 @@ SEVERITY_WEIGHTS = {"low": 8, "medium": 18, "high": 28, "critical": 48}
 BASE_RISK, SENSITIVITY_BOOST, TOP_RISK = 10, 12, 100
 SENSITIVE = ("Regulated", "Confidential")
 
+# What a flag is called and what it stands on.
+FLAG_TEXTS = {
+    "possible_name": ("Possible personal name", "Validated name-like entity detected."),
+    "email": ("Email address", "Email-like pattern detected."),
+    "phone": ("Phone number", "Phone-like pattern detected."),
+    "address": ("Address", "Address-like pattern detected."),
+    "account": ("Account identifier", "Account-like identifier detected."),
+    "secret": ("API key or secret", "Credential-like pattern detected."),
+    "regulated_financial": ("Regulated financial context", "Financial-services policy term detected."),
+    "regulated_legal": ("Regulated legal context", "Legal or compliance term detected."),
+    "regulated_medical": ("Regulated medical context", "Medical or health term detected."),
+    "regulated_hr": ("Regulated HR context", "HR or employment term detected."),
+    "prompt_injection": ("Prompt injection attempt", "Instruction-bypass language detected."),
+}
+
 PLACEHOLDER = r"\[(PERSON|EMAIL|PHONE|ADDRESS|ACCOUNT|SECRET|OTHER)_(\d+)\]"
 
 _WORD = "[A-Za-z0-9_]"

@@ -20,6 +20,7 @@ from .patterns import (
     CONTEXTS,
     DETECTORS,
     ENTITY_TYPES,
+    FLAG_TEXTS,
     PLACEHOLDER,
     SENSITIVE,
     SENSITIVITY_BOOST,
@@ -236,6 +237,13 @@ def severity(flag: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in named.items() for x in pair]), flag)
 
 
+def flag_details(flags: Column, stage: Column | str = "preflight") -> Column:
+    """array<struct<type, label, severity, stage, evidence>> of flag names, in their order."""
+    say = lambda i: F.create_map(*[F.lit(x) for n, t in FLAG_TEXTS.items() for x in (n, t[i])])
+    at = F.lit(stage) if isinstance(stage, str) else stage
+    return F.transform(flags, lambda f: F.struct(f.alias("type"), F.try_element_at(say(0), f).alias("label"), severity(f).alias("severity"), at.alias("stage"), F.try_element_at(say(1), f).alias("evidence")))
+
+
 def risk_score(flags: Column, sensitivity: Column | None = None) -> Column:
     """Base plus the weight of each flag's severity, plus a boost for sensitive workspaces, at most 100."""
     weights = F.create_map(*[F.lit(x) for pair in SEVERITY_WEIGHTS.items() for x in pair])
@@ -316,9 +324,9 @@ def entity_rows(scanned: DataFrame, *keep: str) -> DataFrame:
 
 
 def rehydrated(text: Column, redaction_map: Column) -> Column:
-    """struct<text, replaced, unresolved>: known placeholders put back, secrets and unknown ones left.
+    """struct<text, replaced, unresolved, spans>: known placeholders put back, secrets and unknown ones left.
 
-    redaction_map: array of (id, original).
+    redaction_map: array of (id, original). spans are the places of what was put back in the new text, in code points.
     """
     marks = F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0))
     between = F.split(text, PLACEHOLDER, -1)
@@ -328,8 +336,20 @@ def rehydrated(text: Column, redaction_map: Column) -> Column:
 
     pieces = F.transform(between, lambda b, i: F.concat(b, F.coalesce(original(F.get(marks, i)), F.get(marks, i), F.lit(""))))
     missing = F.filter(marks, lambda p: original(p).isNull())
+    # What stands before each mark and what takes its place, walked once for the places in the new text.
+    steps = F.transform(marks, lambda p, i: F.struct(F.length(F.get(between, i)).alias("gap"), p.alias("id"), original(p).alias("value")))
+    kind = "array<struct<id:string,start:int,stop:int>>"
+
+    def walk(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        stop = start + F.length(F.coalesce(x["value"], x["id"]))
+        new = F.struct(x["id"].alias("id"), start.alias("start"), stop.alias("stop"))
+        return F.struct(stop.alias("at"), F.when(x["value"].isNotNull(), F.array_append(acc["out"], new)).otherwise(acc["out"]).cast(kind).alias("out"))
+
+    spans_ = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), walk, lambda acc: acc["out"])
     return F.struct(
         F.array_join(pieces, "").alias("text"),
         (F.size(marks) - F.size(missing)).alias("replaced"),
         F.array_distinct(missing).alias("unresolved"),
+        spans_.alias("spans"),
     )

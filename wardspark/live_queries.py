@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _EVENTS_SQL, events, spread, table
 from .functions import canonical, names
-from .operators import folds, gates, pages
+from .operators import conversations, folds, gates, pages
 from .shared import fresh, kept
 from .sources import drafts
 from .streaming import bundles, runs, sessions
@@ -70,6 +70,12 @@ def conversation_redacted(spark, sf_dir):
     return m.select("conv_id", "turn", F.size("entities").alias("entities"), F.sha2("redacted", 256).alias("redacted_sha256"), "risk_score", "action")
 
 
+def redacted_history(spark, sf_dir):
+    """The last messages of each conversation as a provider sees them: redacted, blank ones left out."""
+    m = folds.fold(told(spark, sf_dir)).messages.select("conv_id", "turn", "role", F.col("redacted").alias("text"))
+    return conversations.recent_history(m).select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_sha256"))
+
+
 # A walk from turn to turn: known phones, their numbers and the highest so far are carried along.
 _TOLD_SQL = r"""
 msg AS (SELECT conv_id AS c, turn AS t, coalesce(text, '') AS text, CASE WHEN turn % 3 <> 2 THEN '415-555-010' || ((conv_id * 7 + turn * turn) % 4) END AS phone,
@@ -303,11 +309,13 @@ def stored_runs(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    conversation_vault, conversation_redacted, session_vaults, edit_pauses, live_pauses, send_gates, live_send_gates, page_text, event_checksums, name_provenance, surface_drafts, bundle_refresh, stored_runs,
+    conversation_vault, conversation_redacted, redacted_history, session_vaults, edit_pauses, live_pauses, send_gates, live_send_gates, page_text, event_checksums, name_provenance, surface_drafts, bundle_refresh, stored_runs,
 )}
 ORACLES = {
     "conversation_vault": VAULT_SQL,
     "conversation_redacted": REDACTED_SQL,
+    "redacted_history": f"""WITH r AS ({REDACTED_SQL.replace("WITH RECURSIVE", "WITH RECURSIVE", 1)})
+SELECT r.conv_id, r.turn, c.role, r.redacted_sha256 AS text_sha256 FROM r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn WHERE c.role IN ('user', 'assistant') QUALIFY row_number() OVER (PARTITION BY r.conv_id ORDER BY r.turn DESC) <= 8""",
     "session_vaults": SESSIONS_SQL,
     "edit_pauses": _PAUSES_SQL,
     "live_pauses": _PAUSES_SQL,

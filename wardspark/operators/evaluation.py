@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import java, js_trim
+
+
+def entity_key(kind: Column, text: Column) -> Column:
+    """By what entities are the same: type, and text in lower case with single spaces."""
+    return F.concat(kind, F.lit("::"), F.lower(js_trim(F.regexp_replace(text, java(r"\s+"), " "))))
+
 
 def matched(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer match of distinct keys with the flags tp, fp and fn (0 or 1)."""

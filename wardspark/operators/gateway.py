@@ -84,6 +84,34 @@ def instruction(prompt: Column, flags: Column, action: Column) -> Column:
     return F.when(writes & regulated, say["regulated_writing"]).when(writes, say["writing"]).when(action == "redact", say["redact"]).when(action == "warn", say["warn"]).otherwise(say["other"])
 
 
+# The lines of the context that goes to a provider with a prompt, and how they name what is missing.
+CONTEXT_LINES = (
+    ("Use case: ", "use_case"), ("Sensitivity: ", "sensitivity"), ("Thinking mode: ", "thinking"), ("Policy decision: ", "action"), ("Risk score: ", "risk_score"), ("Risk level: ", "risk_level"),
+    ("Detected flags: ", "flags"), ("Redacted entities: ", "entities"), ("Placeholder IDs: ", "placeholders"),
+    ("Placeholder rule: Private entities are represented by stable numbered placeholders. Preserve existing placeholders exactly; do not rename, merge, or invent them.", None),
+    ("Selected tools: ", "tools"), ("Attachments metadata: ", "files"), ("Attachment scan results: ", "scans"), ("Redacted prompt preview: ", "preview"),
+    ("Logging behavior: rawContentStored=false, redactedPreviewStored=true, metadataStored=true", None), ("Instruction: ", "instruction"),
+)
+
+
+def prompt_context(fields: dict[str, Column]) -> Column:
+    """The governance context that stands before a prompt. fields: use_case, sensitivity, thinking (boolean), action, risk_score, flags (array),
+    entity_counts (map), placeholders (array), tools (array), attachments (array of name, type, status, flags, visual_scan_limited), preview, instruction."""
+    listed = lambda a: F.when(F.size(a) > 0, F.array_join(a, ", ")).otherwise("none")
+    files, counts = fields["attachments"], count_text(fields["entity_counts"])
+    scans = F.transform(files, lambda a: F.concat(
+        a["name"], F.lit(": status="), F.coalesce(a["status"], F.lit("metadata")), F.lit(", flags="), listed(F.coalesce(a["flags"], F.array().cast("array<string>"))),
+        F.when(a["visual_scan_limited"], ", visual_scan_limited=true").otherwise("")))
+    shown = fields | {
+        "thinking": F.when(fields["thinking"], "enabled").otherwise("disabled"), "risk_level": risk_level(fields["risk_score"]), "risk_score": fields["risk_score"].cast("string"), "flags": listed(fields["flags"]),
+        "entities": F.when(counts == "none", "None").otherwise(counts), "placeholders": listed(fields["placeholders"]), "tools": listed(fields["tools"]),
+        "files": F.when(F.size(files) > 0, F.array_join(F.transform(files, lambda a: F.concat(a["name"], F.lit(" ("), a["type"], F.lit(")"))), ", ")).otherwise("No file content attached."),
+        "scans": F.when(F.size(files) > 0, F.array_join(scans, "; ")).otherwise("none"),
+    }
+    lines = [F.lit(head) if name is None else F.concat(F.lit(head), F.coalesce(shown[name], F.lit(""))) for head, name in CONTEXT_LINES]
+    return F.concat_ws("\n", F.lit("Governance context:"), *lines)
+
+
 def plain_answer(preview: Column, use_case: Column, entities: Column) -> Column:
     """A provider without a model, for tests: greets the first person by placeholder and repeats what was sent."""
     person = F.get(F.filter(entities, lambda e: e["type"] == "PERSON"), F.lit(0))["id"]

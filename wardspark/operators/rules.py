@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import checksum
 from ..functions.patterns import js_trim
 
 from .telemetry import slug
@@ -105,6 +106,42 @@ def rule_slug(value: Column) -> Column:
     return F.replace(slug(value), F.lit("-"), F.lit("_"))
 
 
+#: Names that imported rules have in JSON, for the columns of draft_fields.
+IMPORTED = {
+    "rule_key": "ruleKey", "name": "name", "source_policy": "sourcePolicyName", "source_section": "sourceSection", "excerpt": "supportingExcerpt", "user_scope": "userScope", "department_scope": "departmentScope",
+    "ai_provider": "aiProvider", "destination_type": "destinationType", "action": "action", "fallback_action": "fallbackAction", "severity": "severity",
+}
+
+
+def imported_drafts(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Rules in JSON as inputs of draft_fields, with the other columns of ``lines``. Fields that are no strings are blank; categories may be a list, of
+    which strings count, or a text. What is no JSON object is no row."""
+    v = F.try_parse_json(F.col(value))
+    said = lambda path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string")).otherwise("")
+    listed = F.try_variant_get(v, "$.dataCategories", "array<variant>")
+    strings = F.filter(listed, lambda x: F.schema_of_variant(x) == "STRING")
+    categories = F.when(listed.isNotNull(), F.array_join(F.transform(strings, lambda x: F.try_variant_get(x, "$", "string")), "\n")).otherwise(said("$.dataCategories"))
+    good = lines.where(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)))
+    return good.select(*[c for c in lines.columns if c != value], *[said(f"$.{j}").alias(c) for c, j in IMPORTED.items()], categories.alias("data_categories"))
+
+
+# The rule that serves a company until it has published its own.
+FALLBACK_RULE = {
+    "id": "rule_external_ai_client_info_v1", "ruleKey": "external_ai_client_info", "version": 1, "name": "Do not submit client identifiers to personal AI", "sourcePolicyName": "External AI Usage Policy",
+    "sourceSection": "4.2 - Client Information", "dataCategories": ["client_identifying_info", "personal_data", "address", "account", "veterinary_medical_record", "payment_information"],
+    "userScope": "all", "departmentScope": "all", "aiProvider": "chatgpt", "destinationType": "personal", "action": "transform", "fallbackAction": "block", "severity": "high",
+}
+
+
+def fallback_bundles(companies: DataFrame, scope: str = "company_slug") -> DataFrame:
+    """(scope, id, version, status, checksum, rule_count): the bundle that each company has without a store, with its canonical checksum."""
+    rule = F.struct(*[(F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).alias(k) for k, v in FALLBACK_RULE.items()])
+    body = F.struct(F.lit(1).alias("schemaVersion"), F.col(scope).alias("companySlug"), F.lit(1).alias("version"), F.array(rule).alias("rules"))
+    made = companies.select(scope, body.alias("body"))
+    sums = made.select(scope, checksum(F.col("body"), made.schema["body"].dataType).alias("checksum"))
+    return sums.select(scope, F.concat(F.lit("bundle_"), scope, F.lit("_1_"), F.substring("checksum", 1, 12)).alias("id"), F.lit(1).alias("version"), F.lit("published").alias("status"), "checksum", F.lit(1).alias("rule_count"))
+
+
 def draft_fields(inputs: DataFrame, scope: str = "company_slug") -> DataFrame:
     """Drafts as they are stored: scope, rule_key and the limited, defaulted fields.
 

@@ -118,9 +118,23 @@ def metrics(events: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def daily_usage(events: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by..., day, requests, flagged) for every day of each group from its first to its last, zeros included."""
+def chart_rows(events: DataFrame, limit: int | None = 5000, order: str = "event_id") -> DataFrame:
+    """The events that a chart is made of. With the limit, which is parity with a store that gives no more, the oldest of each company survive; None takes all."""
+    if limit is None:
+        return events
+    oldest = F.row_number().over(Window.partitionBy("company_slug").orderBy("created_at", order))
+    return events.withColumn("_k", oldest).where(F.col("_k") <= limit).drop("_k")
+
+
+def daily_usage(events: DataFrame, by: list[str] | None = None, others: DataFrame | None = None) -> DataFrame:
+    """(by..., day, requests, flagged) for every day of each group from its first to its last, zeros included.
+
+    ``others`` are rows of a second source with the same fields (created_at, event_type, action, risk_score), counted with the events.
+    """
     by = by or []
+    if others is not None:
+        fields = [*by, "created_at", "event_type", "action", "risk_score"]
+        events = events.select(*fields).unionByName(others.select(*fields))
     daily = events.groupBy(*by, F.to_date("created_at").alias("day")).agg(
         _count(F.col("event_type").isin("message_sent_to_ai", "message_blocked")).alias("requests"), _count(is_flagged()).alias("flagged")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from . import catalog
 from .catalog import _EVENTS_SQL, _SCAN_SQL, _TYPES, _VERSIONS_SQL, events, payloads, rule_versions, table
 from .functions import scan as text_scan
-from .operators import attachments, evaluation, gateway, membership, rules, telemetry
+from .functions.patterns import FLAG_TEXTS
+from .operators import attachments, evaluation, gateway, membership, rules, telemetry, uploads
+from .shared import kept
 from .sources import dml
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -344,19 +347,86 @@ def detection_cases(spark) -> DataFrame:
 
 
 def detection_scores(spark, sf_dir):
-    """Precision and recall of the scan on the written cases, by type, and its false alerts on normal sentences."""
-    cases = detection_cases(spark)
-    found = text_scan.entity_rows(text_scan.scan(cases, "case_id", persons="core"), "case_id").select("case_id", "e.type", F.col("e.original").alias("value"))
-    keys = ["case_id", "type", "value"]
-    scored = evaluation.scores(evaluation.matched(cases.where("type is not null").select(*keys), found, keys), ["type"])
-    alerts = evaluation.false_alert_rate(cases.where("type is null").select("case_id"), found.join(cases.where("type is null").select("case_id"), "case_id", "left_semi"), "case_id")
+    """Precision and recall of the scan by type, and its false alerts: each document begins with one of the written cases, and
+    what is found in those lines is held against them."""
+    cases = F.broadcast(detection_cases(spark).withColumnRenamed("text", "case_text"))
+    n = len(_CASE_VALUES) * len(_CASE_FRAMES) + len(_NORMAL)
+    docs = catalog.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).join(cases, F.pmod("doc_id", F.lit(n)) == F.col("case_id"))
+    at = F.struct("doc_id", "type", "value", F.length("case_text").alias("ends"))
+    scanned = text_scan.scan(docs.select(at.alias("at"), F.concat("case_text", F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text")), "at", persons="core")
+    found = kept(text_scan.entity_rows(scanned, "at").where(F.col("e.start") < F.col("at.ends")).select("at.doc_id", "e.type", evaluation.entity_key(F.col("e.type"), F.col("e.original")).alias("key")), "found-entities")
+    keys = ["doc_id", "type", "key"]
+    expected = docs.where("type is not null").select("doc_id", "type", evaluation.entity_key(F.col("type"), F.col("value")).alias("key"))
+    normal = docs.where("type is null").select("doc_id")
+    scored = evaluation.scores(evaluation.matched(expected, found.join(normal, "doc_id", "left_anti"), keys), ["type"])
+    alerts = evaluation.false_alert_rate(normal, found.join(normal, "doc_id", "left_semi"), "doc_id")
     return scored.unionByName(alerts.select(F.lit("false alerts").alias("type"), F.col("alerts").alias("tp"), F.lit(0).alias("fp"), F.col("cases").alias("fn"), F.col("rate").alias("precision"), F.lit(0.0).alias("recall"), F.lit(0.0).alias("f1")))
 
 
+# ---- uploads, contexts, imports ---------------------------------------------------------------------
+
+
+def uploaded_files(spark, sf_dir):
+    """Documents as files sent to a chat: accepted by kind or refused, texts scanned."""
+    f = files(spark, sf_dir).select("id", "name", F.when(F.col("id") % 7 == 0, "image/png").otherwise(F.col("mime_type")).alias("mime_type"), "size", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    u = uploads.uploaded(f)
+    return u.select("id", "kind", "label", "problem", F.when(F.col("kind") != "text", F.col("action")).alias("action"), F.when(F.col("kind") != "text", F.col("risk_score")).alias("risk_score"), F.when(F.col("kind") != "text", F.col("status")).alias("status"), F.sha2("data", 256).alias("data_sha256"))
+
+
+def import_refusals(spark, sf_dir):
+    """Documents as policies to import: those with too little text, or of more bytes than are taken."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", uploads.import_problem(F.octet_length("text") * (F.col("doc_id") % 900), F.when(F.col("doc_id") % 8 == 0, F.substring("text", 1, 79)).otherwise(F.col("text"))).alias("problem"))
+
+
+def flag_texts(spark, sf_dir):
+    """The flags of the documents with their labels, severities and evidence, counted."""
+    f = catalog._flagged_docs(spark, sf_dir).select(F.explode(text_scan.flag_details(F.col("flags"), "post_response")).alias("f")).select("f.*")
+    return f.groupBy("type", "label", "severity", "stage", "evidence").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def prompt_contexts(spark, sf_dir):
+    """What a provider is told before each user message."""
+    r = requests(spark, sf_dir).select("request_id", "attachments", F.coalesce("sensitivity", F.lit("Internal")).alias("sensitivity"))
+    i = F.col("request_id")
+    files_ = F.transform(F.coalesce("attachments", F.array().cast(r.schema["attachments"].dataType)), lambda a: F.struct(
+        F.concat(F.lit("f."), a["kind"]).alias("name"), a["kind"].alias("type"), F.when(a["risk_score"] > 30, "extracted").alias("status"), a["flags"].alias("flags"), (a["kind"] == "image").alias("visual_scan_limited")))
+    empty = F.array().cast("array<string>")
+    text = gateway.prompt_context({
+        "use_case": F.lit("General"), "sensitivity": F.col("sensitivity"), "thinking": i % 2 == 0, "action": F.lit("redact"), "risk_score": (i % 100).cast("int"), "flags": F.when(i % 3 == 0, F.array(F.lit("email"), F.lit("phone"))).otherwise(empty),
+        "entity_counts": F.when(i % 3 == 0, F.create_map(F.lit("PHONE"), F.lit(1), F.lit("EMAIL"), F.lit(2))).otherwise(F.create_map().cast("map<string,int>")), "placeholders": F.when(i % 3 == 0, F.array(F.lit("[EMAIL_1]"))).otherwise(empty),
+        "tools": empty, "attachments": files_, "preview": F.lit("p"), "instruction": F.lit("do"),
+    })
+    return r.select("request_id", text.alias("context"))
+
+
+def imported_rules(spark, sf_dir):
+    """Parts as imported rules in JSON, some of it broken, normalised to drafts."""
+    p, i = table(spark, sf_dir, "part"), F.col("p_partkey")
+    body = F.concat(F.lit('{"name":'), F.when(i % 5 == 0, F.lit("7")).otherwise(F.concat(F.lit('"Part '), (i % 50).cast("string"), F.lit('"'))), F.lit(',"ruleKey":"","action":"block","severity":null,"dataCategories":'), F.when(i % 2 == 0, '["Personal Data",3,"secret"]').otherwise('"a b, c"'), F.when(i % 11 == 0, "").otherwise("}"))
+    drafts_ = rules.draft_fields(rules.imported_drafts(p.select(i.cast("string").alias("company_slug"), body.alias("value"))))
+    return drafts_.select(F.col("company_slug").alias("part"), "rule_key", "name", F.array_join("data_categories", ",").alias("data_categories"), "action", "severity")
+
+
+def fallback_bundle(spark, sf_dir):
+    """The bundle that serves each company without a store."""
+    c = table(spark, sf_dir, "nation").select(F.concat(F.lit("company-"), F.col("n_nationkey").cast("string")).alias("company_slug"))
+    return rules.fallback_bundles(c)
+
+
+def chart_usage(spark, sf_dir):
+    """Daily usage of the oldest 500 events of each company, with scanned documents as a second source."""
+    e = telemetry.chart_rows(events(spark, sf_dir), 500)
+    d = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.concat(F.lit("company-"), (F.col("doc_id") % 4).cast("string")).alias("company_slug"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.lit("message_blocked").alias("event_type"), F.lit("block").alias("action"), F.lit(10).alias("risk_score"))
+    daily = telemetry.daily_usage(e.withColumn("created_at", F.col("created_at").cast("timestamp")), ["company_slug"], d)
+    return daily.select("company_slug", F.date_format("day", "yyyy-MM-dd").alias("day"), "requests", "flagged")
+
+
 QUERIES = {f.__name__: f for f in (
     member_contexts, member_order, invitations_accepted, members_by_email, visible_rules, visible_to_one, event_users, active_user_windows, dashboard_figures, telemetry_ingested,
     event_descriptions, governance_records, day_labels, newest_scans, rule_drafts, draft_edits, bundle_history, bundle_latest, bundle_page, rule_admin, table_health, constraint_audit,
     customer_backfill, attachment_classes, attachment_batches, governed_attachments, attachment_decisions, merged_entity_counts, answered_requests, request_support, detection_scores,
+    uploaded_files, import_refusals, flag_texts, prompt_contexts, imported_rules, fallback_bundle, chart_usage,
 )}
 
 _L = catalog._list_sql
@@ -384,6 +454,8 @@ FROM files)"""
 _LENGTHS = "CASE WHEN n <= 0 THEN 'empty' WHEN n <= 250 THEN '0-250' WHEN n <= 1000 THEN '251-1000' WHEN n <= 4000 THEN '1001-4000' ELSE '4000+' END"
 _BUCKET_SQL = f"lb AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'unknown' ELSE {_LENGTHS} END AS bucket FROM (SELECT event_id, event_id % 5000 AS n FROM events))"
 _RULE_SLUG = "replace(substr(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), '-', '_')"
+_FALLBACK_JSON = json.dumps(rules.FALLBACK_RULE, sort_keys=True, separators=(",", ":"))
+text_scan_severity = lambda name: catalog._SEVERITIES[name]
 ORACLES = {
     "member_contexts": f"""WITH {_MEMBERS_SQL}, a AS (SELECT * FROM m WHERE status = 'active' AND user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated DESC, created DESC, id DESC) = 1)
 SELECT user_id, company_slug, coalesce(n_name, {_TITLE.format("company_slug")}) AS company_name, CASE WHEN role IN ('owner', 'admin', 'member', 'viewer') THEN role ELSE 'member' END AS role
@@ -460,8 +532,39 @@ k AS (SELECT *, (i // 2) % 4 AS m, CASE WHEN i % 2 = 0 THEN i % 3 END AS a FROM
 SELECT i AS request_id, CASE m WHEN 0 THEN 'gpt-4.1-mini' WHEN 1 THEN 'claude-sonnet' WHEN 2 THEN 'gpt-4.1' ELSE 'gemini-pro' END AS model, 'General' AS use_case, CASE WHEN i % 3 = 0 THEN 'Regulated' ELSE 'Internal' END AS sensitivity,
   CASE WHEN i % 2 = 1 THEN 'c1' END AS conversation_id,
   CASE WHEN i % 13 = 0 OR trim(coalesce(text, '')) = '' THEN 'Prompt is required.' WHEN m = 0 AND a = 0 THEN 'This model does not support image input. Choose a vision-capable model.' END AS problem FROM k""",
-    "detection_scores": """SELECT * FROM (VALUES ('EMAIL', CAST(10 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), ('PHONE', 10, 0, 0, 1.0, 1.0, 1.0), ('SECRET', 10, 0, 0, 1.0, 1.0, 1.0),
-  ('ADDRESS', 5, 0, 0, 1.0, 1.0, 1.0), ('ACCOUNT', 5, 0, 0, 1.0, 1.0, 1.0), ('false alerts', 0, 0, 5, 0.0, 0.0, 0.0)) AS t(type, tp, fp, fn, precision, recall, f1)""",
+    "detection_scores": f"""WITH k AS (SELECT doc_id % 45 AS i FROM documents), n AS (SELECT CASE WHEN i < 10 THEN 'EMAIL' WHEN i < 20 THEN 'PHONE' WHEN i < 30 THEN 'SECRET' WHEN i < 35 THEN 'ADDRESS' WHEN i < 40 THEN 'ACCOUNT' ELSE 'false alerts' END AS type FROM k)
+SELECT type, CASE WHEN type = 'false alerts' THEN 0 ELSE count(*) END AS tp, CAST(0 AS BIGINT) AS fp, CASE WHEN type = 'false alerts' THEN count(*) ELSE 0 END AS fn, CASE WHEN type = 'false alerts' THEN 0.0 ELSE 1.0 END::DOUBLE AS precision,
+  CASE WHEN type = 'false alerts' THEN 0.0 ELSE 1.0 END::DOUBLE AS recall, CASE WHEN type = 'false alerts' THEN 0.0 ELSE 1.0 END::DOUBLE AS f1 FROM n GROUP BY type""",
+    "uploaded_files": f"""WITH f AS (SELECT doc_id AS id, {_L(_NAMES).replace(chr(92), chr(92))}[CAST(doc_id % 10 AS INT) + 1] AS name, CASE WHEN doc_id % 7 = 0 THEN 'image/png' ELSE {_L(_KINDS)}[CAST((doc_id // 10) % 10 AS INT) + 1] END AS mt,
+    strlen(text) * (doc_id % 40) AS size, CASE WHEN doc_id % 17 <> 0 THEN text ELSE '' END AS text FROM documents),
+g AS (SELECT *, lower(regexp_extract(name, '\\.[^.]*$')) AS ext FROM f),
+h AS (SELECT *, CASE WHEN mt <> '' THEN mt ELSE CASE ext {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in uploads.TYPE_OF_EXTENSION.items())} ELSE 'application/octet-stream' END END AS kt FROM g),
+k AS (SELECT *, CASE WHEN kt IN {uploads.IMAGE_TYPES} AND ext IN {uploads.IMAGE_EXTENSIONS} THEN 'image' WHEN kt IN {uploads.TEXT_TYPES} OR ext IN {uploads.TEXT_EXTENSIONS} THEN 'text'
+    WHEN kt IN {uploads.DOCUMENT_TYPES} OR ext IN {uploads.DOCUMENT_EXTENSIONS} THEN 'metadata' ELSE 'unsupported' END AS kind FROM h),
+p AS (SELECT *, CASE WHEN coalesce(size, 0) <= 0 THEN 'empty' WHEN size > 5242880 THEN 'too_large' WHEN kind = 'unsupported' THEN 'unsupported_type' END AS problem FROM k)
+SELECT id, kind, CASE kind WHEN 'image' THEN 'Image' WHEN 'text' THEN CASE WHEN ext = '.csv' THEN 'CSV' WHEN ext = '.md' THEN 'MD' WHEN ext IN ('.json', '.ts', '.tsx', '.js', '.jsx', '.py') THEN 'Code' ELSE 'TXT' END
+    WHEN 'metadata' THEN CASE WHEN ext = '.docx' THEN 'DOCX' ELSE 'PDF' END END AS label, problem, CASE WHEN problem IS NULL THEN CASE kind WHEN 'image' THEN 'warn' WHEN 'metadata' THEN 'allow' END END AS action,
+  CAST(CASE WHEN problem IS NULL THEN CASE kind WHEN 'image' THEN 18 WHEN 'metadata' THEN 10 END END AS INT) AS risk_score, CASE WHEN problem IS NULL THEN CASE kind WHEN 'image' THEN 'extracted' WHEN 'metadata' THEN 'metadata_only' END END AS status,
+  CASE WHEN problem IS NULL AND kind = 'image' THEN sha256(base64(encode(text))) END AS data_sha256 FROM p""",
+    "import_refusals": "SELECT doc_id, CASE WHEN strlen(text) * (doc_id % 900) > 8388608 THEN 'too_large' WHEN length(CASE WHEN doc_id % 8 = 0 THEN substr(text, 1, 79) ELSE coalesce(text, '') END) < 80 THEN 'too_little_text' END AS problem FROM documents",
+    "flag_texts": f"""WITH {_SCAN_SQL}, x AS (SELECT unnest(flags) AS type FROM f), t AS (SELECT * FROM (VALUES {", ".join(f"('{n}', '{a}', '{text_scan_severity(n)}', '{b}')" for n, (a, b) in FLAG_TEXTS.items())}) AS v(type, label, severity, evidence))
+SELECT type, label, severity, 'post_response' AS stage, evidence, count(*) AS documents FROM x JOIN t USING (type) GROUP BY ALL""",
+    "prompt_contexts": """WITH r AS (SELECT conv_id * 1000 + turn AS i FROM conversations WHERE role = 'user'), a AS (SELECT *, CASE i % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'document' ELSE 'metadata' END AS kind, i % 2 = 0 AS has FROM r)
+SELECT i AS request_id, 'Governance context:' || chr(10) || 'Use case: General' || chr(10) || 'Sensitivity: ' || CASE WHEN i % 3 = 0 THEN 'Regulated' ELSE 'Internal' END || chr(10) || 'Thinking mode: ' || CASE WHEN has THEN 'enabled' ELSE 'disabled' END || chr(10)
+  || 'Policy decision: redact' || chr(10) || 'Risk score: ' || (i % 100) || chr(10) || 'Risk level: ' || CASE WHEN i % 100 >= 85 THEN 'critical' WHEN i % 100 >= 60 THEN 'high' WHEN i % 100 >= 35 THEN 'medium' ELSE 'low' END || chr(10)
+  || 'Detected flags: ' || CASE WHEN i % 3 = 0 THEN 'email, phone' ELSE 'none' END || chr(10) || 'Redacted entities: ' || CASE WHEN i % 3 = 0 THEN '2 EMAIL, 1 PHONE' ELSE 'None' END || chr(10) || 'Placeholder IDs: ' || CASE WHEN i % 3 = 0 THEN '[EMAIL_1]' ELSE 'none' END || chr(10)
+  || 'Placeholder rule: Private entities are represented by stable numbered placeholders. Preserve existing placeholders exactly; do not rename, merge, or invent them.' || chr(10) || 'Selected tools: none' || chr(10)
+  || 'Attachments metadata: ' || CASE WHEN has THEN 'f.' || kind || ' (' || kind || ')' ELSE 'No file content attached.' END || chr(10)
+  || 'Attachment scan results: ' || CASE WHEN has THEN 'f.' || kind || ': status=' || CASE WHEN i % 70 > 30 THEN 'extracted' ELSE 'metadata' END || ', flags=' || CASE WHEN i % 6 = 0 THEN 'secret' ELSE 'email' END || CASE WHEN kind = 'image' THEN ', visual_scan_limited=true' ELSE '' END ELSE 'none' END || chr(10)
+  || 'Redacted prompt preview: p' || chr(10) || 'Logging behavior: rawContentStored=false, redactedPreviewStored=true, metadataStored=true' || chr(10) || 'Instruction: do' AS context FROM a""",
+    "imported_rules": """SELECT CAST(p_partkey AS VARCHAR) AS part, CASE WHEN p_partkey % 5 = 0 THEN 'policy_rule' ELSE 'part_' || (p_partkey % 50) END AS rule_key, CASE WHEN p_partkey % 5 = 0 THEN 'Untitled policy rule' ELSE 'Part ' || (p_partkey % 50) END AS name,
+  CASE WHEN p_partkey % 2 = 0 THEN 'personal_data,secret' ELSE 'a_b,c' END AS data_categories, 'block' AS action, 'low' AS severity FROM part WHERE p_partkey % 11 <> 0""",
+    "fallback_bundle": f"""WITH c AS (SELECT 'company-' || n_nationkey AS company_slug FROM nation), s AS (SELECT company_slug, sha256('{{"companySlug":"' || company_slug || '","rules":[{_FALLBACK_JSON}],"schemaVersion":1,"version":1}}') AS checksum FROM c)
+SELECT company_slug, 'bundle_' || company_slug || '_1_' || substr(checksum, 1, 12) AS id, 1 AS version, 'published' AS status, checksum, 1 AS rule_count FROM s""",
+    "chart_usage": f"""WITH {_EVENTS_SQL}, o AS (SELECT company_slug, created_at, event_type, action, risk_score FROM ev QUALIFY row_number() OVER (PARTITION BY company_slug ORDER BY created_at, event_id) <= 500
+  UNION ALL SELECT 'company-' || (doc_id % 4), TIMESTAMP '2024-01-01 00:00:00', 'message_blocked', 'block', 10 FROM documents WHERE doc_id % 10 = 0),
+e AS (SELECT *, CAST(created_at AS DATE) AS day FROM o), days AS (SELECT company_slug, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM e GROUP BY company_slug)
+SELECT company_slug, strftime(day, '%Y-%m-%d') AS day, count(*) FILTER (WHERE event_type IN ('message_sent_to_ai', 'message_blocked')) AS requests, count(*) FILTER (WHERE {catalog._FLAGGED}) AS flagged FROM days LEFT JOIN e USING (company_slug, day) GROUP BY company_slug, day""",
 }
 _FIGURES = (("Total AI requests", "messages_sent"), ("High-risk events", "policy_violations"), ("Blocked requests", "messages_blocked"), ("Active users", "active_users"))
 ORACLES["dashboard_figures"] = (
