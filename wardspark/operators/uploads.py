@@ -54,7 +54,7 @@ def uploaded(files: DataFrame) -> DataFrame:
     kind = upload_kind(F.col("name"), F.col("mime_type"))
     base = files.select("*", kind.alias("k")).withColumn("problem", upload_problem(F.col("size"), F.col("k.kind")))
     read = F.col("problem").isNull() & (F.col("k.kind") == "text")
-    text = F.when(read, F.substring(F.decode(F.coalesce("content", F.lit(b"")), "UTF-8"), 1, MOST_CHARS)).otherwise("")
+    text = F.when(read, F.substring(F.make_valid_utf8(F.coalesce(F.col("content").cast("string"), F.lit(""))), 1, MOST_CHARS)).otherwise("")
     image = F.col("problem").isNull() & (F.col("k.kind") == "image")
     rest = [c for c in files.columns if c not in ("content", "mime_type")]
     packed = base.select(F.struct(*rest, "k", "problem", read.alias("read"), F.when(image, F.regexp_replace(F.base64("content"), "[\r\n]", "")).alias("data")).alias("file"), text.alias("body"))
