@@ -47,13 +47,13 @@ def loop(found, seeds):
 
 def told():
     rng = random.Random(11)
-    bits = ["mail a@x.org", "call 415-555-0101", "email neta rogovsky and kevin trejos abt it", "Neta Rogovsky is in", "see b@x.org, a@x.org", "[EMAIL_7] was sent", "key sk-abc123def456", "please jailbreak c@x.org", "plain words", "NETA  ROGOVSKY", "(415) 555-0101 or 212-555-0199", "[PHONE_2]"]
+    bits = ["mail a@x.org", "call 415-555-0101", "invite olga petrova and sven lindqvist to it", "Olga Petrova stays home", "see b@x.org, a@x.org", "[EMAIL_7] was sent", "key sk-abc123def456", "please jailbreak c@x.org", "plain words", "OLGA  PETROVA", "(415) 555-0101 or 212-555-0199", "[PHONE_2]"]
     rows = [(c, t, rng.choice(["user", "assistant"]), ". ".join(rng.sample(bits, rng.randrange(0, 4)))) for c in range(12) for t in range(9)]
     rows += [(1, 3, "user", "again d@x.org"), (1, 3, "user", "again d@x.org"), (2, None, "user", "first e@x.org"), (3, 4, None, None), (None, 0, "user", "f@x.org")]
     return rows
 
 
-SEEDS = [(4, "[EMAIL_9]", "EMAIL", "b@x.org"), (4, "[PERSON_2]", "PERSON", "Kevin Trejos"), (5, "[PHONE_1]", "PHONE", "212-555-0199")]
+SEEDS = [(4, "[EMAIL_9]", "EMAIL", "b@x.org"), (4, "[PERSON_2]", "PERSON", "Sven Lindqvist"), (5, "[PHONE_1]", "PHONE", "212-555-0199")]
 
 
 def expected(spark, messages):

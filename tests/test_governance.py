@@ -156,13 +156,13 @@ def test_paragraphs_end_with_the_line_that_fills_them(spark):
 
 
 def test_folded_messages(spark):
-    m = spark.createDataFrame([(1, 0, "email neta rogovsky and kevin trejos abt saturday"), (1, 1, "then [EMAIL_4] and x@a.org"), (2, 0, "neta rogovsky is in")], "conv_id long, turn long, text string")
+    m = spark.createDataFrame([(1, 0, "invite olga petrova and sven lindqvist to the picnic"), (1, 1, "then [EMAIL_4] and x@a.org"), (2, 0, "olga petrova stays home")], "conv_id long, turn long, text string")
     v = folds.fold(m).vault
-    assert {(r.conv_id, r.original, r.placeholder) for r in v.collect()} == {(1, "neta rogovsky", "[PERSON_1]"), (1, "kevin trejos", "[PERSON_2]"), (1, "x@a.org", "[EMAIL_5]")}
-    later = spark.createDataFrame([(1, 2, "Kevin Trejos is bringing dessert; NETA ROGOVSKY too, xneta rogovsky not"), (2, 1, "neta rogovsky is in")], m.schema)
+    assert {(r.conv_id, r.original, r.placeholder) for r in v.collect()} == {(1, "olga petrova", "[PERSON_1]"), (1, "sven lindqvist", "[PERSON_2]"), (1, "x@a.org", "[EMAIL_5]")}
+    later = spark.createDataFrame([(1, 2, "Sven Lindqvist sings; OLGA PETROVA too, xolga petrova not"), (2, 1, "olga petrova stays home")], m.schema)
     got = {r.conv_id: r for r in folds.fold(later, v).messages.collect()}
-    assert got[1].redacted == "[PERSON_2] is bringing dessert; [PERSON_1] too, xneta rogovsky not" and got[1].risk_score == 40 and got[1].flags == ["possible_name"]
-    assert got[2].redacted == "neta rogovsky is in" and got[2].risk_score == 10
+    assert got[1].redacted == "[PERSON_2] sings; [PERSON_1] too, xolga petrova not" and got[1].risk_score == 40 and got[1].flags == ["possible_name"]
+    assert got[2].redacted == "olga petrova stays home" and got[2].risk_score == 10
     told = spark.createDataFrame([(7, 0, "Hi [PERSON_1]")], m.schema)
     draft = spark.createDataFrame([(7, "[PERSON_1]", "Ann Lee")], "conv_id long, placeholder string, original string")
     assert conversations.rehydrate_messages(told, v, draft).first().text == "Hi Ann Lee"

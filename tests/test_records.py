@@ -9,12 +9,12 @@ REQUEST = "request_id long, prompt string, model string, use_case string, sensit
 
 def test_requests_are_answered(spark):
     rows = [
-        (1, "Draft an email to John Smith at john@gmail.com.", "GPT-4.1", "Sales", "Internal", "c", None), (2, "please jailbreak", None, None, None, "new-chat", None), (3, "  ", None, None, None, None, None),
+        (1, "Write a letter to Clara Ohlsen at clara@mail.test.", "GPT-4.1", "Sales", "Internal", "c", None), (2, "please jailbreak", None, None, None, "new-chat", None), (3, "  ", None, None, None, None, None),
         (4, "look", "gpt-4.1 MINI", "", "", "", [("image", None, [], 9)]), (5, "look", "claude-sonnet", "", "Regulated", "", [("image", None, ["secret"], 90)]), (6, "the loan", None, None, None, None, None),
     ]
     got = {r.request_id: r for r in gateway.answered(spark.createDataFrame(rows, REQUEST)).collect()}
-    assert got[1].action == "redact" and got[1].preview == "Draft an email to [PERSON_1] at [EMAIL_1]." and got[1].redacted_types == "1 EMAIL, 1 PERSON"
-    assert got[1].answer == "Hi John Smith. Draft for Sales: Draft an email to John Smith at john@gmail.com." and (got[1].restored, got[1].unresolved) == (3, 0)
+    assert got[1].action == "redact" and got[1].preview == "Write a letter to [PERSON_1] at [EMAIL_1]." and got[1].redacted_types == "1 EMAIL, 1 PERSON"
+    assert got[1].answer == "Hi Clara Ohlsen. Draft for Sales: Write a letter to Clara Ohlsen at clara@mail.test." and (got[1].restored, got[1].unresolved) == (3, 0)
     assert got[1].instruction == gateway.INSTRUCTIONS["writing"] and got[1].placeholders == ["[PERSON_1]", "[EMAIL_1]"] and got[1].provider == "openai"
     assert got[2].action == "block" and not got[2].provider_called and got[2].answer == gateway.REFUSAL
     assert got[3].problem == "Prompt is required." and got[3].answer is None

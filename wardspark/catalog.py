@@ -166,7 +166,7 @@ PLANTED = (
     "call 2125550187 now", "nothing at all",
 )
 #: Names occur in these; only prompts look for them.
-NAMED = ("please email Maria Lopez (maria@x.org) about it", "email neta rogovsky and kevin trejos about the loan", "Contact Maria Lopez for help")
+NAMED = ("please email Maria Lopez (maria@x.org) about it", "invite olga petrova and sven lindqvist, and bring the loan papers", "Contact Maria Lopez for help")
 
 
 def with_planted(spark, sf_dir, texts=PLANTED) -> DataFrame:

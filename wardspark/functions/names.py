@@ -14,13 +14,16 @@ from .spans import pieces, spans
 
 # Words, phrases and weights of the rules for names.
 FALSE_WORDS = (
-    "a about access account accord action admin ai api application approval ask base best boss business birthday builder case candidate center chat claims client code "
-    "company contact context contract compiler customer dashboard data dear defense defensive draft email encryption endpoint engineering employee failed family financial "
-    "files follow folders friends governance graphql hello help human intelligence instrumentation invitations injection is less loan list manager management meeting message "
-    "medical model motion my network notice null office operations patient platform planning plan policy portal product project provider prompt protocol records out query "
-    "reaching react regex request report resources rest response review reviewing risk sales search security success support state stored system team technical template "
-    "typescript admins users validator tell the to token transfer update up user write work workspace york you"
-).split()
+    "a", "about", "access", "account", "action", "admin", "ai", "api", "application", "approval", "ask", "base", "best", "boss", "business", "birthday", "builder",
+    "case", "candidate", "center", "chat", "claims", "client", "code", "company", "contact", "context", "contract", "compiler", "customer", "dashboard", "data", "dear",
+    "defense", "defensive", "draft", "email", "encryption", "endpoint", "engineering", "employee", "failed", "family", "financial", "files", "follow", "folders",
+    "friends", "governance", "graphql", "hello", "help", "human", "intelligence", "instrumentation", "invitations", "injection", "is", "less", "loan", "list", "manager",
+    "management", "meeting", "message", "medical", "model", "motion", "my", "network", "notice", "null", "office", "operations", "patient", "platform", "planning",
+    "plan", "policy", "portal", "product", "project", "provider", "prompt", "protocol", "records", "out", "query", "reaching", "react", "regex", "request", "report",
+    "resources", "rest", "response", "review", "reviewing", "risk", "sales", "search", "security", "success", "support", "state", "stored", "system", "team", "technical",
+    "template", "typescript", "admins", "users", "validator", "tell", "the", "to", "token", "transfer", "update", "up", "user", "write", "work", "workspace", "york",
+    "you",
+)
 FALSE_PHRASES = (
     "artificial intelligence platform", "customer support team", "monday client meeting", "new york", "new york office", "openai api", "q3 risk review",
     "react state update", "representational state transfer",
@@ -32,8 +35,9 @@ FIRST_NAMES = (
 )
 PARTICLES = ("al", "bint", "bin", "da", "de", "del", "der", "di", "dos", "du", "la", "le", "van", "von")
 LIST_STOPS = (
-    "are arrived abt about after because before by called came can coming could is left next needs re regarding should that the to today tomorrow tonight was were will would"
-).split()
+    "are", "arrived", "abt", "about", "after", "because", "before", "by", "called", "came", "can", "coming", "could", "is", "left", "next", "needs", "re", "regarding",
+    "should", "that", "the", "to", "today", "tomorrow", "tonight", "was", "were", "will", "would",
+)
 INTRODUCERS = r"\b(?:(?:my|the|these|those|our)\s+)?(?:friends|people|recipients|invitees|attendees|employees|candidates|patients|reviewers|approvers|contacts|customers|clients|team\s+members|participants|guests|coworkers|colleagues)\b(?:\s+(?:are|include|includes))?|\b(?:invite(?:\s+(?:my\s+friends|these\s+people|the\s+attendees|the\s+recipients))?|send(?:\s+this)?\s+to|email(?:\s+the\s+recipients)?|copy|cc|message|contact|ask|tell|write\s+to|reply\s+to)\b"
 CUES = r"\b(?:to|from|for|ask|named|name is|customer|client|employee|candidate|patient|email|message)\s+([\p{L}\p{M}]+(?:[-'’][\p{L}\p{M}]+)?\s+[\p{L}\p{M}]+(?:[-'’][\p{L}\p{M}]+)?)\b"
 BEFORE = r"\b(?:to|from|for|ask|tell|reply to|email|message|write|draft|named|name is|dear|hi|hello|customer|client|patient|employee|candidate)\s+$"
@@ -189,8 +193,10 @@ def cued_names(text: Column) -> Column:
     return _named(items, lambda x: F.lit(0.7), lambda x: F.lit("lowercase_context_name"), lambda x: F.array(F.lit("near_name_context")))
 
 
-def validated(text: Column, found: Column) -> Column:
-    """(start, stop, value, confidence, detector, signals) of the candidates that are names, with their confidence."""
+def validated(text: Column, found: Column, products: tuple[str, ...] = ()) -> Column:
+    """(start, stop, value, confidence, detector, signals) of the candidates that are names, with their confidence.
+
+    ``products`` are further words, in lower case, that no name holds, such as a product's own name."""
     words = lambda c: F.transform(F.regexp_extract_all(c["value"], F.lit(TOKEN), F.lit(0)), lambda t: F.struct(t.alias("text"), _lower(t).alias("lower")))
     shaped = F.filter(found, lambda c: c["value"].rlike(java(rf"^{TOKEN}(?:\s+{TOKEN}){{1,4}}$")))
     shaped = F.transform(shaped, lambda c: F.struct(*[c[n].alias(n) for n in ("start", "stop", "value", "base", "detector", "signals")], words(c).alias("words")))
@@ -199,7 +205,7 @@ def validated(text: Column, found: Column) -> Column:
     phrase = lambda c: F.lower(F.regexp_replace(c["value"], java(r"\s+"), " "))
     gated = F.filter(
         shaped,
-        lambda c: (F.size(real(c)) >= 2) & ~phrase(c).isin(*FALSE_PHRASES) & ~_has(lows(c), FALSE_WORDS) & ~_has(lows(c), COMPANY_WORDS)
+        lambda c: (F.size(real(c)) >= 2) & ~phrase(c).isin(*FALSE_PHRASES) & ~_has(lows(c), (*FALSE_WORDS, *products)) & ~_has(lows(c), COMPANY_WORDS)
         & ~c["value"].rlike(java(r"\b(?:my boss|my company|my project|you)\b", True)),
     )
 
@@ -237,13 +243,13 @@ def validated(text: Column, found: Column) -> Column:
     return F.filter(named, lambda c: c["confidence"] >= THRESHOLD)
 
 
-def names(text: Column, profile: str = "hybrid") -> Column:
+def names(text: Column, profile: str = "hybrid", products: tuple[str, ...] = ()) -> Column:
     """Validated names. ``core`` has the rules on capitals, lists and cues; ``hybrid`` adds the second detector,
     whose candidates have the spans of the first with more confidence and so stand in their place."""
     if profile not in ("core", "hybrid"):
         raise ValueError("profile must be core or hybrid")
     first = local_names(text) if profile == "hybrid" else capitalised_names(text)
-    return validated(text, F.concat(first, listed_names(text), cued_names(text)))
+    return validated(text, F.concat(first, listed_names(text), cued_names(text)), products)
 
 
 def provenance(text: Column) -> Column:

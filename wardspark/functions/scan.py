@@ -271,13 +271,13 @@ EXTERNAL = "array<struct<type:string,start:int,stop:int,value:string,confidence:
 
 
 def scan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", external: str | None = None, sensitivity: str = "Internal", persons: str | None = "hybrid"
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", external: str | None = None, sensitivity: str = "Internal", persons: str | None = "hybrid", products: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per document: id, entities, redacted, redaction_map, entity_counts, flags, risk_score, action.
 
     Null texts are scanned as empty. ``external`` names a column of further candidates (EXTERNAL).
     The field ``signals`` may be missing from it.
-    ``persons`` is the profile of the rules for names (see names.names), or None for none of them.
+    ``persons`` is the profile of the rules for names (see names.names), or None for none of them; ``products`` are words that no name holds.
     """
     given = []
     if external:
@@ -288,7 +288,7 @@ def scan(
     base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *given)
     base = base.select("*", ascii_lower(F.col("text")).alias("lower"))
     if persons:  # a step of its own, as later ones read it more than once
-        base = base.select("*", people_candidates(names(F.col("text"), persons), 100).alias("people"))
+        base = base.select("*", people_candidates(names(F.col("text"), persons, products), 100).alias("people"))
     found = [candidates(F.col("text"), F.col("lower")), *([F.col("people")] if persons else [])]
     if external:
         found.append(external_candidates(F.col("text"), F.col("given")))

@@ -232,7 +232,7 @@ def event_checksums(spark, sf_dir):
 
 def name_provenance(spark, sf_dir):
     """Names in documents and planted sentences by what found them: the rules, the second detector or both."""
-    own = spark.sql("SELECT * FROM VALUES (-1L, 'email neta rogovsky about it'), (-2L, 'Contact Maria Lopez for help'), (-3L, 'please email Maria Lopez (maria@x.org) about it'), (-4L, 'no one') AS t(doc_id, text)")
+    own = spark.sql("SELECT * FROM VALUES (-1L, 'email olga petrova about it'), (-2L, 'Contact Maria Lopez for help'), (-3L, 'please email Maria Lopez (maria@x.org) about it'), (-4L, 'no one') AS t(doc_id, text)")
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).unionByName(own)
     found = docs.select("doc_id", F.explode_outer(names.provenance(F.coalesce("text", F.lit("")))).alias("x")).where("x is not null")
     return found.groupBy("doc_id", F.col("x.source").alias("source")).agg(F.count(F.lit(1)).alias("names"), F.min("x.value").alias("first_name"))
