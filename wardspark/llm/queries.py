@@ -204,6 +204,49 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# The crc32 of bytes: s is the start value, then for each byte the byte and eight times -1, a step of the division.
+_CRC_SQL = "xor(list_reduce(s, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
+
+# Whole paths as lists; subtrees are the nodes whose paths begin with a node's own.
+OP11_SQL = r"""
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+steps AS (SELECT c, list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [ascii(x)::BIGINT, -1::BIGINT, -1::BIGINT, -1::BIGINT, -1::BIGINT, -1::BIGINT, -1::BIGINT, -1::BIGINT, -1::BIGINT]))) AS s FROM ids),
+crc AS (SELECT c, c - c % 100 AS base, @CRC@ % 6 AS h FROM steps),
+t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+built AS (
+  SELECT crc.c, 0 AS part, pos, sha256(role || chr(1) || text) AS item, length(text) AS chars FROM crc JOIN t ON t.c = base AND pos < h
+  UNION ALL SELECT crc.c, 1, pos, sha256(role || chr(1) || text), length(text) FROM crc JOIN t ON t.c = crc.c AND pos >= h),
+path AS (SELECT c, row_number() OVER w AS d, list(item) OVER w AS p, chars FROM built WINDOW w AS (PARTITION BY c ORDER BY part, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+member AS (SELECT c, d, p, chars FROM path UNION ALL SELECT c, 0, CAST([] AS VARCHAR[]), 0 FROM ids),
+last AS (SELECT c, max(d) AS d FROM member GROUP BY c),
+ends AS (SELECT p, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS e FROM member JOIN last USING (c, d) GROUP BY p),
+node AS (SELECT p, d, min(c) AS c, count(*) AS n, any_value(chars) AS chars, CASE WHEN d > 0 THEN p[1:d - 1] END AS up FROM member GROUP BY p, d),
+kid AS (SELECT up, count(*) AS kids FROM node WHERE d > 0 GROUP BY up),
+n AS (SELECT node.*, coalesce(kids, 0) AS kids FROM node LEFT JOIN kid ON kid.up = node.p),
+sub AS (SELECT a.p, count(*) FILTER (WHERE b.kids = 0) AS leaves, sum((b.n - 1) * b.chars) AS saved FROM n a JOIN n b ON b.d >= a.d AND (a.d = 0 OR b.p[1:a.d] = a.p) GROUP BY a.p)
+SELECT n.c AS conv_id, n.d AS depth, u.c AS parent_conv_id, n.n AS n_convs, n.kids AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+FROM n JOIN sub ON sub.p = n.p LEFT JOIN node u ON u.p = n.up LEFT JOIN ends ON ends.p = n.p""".replace("@CRC@", _CRC_SQL)
+
+# Words one edit apart lose one letter at one place to the same rest, or one of them loses a letter to the other.
+OP12_SQL = r"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS w FROM documents WHERE text IS NOT NULL),
+seen AS (SELECT doc_id, w, count(*) AS n FROM runs GROUP BY ALL),
+steps AS (SELECT *, list_concat([4294967295::BIGINT], flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''),
+  lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] ELSE [195::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1, unicode(x) - 64, -1, -1, -1, -1, -1, -1, -1, -1] END))) AS s FROM seen),
+crc AS (SELECT w, n, @CRC@ AS h FROM steps),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word, n FROM crc),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS short FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pairs AS (
+  SELECT DISTINCT a.word AS a, b.word AS b FROM less a JOIN less b ON a.i = b.i AND a.short = b.short AND a.word <> b.word
+  UNION SELECT less.word, v.word FROM less JOIN v ON v.word = less.short UNION SELECT v.word, less.word FROM less JOIN v ON v.word = less.short),
+best AS (SELECT a, v.word, v.n, count(*) OVER (PARTITION BY a) AS near, row_number() OVER (PARTITION BY a ORDER BY v.n DESC, v.word) AS k FROM pairs JOIN v ON v.word = b),
+f AS (SELECT v.word, v.n, coalesce(near, 0) AS n_near, CASE WHEN best.n >= 2 * v.n THEN best.word END AS form, CASE WHEN best.n >= 2 * v.n THEN best.n END AS form_n FROM v LEFT JOIN best ON best.a = v.word AND k = 1),
+walk(word, here) AS (SELECT word, word FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.here WHERE f.form IS NOT NULL),
+root AS (SELECT walk.word, here AS root FROM walk JOIN f ON f.word = walk.here WHERE f.form IS NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN root USING (word)""".replace("@CRC@", _CRC_SQL)
+
+
 QUERIES = {
     "op11_conversation_trie": op11_conversation_trie,
     "op12_spelling_variants": op12_spelling_variants,
@@ -220,6 +263,8 @@ QUERIES = {
     "op9_sharding": op9_sharding,
 }
 ORACLES = {
+    "op11_conversation_trie": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
     "op8_license_scan": _op8_sql(),
     "op10_embedding_dedup": OP10_SQL,
     "op1_line_dedup": OP1_SQL,
