@@ -126,6 +126,19 @@ def test_streamed_counts_hold_days_of_a_long_span(spark, tmp_path, monkeypatch):
     assert len({r.day for r in got}) == 200 and sum(r.requests for r in got) == sent
 
 
+def test_presence_forgets_days_that_are_over(spark, tmp_path):
+    from wardspark.streaming import live
+
+    at = lambda day, hour: dt.datetime(2024, 1, day, hour)
+    schema = "company_slug string, install_id string, created_at timestamp"
+    for part in ([("c", "a", at(1, 3)), ("c", "a", at(1, 9)), ("c", "b", at(1, 4))], [("c", "a", at(5, 1))], [("c", "b", at(1, 8)), ("c", "a", at(9, 1))]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = live.event_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+        out = live.run_once(live.presence(stream), str(tmp_path / "out"), str(tmp_path / "state"))
+    # What comes after its day is over is late.
+    assert sorted((r.install_id, r.last_seen) for r in out.collect()) == [("a", at(1, 9)), ("a", at(5, 1)), ("b", at(1, 4))]
+
+
 def test_mined_rules(spark):
     text = "AI USAGE POLICY\nEmployees must not submit client names or personal data to public AI tools. Approval is required before legal contracts are shared with ChatGPT.\nData Handling\n- Staff should redact customer email addresses before using Gemini."
     docs = spark.createDataFrame([(1, text), (2, "Lunch is at noon.")], "doc_id long, text string")

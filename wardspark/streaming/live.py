@@ -1,4 +1,4 @@
-"""Telemetry as a stream: deduplication, daily counts, presence, latest bundle joins."""
+"""Telemetry as a stream: deduplication, daily counts, presence."""
 
 from __future__ import annotations
 
@@ -29,9 +29,14 @@ def daily_counts(events: DataFrame, lateness: str = "1 day", ts: str = "created_
     return counted.select("company_slug", F.to_date("window.start").alias("day"), "requests", "flagged")
 
 
-def presence(events: DataFrame) -> DataFrame:
-    """Last time that each user was seen; run in update mode."""
-    return events.groupBy("company_slug", "install_id").agg(F.max("created_at").alias("last_seen"))
+def presence(events: DataFrame, lateness: str = "1 day", ts: str = "created_at") -> DataFrame:
+    """Last time that each user was seen on each day; the newest row of a user counts.
+
+    A day's users leave the state once it is over by ``lateness``, so the state holds who was there of late and not all
+    who ever were. Update mode gives a row with each change, append mode one when the day is over.
+    """
+    marked = events if events.schema[ts].metadata.get("spark.watermarkDelayMs") else events.withWatermark(ts, lateness)
+    return marked.groupBy(F.window(ts, "1 day"), "company_slug", "install_id").agg(F.max(ts).alias("last_seen")).drop("window")
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
