@@ -1,6 +1,7 @@
 """The scan, policy, rules, telemetry, mining and table changes on small literal tables."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,6 +169,34 @@ def test_paragraphs_end_with_the_line_that_fills_them(spark):
     assert got == [f"{line(i)} {line(i + 1)}" for i in range(0, 8, 2)] + [line(8)]
 
 
+def test_each_row_is_mined_by_itself(spark):
+    rule = "Employees must not paste source code into outside tools."
+    rows = [(1, rule), (1, "Lunch is at noon."), (None, rule), (None, rule), (None, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("place", F.lit("other"))
+    got = mining.mined(docs)
+    assert sorted((str(r.doc_id), r.place, r.action, r.confidence) for r in got.collect()) == [
+        ("1", 1, "block", 75), ("1", 1, "warn", 35), ("2", 1, "warn", 35), ("None", 1, "block", 75), ("None", 1, "block", 75), ("None", 1, "warn", 35),
+    ]
+    assert got.where("confidence = 35 and excerpt is null").isEmpty() and mining.mined(docs.limit(0)).isEmpty()
+    plain = docs.where("text is not null and doc_id is not null").withColumn("doc_id", F.monotonically_increasing_id())
+    apart = mining.with_fallback(plain, mining.inferred_rules(mining.sections(plain)))
+    assert mining.mined(plain).exceptAll(apart).isEmpty() and apart.count() == 3
+
+
+def test_words_of_policies_end_at_accents(spark):
+    docs = spark.createDataFrame([(1, "Notes of d\u00e9hr must stay inside the walls of the firm.")], "doc_id long, text string")
+    assert mining.mined(docs).first().data_categories == ["hr_context"]
+
+
+def test_policy_of_many_lines(spark):
+    text = "\n".join(f"Data Rules\nStaff number {i} must not send records to any tool." for i in range(50_000))
+    began = time.time()
+    got = mining.mined(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    first = {f"Staff number {i} must not send records to any tool." for i in range(8)}
+    assert {r.excerpt for r in got} == first and {r.source_section for r in got} == {"Data Rules"}
+    assert time.time() - began < 60
+
+
 def test_folded_messages(spark):
     m = spark.createDataFrame([(1, 0, "invite olga petrova and sven lindqvist to the picnic"), (1, 1, "then [EMAIL_4] and x@a.org"), (2, 0, "olga petrova stays home")], "conv_id long, turn long, text string")
     v = folds.fold(m).vault

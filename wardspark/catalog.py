@@ -354,8 +354,7 @@ def mined_rules(spark, sf_dir):
     """Draft rules of policy texts: written ones and every document of the table."""
     own = spark.range(1).select(F.posexplode(F.array(*map(F.lit, _POLICY_TEXTS))).alias("i", "text")).select((F.col("i") + 9_000_000).cast("long").alias("doc_id"), "text")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null").unionByName(own)
-    found = mining.inferred_rules(mining.sections(docs))
-    return mining.with_fallback(docs, found).select("doc_id", "place", "rule_key", F.array_join("data_categories", ",").alias("data_categories"), "action", "severity", "destination_type", "confidence")
+    return mining.mined(spread(docs)).select("doc_id", "place", "rule_key", F.array_join("data_categories", ",").alias("data_categories"), "action", "severity", "destination_type", "confidence")
 
 
 def recent_history(spark, sf_dir):

@@ -14,31 +14,31 @@ OBLIGATIONS = (
 )
 #: Categories with their labels and words.
 CATEGORIES = (
-    ("client_identifying_info", "client identifying information", r"\b(client|customer|patient|candidate|employee)\b"),
-    ("personal_data", "personal data", r"\b(personal data|pii|personally identifiable|identifier|name|email|phone|address)\b"),
-    ("confidential_data", "confidential data", r"\b(confidential|internal only|non-public|sensitive)\b"),
-    ("regulated_financial_context", "regulated financial context", r"\b(financial|loan|bank|insurance|credit|investment|payment|account)\b"),
-    ("medical_context", "medical context", r"\b(medical|health|hipaa|clinical|patient|diagnosis|treatment)\b"),
-    ("hr_context", "HR context", r"\b(hr|human resources|candidate|recruiting|employee|performance|payroll)\b"),
-    ("legal_context", "legal context", r"\b(legal|privileged|attorney|contract|litigation|matter)\b"),
-    ("secrets_credentials", "secrets and credentials", r"\b(api key|secret|token|password|credential|private key)\b"),
-    ("source_code", "source code", r"\b(source code|repository|proprietary code|codebase)\b"),
-    ("intellectual_property", "intellectual property", r"\b(ip|intellectual property|trade secret|roadmap|proprietary)\b"),
-    ("prompt_injection", "prompt injection", r"\b(prompt injection|jailbreak|ignore previous|bypass|override instructions)\b"),
+    ("client_identifying_info", "client identifying information", r"\b(?:client|customer|patient|candidate|employee)\b"),
+    ("personal_data", "personal data", r"\b(?:personal data|pii|personally identifiable|identifier|name|email|phone|address)\b"),
+    ("confidential_data", "confidential data", r"\b(?:confidential|internal only|non-public|sensitive)\b"),
+    ("regulated_financial_context", "regulated financial context", r"\b(?:financial|loan|bank|insurance|credit|investment|payment|account)\b"),
+    ("medical_context", "medical context", r"\b(?:medical|health|hipaa|clinical|patient|diagnosis|treatment)\b"),
+    ("hr_context", "HR context", r"\b(?:hr|human resources|candidate|recruiting|employee|performance|payroll)\b"),
+    ("legal_context", "legal context", r"\b(?:legal|privileged|attorney|contract|litigation|matter)\b"),
+    ("secrets_credentials", "secrets and credentials", r"\b(?:api key|secret|token|password|credential|private key)\b"),
+    ("source_code", "source code", r"\b(?:source code|repository|proprietary code|codebase)\b"),
+    ("intellectual_property", "intellectual property", r"\b(?:ip|intellectual property|trade secret|roadmap|proprietary)\b"),
+    ("prompt_injection", "prompt injection", r"\b(?:prompt injection|jailbreak|ignore previous|bypass|override instructions)\b"),
 )
-REDACTING = r"\b(redact|remove|de-identify|deidentify|mask|anonymize)\b"
-FORBIDDING = r"\b(block|prohibit|prohibited|must not|do not|never|forbidden)\b"
+REDACTING = r"\b(?:redact|remove|de-identify|deidentify|mask|anonymize)\b"
+FORBIDDING = r"\b(?:block|prohibit|prohibited|must not|do not|never|forbidden)\b"
 #: Outcomes in order of priority with the patterns that must all match; what no row fits is the last word.
 ACTIONS = (
-    ("transform", (FORBIDDING, REDACTING)), ("block", (FORBIDDING,)), ("require_approval", (r"\b(approval|approved|permission|review required|human review)\b",)),
+    ("transform", (FORBIDDING, REDACTING)), ("block", (FORBIDDING,)), ("require_approval", (r"\b(?:approval|approved|permission|review required|human review)\b",)),
     ("transform", (REDACTING,)), ("warn", ()),
 )
 DESTINATIONS = (
-    ("personal", (r"\b(personal|consumer|free account|public ai|unapproved)\b",)), ("unapproved", (r"\bunauthorized\b",)),
-    ("approved", (r"\b(approved|enterprise|company account|managed account)\b",)), ("any", ()),
+    ("personal", (r"\b(?:personal|consumer|free account|public ai|unapproved)\b",)), ("unapproved", (r"\bunauthorized\b",)),
+    ("approved", (r"\b(?:approved|enterprise|company account|managed account)\b",)), ("any", ()),
 )
 PROVIDERS = (("chatgpt", ("chatgpt",)), ("openai", ("openai",)), ("anthropic", ("anthropic|claude",)), ("gemini", ("gemini|google ai",)), ("any", ()))
-CRITICAL = r"\b(api key|secret|password|private key|hipaa|payment|bank account|ssn|social security)\b"
+CRITICAL = r"\b(?:api key|secret|password|private key|hipaa|payment|bank account|ssn|social security)\b"
 GRAVE = ("regulated_financial_context", "medical_context", "legal_context", "hr_context")
 FALLBACKS = {"transform": "block", "warn": "require_approval", "block": "block", "require_approval": "require_approval"}
 #: Names of rules by action, around the label of their first category.
@@ -62,46 +62,88 @@ def _bare(line: Column) -> Column:
     return js_trim(F.regexp_replace(line, java(r"^(\d+(\.\d+)*[.)]?|[A-Za-z][.)]|[-*])\s+"), ""))
 
 
-def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ordinal, heading, text): candidate sections longer than 40 characters.
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _cut(items: Column, starts) -> Column:
+    """An array cut before each place i for which starts(array, i) holds: by slices, so linear in its length."""
+
+    def cut(m: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | starts(m, i))
+        pieces = _bound(places, lambda p: F.transform(p, lambda i, k: F.slice(m, i + 1, F.coalesce(F.get(p, k + 1), F.size(m)) - i)))
+        return F.when(F.size(m) > 0, pieces).otherwise(F.slice(F.array(m), 1, 0))
+
+    return _bound(items, cut)
+
+
+def _paragraphs(block: Column) -> Column:
+    """Lines gathered into paragraphs, each ended by the line that makes it longer than FULL_PARAGRAPH."""
+
+    def step(acc: Column, x: Column) -> Column:
+        now = F.concat_ws(" ", acc["now"], x["part"])
+        full = F.length(now) > FULL_PARAGRAPH
+        return F.struct(F.when(~full, now).alias("now"), F.when(full, F.array_append(acc["out"], now)).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(None).cast("string").alias("now"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(block, start, step, lambda acc: F.when(acc["now"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["now"])))
+
+
+def section_array(text: Column) -> Column:
+    """Candidate sections of a text, array<struct<heading, text>>, cut out of its lines by place: no shuffle.
 
     Lines under a heading are joined; a line longer than 450 characters is cut into its sentences
     by itself, and a paragraph ends with the line that makes it longer than 700. Of a paragraph with several sentences, those with an obligation are sections of
-    their own; the sentences of a long line each stand.
+    their own; the sentences of a long line each stand. Sections have more than 40 characters. A null text gives null.
     """
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.replace(F.col(text_col), F.lit("\r"), F.lit("")), "\n")).alias("n", "line"))
-    lines = lines.select("doc_id", "n", js_trim("line").alias("line")).where("line <> ''")
-    bare = _bare(F.col("line"))
-    heading = F.length(bare).between(3, 120) & (
-        F.col("line").rlike(java(r"^\d+(\.\d+)*\s+[A-Z]")) | bare.rlike(r"^[A-Z][A-Z0-9 /&,-]{5,}$") | bare.rlike(java(r"^[A-Z][a-z]+(\s+[A-Z][a-z]+){1,7}:?$"))
-    )
-    lines = lines.select("doc_id", "n", "line", bare.alias("bare"), heading.alias("is_heading"), (F.length("line") > LONG_LINE).alias("is_long"))
-    order = Window.partitionBy("doc_id").orderBy("n")
-    breaks = F.col("is_heading") | F.col("is_long") | F.coalesce(F.lag("is_long").over(order), F.lit(False))
-    lines = lines.withColumn("block", F.sum(breaks.cast("int")).over(order))
-    title = clamp_text(F.regexp_replace("bare", ":$", ""), 120)
-    lines = lines.withColumn("heading", F.coalesce(F.last(F.when(F.col("is_heading"), title), True).over(order), F.lit("Imported AI usage policy")))
-    body = lines.where("not is_heading").withColumn("part", F.when(F.col("is_long"), F.col("line")).otherwise(F.col("bare")))
-    # Lines gather in a paragraph until it is longer than FULL_PARAGRAPH; the next line starts anew.
-    blocks = body.groupBy("doc_id", "block").agg(
-        F.array_sort(F.collect_list(F.struct("n", "part"))).alias("lines"), F.min_by("heading", "n").alias("heading"), F.max("is_long").alias("is_long")
-    )
-    open_, closed = "struct<n:int,paragraph:string>", "array<struct<n:int,paragraph:string>>"
-    empty = F.struct(F.lit(None).cast(open_).alias("now"), F.array().cast(closed).alias("out"))
+    lines = F.filter(F.transform(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), js_trim), lambda x: x != "")
+    bared = F.transform(lines, lambda x: F.struct(x.alias("line"), _bare(x).alias("bare"), (F.length(x) > LONG_LINE).alias("is_long")))
+
+    def marked(x: Column) -> Column:
+        heading = F.length(x["bare"]).between(3, 120) & (
+            x["line"].rlike(java(r"^\d+(\.\d+)*\s+[A-Z]")) | x["bare"].rlike(r"^[A-Z][A-Z0-9 /&,-]{5,}$") | x["bare"].rlike(java(r"^[A-Z][a-z]+(\s+[A-Z][a-z]+){1,7}:?$"))
+        )
+        title = F.when(heading, clamp_text(F.regexp_replace(x["bare"], ":$", ""), 120))
+        return F.struct(title.alias("title"), x["is_long"].alias("is_long"), F.when(x["is_long"], x["line"]).otherwise(x["bare"]).alias("part"))
+
+    def pieces(group: Column) -> Column:
+        heading = F.coalesce(F.get(group, F.lit(0))["title"], F.lit("Imported AI usage policy"))
+        blocks = _cut(F.filter(group, lambda x: x["title"].isNull()), lambda m, i: F.get(m, i)["is_long"] | F.get(m, i - 1)["is_long"])
+        piece = lambda is_long: lambda t: F.struct(heading.alias("heading"), t.alias("paragraph"), F.lit(is_long).alias("is_long"))
+        cut = lambda b: F.when(F.get(b, F.lit(0))["is_long"], F.transform(F.transform(b, lambda x: x["part"]), piece(True))).otherwise(F.transform(_paragraphs(b), piece(False)))
+        return F.flatten(F.transform(blocks, cut))
+
+    groups = _cut(F.transform(bared, marked), lambda m, i: F.get(m, i)["title"].isNotNull())
+    paragraphs = F.flatten(F.transform(groups, pieces))
+    clean = F.transform(paragraphs, lambda p: F.struct(p["heading"].alias("heading"), p["is_long"].alias("is_long"), F.regexp_replace(p["paragraph"], java(r"\s+"), " ").alias("clean")))
+    split = F.transform(clean, lambda p: F.struct(p["heading"].alias("heading"), p["is_long"].alias("is_long"), p["clean"].alias("clean"), sentences(p["clean"]).alias("ss")))
+
+    def parts(p: Column) -> Column:
+        binding = F.filter(p["ss"], _obliges)
+        whole = F.when((F.size(p["ss"]) <= 1) | p["is_long"], p["ss"]).otherwise(F.when(F.exists(p["ss"], _obliges), binding).otherwise(F.array(js_trim(p["clean"]))))
+        return F.transform(F.filter(whole, lambda t: F.length(t) > LEAST_TEXT), lambda t: F.struct(p["heading"].alias("heading"), t.alias("text")))
+
+    return F.flatten(F.transform(split, parts))
+
+
+def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ordinal, heading, text): the sections of section_array, a row each. Rows that repeat an id are cut each by itself."""
+    found = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(section_array(F.col(text_col))).alias("n", "section"))
+    return found.select("doc_id", (F.col("n") + 1).alias("ordinal"), "section.heading", "section.text")
 
-    def gather(acc: Column, x: Column) -> Column:
-        now = F.struct(F.coalesce(acc["now"]["n"], x["n"]).alias("n"), F.concat(F.coalesce(F.concat(acc["now"]["paragraph"], F.lit(" ")), F.lit("")), x["part"]).alias("paragraph"))
-        full = F.length(now["paragraph"]) > FULL_PARAGRAPH
-        return F.struct(F.when(~full, now).cast(open_).alias("now"), F.when(full, F.array_append(acc["out"], now)).otherwise(acc["out"]).cast(closed).alias("out"))
 
-    gathered = F.aggregate("lines", empty, gather, lambda acc: F.when(acc["now"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["now"])))
-    joined = blocks.select("doc_id", "heading", "is_long", F.posexplode(gathered).alias("piece", "x")).select("doc_id", "x.n", "piece", "heading", "is_long", "x.paragraph")
-    split = joined.select("doc_id", "n", "piece", "heading", "paragraph", "is_long", sentences(F.regexp_replace("paragraph", java(r"\s+"), " ")).alias("ss"))
-    binding = F.filter("ss", lambda s: _obligations(s) > 0)
-    parts = F.when((F.size("ss") <= 1) | F.col("is_long"), F.col("ss")).when(F.size(binding) > 0, binding).otherwise(F.array(js_trim(F.regexp_replace("paragraph", java(r"\s+"), " "))))
-    out = split.select("doc_id", "n", "piece", "heading", F.posexplode(parts).alias("i", "text")).where(F.length("text") > LEAST_TEXT)
-    ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "piece", "i"))
-    return out.select("doc_id", ordinal.alias("ordinal"), "heading", "text")
+def _obliges(text: Column) -> Column:
+    """Whether a text has any phrase of obligation."""
+    return text.rlike("(?i)" + "|".join(OBLIGATIONS))
+
+
+def _categories(text: Column) -> Column:
+    return F.filter(F.array(*[F.when(text.rlike(java(p, ignore_case=True)), F.lit(c)) for c, _, p in CATEGORIES]), lambda x: x.isNotNull())
+
+
+def _binds(text: Column) -> Column:
+    return _obliges(text) | (F.size(_categories(text)) >= 2)
 
 
 def _obligations(text: Column) -> Column:
@@ -118,7 +160,7 @@ def _first(lower: Column, table: tuple) -> Column:
     for outcome, patterns in reversed(table):
         hit = F.lit(True)
         for pattern in patterns:
-            hit = hit & lower.rlike(pattern)
+            hit = hit & lower.rlike(java(pattern))
         out = F.when(hit, outcome).otherwise(out)
     return out
 
@@ -128,11 +170,31 @@ def inferred_rules(candidates: DataFrame, top: int = MOST_RULES) -> DataFrame:
 
     Documents without a section that binds come out with no rule; see with_fallback.
     """
+    return _best(_drafted(candidates.where(_binds(F.col("text")))), "doc_id", top).select(*RULE_COLUMNS)
+
+
+def mined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = MOST_RULES) -> DataFrame:
+    """Draft rules of documents, or the general warning for those without any, in one pass over the texts.
+
+    Each row is a document of its own, whatever its id: ids that are null or repeat are not mixed. Null texts count as
+    empty. Only what binds is shuffled.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = docs.select(F.col(id_col).alias("doc_id"), text.alias("whole"), F.filter(section_array(text), lambda s: _binds(s["text"])).alias("found"))
+    found = found.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.when(F.size("found") == 0, clamp_text(F.col("whole"), 1400)).alias("excerpt"), "found")
+    rows = found.select("doc_id", "_row", F.col("excerpt").alias("_excerpt"), F.posexplode_outer("found").alias("ordinal", "section"))
+    rows = rows.select("doc_id", "_row", "_excerpt", "ordinal", "section.heading", "section.text").repartition("_row")
+    best = _best(_drafted(rows), "_row", top)
+    bare = F.col("_excerpt").isNotNull()
+    general = _general(F.col("_excerpt"))
+    return best.select("doc_id", *[F.when(bare, general[c]).otherwise(F.col(c)).alias(c) for c in RULE_COLUMNS[1:]])
+
+
+def _drafted(base: DataFrame) -> DataFrame:
+    """Rows of sections with what a rule says of each."""
     lower = F.lower(F.col("text"))
-    found = F.filter(F.array(*[F.when(F.col("text").rlike("(?i)" + p), F.lit(c)) for c, _, p in CATEGORIES]), lambda x: x.isNotNull())
-    base = candidates.select("*", found.alias("categories"), _obligations(F.col("text")).alias("obligations"))
-    base = base.where((F.col("obligations") > 0) | (F.size("categories") >= 2))
-    base = base.select("*", _first(lower, ACTIONS).alias("action"), _first(lower, DESTINATIONS).alias("destination"), _first(lower, PROVIDERS).alias("ai_provider"))
+    base = base.select("*", _categories(F.col("text")).alias("categories"), _obligations(F.col("text")).alias("obligations"))
+    base = base.select("*", _first(lower, ACTIONS).alias("action"), _first(lower, DESTINATIONS).alias("destination_type"), _first(lower, PROVIDERS).alias("ai_provider"))
     strict = F.col("action").isin("block", "require_approval")
     severity = (
         F.when(lower.rlike(CRITICAL), "critical").when(strict, F.when(F.size("categories") >= 2, "high").otherwise("medium"))
@@ -151,25 +213,39 @@ def inferred_rules(candidates: DataFrame, top: int = MOST_RULES) -> DataFrame:
     rules = rules.withColumn("rule_key", key).withColumn(
         "id", F.concat(F.lit("import_"), F.substring(F.sha2(F.concat("heading", F.lit(":"), "text"), 256), 1, 10))
     )
-    kept = Window.partitionBy("doc_id", "rule_key", "action", "destination").orderBy(F.desc("confidence"), "ordinal")
+    return rules.withColumns({
+        "source_section": F.col("heading"), "excerpt": clamp_text(F.col("text"), 1400),
+        "data_categories": F.when(F.size("categories") > 0, F.col("categories")).otherwise(F.array(F.lit("ai_usage_policy"))),
+    })
+
+
+def _best(rules: DataFrame, key: str, top: int) -> DataFrame:
+    """Of equal rules of a document the surest, and of those the first ``top``."""
+    kept = Window.partitionBy(key, "rule_key", "action", "destination_type").orderBy(F.desc("confidence"), "ordinal", "id")
     rules = rules.withColumn("_k", F.row_number().over(kept)).where("_k = 1")
-    best = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "ordinal")
-    rules = rules.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top)
-    return rules.select(
-        "doc_id", "place", "id", "rule_key", "name", F.col("heading").alias("source_section"), clamp_text(F.col("text"), 1400).alias("excerpt"),
-        F.when(F.size("categories") > 0, F.col("categories")).otherwise(F.array(F.lit("ai_usage_policy"))).alias("data_categories"),
-        "ai_provider", F.col("destination").alias("destination_type"), "action", "fallback_action", "severity", "confidence",
-    )
+    best = Window.partitionBy(key).orderBy(F.desc("confidence"), "ordinal", "id")
+    return rules.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top)
 
 
-def with_fallback(docs: DataFrame, rules: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rules, and a general warning of confidence 35 for documents without any."""
-    bare = docs.select(F.col(id_col).alias("doc_id"), F.col("text")).join(rules.select("doc_id").distinct(), "doc_id", "left_anti")
-    general = {
-        "place": F.lit(1), "id": F.concat(F.lit("import_"), F.substring(F.sha2(clamp_text(F.col("text"), 1400), 256), 1, 10)),
+RULE_COLUMNS = (
+    "doc_id", "place", "id", "rule_key", "name", "source_section", "excerpt", "data_categories", "ai_provider", "destination_type", "action",
+    "fallback_action", "severity", "confidence",
+)
+
+
+def _general(excerpt: Column) -> dict[str, Column]:
+    """The warning for a document without rules, of confidence 35."""
+    return {
+        "place": F.lit(1), "id": F.concat(F.lit("import_"), F.substring(F.sha2(excerpt, 256), 1, 10)),
         "rule_key": F.lit("review_imported_ai_policy"), "name": F.lit("Review imported AI policy before external AI use"),
-        "source_section": F.lit("Imported document"), "excerpt": clamp_text(F.col("text"), 1400), "data_categories": F.array(F.lit("ai_usage_policy")),
+        "source_section": F.lit("Imported document"), "excerpt": excerpt, "data_categories": F.array(F.lit("ai_usage_policy")),
         "ai_provider": F.lit("any"), "destination_type": F.lit("any"), "action": F.lit("warn"), "fallback_action": F.lit("require_approval"),
         "severity": F.lit("medium"), "confidence": F.lit(35),
     }
+
+
+def with_fallback(docs: DataFrame, rules: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rules, and a general warning of confidence 35 for documents without any. See mined for both in one pass."""
+    bare = docs.select(F.col(id_col).alias("doc_id"), F.col("text")).join(rules.select("doc_id").distinct(), "doc_id", "left_anti")
+    general = _general(clamp_text(F.col("text"), 1400))
     return rules.unionByName(bare.select("doc_id", *[c.alias(n) for n, c in general.items()]).select(*rules.columns))
