@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardspark.functions import names, scan
+from wardspark.functions.patterns import java
+from wardspark.functions.spans import spans
 
 # Golden rows, taken as they stand; FIXTURES.md B names their source.
 GOLDEN = {
@@ -80,3 +82,10 @@ def test_words_of_products_are_no_names(spark):
     df = spark.createDataFrame([(1, "Clara Wardley called")], "doc_id long, text string")
     assert [e.original for e in scan.scan(df).first().entities] == ["Clara Wardley"]
     assert scan.scan(df, products=("wardley",)).first().entities == []
+
+
+def test_long_runs_of_capitals(spark):
+    """Patterns that call themselves for each word of a run overflow the stack on thousands of them."""
+    text = F.concat(F.repeat(F.lit("Avery "), 20_000), F.lit("de la Bryn-"), F.repeat(F.lit("Cole-"), 20_000), F.lit("Dee now"))
+    got = spark.range(1).select(spans(text, java(names.RUN)).alias("x"), F.length(text).alias("n")).selectExpr("size(x) AS runs", "x[0].start AS start", "n - x[0].stop AS after").first()
+    assert tuple(got) == (1, 0, 4)
