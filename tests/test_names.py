@@ -89,3 +89,14 @@ def test_long_runs_of_capitals(spark):
     text = F.concat(F.repeat(F.lit("Avery "), 20_000), F.lit("de la Bryn-"), F.repeat(F.lit("Cole-"), 20_000), F.lit("Dee now"))
     got = spark.range(1).select(spans(text, java(names.RUN)).alias("x"), F.length(text).alias("n")).selectExpr("size(x) AS runs", "x[0].start AS start", "n - x[0].stop AS after").first()
     assert tuple(got) == (1, 0, 4)
+
+
+def test_resolved_looks_at_open_candidates(spark):
+    """Candidates meet only what still reaches their start, in a chain of overlaps and under one that reaches over all."""
+    kind = f"array<{scan.CANDIDATE}>"
+    one = lambda i: F.struct((i * 2).alias("start"), F.lit(-2).alias("rank"), F.lit(-0.9).alias("doubt"), i.alias("ordinal"), (i * 2 + 3).alias("stop"), F.lit("PERSON").alias("type"), F.lit("a").alias("value"), F.lit(0.9).alias("confidence"), F.lit("d").alias("detector"))
+    found = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(1_000)), one).cast(kind).alias("found"))
+    assert found.select(scan.resolved(F.col("found")).alias("x")).select(F.transform("x", lambda e: e["start"]).alias("s")).first().s == list(range(0, 2_001, 4))
+    outer = "array(named_struct('start', 0, 'stop', 90), named_struct('start', 1, 'stop', 5), named_struct('start', 10, 'stop', 20), named_struct('start', 85, 'stop', 95))"
+    full = F.transform(F.expr(outer), lambda x, i: F.struct(x["start"], F.lit(-2), F.lit(-0.9), i, x["stop"], F.lit("PERSON"), F.lit("a"), F.lit(0.9), F.lit("d"))).cast(kind)
+    assert [(e.start, e.stop) for e in spark.range(1).select(scan.resolved(full).alias("x")).first().x] == [(0, 90)]
