@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from wardspark.functions.patterns import java, js_trim
 from wardspark.functions import scan as S
 from wardspark.operators import attachments, conversations, evaluation, folds, policy, rules, telemetry
 from wardspark.plans import mining
@@ -289,3 +290,18 @@ def test_documents_are_read(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: r for r in documents.document_text(documents.read_binaries(spark, str(tmp_path))).collect()}
     assert got["a.txt"].text == "Héllo there\n\nend" and got["b.docx"].text == "One & two\nthree"
     assert got["c.docx"].text is None and got["c.docx"].problem == "BadZipFile" and got["d.bin"].problem == "unsupported"
+
+
+def test_words_found_one_by_one_are_the_patterns(spark):
+    """Words looked for one by one are what the patterns find: at boundaries, in any case, with what only looks like a letter."""
+    texts = ["unauthorized use", "an UNAUTHORIZED tool", "unauthorizeds", "de-identify it", "Identifier", "xhr hr_", "an HR matter", "tasK to masK", "mask", "hıpaa", "IP", "ip2", "free  account", "Free account", "google aid", "one. Two", "one \x85"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    patterns = [p for _, _, p in mining.CATEGORIES] + [p for table in (mining.ACTIONS, mining.DESTINATIONS, mining.PROVIDERS) for _, ps in table for p in ps]
+    lower = F.lower("text")
+    for p in patterns:
+        differs = df.where(mining._worded(lower, p) != lower.rlike(java(p))).collect()
+        assert not differs, (p, differs)
+    assert df.where(mining._worded(lower, r"\bunauthorized\b")).count() == 2
+    whole = F.filter(F.array(*[F.when(F.col("text").rlike(java(p, ignore_case=True)), F.lit(c)) for c, _, p in mining.CATEGORIES]), lambda x: x.isNotNull())
+    assert not df.where((mining._categories(F.col("text")) != whole) | (mining._obliges(F.col("text")) != F.col("text").rlike("(?i)" + "|".join(mining.OBLIGATIONS)))).collect()
+    assert not df.where(mining._trimmed(F.col("text")) != js_trim(F.col("text"))).collect()

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import java, js_trim
+from ..functions.patterns import ascii_lower, java, js_trim
 
 #: Phrases that mark an obligation.
 OBLIGATIONS = (
     "must", "must not", "should", "should not", "prohibit", "prohibited", "require", "required", "approval", "approved", "do not",
     "never", "only", "redact", "remove", "de-identify", "deidentify", "confidential", "personal data", "sensitive", "regulated",
 )
+#: The phrases that hold no other: a text with any phrase has one of these.
+SHORTEST = tuple(p for p in OBLIGATIONS if not any(q in p for q in OBLIGATIONS if q != p))
 #: Categories with their labels and words.
 CATEGORIES = (
     ("client_identifying_info", "client identifying information", r"\b(?:client|customer|patient|candidate|employee)\b"),
@@ -54,8 +59,15 @@ def clamp_text(value: Column, limit: int) -> Column:
     return F.when(F.length(clean) > limit, F.concat(js_trim(F.substring(clean, 1, limit - 1)), F.lit("..."))).otherwise(clean)
 
 
+def _trimmed(value: Column) -> Column:
+    """js_trim of a value that is at hand, searched only if its first or last character is white space or ends a line."""
+    ends = F.concat(F.substring(value, 1, 1), F.substring(value, -1, 1))
+    return F.when(ends.rlike(java(r"[\s\x85]")), js_trim(value)).otherwise(value)
+
+
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, java(r"(?<=[.!?])\s+(?=[A-Z0-9])")), js_trim), lambda s: s != "")
+    """Cut at the white space between an end mark and a capital or digit. The space comes first in the pattern, so that little is tried at other places."""
+    return F.filter(F.transform(F.split(text, java(r"\s(?<=[.!?]\s)\s*(?=[A-Z0-9])")), _trimmed), lambda s: s != "")
 
 
 def _bare(line: Column) -> Column:
@@ -97,7 +109,7 @@ def section_array(text: Column) -> Column:
     by itself, and a paragraph ends with the line that makes it longer than 700. Of a paragraph with several sentences, those with an obligation are sections of
     their own; the sentences of a long line each stand. Sections have more than 40 characters. A null text gives null.
     """
-    lines = F.filter(F.transform(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), js_trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), _trimmed), lambda x: x != "")
     bared = F.transform(lines, lambda x: F.struct(x.alias("line"), _bare(x).alias("bare"), (F.length(x) > LONG_LINE).alias("is_long")))
 
     def marked(x: Column) -> Column:
@@ -121,7 +133,8 @@ def section_array(text: Column) -> Column:
 
     def parts(p: Column) -> Column:
         binding = F.filter(p["ss"], _obliges)
-        whole = F.when((F.size(p["ss"]) <= 1) | p["is_long"], p["ss"]).otherwise(F.when(F.exists(p["ss"], _obliges), binding).otherwise(F.array(js_trim(p["clean"]))))
+        several = _bound(binding, lambda b: F.when(F.size(b) > 0, b).otherwise(F.array(js_trim(p["clean"]))))
+        whole = F.when((F.size(p["ss"]) <= 1) | p["is_long"], p["ss"]).otherwise(several)
         return F.transform(F.filter(whole, lambda t: F.length(t) > LEAST_TEXT), lambda t: F.struct(p["heading"].alias("heading"), t.alias("text")))
 
     return F.flatten(F.transform(split, parts))
@@ -133,13 +146,28 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return found.select("doc_id", (F.col("n") + 1).alias("ordinal"), "section.heading", "section.text")
 
 
+def _any_of(lower: Column, phrases) -> Column:
+    return reduce(Column.__or__, [F.contains(lower, F.lit(p)) for p in phrases])
+
+
 def _obliges(text: Column) -> Column:
     """Whether a text has any phrase of obligation."""
-    return text.rlike("(?i)" + "|".join(OBLIGATIONS))
+    return F.exists(F.array(ascii_lower(text)), lambda t: _any_of(t, SHORTEST))
+
+
+def _worded(lower: Column, pattern: str) -> Column:
+    """Whether a lower-case text matches a pattern of words, r"\b(?:a|b)\b", or of parts, "a|b": each word is looked for by
+    itself first, and its boundaries only where it occurs."""
+    inner = re.fullmatch(r"\\b(?:\(\?:)?([a-z |-]+)\)?\\b", pattern)
+    if not inner:
+        return _any_of(lower, pattern.split("|"))
+    bounded = lambda w: F.contains(lower, F.lit(w)) & lower.rlike(rf"{w}(?<![A-Za-z0-9_]{w})(?![A-Za-z0-9_])")
+    return reduce(Column.__or__, map(bounded, inner[1].split("|")))
 
 
 def _categories(text: Column) -> Column:
-    return F.filter(F.array(*[F.when(text.rlike(java(p, ignore_case=True)), F.lit(c)) for c, _, p in CATEGORIES]), lambda x: x.isNotNull())
+    held = lambda t: F.array_compact(F.array(*[F.when(_worded(t, p), F.lit(c)) for c, _, p in CATEGORIES]))
+    return _bound(ascii_lower(text), held)
 
 
 def _binds(text: Column) -> Column:
@@ -160,7 +188,7 @@ def _first(lower: Column, table: tuple) -> Column:
     for outcome, patterns in reversed(table):
         hit = F.lit(True)
         for pattern in patterns:
-            hit = hit & lower.rlike(java(pattern))
+            hit = hit & _worded(lower, pattern)
         out = F.when(hit, outcome).otherwise(out)
     return out
 
