@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import PLACEHOLDER, js_trim
+from ..shared import kept as kept_table
 from ..functions.scan import scan
 
 # Sizes, extensions and types of files.
@@ -123,6 +124,7 @@ def governed_names(files: DataFrame, sensitivity: str = "Internal") -> DataFrame
     found = lambda name: F.struct("redacted", "entities", "flags", "risk_score").alias(name)
     plain = stem(F.col("name"))
     one = scan(files.select(F.struct(*kept).alias("file"), F.coalesce(plain, F.lit("")).alias("form")), "file", "form", sensitivity=sensitivity).select("file", found("one"))
+    one = kept_table(one, "plain-names")  # each scan is planned by itself: three in one plan take minutes to plan
     spaced = F.regexp_replace(F.coalesce(stem(F.col("file.name")), F.lit("")), "[._-]+", " ")
     two = scan(one.select(F.struct("file", "one").alias("row"), spaced.alias("form")), "row", "form", sensitivity=sensitivity).select("row.file", "row.one", found("two"))
     weight = lambda x: F.struct(F.size(x["entities"]), x["risk_score"])
@@ -152,7 +154,7 @@ def governed(files: DataFrame, sensitivity: str = "Internal") -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     kind = classified(F.col("name"), F.col("mime_type"), F.col("size"), F.col("text"), F.col("extraction"))
-    base = governed_names(files.select("*", kind.alias("class")), sensitivity)
+    base = kept_table(governed_names(files.select("*", kind.alias("class")), sensitivity), "governed-names")
     body = F.when(F.col("class") == "supported_text", text).otherwise("")
     scanned = scan(base.select(F.struct(*[c for c in base.columns if c != "text"]).alias("file"), body.alias("body")), "file", "body", sensitivity=sensitivity)
     joined = scanned.select("file.*", "redacted", F.col("flags").alias("body_flags"), F.transform("entities", lambda e: F.struct(e["id"], e["type"])).alias("body_entities"), F.col("risk_score").alias("body_risk"))
