@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import partitions_for, shared_dir
+from .common import partitions_for, shared_dir, small_batches
 from .shingles import LONG_SPAN, eights, head, span_hashes
 
 SEGMENT_TOKENS = 1 << 20
@@ -289,7 +289,8 @@ def write_token_ids(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = rows.withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
     ordered = keyed.repartitionByRange(partitions_for(docs), "doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place")
-    ordered.select("doc_id", "text").mapInArrow(_encode(tokenizer_path, end_id, segment_tokens), SEGMENT_SCHEMA).write.parquet(path)
+    with small_batches(spark):
+        ordered.select("doc_id", "text").mapInArrow(_encode(tokenizer_path, end_id, segment_tokens), SEGMENT_SCHEMA).write.parquet(path)
     return path
 
 
