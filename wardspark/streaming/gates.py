@@ -1,90 +1,57 @@
-"""The same live: a timer for each draft, and the gate of each session as state."""
+"""The same live: a window for each run of edits, and the gate of each session as state."""
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.gates import STEPS
 
 EDIT = "session string, at timestamp, seq long, text string"
 GATE = "session string, at timestamp, seq long, step string, state string"
-
-
-def _events(rows: Iterator[pd.DataFrame]) -> list[dict]:
-    return sorted((r for part in rows for r in part.to_dict("records")), key=lambda r: (r["at"], r["seq"]))
-
-
-class Debounce(StatefulProcessor):
-    """Holds a session's last edit; a later one within the pause takes its place, and the timer lets it through."""
-
-    def __init__(self, pause: dt.timedelta):
-        self.pause = pause
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "at timestamp, seq long, text string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.last.get() if self.last.exists() else None
-        out = []
-        for e in _events(rows):
-            if held and (e["at"], e["seq"]) < (held[0], held[1]):
-                continue  # older than what is held: it was followed in time
-            if held and e["at"] - held[0] >= self.pause:
-                out.append(held)
-            held = (e["at"], e["seq"], e["text"])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.last.update(held)
-        self.handle.registerTimer(int(pd.Timestamp(held[0] + self.pause).timestamp() * 1000) + 1)
-        yield self._passed(key, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = [self.last.get()] if self.last.exists() else []
-        self.last.clear()
-        yield self._passed(key, held)
-
-    def _passed(self, key, edits: list[tuple]) -> pd.DataFrame:
-        some = [(key[0], *e) for e in edits if (e[2] or "").strip()]
-        return pd.DataFrame(some, columns=["session", "at", "seq", "text"])
-
-    def close(self) -> None:
-        pass
-
-
-class Gate(StatefulProcessor):
-    """The state of a session's gate, moved by STEPS."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "state string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = self.state.get()[0] if self.state.exists() else "none"
-        out = []
-        for e in _events(rows):
-            now = STEPS.get((e["step"], now), now)
-            out.append((key[0], e["at"], e["seq"], e["step"], now))
-        # The first state needs no memory, so sessions without files leave none.
-        self.state.update((now,)) if now != "none" else self.state.clear()
-        yield pd.DataFrame(out, columns=["session", "at", "seq", "step", "state"])
-
-    def close(self) -> None:
-        pass
+#: A character that is no white space, that beyond ASCII included.
+_SAID = "[^\\t-\\r\\x1c-\\x20\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+_MICROSECOND = dt.timedelta(microseconds=1)
+
+
+def _moved(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+    """The steps of a session in order with its gate after each, moved by STEPS."""
+    rows = list(parts)
+    rows = rows[0] if len(rows) == 1 else pd.concat(rows)
+    at, seq, steps = (rows[c].to_numpy() for c in ("at", "seq", "step"))
+    order = np.lexsort((seq, at))
+    now = held.get[0] if held.exists else "none"
+    states = []
+    for step in steps[order]:
+        now = STEPS.get((step, now), now)
+        states.append(now)
+    # The first state needs no memory, so sessions without files leave none.
+    if now != "none":
+        held.update((now,))
+    elif held.exists:
+        held.remove()
+    yield pd.DataFrame({"session": key[0], "at": at[order], "seq": seq[order], "step": steps[order], "state": states})
 
 
 def debounced_live(edits: DataFrame, pause: dt.timedelta = dt.timedelta(milliseconds=300), lateness: str = "1 minute") -> DataFrame:
-    """EDIT rows of a stream of edits that nothing follows within the pause; they come out once the watermark has passed it."""
+    """EDIT rows of a stream of edits that nothing follows within the pause; they come out once the watermark has passed it.
+
+    Edits that follow each other within the pause are one window of the session, and its last one passes. Windows meet
+    at their ends, so they reach a microsecond, the least step of time, less far than the pause.
+    """
     rows = edits.where("session is not null and at is not null").select(*[x.split()[0] for x in EDIT.split(", ")]).withWatermark("at", lateness)
-    return rows.groupBy("session").transformWithStateInPandas(Debounce(pause), EDIT, "Append", "EventTime")
+    gap = F.session_window("at", f"{(pause - _MICROSECOND) // _MICROSECOND} microseconds")
+    last = rows.groupBy("session", gap).agg(F.max(F.struct("at", "seq", "text")).alias("last"))
+    return last.select("session", "last.at", "last.seq", "last.text").where(F.col("text").rlike(_SAID))
 
 
 def gates_live(steps: DataFrame) -> DataFrame:
     """GATE rows: each step of a stream with the state after it."""
     rows = steps.where(F.col("session").isNotNull()).select("session", "at", "seq", "step")
-    return rows.groupBy("session").transformWithStateInPandas(Gate(), GATE, "Append", "None")
+    return rows.groupBy("session").applyInPandasWithState(_moved, GATE, "state string", "append", GroupStateTimeout.NoTimeout)
