@@ -296,6 +296,58 @@ def test_cut_words_give_the_ids_of_whole_texts():
         at += k
 
 
+def assert_encodes(encoder, tokenizer, texts):
+    flat, n = encoder.encode(texts)
+    assert len(n) == len(texts) and n.sum() == len(flat)
+    for text, at, k in zip(texts, (np.cumsum(n) - n).tolist(), n.tolist(), strict=True):
+        assert flat[at : at + k].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], text
+
+
+def test_cuts_between_letters_and_signs_give_the_ids_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(tokenizer_path()), token_ids.WordEncoder(tokenizer_path(), 2)
+    rng = random.Random(12)
+    alphabet = [*"aZ ~'\n\r\t.,(!1_-\x00\x1c\x7f", "  ", "'s", "'re", *"\u00e9\u00c9\u00d7\u00f7\u00ff\u00aa\u00b5\u0301\u00a0\u0085\u2028\u3000\u0663\u2019\u0416\u6f22\u0130", "<|endoftext|>"]
+    for size in (3, 8, 30):
+        assert_encodes(encoder, tokenizer, ["".join(rng.choice(alphabet) for _ in range(rng.randrange(size + 1))) for _ in range(1500)])
+
+
+def learnt_words(encoder, patch):
+    """The words that the encoder hands to the tokenizer from now on."""
+    seen, learn = [], encoder._learn
+    patch.setattr(encoder, "_learn", lambda found: (seen.extend(found), learn(found))[1])
+    return seen
+
+
+def test_a_word_is_learnt_once_whatever_stands_beside_it(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(tokenizer_path()), token_ids.WordEncoder(tokenizer_path(), 2)
+    seen = learnt_words(encoder, monkeypatch)
+    signs = [".", ",", "!!", "***", ".\n", ";", ")"]
+    assert_encodes(encoder, tokenizer, [f"an \u00e9t\u00e9{a}Then thenc\u00e9{b}Once" for a in signs for b in signs])
+    words = {"an", " \u00e9t\u00e9", "Then", " thenc\u00e9", "Once"}
+    assert sorted(seen) == sorted(x.encode() for x in words | set(signs))
+
+
+def test_words_met_again_are_still_known_when_others_are_forgotten(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_ids, "CACHE_WORDS", 400)
+    tokenizer, encoder = Tokenizer.from_file(tokenizer_path()), token_ids.WordEncoder(tokenizer_path(), 2)
+    seen = learnt_words(encoder, monkeypatch)
+    common = " ".join(f"c{'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]}" for i in range(50))
+    for call in range(40):
+        rare = "".join(f" x{chr(97 + call // 26)}{chr(97 + call % 26)}{chr(97 + i)}" for i in range(26))
+        assert_encodes(encoder, tokenizer, [common + rare, rare])
+    assert len(seen) == len(set(seen)) == 50 + 40 * 26
+    # A call of more words than are remembered, and the next one.
+    many = " ".join(f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz")
+    assert_encodes(encoder, tokenizer, [many, common])
+    assert_encodes(encoder, tokenizer, [common, "x" * 100_000, many])
+
+
 def test_chats_read_back_whole(spark):
     said = ["</s>[INST] ok [/INST]", "back\\slash \\<| <|im_end|>\n", "", None, "line\nbreak <image>", "😀 $1 \\1"]
     rows = [(c, t, r, x, 1) for c in (1, 2) for t, (r, x) in enumerate(zip(("user", "assistant", "user", "assistant", "ass\nistant", "assistant"), said, strict=True))]

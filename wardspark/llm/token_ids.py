@@ -29,18 +29,57 @@ SEGMENT_SCHEMA = (
     "part int, segment int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, table binary, checkpoints binary, payload binary"
 )
 #: Characters of text encoded at once; words that a worker remembers; words joined into one call of the tokenizer.
-SLICE_CHARS, CACHE_WORDS, JOINED = 1 << 19, 1 << 18, 256
+SLICE_CHARS, CACHE_WORDS, JOINED = 1 << 19, 1 << 19, 256
 
-# First bytes after which a space can be cut off: not white space, nor the lead byte of any in UTF-8.
-_solid = np.ones(256, bool)
-_solid[[*range(33), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+
+def _cut_codes(fine: bool) -> np.ndarray:
+    """Where to cut at two bytes, by the number first + 256 * second; 0: not there.
+
+    1: before the first, a space. 2: between them. 3: between them if the first ends an accented
+    letter, so comes after 0xC3. 4: between a line feed and a letter if a visible ASCII character stands
+    before. An apostrophe may open a contraction and is never cut from what follows it.
+    """
+    byte = np.arange(256)
+    # Bytes that a space can be cut off before: not white space, nor the lead byte of any in UTF-8.
+    solid = (byte > 32) & ~np.isin(byte, [0xC2, 0xE1, 0xE2, 0xE3])
+    letter = ((byte | 32) >= 97) & ((byte | 32) <= 122) & (byte < 128)
+    codes = np.zeros((256, 256), np.uint8)  # by second, first
+    codes[solid, 32] = 1
+    if fine:
+        other = (byte < 128) & ~letter & (byte != 32)
+        tail = (byte >= 0x80) & (byte < 0xC0) & ~np.isin(byte, [0x97, 0xB7])  # after 0xC3 those two are signs
+        codes[np.ix_(other, letter)] = 2
+        codes[np.ix_(letter, other & (byte > 32) & (byte < 127) & (byte != 39))] = 2
+        codes[np.ix_(other, tail)] = 3
+        codes[letter, 10] = 4
+    return codes.reshape(-1)
+
+
+_cuts = {fine: _cut_codes(fine) for fine in (False, True)}
+
+
+def _cut_places(raw: np.ndarray, fine: bool) -> np.ndarray:
+    """Whether to cut before each byte; one place more, for the end."""
+    cut = np.zeros(len(raw) + 1, bool)
+    if len(raw) < 2:
+        return cut
+    code = _cuts[fine][np.ndarray((len(raw) - 1,), "<u2", raw, strides=(1,))]
+    cut[:-2] = code == 1
+    if fine:
+        cut[1:-1] |= code == 2
+        maybe = np.flatnonzero(code >= 3)
+        maybe = maybe[maybe > 0]
+        before = raw[maybe - 1]
+        sure = np.where(code[maybe] == 3, before == 0xC3, (before > 32) & (before < 127))
+        cut[maybe[sure] + 1] = True
+    return cut
 
 
 class _HashTable:
     """64-bit keys to row numbers: open addressing in arrays, looked up and filled as vectors."""
 
     def __init__(self, rows: int):
-        self.mask = np.uint64((1 << (4 * rows - 1).bit_length()) - 1)
+        self.mask = np.uint64((1 << (2 * rows - 1).bit_length()) - 1)
         self.keys = np.zeros(int(self.mask) + 1, np.uint64)
         self.rows = np.zeros(int(self.mask) + 1, np.int32)
 
@@ -70,23 +109,56 @@ class _HashTable:
             slot[left] = (slot[left] + np.uint64(1)) & self.mask
 
 
+class _Rising:
+    """An array that grows at its end in place."""
+
+    def __init__(self, dtype, spare: int = 0):
+        self.n, self.spare = 0, spare
+        self.room = np.zeros(1 << 10, dtype)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.n]
+
+    def add(self, values) -> None:
+        n = self.n + len(values)
+        if n + self.spare > len(self.room):
+            room = np.zeros(max(n + self.spare, len(self.room) * 3 // 2), self.room.dtype)
+            room[: self.n] = self.values
+            self.room = room
+        self.room[self.n : n] = values
+        self.n = n
+
+    def cut(self, n: int) -> None:
+        """Keeps the first n values, and not much more room than they need."""
+        self.n = n
+        if len(self.room) > 4 * n + (1 << 16):
+            self.room = self.room[: 2 * n + (1 << 15)].copy()
+
+
 class WordEncoder:
     """Encodes texts with a byte-level BPE tokenizer, looking repeated words up.
 
     A text is cut before each space that a non-space character follows. The tokenizer's own
     pre-tokenizer always starts a piece there (the space belongs to the piece that it opens, and
     white space before it ends one), so the ids of the cuts joined are the ids of the whole text.
+    If its pre-tokenizer is the byte-level one with its own pattern, a text is also cut where a run of
+    letters ends and, but for white space and apostrophes, where one begins: it ends a piece there too.
     Texts that hold one of the tokenizer's added tokens, which it takes out beforehand, aren't cut.
     Each different cut of up to LONG_SPAN bytes is encoded by the library once while it is
-    remembered. It is found by a hash of its bytes, and then the bytes are compared.
+    remembered. It is found by a hash of its bytes, and then the bytes are compared. When CACHE_WORDS
+    are remembered, those that no later call met again are forgotten.
     """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
+        pieces = self.tokenizer.pre_tokenizer
+        self.fine = isinstance(pieces, ByteLevel) and pieces.use_regex and self.tokenizer.normalizer is None
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.joined = 1 if any(" " in t for t in added) else JOINED
@@ -97,10 +169,33 @@ class WordEncoder:
 
     def clear(self, room: int = 0) -> None:
         self.table = _HashTable(max(CACHE_WORDS, room))
-        self.flat = np.array([self.end_id], np.uint32)  # row 0 stands for the end of a document
-        self.starts, self.lengths = np.array([0]), np.array([1])
-        self.bytes = b""  # of the remembered words, by row from byte_at on
-        self.byte_at, self.byte_n = np.array([0]), np.array([0])
+        self.flat = _Rising(np.uint32)  # ids of all rows; row 0 stands for the end of a document
+        self.starts, self.lengths = _Rising(np.int32), _Rising(np.int32)  # of the rows, in flat
+        self.bytes = _Rising(np.uint8, spare=8)  # of the remembered words, by row from byte_at on
+        self.byte_at, self.byte_n = _Rising(np.int32), _Rising(np.int32)
+        self.keys, self.met = _Rising(np.uint64), _Rising(bool)  # met: again in a later call
+        for column, value in (
+            (self.flat, self.end_id), (self.starts, 0), (self.lengths, 1), (self.byte_at, 0), (self.byte_n, 0), (self.keys, 0), (self.met, False)
+        ):
+            column.add([value])
+
+    def _forget(self, new: int) -> None:
+        """Makes room for new words: those met again stay, the earliest learnt half of CACHE_WORDS at most."""
+        old = vars(self).copy()
+        stay = np.flatnonzero(self.met.values)[: CACHE_WORDS // 2]
+        if len(stay) + new >= CACHE_WORDS:
+            stay = stay[:0]
+        self.clear(new + 1)
+        for data, starts, lengths in (("flat", "starts", "lengths"), ("bytes", "byte_at", "byte_n")):
+            n = old[lengths].values[stay]
+            ends = np.cumsum(n, dtype=np.int64)
+            at = np.repeat(old[starts].values[stay] - (ends - n), n) + np.arange(n.sum())
+            getattr(self, starts).add(getattr(self, data).n + ends - n)
+            getattr(self, lengths).add(n)
+            getattr(self, data).add(old[data].values[at])
+        self.keys.add(old["keys"].values[stay])
+        self.met.add(np.zeros(len(stay), bool))
+        self.table.add(self.keys.values[1:], np.arange(1, self.keys.n, dtype=np.int32))
 
     def _learn(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "surrogatepass") for w in words]
@@ -120,13 +215,14 @@ class WordEncoder:
                 lengths[at] = [len(i) for i in ids]
             parts.append((at, flat))
         starts = np.zeros(len(words), np.int64)
-        base = len(self.flat)
+        base = self.flat.n
         for at, flat in parts:
             ends = np.cumsum(lengths[at])
             starts[at] = base + ends - lengths[at]
             base += len(flat)
-        self.flat = np.concatenate([self.flat, *[flat for _, flat in parts]])
-        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+            self.flat.add(flat)
+        self.starts.add(starts)
+        self.lengths.add(lengths)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each document closed by the end id, and the number of ids of each document."""
@@ -135,9 +231,9 @@ class WordEncoder:
         raw = np.frombuffer(joined, np.uint8)
         sizes = np.fromiter(map(len, raws), np.int64, len(raws))
         ends = np.cumsum(sizes)
-        cut = np.zeros(len(raw) + 1, bool)
-        cut[:-2] = (raw[:-1] == 32) & _solid[raw[1:]] if len(raw) > 1 else False
-        cut[ends[sizes > 0] - 1] = False  # the last byte of a text has nothing after it
+        cut = _cut_places(raw, self.fine)
+        last = ends[sizes > 0] - 1
+        cut[last[raw[last] == 32]] = False  # nothing comes after a space at the end of a text
         whole = np.zeros(len(raw) + 1, bool)
         if self.added:
             for i, text in enumerate(texts):
@@ -151,14 +247,16 @@ class WordEncoder:
         # Put row 0 after the words of each document.
         words_before = np.searchsorted(starts, ends, side="left")
         rows = np.insert(rows.astype(np.int64), words_before, 0)
-        lengths = self.lengths[rows]
-        stops = np.cumsum(lengths)
+        lengths = self.lengths.values[rows]
+        stops = np.cumsum(lengths, dtype=np.int64)
         total = int(stops[-1]) if len(stops) else 0
-        at = np.repeat(self.starts[rows] - (stops - lengths), lengths) + np.arange(total)
+        at = np.repeat(self.starts.values[rows] - (stops - lengths), lengths) + np.arange(total)
         doc_ends = stops[words_before + np.arange(len(texts))]
-        ids = self.flat[at]
-        known = len(self.byte_at)  # rows after those of the remembered words served this call only
-        self.flat, self.starts, self.lengths = self.flat[: self.kept], self.starts[:known], self.lengths[:known]
+        ids = self.flat.values[at]
+        # Rows after those of the remembered words served this call only.
+        self.flat.cut(self.kept)
+        self.starts.cut(self.keys.n)
+        self.lengths.cut(self.keys.n)
         return ids, np.diff(doc_ends, prepend=0)
 
     def _rows(self, joined: bytes, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, apart: np.ndarray) -> np.ndarray:
@@ -168,38 +266,42 @@ class WordEncoder:
         keys = span_hashes(raw, a, b)
         keys[keys == 0] = 1
         found = self.table.find(keys)
+        self.met.room[found[found >= 0]] = True
         new = np.flatnonzero(found < 0)
         if len(new):
             different, first = np.unique(keys[new], return_index=True)
-            if len(self.starts) + len(different) > CACHE_WORDS:
-                new = np.arange(len(keys))
-                different, first = np.unique(keys, return_index=True)
-                self.clear(len(different))
+            if self.keys.n + len(different) > CACHE_WORDS:
+                self._forget(len(np.unique(keys)))
+                found = self.table.find(keys)
+                new = np.flatnonzero(found < 0)
+                different, first = np.unique(keys[new], return_index=True)
             at = new[first]
-            base = len(self.starts)
+            base = self.keys.n
             words = [joined[x:y] for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)]
             self._learn(words)
-            n = np.fromiter(map(len, words), np.int64, len(words))
-            self.byte_at = np.append(self.byte_at, len(self.bytes) + np.cumsum(n) - n)
-            self.byte_n = np.append(self.byte_n, n)
-            self.bytes += b"".join(words)
+            n = b[at] - a[at]
+            self.byte_at.add(self.bytes.n + np.cumsum(n) - n)
+            self.byte_n.add(n)
+            self.bytes.add(np.frombuffer(b"".join(words), np.uint8))
+            self.keys.add(different)
+            self.met.add(np.zeros(len(different), bool))
             self.table.add(different, np.arange(base, base + len(different), dtype=np.int32))
             found[new] = self.table.find(keys[new])
         rows = np.full(len(starts), -1, np.int64)
         same = self._same(raw, a, b, found)
         rows[short[same]] = found[same]
-        others, self.kept = np.flatnonzero(rows < 0), len(self.flat)
+        others, self.kept = np.flatnonzero(rows < 0), self.flat.n
         if len(others):
-            rows[others] = len(self.starts) + np.arange(len(others))
+            rows[others] = self.starts.n + np.arange(len(others))
             self._learn([joined[x:y] for x, y in zip(starts[others].tolist(), ends[others].tolist(), strict=True)])
         return rows
 
     def _same(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Whether each word has the bytes that its row was learnt from."""
-        same = self.byte_n[rows] == ends - starts
-        mine, theirs = eights(raw), eights(np.frombuffer(self.bytes, np.uint8))
+        same = self.byte_n.values[rows] == ends - starts
+        mine, theirs = eights(raw), np.ndarray((self.bytes.n + 1,), "<u8", self.bytes.room, strides=(1,))
         open_ = np.flatnonzero(same)
-        at, kept, left = starts[open_], self.byte_at[rows[open_]], (ends - starts)[open_]
+        at, kept, left = starts[open_], self.byte_at.values[rows[open_]], (ends - starts)[open_]
         while len(open_):
             equal = head(mine, at, left) == head(theirs, kept, left)
             same[open_[~equal]] = False
