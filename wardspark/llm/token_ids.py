@@ -168,6 +168,7 @@ class WordEncoder:
         self.clear()
 
     def clear(self, room: int = 0) -> None:
+        self.table = None  # the old one goes before the new one comes
         self.table = _HashTable(max(CACHE_WORDS, room))
         self.flat = _Rising(np.uint32)  # ids of all rows; row 0 stands for the end of a document
         self.starts, self.lengths = _Rising(np.int32), _Rising(np.int32)  # of the rows, in flat
@@ -181,7 +182,7 @@ class WordEncoder:
 
     def _forget(self, new: int) -> None:
         """Makes room for new words: those met again stay, the earliest learnt half of CACHE_WORDS at most."""
-        old = vars(self).copy()
+        old = {name: column for name, column in vars(self).items() if isinstance(column, _Rising)}
         stay = np.flatnonzero(self.met.values)[: CACHE_WORDS // 2]
         if len(stay) + new >= CACHE_WORDS:
             stay = stay[:0]
